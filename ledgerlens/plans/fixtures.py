@@ -24,3 +24,36 @@ def events_activity(t: ParquetTables) -> DataFrame:
     """Activity base: consumer = user_id, group = event_type, day of ts."""
     return t("events").select(F.col("user_id").alias("consumer_id"),
                               F.to_date("ts").alias("created_date"), "event_type")
+
+
+# --- payment transactions (orders + lineitem) --------------------------------
+# installments = number of lineitems of the order; method by order status;
+# type 'PJ' for priority 5, else 'PF'.
+
+def pix_transactions(t: ParquetTables) -> DataFrame:
+    items = t("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items"))
+    o = t("orders")
+    return (o.join(items, o.o_orderkey == items.l_orderkey, "left")
+             .select(F.col("o_orderkey").alias("all_transaction_id"),
+                     F.col("o_custkey").alias("user_id"),
+                     F.col("o_orderdate").alias("adjusted_created_at"),
+                     F.col("n_items").cast("string").alias("installments"),
+                     F.when(F.col("o_orderstatus") == "F", "CREDIT_CARD")
+                      .when(F.col("o_orderstatus") == "O", "BALANCE_AND_CREDIT_CARD")
+                      .otherwise("BALANCE").alias("payment_method"),
+                     F.when(F.col("o_orderpriority").startswith("5"), "PJ").otherwise("PF")
+                      .alias("pix_transaction_type"),
+                     F.col("o_orderstatus").alias("status"),
+                     F.col("o_totalprice").alias("paid_total_value_with_revenue")))
+
+
+PIX_TRANSACTIONS_SQL = """
+SELECT o.o_orderkey AS all_transaction_id, o.o_custkey AS user_id, o.o_orderdate AS adjusted_created_at,
+       CAST(n.n_items AS VARCHAR) AS installments,
+       CASE o.o_orderstatus WHEN 'F' THEN 'CREDIT_CARD' WHEN 'O' THEN 'BALANCE_AND_CREDIT_CARD'
+            ELSE 'BALANCE' END AS payment_method,
+       CASE WHEN o.o_orderpriority LIKE '5%' THEN 'PJ' ELSE 'PF' END AS pix_transaction_type,
+       o.o_orderstatus AS status, o.o_totalprice AS paid_total_value_with_revenue
+FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n_items FROM lineitem GROUP BY 1) n
+  ON o.o_orderkey = n.l_orderkey
+"""
