@@ -67,7 +67,7 @@ def later_of(a: Column, b: Column) -> Column:
 
 def shift_hours(ts: Column | str, hours: int) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestampadd("HOUR", F.lit(hours), c)
+    return F.timestamp_add("HOUR", F.lit(hours), c)
 
 
 def is_month_end_or(d: Column, as_of: DateLike) -> Column:

@@ -57,3 +57,98 @@ SELECT o.o_orderkey AS all_transaction_id, o.o_custkey AS user_id, o.o_orderdate
 FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n_items FROM lineitem GROUP BY 1) n
   ON o.o_orderkey = n.l_orderkey
 """
+
+
+# --- subscriptions (orders + lineitem) ---------------------------------------
+# One contract per order: consumer = o_custkey, contract = o_orderkey,
+# package = priority digit with a title per priority, CANCELED when status F,
+# effective_at = first ship date of the order. History = one event per
+# lineitem at its ship date. Contracts start from 2001-01-01 in the queries.
+SUBSCRIPTION_FROM = "2001-01-01"
+POOL_BEFORE = "2001-04-01"
+CHECK_DAY = "2001-06-15"
+PACKAGE_TITLES = (("1", "Club Plus"), ("2", "Club +"), ("3", "Club Premium"), ("4", "Original"), ("5", "Basic"))
+HISTORY_TIE_BREAKERS = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def _package_title(priority_col: str) -> F.Column:
+    digit = F.substring(priority_col, 1, 1)
+    expr = None
+    for d, title in PACKAGE_TITLES:
+        expr = F.when(digit == d, F.lit(title)) if expr is None else expr.when(digit == d, F.lit(title))
+    return expr
+
+
+def subscriptions(t: ParquetTables) -> DataFrame:
+    o = t("orders")
+    eff = t("lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("effective_at"))
+    return (o.join(eff, o.o_orderkey == eff.l_orderkey, "left")
+             .select(F.col("o_custkey").alias("consumer_id"), F.col("o_orderkey").alias("contract_number"),
+                     F.substring("o_orderpriority", 1, 1).cast("int").alias("package_id"),
+                     _package_title("o_orderpriority").alias("package_title"),
+                     F.when(F.col("o_orderstatus") == "F", "CANCELED").otherwise("SUBSCRIBED")
+                      .alias("subscription_status"),
+                     F.col("o_orderdate").alias("created_at"), "effective_at",
+                     F.col("o_orderdate").alias("updated_at")))
+
+
+def status_history(t: ParquetTables) -> DataFrame:
+    l, o = t("lineitem"), t("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    status = (F.when(F.col("l_returnflag") == "R", "CANCELED")
+               .when(F.col("l_returnflag") == "A", "SUBSCRIBED")
+               .when(F.col("l_linestatus") == "F", "DISCONTINUED")
+               .when(F.col("l_quantity") < 10, "PRE_SUBSCRIPTION")
+               .otherwise("SUBSCRIBING"))
+    desc = (F.when(F.col("l_tax") == 0, F.lit(None).cast("string"))
+             .when(F.col("l_discount") == 0.01, "Reaiblitado")
+             .when((F.col("l_linestatus") == "O") & (F.col("l_discount") >= 0.05), "Plano REABILITADO")
+             .when(F.col("l_discount") == 0.02, "reativação manual")
+             .otherwise("Assinatura"))
+    return (l.join(o, l.l_orderkey == o.o_orderkey, "inner")
+             .select(F.col("o_custkey").alias("consumer_id"), F.col("l_orderkey").alias("contract_number"),
+                     _package_title("o_orderpriority").alias("package_title"),
+                     desc.alias("history_description"), status.alias("history_status"),
+                     F.col("l_shipdate").alias("status_history_at"), *HISTORY_TIE_BREAKERS))
+
+
+def _title_sql(col: str) -> str:
+    return "CASE substr(" + col + ", 1, 1) " + " ".join(
+        f"WHEN '{d}' THEN '{title}'" for d, title in PACKAGE_TITLES) + " END"
+
+
+SUBSCRIPTIONS_SQL = f"""
+SELECT o.o_custkey AS consumer_id, o.o_orderkey AS contract_number,
+       CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS package_id,
+       {_title_sql('o.o_orderpriority')} AS package_title,
+       CASE WHEN o.o_orderstatus = 'F' THEN 'CANCELED' ELSE 'SUBSCRIBED' END AS subscription_status,
+       o.o_orderdate AS created_at, e.effective_at, o.o_orderdate AS updated_at
+FROM orders o LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS effective_at FROM lineitem GROUP BY 1) e
+  ON o.o_orderkey = e.l_orderkey
+"""
+
+STATUS_HISTORY_SQL = f"""
+SELECT o.o_custkey AS consumer_id, l.l_orderkey AS contract_number,
+       {_title_sql('o.o_orderpriority')} AS package_title,
+       CASE WHEN l.l_tax = 0 THEN NULL
+            WHEN l.l_discount = 0.01 THEN 'Reaiblitado'
+            WHEN l.l_linestatus = 'O' AND l.l_discount >= 0.05 THEN 'Plano REABILITADO'
+            WHEN l.l_discount = 0.02 THEN 'reativação manual'
+            ELSE 'Assinatura' END AS history_description,
+       CASE WHEN l.l_returnflag = 'R' THEN 'CANCELED' WHEN l.l_returnflag = 'A' THEN 'SUBSCRIBED'
+            WHEN l.l_linestatus = 'F' THEN 'DISCONTINUED' WHEN l.l_quantity < 10 THEN 'PRE_SUBSCRIPTION'
+            ELSE 'SUBSCRIBING' END AS history_status,
+       l.l_shipdate AS status_history_at, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+"""
+
+
+def contract_consumer(t: ParquetTables) -> DataFrame:
+    """Contract dates table: created, effective and canceled (latest status time)."""
+    from ..operators.subscription import latest_status
+
+    latest = latest_status(status_history(t), tie_breakers=HISTORY_TIE_BREAKERS).select(
+        F.col("contract_number").alias("_lc"), F.col("status_history_at").alias("_lat"))
+    s = subscriptions(t)
+    return (s.join(latest, F.col("contract_number") == F.col("_lc"), "left")
+             .select("contract_number", "created_at", "effective_at",
+                     F.when(F.col("subscription_status") == "CANCELED", F.col("_lat")).alias("canceled_at")))
