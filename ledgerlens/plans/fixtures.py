@@ -152,3 +152,138 @@ def contract_consumer(t: ParquetTables) -> DataFrame:
     return (s.join(latest, F.col("contract_number") == F.col("_lc"), "left")
              .select("contract_number", "created_at", "effective_at",
                      F.when(F.col("subscription_status") == "CANCELED", F.col("_lat")).alias("canceled_at")))
+
+
+# --- cashback (orders + lineitem + part) --------------------------------------
+# Product by order priority: 1 PIX, 2 P2P, 3 BILLS, 4 vehicular debts,
+# 5 instant cash. Ids: all_transaction_id 'A<orderkey>', transaction and core
+# id 'T<orderkey>', correlation id 'C<orderkey>'. Card = o_totalprice; wallet =
+# o_totalprice when status P and the key is even; fee = 2 % of the card value;
+# type MULTIPLE_CARDS (lower case when the key is a multiple of 3) for status
+# O, else SINGLE_CARD. Promo (legacy cashback) and legacy instant cash: the
+# first lineitem of each order; cashback = l_extendedprice * l_discount / 10,
+# total card = l_extendedprice, campaign = l_partkey, promo date = ship date.
+# Events: one per lineitem, status CREATED for line status F, else EXPIRED.
+# Campaigns: part, flagged when p_brand like '%#1%'.
+CASHBACK_START = "1995-01-01"
+CASHBACK_END = "2001-08-15"
+CASHBACK_CUT = "1998-01-01"
+CASHBACK_KEY_SWITCH = "1996-07-01"
+CASHBACK_CORE_MIN_YEAR = 1998
+CAMPAIGN_PATTERN = "%#1%"
+PROMO_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+
+
+def _ids(key: str = "o_orderkey") -> dict[str, F.Column]:
+    k = F.col(key).cast("string")
+    return {"all_transaction_id": F.concat(F.lit("A"), k), "transaction_id": F.concat(F.lit("T"), k),
+            "correlation_id": F.concat(F.lit("C"), k)}
+
+
+def _payment_values() -> dict[str, F.Column]:
+    price, status, key = F.col("o_totalprice"), F.col("o_orderstatus"), F.col("o_orderkey")
+    return {
+        "card": price,
+        "wallet": F.when((status == "P") & (key % 2 == 0), price).otherwise(F.lit(0.0)),
+        "fee": price * 0.02,
+        "type": F.when((status == "O") & (key % 3 == 0), F.lit("multiple_cards"))
+                 .when(status == "O", F.lit("MULTIPLE_CARDS")).otherwise(F.lit("SINGLE_CARD")),
+        "card_id": F.col("o_custkey") % 97,
+        "installments": key % 12 + 1,
+    }
+
+
+def _orders_of(t: ParquetTables, digit: str) -> DataFrame:
+    return t("orders").where(F.substring("o_orderpriority", 1, 1) == digit)
+
+
+def cashback_payment_tables(t: ParquetTables) -> dict[str, DataFrame]:
+    v, ids = _payment_values(), _ids()
+    pix = _orders_of(t, "1").select(
+        F.to_date("o_orderdate").alias("adjusted_created_date"),
+        F.when(F.col("o_custkey") % 10 == 0, "BUSINESS").otherwise("CONSUMER").alias("user_type"),
+        v["card"].alias("paid_card_value"), v["wallet"].alias("paid_wallet_value"),
+        v["fee"].alias("payment_total_fee"), v["type"].alias("transaction_type"),
+        ids["transaction_id"].alias("transactional_core_id"), ids["all_transaction_id"].alias("all_transaction_id"),
+        ids["correlation_id"].alias("correlation_id"), v["card_id"].alias("credit_card_id"),
+        F.col("o_custkey").alias("consumer_id"), v["installments"].alias("installments"))
+    p2p = _orders_of(t, "2").select(
+        F.col("o_orderdate").alias("created_at"), (F.col("o_custkey") % 10 == 0).alias("is_business_transaction"),
+        v["card"].alias("paid_card_value"), v["wallet"].alias("paid_wallet_value"), v["fee"].alias("total_revenue"),
+        v["type"].alias("transaction_type"), F.col("o_custkey").alias("payer_id"),
+        *[c.alias(n) for n, c in ids.items()], v["card_id"].alias("credit_card_id"),
+        v["installments"].alias("installments"))
+    bills = _orders_of(t, "3").select(
+        F.col("o_orderdate").alias("created_at"), v["card"].alias("paid_credit_card_value"),
+        v["wallet"].alias("paid_balance_value"), v["fee"].alias("total_revenue"), v["type"].alias("payment_type"),
+        *[c.alias(n) for n, c in ids.items()], v["card_id"].alias("credit_card_id"),
+        v["installments"].alias("installments"))
+    vehicular = _orders_of(t, "4").select(
+        F.col("o_orderdate").alias("created_at"), v["card"].alias("paid_card_value"),
+        v["wallet"].alias("paid_wallet_value"), v["fee"].alias("total_revenue"), v["type"].alias("payment_type"),
+        F.concat(F.lit("DEBT_"), F.col("o_orderstatus")).alias("transaction_type"),
+        F.col("o_custkey").alias("consumer_id"), *[c.alias(n) for n, c in ids.items()],
+        v["card_id"].alias("credit_card_id"), v["installments"].alias("installments"))
+    return {"PIX": pix, "P2P": p2p, "BILLS": bills, "Multas e IPVA": vehicular}
+
+
+def _first_lines(t: ParquetTables) -> DataFrame:
+    from ..operators.rank import top_per_group
+
+    o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    first = top_per_group(t("lineitem"), ["l_orderkey"], list(PROMO_ORDER))
+    return first.join(o, first.l_orderkey == o.o_orderkey, "inner")
+
+
+def promo_transactions(t: ParquetTables) -> DataFrame:
+    f = _first_lines(t).where(~F.col("o_orderpriority").startswith("5"))
+    ids = _ids("l_orderkey")
+    return f.select(
+        F.col("l_shipdate").alias("created_at"),
+        F.concat(F.lit("P"), F.col("l_orderkey").cast("string"), F.lit("-"),
+                 F.col("l_linenumber").cast("string")).alias("promo_transaction_id"),
+        F.col("l_partkey").alias("campaign_id"), ids["all_transaction_id"].alias("all_transaction_id"),
+        ids["transaction_id"].alias("transaction_id"), F.col("o_custkey").alias("consumer_id"),
+        (F.col("l_extendedprice") * F.col("l_discount") / 10).alias("received_cashback_value"),
+        F.col("l_extendedprice").alias("paid_credit_card_value"))
+
+
+def instant_cash(t: ParquetTables) -> DataFrame:
+    f = _first_lines(t).where(F.col("o_orderpriority").startswith("5"))
+    return f.select(F.col("l_partkey").alias("campaign_id"), F.col("o_custkey").alias("consumer_id"),
+                    F.col("o_orderdate").alias("created_at"),
+                    (F.col("l_extendedprice") * F.col("l_discount") / 10).alias("instant_cash_given_value"))
+
+
+def campaign_taxonomy(t: ParquetTables) -> DataFrame:
+    return t("part").select(F.col("p_partkey").alias("promo_campaign_id"), F.col("p_brand").alias("bu_solicitante"),
+                            F.concat(F.lit("B"), F.col("p_size").cast("string")).alias("briefing_id"),
+                            (F.col("p_size").cast("double") / 100).alias("cashback_percentage"))
+
+
+def cashback_events(t: ParquetTables) -> DataFrame:
+    l = t("lineitem")
+    o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    j = l.join(o, l.l_orderkey == o.o_orderkey, "inner")
+    code = (F.when(F.col("o_orderpriority").startswith("5"), F.lit(INSTANT_CODE))
+             .when(F.col("l_linenumber") == 7, F.lit(None).cast("int"))
+             .otherwise(F.col("l_linenumber")))
+    return j.select(
+        F.concat_ws("-", F.lit("E"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                    F.col("l_partkey").cast("string")).alias("id"),
+        F.col("o_custkey").alias("user_id"), F.col("l_orderkey").alias("properties_movement_id"),
+        F.when(F.col("l_linestatus") == "F", "CREATED").otherwise("EXPIRED").alias("properties_status"),
+        F.col("o_orderdate").alias("properties_created_at"), code.cast("int").alias("properties_wallet_code_id"),
+        F.col("l_partkey").alias("properties_promo_campaign_id"),
+        F.concat(F.lit("C"), F.col("l_orderkey").cast("string")).alias("properties_origin_transaction_id"),
+        (F.col("l_extendedprice") * F.col("l_discount") / 10).alias("properties_original_amount"),
+        (F.col("l_extendedprice") * F.col("l_tax") / 10).alias("properties_returned_amount"),
+        *PROMO_ORDER)
+
+
+INSTANT_CODE = 419
+
+
+def core_transactions(t: ParquetTables) -> DataFrame:
+    return t("orders").select(F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("correlation_id"),
+                              F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("base_value"))
