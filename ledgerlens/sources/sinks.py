@@ -34,15 +34,24 @@ def write_path(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS,
-                      fmt: str = "parquet", max_records_per_file: int = 5_000_000) -> None:
+                      fmt: str = "parquet", max_records_per_file: int = 5_000_000,
+                      num_partitions: int | None = None) -> None:
     """Overwrite only the partitions present in ``df``; others stay untouched.
 
-    The ``rebalance`` hint clusters rows by the partition columns so each task
-    writes few files per partition, while AQE may still split a hot day over
-    several tasks (a plain ``repartition`` would put a whole day in one task).
+    Default: the ``rebalance`` hint clusters rows by the partition columns so
+    each task writes few files per partition, and AQE may split a hot day
+    over several tasks (a plain ``repartition`` would put a whole day in one
+    task). AQE also merges small rebalanced partitions, so a small frame
+    spread over many days ends in one task writing every file; when the
+    rows per output partition are known to be bounded (e.g. one row per
+    group and day), pass ``num_partitions`` to hash-cluster into exactly that
+    many write tasks instead.
     """
-    (df.hint("rebalance", *partition_by)
-       .write.format(fmt)
+    if num_partitions is None:
+        clustered = df.hint("rebalance", *partition_by)
+    else:
+        clustered = df.repartition(num_partitions, *partition_by)
+    (clustered.write.format(fmt)
        .mode("overwrite")
        .option("partitionOverwriteMode", "dynamic")
        .option("maxRecordsPerFile", max_records_per_file)
