@@ -23,8 +23,8 @@ def date_lit(value: DateLike) -> Column:
     if isinstance(value, _dt.datetime):
         value = value.date()
     if isinstance(value, _dt.date):
-        return F.lit(value)
-    return F.lit(str(value)).cast("date")
+        value = value.isoformat()
+    return F.expr(f"DATE'{to_py_date(value).isoformat()}'")
 
 
 def to_py_date(value: _dt.date | str) -> _dt.date:

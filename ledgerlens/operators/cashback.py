@@ -249,14 +249,14 @@ def all_payments(tables: dict[str, DataFrame], p: CashbackParams, specs=PRODUCTS
     return out
 
 
-def _canonical(cols: dict[str, Column]) -> list[Column]:
-    return [cols.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in BRANCH_SCHEMA.fields]
-
-
-def _branch(cashback_value: Column, as_of: DateLike, date_col: str, **cols) -> list[Column]:
-    cols.update(created_date=F.col(date_col), is_mtd=mtd_flag(date_col, as_of),
-                cashback_value=cashback_value, cashback_range=value_bucket(cashback_value))
-    return _canonical(cols)
+def _branch(df: DataFrame, cashback_value: Column, as_of: DateLike, date_col: str, **cols) -> DataFrame:
+    """Project one branch to ``BRANCH_SCHEMA``; the range label is computed
+    from the projected value column, not from a copy of its expression."""
+    cols.update(created_date=F.col(date_col), is_mtd=mtd_flag(date_col, as_of), cashback_value=cashback_value)
+    first = df.select(*[cols.get(f.name, F.lit(None)).cast(f.dataType.simpleString()).alias(f.name)
+                        for f in BRANCH_SCHEMA.fields if f.name != "cashback_range"])
+    return first.select(*[value_bucket("cashback_value").alias(f.name) if f.name == "cashback_range"
+                          else F.col(f.name) for f in BRANCH_SCHEMA.fields])
 
 
 # --- branches ----------------------------------------------------------------------
@@ -280,8 +280,8 @@ def cashback_before(payments: DataFrame, promo_cb: DataFrame, p: CashbackParams)
     j = pay.join(promo, (F.col("key_kind") == F.col("_kind")) & (F.col("join_key") == F.col("_key")), "inner")
     value = allocate_cashback("wallet_value", "card_value", "type_tested", "received_cashback_value_promo",
                               "fee_value", "paid_credit_card_value_promo")
-    return j.select(*_branch(
-        value, p.as_of, "created_date",
+    return _branch(
+        j, value, p.as_of, "created_date",
         all_transaction_id=F.col("all_transaction_id"), product_type_name=F.col("product_type_name"),
         type=F.lit(TYPE_CASHBACK), briefing_id=F.col("briefing_id"),
         cashback_percentage=F.col("cashback_percentage"), promo_transaction_id=F.col("promo_transaction_id"),
@@ -293,7 +293,7 @@ def cashback_before(payments: DataFrame, promo_cb: DataFrame, p: CashbackParams)
         consumer_id=F.when(F.col("consumer_from_cashback"), F.col("promo_consumer_id"))
                      .otherwise(F.col("pay_consumer_id")),
         installments=F.col("installments"), transaction_type=F.col("transaction_type"),
-        paid_card_value=F.col("card_value"), total_revenue=F.col("fee_value")))
+        paid_card_value=F.col("card_value"), total_revenue=F.col("fee_value"))
 
 
 def cashback_after(payments: DataFrame, events_cb: DataFrame, p: CashbackParams) -> DataFrame:
@@ -306,8 +306,8 @@ def cashback_after(payments: DataFrame, events_cb: DataFrame, p: CashbackParams)
     j = pay.join(ev, F.col("correlation_id") == F.col("_corr"), "inner")
     value = allocate_cashback("wallet_value", "card_value", "type_tested", "cashback_pago", "fee_value",
                               "paid_credit_card_value_promo")
-    return j.select(*_branch(
-        value, p.as_of, "created_date",
+    return _branch(
+        j, value, p.as_of, "created_date",
         all_transaction_id=F.col("all_transaction_id"),
         cleaned_event_cashback_status_changed_id=F.col("cleaned_event_cashback_status_changed_id"),
         product_type_name=F.col("product_type_name"), type=F.lit(TYPE_CASHBACK),
@@ -318,7 +318,7 @@ def cashback_after(payments: DataFrame, events_cb: DataFrame, p: CashbackParams)
         consumer_id=F.when(F.col("consumer_from_cashback"), F.col("ev_consumer_id"))
                      .otherwise(F.col("pay_consumer_id")),
         installments=F.col("installments"), transaction_type=F.col("transaction_type"),
-        paid_card_value=F.col("card_value"), total_revenue=F.col("fee_value")))
+        paid_card_value=F.col("card_value"), total_revenue=F.col("fee_value"))
 
 
 def instant_cash_before(instant: DataFrame, campaigns: DataFrame, p: CashbackParams) -> DataFrame:
@@ -330,24 +330,24 @@ def instant_cash_before(instant: DataFrame, campaigns: DataFrame, p: CashbackPar
         cond = cond & (d < date_lit(until))
     j = instant.where(cond).join(campaigns, "campaign_id", "inner").withColumn("_d", d)
     value = F.col("instant_cash_given_value")
-    return j.select(*_branch(
-        value, p.as_of, "_d", product_type_name=F.lit(INSTANT_PRODUCT), type=F.lit(TYPE_INSTANT),
+    return _branch(
+        j, value, p.as_of, "_d", product_type_name=F.lit(INSTANT_PRODUCT), type=F.lit(TYPE_INSTANT),
         briefing_id=F.col("briefing_id"), cashback_percentage=F.col("cashback_percentage"),
         campaign_id=F.col("campaign_id"),
         is_flagged_campaign=F.coalesce(F.col("is_flagged_campaign"), F.lit(False)),
-        consumer_id=F.col("consumer_id"), paid_card_value=F.lit(0)))
+        consumer_id=F.col("consumer_id"), paid_card_value=F.lit(0))
 
 
 def instant_cash_after(events_cb: DataFrame, p: CashbackParams) -> DataFrame:
     """Event-era instant cash of flagged campaigns."""
     e = events_cb.where(F.col("is_instant_cash") & F.col("is_flagged_campaign"))
-    return e.select(*_branch(
-        F.col(p.instant_value), p.as_of, "created_date_cashback",
+    return _branch(
+        e, F.col(p.instant_value), p.as_of, "created_date_cashback",
         cleaned_event_cashback_status_changed_id=F.col("cleaned_event_cashback_status_changed_id"),
         product_type_name=F.lit(INSTANT_PRODUCT), type=F.lit(TYPE_INSTANT), briefing_id=F.col("briefing_id"),
         cashback_percentage=F.col("cashback_percentage"), campaign_id=F.col("campaign_id"),
         correlation_id=F.col("correlation_id"), is_flagged_campaign=F.col("is_flagged_campaign"),
-        consumer_id=F.col("consumer_id")))
+        consumer_id=F.col("consumer_id"))
 
 
 def cashback_branches(payment_tables: dict[str, DataFrame], promo: DataFrame, taxonomy: DataFrame,

@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Skip recording the Python call site of every DataFrame/Column call in the
+    # JVM (error-message context only); it costs extra Py4J round trips per call.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -19,6 +19,11 @@ DRIVER_TABLES = (
 )
 
 
+# Schemas already read, by path: later reads pass the schema instead of
+# inferring it again from the file footers (a driver-side cost per read).
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class ParquetTables:
     """Named parquet tables under one directory (``<dir>/<name>.parquet``)."""
 
@@ -30,7 +35,13 @@ class ParquetTables:
         return os.path.join(self.root, f"{name}.parquet")
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        path = self.path(name)
+        schema = _SCHEMAS.get(path)
+        if schema is not None:
+            return self.spark.read.schema(schema).parquet(path)
+        df = self.spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
 
     def register_views(self, names=DRIVER_TABLES) -> None:
         for name in names:
