@@ -1,0 +1,164 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ledgerlens.operators import cohort, subscription as S
+
+T = dt.datetime
+HIST = "consumer_id long, contract_number long, package_title string, history_description string, " \
+       "history_status string, status_history_at timestamp_ntz, seq int"
+
+
+def test_status_priority_ties(spark):
+    at = T(2024, 5, 1, 12)
+    pairs = [("PRE_SUBSCRIPTION", "x", 0), ("SUBSCRIBING", "x", 1), ("SUBSCRIBED", "Plano REABILITADO", 5),
+             ("SUBSCRIBED", "Reaiblitado", 5), ("SUBSCRIBED", "reativação", 5), ("SUBSCRIBED", "normal", 2),
+             ("SUBSCRIBED", None, None), ("DISCONTINUED", None, 3), ("CANCELED", None, 4)]
+    df = spark.createDataFrame([(1, i, "Original", d, s, at, 0) for i, (s, d, _) in enumerate(pairs)], HIST)
+    got = [r[0] for r in df.orderBy("contract_number").select(
+        S.status_priority("history_status", "history_description")).collect()]
+    assert got == [p for _, _, p in pairs]
+
+
+def test_latest_status_order(spark):
+    at = T(2024, 5, 1, 1)
+    rows = [
+        (1, 10, "Club Plus", "normal", "SUBSCRIBED", at, 1),
+        (1, 10, "Club Plus", None, "CANCELED", at, 2),           # same time: CANCELED (4) beats SUBSCRIBED (2)
+        (1, 11, "club +", None, "SUBSCRIBED", at, 1),             # null priority loses (nulls last)
+        (1, 11, "club +", None, "SUBSCRIBING", at, 2),
+        (1, 12, "Club Plus", "x", "CANCELED", at - dt.timedelta(days=1), 1),
+        (1, 12, "Club Plus", "reabilitado", "SUBSCRIBED", at, 2),  # later time wins
+        (1, 13, "Other", None, "CANCELED", at, 1),                # out of scope title
+    ]
+    df = spark.createDataFrame(rows, HIST)
+    got = {r.contract_number: (r.history_status, r.status_history_at)
+           for r in S.latest_status(df, tie_breakers=["seq"]).collect()}
+    shifted = at - dt.timedelta(hours=3)
+    assert got == {10: ("CANCELED", shifted), 11: ("SUBSCRIBING", shifted), 12: ("SUBSCRIBED", shifted)}
+
+
+SUBS = "consumer_id long, contract_number long, package_id int, package_title string, subscription_status string, " \
+       "created_at timestamp_ntz, effective_at timestamp_ntz, updated_at timestamp_ntz"
+
+
+def _chain(spark, subs, hist, as_of):
+    s = spark.createDataFrame(subs, SUBS)
+    h = spark.createDataFrame(hist, HIST)
+    latest = S.latest_status(h, tie_breakers=["seq"])
+    base = S.contract_base(s, latest, S.package_classes(s), created_from="2024-01-01")
+    return base, S.daily_status(base, "2024-01-01", as_of)
+
+
+def test_contract_base_and_daily_status(spark):
+    as_of = dt.date(2024, 3, 10)
+    subs = [
+        (1, 1, 1, "Club Plus", "CANCELED", T(2024, 3, 5), T(2024, 3, 1), None),     # created > effective
+        (2, 2, 1, "Club Plus", "SUBSCRIBED", T(2024, 3, 1), None, None),            # effective null: no days
+        (3, 3, 1, "Club Plus", "CANCELED", T(2024, 3, 1), T(2024, 3, 2), None),     # canceled in the future
+        (4, 4, 1, "Club Plus", "CANCELED", T(2024, 3, 1), T(2024, 3, 2), None),     # canceled today
+        (5, 5, 1, "Club Plus", "SUBSCRIBED", None, T(2024, 3, 2), None),            # created null: filtered
+    ]
+    hist = [(1, 1, "Club Plus", None, "CANCELED", T(2024, 3, 8, 2), 1),   # -3h -> 2024-03-07 23:00
+            (2, 2, "Club Plus", None, "SUBSCRIBED", T(2024, 3, 1), 1),
+            (3, 3, "Club Plus", None, "CANCELED", T(2024, 3, 12, 5), 1),
+            (4, 4, "Club Plus", None, "CANCELED", T(2024, 3, 10, 5), 1),
+            (5, 5, "Club Plus", None, "SUBSCRIBED", T(2024, 3, 1), 1)]
+    base, daily = _chain(spark, subs, hist, as_of)
+    b = {r.contract_number: r for r in base.collect()}
+    assert set(b) == {1, 2, 3, 4}
+    assert b[1].effective_at == T(2024, 3, 5) and b[1].canceled_at == T(2024, 3, 7, 23)
+    assert b[2].effective_at is None and b[2].canceled_at is None
+    assert b[1].package_type == "premium"
+    d = {}
+    for r in daily.collect():
+        d.setdefault(r.contract_number, []).append((r.calendar_date, r.status_contract))
+    assert 2 not in d
+    c1 = dict(d[1])
+    assert min(c1) == dt.date(2024, 3, 5) and max(c1) == as_of
+    assert c1[dt.date(2024, 3, 6)] == "Ativo" and c1[dt.date(2024, 3, 7)] == "Inativo"
+    assert set(dict(d[3]).values()) == {"Inativo"}                    # future cancel: inactive all days
+    c4 = dict(d[4])
+    assert c4[as_of] == "Inativo" and c4[dt.date(2024, 3, 9)] == "Ativo"
+
+
+def test_prioritised_one_row_per_consumer_day(spark):
+    as_of = dt.date(2024, 3, 4)
+    subs = [(1, 1, 1, "Club Plus", "CANCELED", T(2024, 3, 1), T(2024, 3, 1), None),
+            (1, 2, 4, "Original", "SUBSCRIBED", T(2024, 3, 1), T(2024, 3, 1), None),
+            (1, 3, 1, "Club Plus", "SUBSCRIBED", T(2024, 3, 1), T(2024, 3, 1), None),
+            (1, 4, 1, "Club Plus", "SUBSCRIBED", T(2024, 3, 1), T(2024, 3, 1), None)]   # full tie with 3
+    hist = [(1, 1, "Club Plus", None, "CANCELED", T(2024, 3, 2, 5), 1),
+            (1, 2, "Original", None, "SUBSCRIBED", T(2024, 3, 1), 1),
+            (1, 3, "Club Plus", None, "SUBSCRIBED", T(2024, 3, 1), 1),
+            (1, 4, "Club Plus", None, "SUBSCRIBED", T(2024, 3, 1), 1)]
+    s = spark.createDataFrame(subs, SUBS)
+    story = S.storyline(s, spark.createDataFrame(hist, HIST), created_from="2024-01-01",
+                        calendar_start="2024-01-01", as_of=as_of, history_tie_breakers=["seq"])
+    got = story.collect()
+    assert len(got) == len({(r.consumer_id, r.metric_date) for r in got}) == 4
+    # 03-01: contracts 1, 3, 4 are premium and active with equal effective dates -> lowest number;
+    # from 03-02 contract 1 is canceled (Inativo) -> 3; the original contract never wins.
+    assert {r.metric_date: r.contract_number for r in got} == {
+        dt.date(2024, 3, 1): 1, dt.date(2024, 3, 2): 3, dt.date(2024, 3, 3): 3, dt.date(2024, 3, 4): 3}
+    fact = S.storyline_fact(story)
+    assert fact.columns[0] == "storyline_id" and fact.select("storyline_id").distinct().count() == 4
+    chk = S.active_base_check(story, as_of, excluded_title="Original").collect()[0]
+    assert (chk.distinct_consumers, chk.qtt) == (1, 1)
+
+
+def test_month_end_only_equals_full_on_month_ends(spark):
+    as_of = dt.date(2024, 4, 15)
+    subs = [(1, 1, 1, "Club Plus", "CANCELED", T(2024, 1, 20), T(2024, 1, 21), None),
+            (2, 2, 4, "Original", "SUBSCRIBED", T(2024, 2, 29), T(2024, 2, 29), None)]
+    hist = [(1, 1, "Club Plus", None, "CANCELED", T(2024, 3, 10), 1),
+            (2, 2, "Original", None, "SUBSCRIBED", T(2024, 2, 29), 1)]
+    s, h = spark.createDataFrame(subs, SUBS), spark.createDataFrame(hist, HIST)
+    kw = dict(created_from="2024-01-01", calendar_start="2024-01-01", as_of=as_of, history_tie_breakers=["seq"])
+    full = S.storyline(s, h, **kw)
+    ends = S.storyline(s, h, month_end_only=True, **kw)
+    d = F.col("metric_date")
+    want = full.where((d == F.last_day(d)) | (d == F.lit(as_of)))
+    assert sorted(map(tuple, ends.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cohort_laws(spark):
+    story = spark.createDataFrame([
+        (1, dt.date(2024, 1, 31), T(2024, 1, 10), "Ativo", 1, 1, "Club Plus"),
+        (1, dt.date(2024, 2, 29), T(2024, 1, 10), "Inativo", 1, 1, "Club Plus"),
+        (2, dt.date(2024, 1, 15), T(2024, 1, 15), "Ativo", 2, 1, "Club Plus"),
+        (2, dt.date(2024, 1, 31), T(2024, 1, 15), "Ativo", 2, 1, "Club Plus"),
+        (3, dt.date(2024, 2, 10), T(2024, 2, 10), "Ativo", 3, 1, "Club Plus"),
+        (3, dt.date(2024, 2, 29), T(2024, 2, 10), "Inativo", 3, 1, "Club Plus"),
+    ], "consumer_id long, metric_date date, effective_at timestamp_ntz, status_contract string, "
+       "contract_number long, package_id int, package_title string")
+    contracts = spark.createDataFrame([
+        (1, T(2024, 1, 10), T(2024, 1, 10), T(2024, 2, 5)),
+        (2, T(2024, 1, 15), T(2024, 1, 15), None),
+        (3, T(2024, 2, 10), T(2024, 2, 10), T(2024, 2, 20)),
+    ], "contract_number long, created_at timestamp_ntz, effective_at timestamp_ntz, canceled_at timestamp_ntz")
+    base = cohort.cohort_base(story, contracts, created_from="2024-01-01")
+    act = cohort.activation_cohort(base)
+    churn = cohort.month_end_churn(base, as_of="2024-03-05")
+    attr = {(r.consumer_id, str(r.effective_month)): r.delta_meses_churn
+            for r in cohort.churn_attribution(act, churn).collect()}
+    assert attr == {(1, "2024-01-01"): 1.0, (2, "2024-01-01"): None, (3, "2024-02-01"): 0.0}
+    cc = cohort.cohort_churn(cohort.churn_attribution(act, churn), act, as_of="2024-03-05").collect()
+    by = {(str(r.safra), r.mes_churn): r for r in cc}
+    assert by[("2024-01-01", "Permaneceu Ativo")].clientes_acum == 1       # falls back to its own count
+    assert by[("2024-01-01", "b. m1")].clientes_acum == 1
+    assert by[("2024-02-01", "a. m0")].clientes_pct == 100.0
+    for safra in ("2024-01-01", "2024-02-01"):   # last cumulative + stayed = cohort size
+        rows = [r for r in cc if str(r.safra) == safra]
+        churned = max([r.clientes_acum for r in rows if r.mes_churn != "Permaneceu Ativo"], default=0)
+        stayed = sum(r.clientes for r in rows if r.mes_churn == "Permaneceu Ativo")
+        assert churned + stayed == act.where(F.col("effective_month") == F.lit(safra).cast("date")).count()
+    rm = {(r.data_producao, r.data_safra): r.consumers
+          for r in cohort.retention_matrix(story, as_of="2024-03-05", pool_before="2024-02-01").collect()}
+    assert rm == {("< 2024-02-01", "< 2024-02-01"): 2}
+
+
+def test_churn_label_beyond_eleven(spark):
+    df = spark.createDataFrame([(None,), (0.0,), (11.0,), (12.0,)], "d double")
+    got = [r[0] for r in df.select(cohort.churn_label(F.col("d"))).collect()]
+    assert got == ["Permaneceu Ativo", "a. m0", "l. m11", None]
