@@ -64,7 +64,11 @@ def rolling_active_users(
     min_day = df.agg(F.min(F.to_date(date_col))).scalar()
     first_day = F.greatest(date_lit(start), F.date_add(min_day, warm + 1))
     last_day = F.date_sub(date_lit(as_of), 1)
-    base = _distinct_activity(df, consumer_col, date_col, group_cols)
+    # Only activity in [start - (k - 1), as_of) can reach an output day; the
+    # range reaches the parquet scan, so older history is not read (the
+    # warm-up minimum above still sees the whole frame, as the reference's).
+    in_range = (F.to_date(date_col) >= F.date_sub(date_lit(start), k - 1)) & (F.to_date(date_col) <= last_day)
+    base = _distinct_activity(df.where(in_range), consumer_col, date_col, group_cols)
 
     if method == "expand":
         days = base.select(

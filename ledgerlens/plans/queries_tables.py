@@ -152,3 +152,15 @@ def month_window_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("orders"), registers, cal, key="o_custkey", ts_col="o_orderdate",
         analysis_months=_WINDOW_MONTHS[0], frequency_months=_WINDOW_MONTHS[1], as_of=fx.ORDERS_AS_OF,
         approved=F.col("o_orderstatus") == "F")
+
+
+@register("approved_base", """
+SELECT o_custkey AS consumer_id, CAST(o_orderdate AS DATE) AS created_date, o_orderpriority AS product_type_name
+FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= DATE '1998-01-01'
+""")
+def approved_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = ParquetTables(spark, sf_dir)("orders").select(
+        "o_custkey", "o_orderdate", F.col("o_orderpriority").alias("product_type_name"),
+        (F.col("o_orderstatus") == "F").alias("is_approved"))
+    return payments.approved_base(o, consumer_col="o_custkey", ts_col="o_orderdate",
+                                  keep=("product_type_name",), since="1998-01-01")
