@@ -67,9 +67,10 @@ def stratified_sample(df: DataFrame, strata_col: str, consumer_col: str = "consu
     base = df.select(consumer_col, strata_col)
     if strata is not None:
         base = base.where(F.col(strata_col).isin(*strata))
-    base = base.distinct()
+    # The draw depends only on (consumer, stratum), so it can run before the
+    # distinct: same rows, and the distinct shuffles only the sampled ones.
     u = unit_hash(F.concat_ws("\u0001", F.col(consumer_col).cast("string"), F.col(strata_col)), seed)
-    sampled = base.select("*", u.alias("_u")).where(F.col("_u") < fraction)
+    sampled = base.select("*", u.alias("_u")).where(F.col("_u") < fraction).distinct()
     if cap is not None:
         sampled = top_per_group(sampled, [strata_col], [F.col("_u"), F.col(consumer_col)], n=cap)
     return sampled.drop("_u")
