@@ -30,3 +30,12 @@ def test_dense_rank_keys_many_partitions(spark):
     df = spark.range(0, 1000).select((F.col("id") % 97).alias("k"))
     ranks = rank.dense_rank_keys(df, "k", partitions=7).orderBy("k").collect()
     assert [r.dense_rank for r in ranks] == list(range(1, 98))
+
+
+
+def test_order_tuples(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 2, 2), ("b", 1, 3), ("b", 1, 4)], "k string, o int, i int")
+    got = rank.top_per_group(df, ["k"], [("o", "desc"), ("i", "asc")]).collect()
+    assert sorted((r.k, r.i) for r in got) == [("a", 2), ("b", 3)]
+    got = rank.top_per_group(df, ["k"], [("o", "desc_nulls_first"), ("i", "desc")]).collect()
+    assert sorted((r.k, r.i) for r in got) == [("a", 1), ("b", 4)]
