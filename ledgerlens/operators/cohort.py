@@ -7,8 +7,10 @@ canceled_at)``.
 Scale notes. Cohort and churn sets are distinct (consumer, month) pairs, so a
 consumer contributes at most one row per month to each: the churn
 attribution join on consumer is bounded per key by the number of months, and
-the first churn month is an aggregated ``min`` (no window sort). The final
-cumulative window is partitioned by cohort month and holds at most 14 rows.
+the first churn month is an aggregated ``min`` (no window sort);
+``cohort_attribution`` gets the same rows in one pass over the base. The
+final cumulative window is partitioned by cohort month and holds at most 14
+rows.
 """
 
 from __future__ import annotations
@@ -73,6 +75,36 @@ def churn_attribution(cohort: DataFrame, churn: DataFrame) -> DataFrame:
                         F.months_between("canceled_month", "effective_month").alias("delta_meses_churn"))
 
 
+def cohort_attribution(base: DataFrame, as_of: DateLike = None) -> DataFrame:
+    """Activation cohort, month-end churn and churn attribution in one pass.
+
+    Same rows as ``churn_attribution(activation_cohort(base),
+    month_end_churn(base, as_of))``, but the base is read once: cohort and
+    churn months are tagged in one projection and deduplicated together, and
+    the first churn month at or after each cohort month is a ``min`` over a
+    RANGE window per consumer (current month to the last one). A consumer has
+    at most two rows per month there, so the window is bounded by the number
+    of months, however active the consumer.
+    """
+    d = F.col("metric_date")
+    in_cohort = month_start(d) == F.col("effective_month")
+    churned = (F.col("status_contract") == INACTIVE) & ((d == F.last_day(d)) | (d == date_lit(as_of)))
+    tagged = (base.where(in_cohort | churned)
+                  .select("consumer_id", F.explode(F.array(
+                      F.when(in_cohort, F.struct(F.lit(True).alias("c"), F.col("effective_month").alias("m"))),
+                      F.when(churned, F.struct(F.lit(False).alias("c"), F.col("canceled_month").alias("m"))))).alias("_e"))
+                  .where(F.col("_e").isNotNull())
+                  .select("consumer_id", F.col("_e.c").alias("_is_cohort"), F.col("_e.m").alias("_month"))
+                  .distinct())
+    later = (Window.partitionBy("consumer_id").orderBy(F.col("_month").asc_nulls_first())
+                   .rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    first_churn = F.min(F.when(~F.col("_is_cohort"), F.col("_month"))).over(later)
+    out = tagged.select("consumer_id", "_is_cohort", F.col("_month").alias("effective_month"),
+                        first_churn.alias("canceled_month")).where(F.col("_is_cohort"))
+    return out.select("consumer_id", "effective_month", "canceled_month",
+                      F.months_between("canceled_month", "effective_month").alias("delta_meses_churn"))
+
+
 def churn_label(delta: F.Column) -> F.Column:
     """'Permaneceu Ativo' for no churn, 'a. m0' .. 'l. m11', null beyond 11."""
     n = delta.cast("int")
@@ -82,14 +114,17 @@ def churn_label(delta: F.Column) -> F.Column:
     return expr
 
 
-def cohort_churn(attribution: DataFrame, cohort: DataFrame, as_of: DateLike = None,
-                 horizon_months: int = 12) -> DataFrame:
+def cohort_churn(attribution: DataFrame, as_of: DateLike = None, horizon_months: int = 12) -> DataFrame:
     """Churn per cohort month and churn month, with % and cumulative.
 
     Output: safra, mes_churn, clientes, clientes_pct, clientes_acum,
     clientes_acum_pct. Cohorts of the last ``horizon_months`` months up to
     ``as_of``. The running sum is ordered by label (nulls first) and skips the
     'Permaneceu Ativo' row, whose cumulative values fall back to its own.
+
+    The cohort size is the sum of the counts of its month: the attribution has
+    exactly one row per cohort row, so this equals counting the cohort, without
+    reading it again.
     """
     lower = F.add_months(F.trunc(date_lit(as_of), "month"), -(horizon_months - 1))
     # Grouped by the whole-month delta first (deltas above 11 stay separate
@@ -98,17 +133,16 @@ def cohort_churn(attribution: DataFrame, cohort: DataFrame, as_of: DateLike = No
                          .groupBy("effective_month", F.col("delta_meses_churn").cast("int").alias("_delta"))
                          .agg(F.count_distinct("consumer_id").alias("clientes"))
                          .select("effective_month", churn_label(F.col("_delta")).alias("mes_churn"), "clientes"))
-    sizes = cohort.groupBy(F.col("effective_month").alias("_month")).agg(F.count(F.lit(1)).alias("_size"))
-    j = counts.join(sizes, F.col("effective_month") == F.col("_month"), "left")
+    size = F.sum("clientes").over(Window.partitionBy("effective_month"))
     w = (Window.partitionBy("effective_month").orderBy(F.col("mes_churn").asc_nulls_first())
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    churned = F.when(F.col("mes_churn") != STAYED_ACTIVE, F.col("clientes"))
-    acum = F.sum(churned).over(w)
+    acum = F.sum(F.when(F.col("mes_churn") != STAYED_ACTIVE, F.col("clientes"))).over(w)
+    j = counts.select("*", size.alias("_size"), acum.alias("_acum"))
     pct = 100 * F.col("clientes") / F.col("_size")
-    pct_acum = 100 * acum / F.col("_size")
+    pct_acum = 100 * F.col("_acum") / F.col("_size")
     return j.select(F.col("effective_month").alias("safra"), "mes_churn", "clientes",
                     pct.alias("clientes_pct"),
-                    F.coalesce(acum, F.col("clientes")).alias("clientes_acum"),
+                    F.coalesce(F.col("_acum"), F.col("clientes")).alias("clientes_acum"),
                     F.coalesce(pct_acum, pct).alias("clientes_acum_pct"))
 
 

@@ -143,7 +143,10 @@ def test_cohort_laws(spark):
     attr = {(r.consumer_id, str(r.effective_month)): r.delta_meses_churn
             for r in cohort.churn_attribution(act, churn).collect()}
     assert attr == {(1, "2024-01-01"): 1.0, (2, "2024-01-01"): None, (3, "2024-02-01"): 0.0}
-    cc = cohort.cohort_churn(cohort.churn_attribution(act, churn), act, as_of="2024-03-05").collect()
+    one_pass = {(r.consumer_id, str(r.effective_month)): r.delta_meses_churn
+                for r in cohort.cohort_attribution(base, as_of="2024-03-05").collect()}
+    assert one_pass == attr
+    cc = cohort.cohort_churn(cohort.churn_attribution(act, churn), as_of="2024-03-05").collect()
     by = {(str(r.safra), r.mes_churn): r for r in cc}
     assert by[("2024-01-01", "Permaneceu Ativo")].clientes_acum == 1       # falls back to its own count
     assert by[("2024-01-01", "b. m1")].clientes_acum == 1
