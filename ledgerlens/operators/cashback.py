@@ -350,6 +350,50 @@ def instant_cash_after(events_cb: DataFrame, p: CashbackParams) -> DataFrame:
         consumer_id=F.col("consumer_id"))
 
 
+def event_era(payments: DataFrame, events_cb: DataFrame, p: CashbackParams) -> DataFrame:
+    """``cashback_after`` and ``instant_cash_after`` from ONE pass over the events.
+
+    Events LEFT JOIN event-era payments on ``correlation_id`` (instant events
+    never match): a matched non-instant event gives the product rows (the
+    inner-join fan-out is unchanged), an unmatched flagged instant event gives
+    an instant-cash row, anything else is dropped. The deduplicated event
+    frame is thus computed and shuffled once instead of once per branch.
+    """
+    pay = payments.where(F.col("created_date") >= date_lit(p.cut)).select(
+        F.col("correlation_id").alias("_corr"), "product_type_name", "created_date", "all_transaction_id",
+        "transactional_core_id", "pay_transaction_id", "credit_card_id", "pay_consumer_id",
+        "consumer_from_cashback", "installments", "type_tested", "transaction_type", "wallet_value",
+        "card_value", "fee_value")
+    j = events_cb.join(pay, (F.col("correlation_id") == F.col("_corr")) & ~F.col("is_instant_cash"), "left")
+    instant = F.col("is_instant_cash")
+    j = j.where((instant & F.col("is_flagged_campaign")) | (~instant & F.col("_corr").isNotNull()))
+    product_value = allocate_cashback("wallet_value", "card_value", "type_tested", "cashback_pago", "fee_value",
+                                      "paid_credit_card_value_promo")
+
+    def pick(if_instant, if_product):
+        return F.when(instant, if_instant).otherwise(if_product)
+
+    none = F.lit(None)
+    j = j.withColumn("_d", pick(F.col("created_date_cashback"), F.col("created_date")))
+    return _branch(
+        j, pick(F.col(p.instant_value), product_value), p.as_of, "_d",
+        all_transaction_id=pick(none, F.col("all_transaction_id")),
+        cleaned_event_cashback_status_changed_id=F.col("cleaned_event_cashback_status_changed_id"),
+        product_type_name=pick(F.lit(INSTANT_PRODUCT), F.col("product_type_name")),
+        type=pick(F.lit(TYPE_INSTANT), F.lit(TYPE_CASHBACK)),
+        briefing_id=F.col("briefing_id"), cashback_percentage=F.col("cashback_percentage"),
+        campaign_id=F.col("campaign_id"),
+        transactional_core_id=pick(none, F.col("transactional_core_id")),
+        transaction_id=pick(none, F.col("pay_transaction_id")),
+        correlation_id=F.col("correlation_id"), is_flagged_campaign=F.col("is_flagged_campaign"),
+        credit_card_id=pick(none, F.col("credit_card_id")),
+        consumer_id=pick(F.col("consumer_id"), F.when(F.col("consumer_from_cashback"), F.col("consumer_id"))
+                                                .otherwise(F.col("pay_consumer_id"))),
+        installments=pick(none, F.col("installments")),
+        transaction_type=pick(none, F.col("transaction_type")),
+        paid_card_value=pick(none, F.col("card_value")), total_revenue=pick(none, F.col("fee_value")))
+
+
 def cashback_branches(payment_tables: dict[str, DataFrame], promo: DataFrame, taxonomy: DataFrame,
                       instant: DataFrame, events: DataFrame, core: DataFrame, p: CashbackParams,
                       dedupe_order=None) -> DataFrame:
@@ -359,8 +403,7 @@ def cashback_branches(payment_tables: dict[str, DataFrame], promo: DataFrame, ta
     ev = status_events(events, campaigns, core, p, dedupe_order)
     parts = [cashback_before(pays, promo_cashback(promo, campaigns, p), p),
              instant_cash_before(instant, campaigns, p),
-             cashback_after(pays, ev, p),
-             instant_cash_after(ev, p)]
+             event_era(pays, ev, p)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
