@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     # Skip recording the Python call site of every DataFrame/Column call in the
     # JVM (error-message context only); it costs extra Py4J round trips per call.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Delete reliable-checkpoint files once their DataFrame is unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -96,3 +96,13 @@ def test_literal_instant_value_and_no_until(spark):
 def test_key_fanout(spark):
     _, promo, *_ = frames(spark)
     assert [r.all_transaction_id for r in CB.key_fanout(promo, "all_transaction_id").collect()] == ["B1"]
+
+
+def test_event_era_equals_separate_branches(spark):
+    tables, promo, taxonomy, instant, events, core = frames(spark)
+    camp = CB.flagged_campaigns(taxonomy, P.flag_pattern)
+    pays = CB.all_payments(tables, P)
+    ev = CB.status_events(events, camp, core, P, ["id"])
+    one = {tuple(r) for r in CB.event_era(pays, ev, P).collect()}
+    two = {tuple(r) for r in CB.cashback_after(pays, ev, P).unionByName(CB.instant_cash_after(ev, P)).collect()}
+    assert one == two and len(one) == 3

@@ -165,3 +165,19 @@ def test_churn_label_beyond_eleven(spark):
     df = spark.createDataFrame([(None,), (0.0,), (11.0,), (12.0,)], "d double")
     got = [r[0] for r in df.select(cohort.churn_label(F.col("d"))).collect()]
     assert got == ["Permaneceu Ativo", "a. m0", "l. m11", None]
+
+
+def test_clustered_storyline_equals_unclustered(spark):
+    as_of = dt.date(2024, 4, 3)
+    subs = [(c % 3, c, 1 + c % 4, ["Club Plus", "club +", "Club Premium", "Original"][c % 4],
+             "CANCELED" if c % 2 else "SUBSCRIBED", T(2024, 1, 1 + c), T(2024, 1, 3 + c), None) for c in range(12)]
+    hist = [(c % 3, c, ["Club Plus", "club +", "Club Premium", "Original"][c % 4], None, "CANCELED",
+             T(2024, 2, 1 + c, 2), 1) for c in range(12)]
+    s, h = spark.createDataFrame(subs, SUBS), spark.createDataFrame(hist, HIST)
+    kw = dict(created_from="2024-01-01", calendar_start="2024-01-01", as_of=as_of, history_tie_breakers=["seq"])
+    a = S.storyline(s, h, cluster_partitions=0, **kw)
+    b = S.storyline(s, h, cluster_partitions=None, **kw)
+    c = S.storyline(s, h, cluster_partitions=3, **kw)
+    ra = sorted(map(tuple, a.collect()))
+    assert ra == sorted(map(tuple, b.collect())) == sorted(map(tuple, c.collect()))
+    assert len(ra) == len({(r[0], r[1]) for r in ra}) > 0
