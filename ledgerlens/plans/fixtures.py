@@ -193,22 +193,29 @@ def _payment_values() -> dict[str, F.Column]:
     }
 
 
-def _orders_of(t: ParquetTables, digit: str) -> DataFrame:
-    return t("orders").where(F.substring("o_orderpriority", 1, 1) == digit)
+BUSINESS_SEGMENT = "MACHINERY"
+
+
+def _orders_of(t: ParquetTables, digit: str, with_segment: bool = False) -> DataFrame:
+    o = t("orders").where(F.substring("o_orderpriority", 1, 1) == digit)
+    if not with_segment:
+        return o
+    c = t("customer").select(F.col("c_custkey"), (F.col("c_mktsegment") == BUSINESS_SEGMENT).alias("_business"))
+    return o.join(c, o.o_custkey == c.c_custkey, "left")
 
 
 def cashback_payment_tables(t: ParquetTables) -> dict[str, DataFrame]:
     v, ids = _payment_values(), _ids()
-    pix = _orders_of(t, "1").select(
+    pix = _orders_of(t, "1", with_segment=True).select(
         F.to_date("o_orderdate").alias("adjusted_created_date"),
-        F.when(F.col("o_custkey") % 10 == 0, "BUSINESS").otherwise("CONSUMER").alias("user_type"),
+        F.when(F.col("_business"), "BUSINESS").otherwise("CONSUMER").alias("user_type"),
         v["card"].alias("paid_card_value"), v["wallet"].alias("paid_wallet_value"),
         v["fee"].alias("payment_total_fee"), v["type"].alias("transaction_type"),
         ids["transaction_id"].alias("transactional_core_id"), ids["all_transaction_id"].alias("all_transaction_id"),
         ids["correlation_id"].alias("correlation_id"), v["card_id"].alias("credit_card_id"),
         F.col("o_custkey").alias("consumer_id"), v["installments"].alias("installments"))
-    p2p = _orders_of(t, "2").select(
-        F.col("o_orderdate").alias("created_at"), (F.col("o_custkey") % 10 == 0).alias("is_business_transaction"),
+    p2p = _orders_of(t, "2", with_segment=True).select(
+        F.col("o_orderdate").alias("created_at"), F.coalesce(F.col("_business"), F.lit(False)).alias("is_business_transaction"),
         v["card"].alias("paid_card_value"), v["wallet"].alias("paid_wallet_value"), v["fee"].alias("total_revenue"),
         v["type"].alias("transaction_type"), F.col("o_custkey").alias("payer_id"),
         *[c.alias(n) for n, c in ids.items()], v["card_id"].alias("credit_card_id"),

@@ -35,15 +35,16 @@ WITH pay_base AS (
          o_totalprice * 0.02 AS fee,
          CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 = 0 THEN 'multiple_cards'
               WHEN o_orderstatus = 'O' THEN 'MULTIPLE_CARDS' ELSE 'SINGLE_CARD' END AS ttype,
-         o_custkey % 97 AS card_id, o_orderkey % 12 + 1 AS inst, {_ids('o_orderkey')}
-  FROM orders o),
+         o_custkey % 97 AS card_id, o_orderkey % 12 + 1 AS inst, {_ids('o_orderkey')},
+         c.c_mktsegment = '{fx.BUSINESS_SEGMENT}' AS business
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
 pix AS (SELECT CAST(o_orderdate AS DATE) AS adjusted_created_date,
-               CASE WHEN o_custkey % 10 = 0 THEN 'BUSINESS' ELSE 'CONSUMER' END AS user_type,
+               CASE WHEN business THEN 'BUSINESS' ELSE 'CONSUMER' END AS user_type,
                card AS paid_card_value, wallet AS paid_wallet_value, fee AS payment_total_fee,
                ttype AS transaction_type, transaction_id AS transactional_core_id, all_transaction_id,
                correlation_id, card_id AS credit_card_id, o_custkey AS consumer_id, inst AS installments
         FROM pay_base WHERE pdig = '1'),
-p2p AS (SELECT o_orderdate AS created_at, (o_custkey % 10 = 0) AS is_business_transaction,
+p2p AS (SELECT o_orderdate AS created_at, COALESCE(business, FALSE) AS is_business_transaction,
                card AS paid_card_value, wallet AS paid_wallet_value, fee AS total_revenue,
                ttype AS transaction_type, o_custkey AS payer_id, all_transaction_id, transaction_id,
                correlation_id, card_id AS credit_card_id, inst AS installments
