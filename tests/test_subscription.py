@@ -181,3 +181,36 @@ def test_clustered_storyline_equals_unclustered(spark):
     ra = sorted(map(tuple, a.collect()))
     assert ra == sorted(map(tuple, b.collect())) == sorted(map(tuple, c.collect()))
     assert len(ra) == len({(r[0], r[1]) for r in ra}) > 0
+
+
+def test_canceled_before_effective_and_month_end_as_of(spark):
+    as_of = dt.date(2024, 3, 31)                       # a month end: counted once
+    subs = [(1, 1, 1, "Club Plus", "CANCELED", T(2024, 3, 1), T(2024, 3, 10), None),
+            (2, 2, 1, "Club Plus", "SUBSCRIBED", T(2024, 2, 20), T(2024, 2, 20), None)]
+    hist = [(1, 1, "Club Plus", None, "CANCELED", T(2024, 3, 5, 12), 1),   # before effective
+            (2, 2, "Club Plus", None, "SUBSCRIBED", T(2024, 2, 20), 1)]
+    story = S.storyline(spark.createDataFrame(subs, SUBS), spark.createDataFrame(hist, HIST),
+                        created_from="2024-01-01", calendar_start="2024-01-01", as_of=as_of,
+                        history_tie_breakers=["seq"])
+    c1 = {r.status_contract for r in story.where("contract_number = 1").collect()}
+    assert c1 == {"Inativo"}
+    rm = {(r.data_producao, r.data_safra): r.consumers
+          for r in cohort.retention_matrix(story, as_of=as_of, pool_before="2024-01-01").collect()}
+    assert rm == {("2024-02-01", "2024-02-01"): 1, ("2024-03-01", "2024-02-01"): 1}
+
+
+def test_reactivated_within_month_is_not_churn(spark):
+    story = spark.createDataFrame([
+        (1, dt.date(2024, 1, 20), T(2024, 1, 10), "Inativo", 1, 1, "Club Plus"),   # canceled mid-month
+        (1, dt.date(2024, 1, 31), T(2024, 1, 25), "Ativo", 2, 1, "Club Plus"),     # back before month end
+        (1, dt.date(2024, 1, 12), T(2024, 1, 10), "Ativo", 1, 1, "Club Plus"),
+    ], "consumer_id long, metric_date date, effective_at timestamp_ntz, status_contract string, "
+       "contract_number long, package_id int, package_title string")
+    contracts = spark.createDataFrame([(1, T(2024, 1, 10), T(2024, 1, 10), T(2024, 1, 18)),
+                                       (2, T(2024, 1, 25), T(2024, 1, 25), None)],
+                                      "contract_number long, created_at timestamp_ntz, effective_at timestamp_ntz, "
+                                      "canceled_at timestamp_ntz")
+    base = cohort.cohort_base(story, contracts, created_from="2024-01-01")
+    assert cohort.month_end_churn(base, as_of="2024-02-15").count() == 0
+    attr = cohort.cohort_attribution(base, as_of="2024-02-15").collect()
+    assert [(r.consumer_id, r.delta_meses_churn) for r in attr] == [(1, None)]
