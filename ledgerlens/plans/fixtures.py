@@ -143,15 +143,21 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 
 
 def contract_consumer(t: ParquetTables) -> DataFrame:
-    """Contract dates table: created, effective and canceled (latest status time)."""
-    from ..operators.subscription import latest_status
+    """Contract dates table: created, effective and canceled (latest status time).
 
-    latest = latest_status(status_history(t), tie_breakers=HISTORY_TIE_BREAKERS).select(
-        F.col("contract_number").alias("_lc"), F.col("status_history_at").alias("_lat"))
+    The latest status event of a contract is ordered by time first, so its
+    time is the contract's maximum event time (shifted by -3 hours, in-scope
+    titles only): a grouped max, no second window over the history.
+    """
+    from ..functions.dates import shift_hours
+    from ..operators.subscription import HISTORY_SHIFT_HOURS, PackageRules
+
+    last = t("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last"))
     s = subscriptions(t)
-    return (s.join(latest, F.col("contract_number") == F.col("_lc"), "left")
+    canceled = ((F.col("subscription_status") == "CANCELED") & PackageRules().in_scope(F.col("package_title")))
+    return (s.join(last, F.col("contract_number") == F.col("l_orderkey"), "left")
              .select("contract_number", "created_at", "effective_at",
-                     F.when(F.col("subscription_status") == "CANCELED", F.col("_lat")).alias("canceled_at")))
+                     F.when(canceled, shift_hours("_last", HISTORY_SHIFT_HOURS)).alias("canceled_at")))
 
 
 # --- cashback (orders + lineitem + part) --------------------------------------
