@@ -46,6 +46,7 @@ def rolling_active_users(
     as_of: DateLike = None,
     warmup_days: int | None = None,
     method: str = "coverage",
+    min_date: DateLike | None = None,
 ) -> DataFrame:
     """Distinct consumers active in the trailing ``window_days`` per day and group.
 
@@ -53,6 +54,9 @@ def rolling_active_users(
     only (group, day) pairs with at least one active consumer appear. Null
     group values form their own group; null consumers and dates are ignored.
     ``warmup_days`` defaults to ``window_days`` (days ``<= min + warmup`` go).
+    ``min_date``: the frame's first activity day when the caller knows it
+    (e.g. from partition metadata); otherwise it is a scalar subquery over
+    the whole date column.
     """
     k = int(window_days)
     if k < 1:
@@ -61,7 +65,7 @@ def rolling_active_users(
     out_col = f"{kpi}_{k}"
     warm = k if warmup_days is None else int(warmup_days)
     # Global minimum as a scalar subquery: stays inside the plan, no driver round trip.
-    min_day = df.agg(F.min(F.to_date(date_col))).scalar()
+    min_day = date_lit(min_date) if min_date is not None else df.agg(F.min(F.to_date(date_col))).scalar()
     first_day = F.greatest(date_lit(start), F.date_add(min_day, warm + 1))
     last_day = F.date_sub(date_lit(as_of), 1)
     # Only activity in [start - (k - 1), as_of) can reach an output day; the

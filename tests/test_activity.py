@@ -80,3 +80,12 @@ def test_trailing_distinct(spark):
                                 (1, ts(-1, 23), "p")], "consumer_id long, created_at timestamp_ntz, g string")
     got = activity.trailing_distinct(df, ts_col="created_at", group_cols=["g"], days=7, as_of="2024-01-08")
     assert {(r.g, r.qtt) for r in got.collect()} == {("p", 2), ("q", 1)}
+
+
+def test_rolling_with_known_min_date(spark):
+    data = edge_rows()
+    df = spark.createDataFrame(data, "consumer_id long, created_date date, grp string")
+    kw = dict(group_cols=["grp"], window_days=7, start=D0, as_of=D0 + dt.timedelta(days=31))
+    a = {tuple(r) for r in activity.rolling_active_users(df, **kw).collect()}
+    b = {tuple(r) for r in activity.rolling_active_users(df, min_date=D0, **kw).collect()}
+    assert a == b
