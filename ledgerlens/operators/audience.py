@@ -91,3 +91,15 @@ def random_split_groups(df: DataFrame, weights: Sequence[float] = (0.1, 0.1, 0.1
             p = p.limit(cap)
         out = p if out is None else out.unionByName(p)
     return out
+
+
+def bernoulli_sample(df: DataFrame, fraction: float = 0.5, seed: int = 123, cap: int | None = 10_000,
+                     where: Column | None = None) -> DataFrame:
+    """The source form of one stratum: ``sample(False, fraction, seed)`` then ``limit(cap)``.
+
+    Spark's sampler is seeded per partition, so the rows depend on the input
+    partitioning; ``stratified_sample`` is the reproducible form.
+    """
+    base = df.where(where) if where is not None else df
+    out = base.sample(withReplacement=False, fraction=fraction, seed=seed)
+    return out.limit(cap) if cap is not None else out

@@ -40,3 +40,10 @@ def test_stratified_sample(spark):
 def test_random_split_groups_shape(spark):
     out = audience.random_split_groups(base(spark).select("consumer_id"), seed=1, cap=10)
     assert out.count() == 30 and out.select("grupos").distinct().count() == 3
+
+
+def test_bernoulli_sample(spark):
+    df = spark.range(4000).select(F.col("id").alias("consumer_id"))
+    n = audience.bernoulli_sample(df, 0.5, 123, cap=None).count()
+    assert 1800 < n < 2200
+    assert audience.bernoulli_sample(df, 0.5, 123, cap=100).count() == 100
