@@ -58,7 +58,7 @@ def rolling_metric_job(spark: SparkSession, activity_df: DataFrame, target: str,
     earlier is read so those days have complete windows, and the warm-up
     days before the cut are not written.
     """
-    w = incremental.plan_window(spark, target, F.col("calendar_date"), delta_days, window_days,
+    w = incremental.plan_window(spark, target, incremental.partition_date(), delta_days, window_days,
                                 full_load_start=full_load_start, fmt=fmt)
     src = activity_df.where(F.col(date_col) >= F.lit(w.start)) if w.exists else activity_df
     metric = activity.rolling_active_users(src, date_col=date_col, group_cols=list(group_cols),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -77,15 +78,18 @@ def _mau(df: DataFrame) -> DataFrame:
 def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full load, then an incremental rewrite of the last days; the table is read back.
 
-    The table lives in the shared checkpoint folder of the session.
+    The table lives in the shared checkpoint folder of the session, one per
+    input directory; the full load replaces whatever an earlier run left.
     """
     t = ParquetTables(spark, sf_dir)
-    path = scratch_path(spark, f"ledgerlens-loads/{uuid.uuid4().hex}/mau_35")
-    date_expr = F.col("calendar_date")
+    key = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    path = scratch_path(spark, f"ledgerlens-loads/mau_35-{key}")
     # At most one row per priority and day: a fixed hash split by day is safe.
     writers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for _ in range(2):  # first pass: table missing -> full load; second: incremental
-        w = incremental.plan_window(spark, path, date_expr, _DELTA, _BUFFER, full_load_start=fx.ORDERS_START)
-        incremental.incremental_write(_mau(_orders_activity(t, w.start if w.exists else None)), path,
-                                      "calendar_date", w, num_partitions=writers)
+    incremental.full_load(_mau(_orders_activity(t)), path, "calendar_date", fx.ORDERS_START, _BUFFER,
+                          num_partitions=writers)
+    # The max over the y/M/d partition columns reads no data columns.
+    w = incremental.plan_window(spark, path, incremental.partition_date(), _DELTA, _BUFFER)
+    incremental.incremental_write(_mau(_orders_activity(t, w.start)), path, "calendar_date", w,
+                                  num_partitions=writers)
     return spark.read.parquet(path)

@@ -35,7 +35,7 @@ def write_path(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
 
 def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS,
                       fmt: str = "parquet", max_records_per_file: int = 5_000_000,
-                      num_partitions: int | None = None) -> None:
+                      num_partitions: int | None = None, dynamic: bool = True) -> None:
     """Overwrite only the partitions present in ``df``; others stay untouched.
 
     Default: the ``rebalance`` hint clusters rows by the partition columns so
@@ -45,7 +45,8 @@ def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS,
     spread over many days ends in one task writing every file; when the
     rows per output partition are known to be bounded (e.g. one row per
     group and day), pass ``num_partitions`` to hash-cluster into exactly that
-    many write tasks instead.
+    many write tasks instead. ``dynamic=False`` replaces the whole table
+    (a full load).
     """
     if num_partitions is None:
         clustered = df.hint("rebalance", *partition_by)
@@ -53,7 +54,7 @@ def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS,
         clustered = df.repartition(num_partitions, *partition_by)
     (clustered.write.format(fmt)
        .mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic")
+       .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
        .option("maxRecordsPerFile", max_records_per_file)
        .partitionBy(*partition_by)
        .save(path))

@@ -92,3 +92,17 @@ def incremental_write(df: DataFrame, path: str, date_col: str, window: Increment
         cond = cond & (F.col(date_col) <= date_lit(until))
     write_partitioned(with_date_partitions(df.where(cond), date_col), path, PARTITION_COLUMNS, fmt,
                       num_partitions=num_partitions)
+
+
+def full_load(df: DataFrame, path: str, date_col: str, start: DateLike, buffer_days: int = 0,
+              fmt: str = "parquet", num_partitions: int | None = None) -> IncrementalWindow:
+    """Replace the whole table with the rows from ``start + buffer_days`` on.
+
+    The full-load branch of an incremental job: a static overwrite, so
+    partitions left by earlier runs do not survive.
+    """
+    first = to_py_date(start)
+    w = IncrementalWindow(False, None, first, first + _dt.timedelta(days=buffer_days))
+    out = with_date_partitions(df.where(F.col(date_col) >= F.lit(w.cut)), date_col)
+    write_partitioned(out, path, PARTITION_COLUMNS, fmt, num_partitions=num_partitions, dynamic=False)
+    return w
