@@ -1,13 +1,15 @@
 """Audience split into labelled groups and stratified capped samples.
 
-Membership is decided by a salted ``xxhash64`` of the consumer id, not by
+Membership is decided by 52 bits of the md5 of the key and a seed, not by
 ``rand``: the same consumer lands in the same group on every run and every
 task retry, which ``randomSplit``/``sample`` only guarantee for an identical
-input partitioning. Caps are ``row_number() <= cap`` per group ordered by the
-hash (a uniform random order); Spark plans a partial WindowGroupLimit before
-the shuffle, so each map task forwards at most ``cap`` rows per group and the
-final per-group task sees at most (map tasks x cap) rows, however large the
-group is.
+input partitioning, and any engine with md5 reproduces the draw exactly
+(the SQL twins of the registered queries do). Group bounds and the sampling
+fraction are integer thresholds on those bits. Caps are ``row_number() <=
+cap`` per group ordered by the bits (a uniform random order); Spark plans a
+partial WindowGroupLimit before the shuffle, so each map task forwards at
+most ``cap`` rows per group and the final per-group task sees at most (map
+tasks x cap) rows, however large the group is.
 """
 
 from __future__ import annotations
@@ -22,12 +24,29 @@ from .rank import top_per_group
 GROUP_LABEL = "Grupo {}"
 # -----------------------------------------------------------------------------
 
-_SCALE = 1 << 52
+HASH_BITS = 52
+HASH_SCALE = 1 << HASH_BITS
 
 
-def unit_hash(key: Column, seed: int) -> Column:
-    """A deterministic pseudo-uniform number in [0, 1) from a key and a seed."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_SCALE)).cast("double") / float(_SCALE)
+def hash_bits(*keys, seed: int) -> Column:
+    """52 pseudo-random bits: the first 13 hex digits of md5('k1|k2|...|seed')."""
+    parts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    text = F.concat_ws("|", *parts, F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
+def split_thresholds(weights: Sequence[float]) -> list[int]:
+    """Upper bounds (exclusive) on the hash bits of every group but the last."""
+    total = float(sum(weights))
+    out, acc = [], 0.0
+    for w in list(weights)[:-1]:
+        acc += w
+        out.append(int(round(acc / total * HASH_SCALE)))
+    return out
+
+
+def fraction_threshold(fraction: float) -> int:
+    return int(round(fraction * HASH_SCALE))
 
 
 def audience_split(df: DataFrame, consumer_col: str = "consumer_id", weights: Sequence[float] = (1, 1, 1),
@@ -40,20 +59,17 @@ def audience_split(df: DataFrame, consumer_col: str = "consumer_id", weights: Se
     """
     base = df.where(where) if where is not None else df
     base = base.select(consumer_col).where(F.col(consumer_col).isNotNull()).distinct()
-    total = float(sum(weights))
-    u = unit_hash(F.col(consumer_col), seed)
-    bounds, acc = [], 0.0
-    for w in weights:
-        acc += w / total
-        bounds.append(acc)
+    h = base.select(consumer_col, hash_bits(consumer_col, seed=seed).alias("_h"))
     label = None
-    for i, b in enumerate(bounds, start=1):
-        cond = u < b if i < len(bounds) else F.lit(True)
-        label = F.when(cond, F.lit(GROUP_LABEL.format(i))) if label is None else label.when(cond, GROUP_LABEL.format(i))
-    out = base.select(consumer_col, label.alias(label_col), u.alias("_u"))
+    for i, bound in enumerate(split_thresholds(weights), start=1):
+        cond = F.col("_h") < F.lit(bound)
+        name = F.lit(GROUP_LABEL.format(i))
+        label = F.when(cond, name) if label is None else label.when(cond, name)
+    last = F.lit(GROUP_LABEL.format(len(weights)))
+    out = h.select(consumer_col, (label.otherwise(last) if label is not None else last).alias(label_col), "_h")
     if cap is not None:
-        out = top_per_group(out, [label_col], [F.col("_u"), F.col(consumer_col)], n=cap)
-    return out.drop("_u")
+        out = top_per_group(out, [label_col], ["_h", consumer_col], n=cap)
+    return out.drop("_h")
 
 
 def stratified_sample(df: DataFrame, strata_col: str, consumer_col: str = "consumer_id",
@@ -61,19 +77,20 @@ def stratified_sample(df: DataFrame, strata_col: str, consumer_col: str = "consu
                       cap: int | None = 10_000) -> DataFrame:
     """Per stratum: Bernoulli(``fraction``) sample of distinct rows, capped at ``cap``.
 
-    The Bernoulli draw is ``unit_hash(consumer, seed) < fraction``. Output:
-    ``consumer_col, strata_col``.
+    The draw is ``hash_bits(consumer, stratum, seed) < fraction * 2^52``.
+    Output: ``consumer_col, strata_col``.
     """
     base = df.select(consumer_col, strata_col)
     if strata is not None:
         base = base.where(F.col(strata_col).isin(*strata))
     # The draw depends only on (consumer, stratum), so it can run before the
     # distinct: same rows, and the distinct shuffles only the sampled ones.
-    u = unit_hash(F.concat_ws("\u0001", F.col(consumer_col).cast("string"), F.col(strata_col)), seed)
-    sampled = base.select("*", u.alias("_u")).where(F.col("_u") < fraction).distinct()
+    h = hash_bits(consumer_col, strata_col, seed=seed)
+    sampled = (base.select("*", h.alias("_h")).where(F.col("_h") < F.lit(fraction_threshold(fraction)))
+                   .distinct())
     if cap is not None:
-        sampled = top_per_group(sampled, [strata_col], [F.col("_u"), F.col(consumer_col)], n=cap)
-    return sampled.drop("_u")
+        sampled = top_per_group(sampled, [strata_col], ["_h", consumer_col], n=cap)
+    return sampled.drop("_h")
 
 
 def random_split_groups(df: DataFrame, weights: Sequence[float] = (0.1, 0.1, 0.1), seed: int | None = None,

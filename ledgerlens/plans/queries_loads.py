@@ -18,18 +18,45 @@ from .queries_activity import _ORDERS_BASE, _rolling_sql
 STRATA = ("click", "view", "purchase")
 
 
-@register("audience_split")
+_SPLIT_SEED, _SAMPLE_SEED, _CAP = 7, 123, 10_000
+_IN_STRATA = ", ".join(f"'{s}'" for s in STRATA)
+
+
+def _bits_sql(*exprs: str, seed: int) -> str:
+    text = "concat_ws('|', " + ", ".join(exprs) + f", '{seed}')"
+    return f"CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT)"
+
+
+_T = audience.split_thresholds((0.1, 0.1, 0.1))
+
+
+@register("audience_split", f"""
+WITH h AS (SELECT user_id, {_bits_sql('CAST(user_id AS VARCHAR)', seed=_SPLIT_SEED)} AS v
+           FROM (SELECT DISTINCT user_id FROM events
+                 WHERE event_type IN ({_IN_STRATA}) AND user_id IS NOT NULL)),
+g AS (SELECT user_id, CASE WHEN v < {_T[0]} THEN 'Grupo 1' WHEN v < {_T[1]} THEN 'Grupo 2'
+                           ELSE 'Grupo 3' END AS grupos, v FROM h)
+SELECT user_id, grupos FROM g
+QUALIFY row_number() OVER (PARTITION BY grupos ORDER BY v, user_id) <= {_CAP}
+""")
 def audience_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = ParquetTables(spark, sf_dir)("events")
-    return audience.audience_split(ev, "user_id", weights=(0.1, 0.1, 0.1), cap=10_000, seed=7,
+    return audience.audience_split(ev, "user_id", weights=(0.1, 0.1, 0.1), cap=_CAP, seed=_SPLIT_SEED,
                                    where=F.col("event_type").isin(*STRATA))
 
 
-@register("stratified_sample")
+@register("stratified_sample", f"""
+WITH h AS (SELECT DISTINCT user_id, event_type,
+                  {_bits_sql('CAST(user_id AS VARCHAR)', 'event_type', seed=_SAMPLE_SEED)} AS v
+           FROM events WHERE event_type IN ({_IN_STRATA}))
+SELECT user_id, event_type FROM h
+WHERE v < {audience.fraction_threshold(0.5)}
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY v, user_id) <= {_CAP}
+""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = ParquetTables(spark, sf_dir)("events")
-    return audience.stratified_sample(ev, "event_type", "user_id", strata=STRATA, fraction=0.5, seed=123,
-                                      cap=10_000)
+    return audience.stratified_sample(ev, "event_type", "user_id", strata=STRATA, fraction=0.5,
+                                      seed=_SAMPLE_SEED, cap=_CAP)
 
 
 _DELTA, _BUFFER = 5, 35

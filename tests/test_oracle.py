@@ -20,10 +20,8 @@ def test_entry_smoke(spark):
     assert df.columns == ["event_type", "calendar_date", "wau_7"]
 
 
-def test_every_query_has_sql_or_is_sampling():
-    rows_only = set(entry.queries()) - set(entry.oracle_sql())
-    assert rows_only == {"audience_split", "stratified_sample"}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_every_query_has_sql():
+    assert set(entry.oracle_sql()) == set(entry.queries())
 
 
 @pytest.mark.parametrize("key", KEYS)
