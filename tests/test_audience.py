@@ -47,3 +47,11 @@ def test_bernoulli_sample(spark):
     n = audience.bernoulli_sample(df, 0.5, 123, cap=None).count()
     assert 1800 < n < 2200
     assert audience.bernoulli_sample(df, 0.5, 123, cap=100).count() == 100
+
+
+def test_hash_bits_pinned(spark):
+    # md5('123|7') starts with 03cf763289554 (hex) = 67033218192724; DuckDB gives the same.
+    df = spark.createDataFrame([(123,)], "consumer_id long")
+    assert df.select(audience.hash_bits("consumer_id", seed=7)).first()[0] == 67033218192724
+    assert audience.split_thresholds((1, 1)) == [audience.HASH_SCALE // 2]
+    assert audience.fraction_threshold(0.25) == audience.HASH_SCALE // 4
