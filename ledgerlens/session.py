@@ -26,6 +26,9 @@ DEFAULT_CONF = {
     # Skip recording the Python call site of every DataFrame/Column call in the
     # JVM (error-message context only); it costs extra Py4J round trips per call.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # A long-lived session runs many different plans: keep more compiled
+    # whole-stage code than the default 100 entries so it is not recompiled.
+    "spark.sql.codegen.cache.maxEntries": "2000",
     # Delete reliable-checkpoint files once their DataFrame is unreferenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
