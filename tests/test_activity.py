@@ -89,3 +89,13 @@ def test_rolling_with_known_min_date(spark):
     a = {tuple(r) for r in activity.rolling_active_users(df, **kw).collect()}
     b = {tuple(r) for r in activity.rolling_active_users(df, min_date=D0, **kw).collect()}
     assert a == b
+
+
+def test_rolling_with_hot_group_and_consumer(spark):
+    rnd = random.Random(9)
+    data = [(rnd.randrange(50), D0 + dt.timedelta(days=rnd.randrange(40)), rnd.choice("bc")) for _ in range(600)]
+    data += [(7, D0 + dt.timedelta(days=rnd.randrange(40)), "hot") for _ in range(300)]   # a third of all rows
+    df = spark.createDataFrame(data, "consumer_id long, created_date date, grp string")
+    kw = dict(group_cols=["grp"], window_days=5, start=D0, as_of=D0 + dt.timedelta(days=45))
+    got = {(g, c): n for g, c, n in activity.rolling_active_users(df, **kw).collect()}
+    assert got == brute_force(data, 5, D0, D0 + dt.timedelta(days=45))

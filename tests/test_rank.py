@@ -39,3 +39,15 @@ def test_order_tuples(spark):
     assert sorted((r.k, r.i) for r in got) == [("a", 2), ("b", 3)]
     got = rank.top_per_group(df, ["k"], [("o", "desc_nulls_first"), ("i", "desc")]).collect()
     assert sorted((r.k, r.i) for r in got) == [("a", 1), ("b", 4)]
+
+
+def test_distinct_key_page_with_hot_key(spark):
+    # One key holds a third of all rows.
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(500)).otherwise(F.col("id") % 997).alias("k"),
+                                     F.col("id").alias("v"))
+    want = (df.withColumn("dense_rank", F.dense_rank().over(Window.orderBy("k")))
+              .where(F.col("dense_rank").between(400, 700)))
+    got = rank.distinct_key_page(df, 400, 700, key="k", partitions=5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # The hot key (rank 501) is on this page with every one of its rows.
+    assert got.where("k = 500").count() == df.where("k = 500").count() >= 1000
