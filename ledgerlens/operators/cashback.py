@@ -37,6 +37,7 @@ INSTANT_WALLET_CODE = 419
 STATUS_CREATED, STATUS_EXPIRED = "CREATED", "EXPIRED"
 TYPE_CASHBACK, TYPE_INSTANT = "cashback", "instant_cash"
 INSTANT_PRODUCT = "Instant Cash"
+PRODUCT_NAMES = ("PIX", "P2P", "BILLS", "Multas e IPVA")
 CONSUMER_USER_TYPE = "CONSUMER"
 # -----------------------------------------------------------------------------
 
@@ -123,16 +124,16 @@ class ProductSpec:
     filter_value: object = None
 
 
-PIX = ProductSpec("PIX", "adjusted_created_date", False, "payment_total_fee", "paid_wallet_value",
+PIX = ProductSpec(PRODUCT_NAMES[0], "adjusted_created_date", False, "payment_total_fee", "paid_wallet_value",
                   "paid_card_value", "transaction_type", "transaction_type", "consumer_id", legacy_key="era",
                   core_id_col="transactional_core_id", has_transaction_id=False,
                   filter_col="user_type", filter_value=CONSUMER_USER_TYPE)
-P2P = ProductSpec("P2P", "created_at", True, "total_revenue", "paid_wallet_value", "paid_card_value",
+P2P = ProductSpec(PRODUCT_NAMES[1], "created_at", True, "total_revenue", "paid_wallet_value", "paid_card_value",
                   "transaction_type", "transaction_type", "payer_id",
                   filter_col="is_business_transaction", filter_value=False)
-BILLS = ProductSpec("BILLS", "created_at", True, "total_revenue", "paid_balance_value", "paid_credit_card_value",
+BILLS = ProductSpec(PRODUCT_NAMES[2], "created_at", True, "total_revenue", "paid_balance_value", "paid_credit_card_value",
                     "payment_type", "payment_type", None)
-VEHICULAR = ProductSpec("Multas e IPVA", "created_at", True, "total_revenue", "paid_wallet_value",
+VEHICULAR = ProductSpec(PRODUCT_NAMES[3], "created_at", True, "total_revenue", "paid_wallet_value",
                         "paid_card_value", "payment_type", "transaction_type", "consumer_id")
 PRODUCTS = (PIX, P2P, BILLS, VEHICULAR)
 
