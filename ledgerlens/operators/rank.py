@@ -1,8 +1,9 @@
 """Top-1 per group, deterministic dedupe, and distinct-key paging.
 
 ``top_per_group`` is ``row_number() <= n`` over a partitioned window; Spark
-plans a WindowGroupLimit before the shuffle, so each map task forwards at most
-``n`` rows per key and a hot key costs no more than a cold one.
+plans a WindowGroupLimit before the shuffle (n <= 1000), so each map task
+forwards at most ``n`` rows per key and a hot key costs no more than a cold
+one; larger n go through a salted two-level top-n.
 
 ``distinct_key_page`` returns all rows whose key has dense rank in
 ``[n1, n2]`` (ascending key, nulls first), like
@@ -36,6 +37,12 @@ def _order_cols(order) -> list[Column]:
     return out
 
 
+# Spark adds a partial WindowGroupLimit (at most n rows per key and map task,
+# before the shuffle) only for n up to spark.sql.optimizer.windowGroupLimitThreshold
+# (default 1000). Larger n use an explicit two-level top-n instead.
+_PARTIAL_LIMIT_MAX = 1000
+
+
 def top_per_group(df: DataFrame, keys, order, n: int = 1, rank_col: str | None = None) -> DataFrame:
     """Rows ranked ``<= n`` by ``order`` within each ``keys`` group.
 
@@ -44,12 +51,24 @@ def top_per_group(df: DataFrame, keys, order, n: int = 1, rank_col: str | None =
     must be a total order within a group for a deterministic result; ties are
     otherwise broken arbitrarily, as ``row_number`` does.
 
-    (A ``max(struct(order key, row))`` aggregate gives the same survivor, but
-    with string fields in the row Spark can only run it as a sort aggregate;
-    measured slower than the window with its WindowGroupLimit.)
+    For ``n`` up to 1000 Spark inserts a partial WindowGroupLimit before the
+    shuffle, so a hot key costs no more than a cold one. For larger ``n``
+    (caps such as 10,000) the top-n is taken first per (key, salt), the salt
+    being a deterministic hash of the row over as many buckets as the session
+    has shuffle partitions, and then per key over those candidates: the final
+    task of a key sees at most (salts x n) rows, however large the group.
+    (A ``max(struct(order key, row))`` aggregate gives the same survivor for
+    n = 1, but Spark can only run it as a sort aggregate when the row has
+    strings; measured slower than the window.)
     """
-    w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
+    cols = _order_cols(order)
     name = rank_col or "_rn"
+    if n > _PARTIAL_LIMIT_MAX:
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)))
+        w1 = Window.partitionBy(*keys, "_salt").orderBy(*cols)
+        df = salted.withColumn("_rn1", F.row_number().over(w1)).where(F.col("_rn1") <= n).drop("_rn1", "_salt")
+    w = Window.partitionBy(*keys).orderBy(*cols)
     out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
     return out if rank_col else out.drop(name)
 

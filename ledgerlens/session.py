@@ -29,6 +29,8 @@ DEFAULT_CONF = {
     # A long-lived session runs many different plans: keep more compiled
     # whole-stage code than the default 100 entries so it is not recompiled.
     "spark.sql.codegen.cache.maxEntries": "2000",
+    # Let Spark's partial per-task limit apply to caps up to 100,000 rows.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Delete reliable-checkpoint files once their DataFrame is unreferenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

@@ -53,3 +53,9 @@ def test_checkpoint_dir_is_read_not_replaced(spark):
     current = spark.conf.get("spark.checkpoint.dir")
     assert ensure_checkpoint_dir(spark) == current
     assert scratch_path(spark, "x").startswith(current)
+
+
+def test_top1_and_caps_limit_rows_before_the_shuffle(spark):
+    for key in ("contract_latest_status", "audience_split"):
+        plan = executed(entry.queries()[key](spark, SF_SMALL))
+        assert "WindowGroupLimit" in plan, key

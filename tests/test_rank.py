@@ -51,3 +51,14 @@ def test_distinct_key_page_with_hot_key(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     # The hot key (rank 501) is on this page with every one of its rows.
     assert got.where("k = 500").count() == df.where("k = 500").count() >= 1000
+
+
+def test_large_n_two_level_equals_window(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", "b"]), rnd.random(), i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k string, u double, i long")
+    got = rank.top_per_group(df, ["k"], ["u", "i"], n=1500)
+    w = Window.partitionBy("k").orderBy("u", "i")
+    want = df.withColumn("_r", F.row_number().over(w)).where("_r <= 1500").drop("_r")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("k = 'hot'").count() == 1500
