@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import html_extract, secrets, warc
+from ledgerlens.llm import decontaminate, html_extract, pii, secrets, toxicity, warc
 from ledgerlens.llm.catalog import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -22,6 +22,30 @@ def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
 
+@query("op1_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), holdout=held_out)
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op2_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("long").alias("n_items"),
+                        F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"))
+
+
+@query("op4_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *(F.size(of_kinds(F.col("spans"), (k,))).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(joined_spans(of_kinds(F.col("spans"), pii.BASE_KINDS)), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
+
+
 @query("op5_html_extraction")
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract_main_text(table(spark, sf_dir, "pages"))
