@@ -44,7 +44,7 @@ def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     n = len(words) - mask[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, hash(mask) & 0xFFFF, np.uint64)  # tuples of small ints hash alike on every machine
+    out = np.full(n, sum((k + 1) * 31 ** i for i, k in enumerate(mask)) & 0xFFFFFFFF, np.uint64)
     for k in mask:
         out = out * np.uint64(BASE) + words[k:k + n]
     return mix(out)
