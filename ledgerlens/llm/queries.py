@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, html_extract, pii, secrets, toxicity, warc
+from ledgerlens.llm import decontaminate, html_extract, jaccard_join, pii, secrets, sentencepiece_fst, toxicity, warc
 from ledgerlens.llm.catalog import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -38,6 +38,11 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"))
 
 
+@query("op3_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), jaccard_join.Rule(words=3, part=90, whole=100))
+
+
 @query("op4_pii")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
@@ -76,6 +81,18 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: A public BPE model with byte fallback; another path can be given to ``compile_model``.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op7_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = sentencepiece_fst.encode(docs, sentencepiece_fst.compile_model(PIECES), decoded=True)
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.length("decoded").cast("long").alias("n_chars"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op10_secret_scans")
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
