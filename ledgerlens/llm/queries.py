@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, html_extract, jaccard_join, pii, secrets, sentencepiece_fst, toxicity, warc
+from ledgerlens.llm import decontaminate, html_extract, jaccard_join, pii, secrets, sentencepiece_fst, suffix_dedup, toxicity, warc
 from ledgerlens.llm.catalog import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -93,6 +93,11 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op9_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")), with_text=False)
+
+
 @query("op10_secret_scans")
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
