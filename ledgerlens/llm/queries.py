@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import importlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, html_extract, jaccard_join, pii, secrets, sentencepiece_fst, suffix_dedup, toxicity, warc
+import corpus_pipeline
+from ledgerlens.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, pii, secrets, sentencepiece_fst, suffix_dedup, toxicity, warc
 from ledgerlens.llm.catalog import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -93,6 +92,30 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+OP8_SQL = """
+with e as (
+  select vec_id, label, embedding from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as (
+  select a.vec_id as u, b.vec_id as v from e a join e b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.93
+), n as (
+  select vec_id, count(u) as n_links from embeddings left join l on vec_id = u group by vec_id
+), r as (
+  with recursive w(id, seen) as (
+    select vec_id, vec_id from embeddings union select l.v, w.seen from w join l on l.u = w.id and w.seen < l.v
+  ) select id, min(seen) as component_id from w group by id
+)
+select n.vec_id, n.n_links::bigint as n_links, r.component_id, n.vec_id = r.component_id as kept from n join r on r.id = n.vec_id
+"""
+
+
+@query("op8_embedding_near_dedup", OP8_SQL)
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query("op9_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")), with_text=False)
@@ -108,4 +131,6 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("secrets", lambda s: s["log10_guesses"] >= secrets.MIN_LOG10_GUESSES)).cast("long").alias("n_hard"))
 
 
-importlib.import_module("corpus_pipeline")
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
