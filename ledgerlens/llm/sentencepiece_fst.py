@@ -27,17 +27,20 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.textops import byte_views
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INFINITE = 1 << 60
-KEPT_PARTS = 600_000
+KEPT_PARTS = 150_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -115,11 +118,28 @@ class Compiled:
                 for c in reversed(p):
                     node = node.setdefault(c, {})
                 node[""] = p
-        inner = {c for p in self.usable if len(p) > 1 for c in p} - {MARK}
-        joined = "".join(map(re.escape, sorted(inner)))
-        # Without a piece that spans white space, parts begin at each mark; else the text is one part.
+        # Characters side by side in some piece are of one group; parts are runs of one group
+        # behind white space. With pieces across white space, the text is one part.
+        group: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while group.setdefault(c, c) != c:
+                c = group[c]
+            return c
+
+        for p in self.usable:
+            body = p.lstrip(MARK)
+            for a, b in zip(body, body[1:]):
+                group[root(a)] = root(b)
+            if len(p) > len(body) == 1:
+                root(body)
+        runs: dict[str, list[str]] = {}
+        for c in list(group):
+            runs.setdefault(root(c), []).append(c)
+        largest = sorted(("".join(sorted(g)) for g in runs.values()), key=lambda g: (-len(g), g))
         spans = any(MARK in p.lstrip(MARK) for p in self.usable)
-        self.pattern = rf"{MARK}*[{joined}]+|{MARK}+|." if inner and not spans else r".+"
+        self.pattern = (".+" if spans or not runs else
+                        rf"{MARK}*(?:{'|'.join('[' + re.escape(g) + ']+' for g in largest)})|{MARK}+|.")
 
     def _merge(self, text: str) -> tuple[list[str], tuple[str, str]]:
         """Greedy merging in score order, leftmost first; the symbols left and the last pair merged."""
@@ -185,7 +205,7 @@ class Encoder:
         """Find the paths of sorted, distinct parts; states of a shared prefix are kept from part to part."""
         m = self.model
         bpe = m.kind == BPE
-        suffixes, ids, scores, pairs = m.suffixes, m.ids, m.scores, self.pairs
+        suffixes, ids, scores, pairs, paths, pack = m.suffixes, m.ids, m.scores, self.pairs, self.paths, struct.pack
         before = ""
         last: list[str] = [""]
         cost: list[float] = [0.0]
@@ -223,15 +243,17 @@ class Encoder:
                 piece = last[j]
                 path += [ids[piece]] if len(piece) > 1 else self._single(piece)[::-1]
                 j -= len(piece)
-            self.paths[part] = np.array(path[::-1], np.int32).tobytes()
+            path.reverse()
+            paths[part] = pack(f"={len(path)}i", *path)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as int32 bytes."""
         cut = [self.parts.findall(self.model.normalise(t)) if t else [] for t in texts]
-        fresh = {p for parts in cut for p in parts if p not in self.paths}
+        seen = set(chain.from_iterable(cut))
+        fresh = seen.difference(self.paths)
         if len(self.paths) + len(fresh) > KEPT_PARTS:
             self.paths.clear()
-            fresh = {p for parts in cut for p in parts}
+            fresh = seen
         self.solve(sorted(fresh))
         get = self.paths.__getitem__
         return [b"".join(map(get, parts)) for parts in cut]
@@ -252,21 +274,21 @@ def compile_model(path: str) -> Compiled:
 
 
 def encode(docs: DataFrame, model: Compiled, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False,
-           slice_bytes: int = 1 << 21) -> DataFrame:
+           slice_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, ids) per document, and with ``decoded`` the text that the ids give back. Nothing is shuffled."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            _, first, last = byte_views(batch.column("text"))
             at = 0
-            while at < len(texts):
+            while at < batch.num_rows:
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") < slice_bytes):
-                    size += len(texts[end] or "")
+                while end < batch.num_rows and (end == at or size + last[end] - first[end] < slice_bytes):
+                    size += last[end] - first[end]
                     end += 1
-                found = encoder.encode_all(texts[at:end])
+                found = encoder.encode_all(batch.column("text").slice(at, end - at).to_pylist())
                 values = np.frombuffer(b"".join(found), np.int32)
                 offsets = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
                 columns = [batch.column("doc_id").slice(at, end - at), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]

@@ -3,7 +3,7 @@
 Headers (digest, page id) are shuffled by payload digest; pre-aggregated to one
 row per digest, they are joined back to the records, which become a response
 (smallest page id of the digest) or a revisit that refers to it and has no
-payload. Archives are written by Spark's text writer, one record after another,
+payload. Archives are written by Spark's text writer as gzip files, one record after another,
 and read back as binary files that are parsed by Content-Length.
 
 Defined results: a null html is an empty payload; payloads below ``min_bytes``
@@ -16,6 +16,7 @@ archives without records. Other columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -89,11 +90,13 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = RECORD
     ]
     text = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), body)
     (records.select(text.alias("value")).write.mode("errorifexists").option("lineSep", CRLF + CRLF)
-     .option("maxRecordsPerFile", records_per_file).text(path))
+     .option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, body) of each record of one archive file; a malformed file raises ValueError."""
+    """(headers, body) of each record of one archive file, plain or gzip; a malformed file raises ValueError."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
