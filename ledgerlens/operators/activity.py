@@ -7,8 +7,8 @@ dropped as warm-up (the minimum is taken over the whole input frame).
 
 Two plans compute the same answer:
 
-* ``method="coverage"`` (default). Consumer days are deduplicated, then each
-  active day ``d`` opens a segment ``[d, min(d + k, next active day))``.
+* ``method="coverage"`` (default). A consumer's distinct days are gathered (one
+  shuffle, at most one per calendar day), then each active day ``d`` opens a segment ``[d, min(d + k, next active day))``.
   Segments of one consumer never overlap, so +1/-1 deltas summed per
   (group, day) and a running sum over days give the exact distinct count.
   Shuffled rows stay at O(distinct consumer-days); nothing is multiplied by
@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.dates import DateLike, date_lit
 
 
-def _distinct_activity(df: DataFrame, consumer_col: str, date_col: str, group_cols) -> DataFrame:
+def _activity(df: DataFrame, consumer_col: str, date_col: str, group_cols) -> DataFrame:
     return (df.select(F.col(consumer_col).alias("_consumer"),
                       F.to_date(date_col).alias("_day"),
                       *[F.col(g) for g in group_cols])
-              .where(F.col("_consumer").isNotNull() & F.col("_day").isNotNull())
-              .distinct())
+              .where(F.col("_consumer").isNotNull() & F.col("_day").isNotNull()))
 
 
 def rolling_active_users(
@@ -72,10 +71,10 @@ def rolling_active_users(
     # range reaches the parquet scan, so older history is not read (the
     # warm-up minimum above still sees the whole frame, as the reference's).
     in_range = (F.to_date(date_col) >= F.date_sub(date_lit(start), k - 1)) & (F.to_date(date_col) <= last_day)
-    base = _distinct_activity(df.where(in_range), consumer_col, date_col, group_cols)
+    base = _activity(df.where(in_range), consumer_col, date_col, group_cols)
 
     if method == "expand":
-        days = base.select(
+        days = base.distinct().select(
             *group_cols, "_consumer",
             F.explode(F.sequence("_day", F.date_add("_day", k - 1))).alias("calendar_date"))
         return (days.where(F.col("calendar_date").between(first_day, last_day))
@@ -84,13 +83,15 @@ def rolling_active_users(
     if method != "coverage":
         raise ValueError(f"unknown method {method!r}")
 
-    by_consumer = Window.partitionBy(*group_cols, "_consumer").orderBy("_day")
-    segment_end = F.least(F.date_add("_day", k),
-                          F.coalesce(F.lead("_day").over(by_consumer), F.date_add("_day", k)))
-    deltas = (base.select(*group_cols, "_day", segment_end.alias("_end"))
-                  .select(*group_cols, F.explode(F.array(
-                      F.struct(F.col("_day").alias("day"), F.lit(1).alias("delta")),
-                      F.struct(F.col("_end").alias("day"), F.lit(-1).alias("delta")))).alias("_e"))
+    # One exchange, by (group, consumer): a consumer's distinct days, at most one per calendar day.
+    days = base.groupBy(*group_cols, "_consumer").agg(F.sort_array(F.collect_set("_day")).alias("_days"))
+
+    def steps_of(day, i):
+        end = F.date_add(day, k)
+        upto = F.least(end, F.coalesce(F.get("_days", i + 1), end))
+        return F.array(F.struct(day.alias("day"), F.lit(1).alias("delta")), F.struct(upto.alias("day"), F.lit(-1).alias("delta")))
+
+    deltas = (days.select(*group_cols, F.explode(F.flatten(F.transform("_days", steps_of))).alias("_e"))
                   .groupBy(*group_cols, F.col("_e.day").alias("day"))
                   .agg(F.sum("_e.delta").alias("delta")))
     by_group = Window.partitionBy(*group_cols).orderBy("day")

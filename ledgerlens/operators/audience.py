@@ -5,11 +5,10 @@ Membership is decided by 52 bits of the md5 of the key and a seed, not by
 task retry, which ``randomSplit``/``sample`` only guarantee for an identical
 input partitioning, and any engine with md5 reproduces the draw exactly
 (the SQL twins of the registered queries do). Group bounds and the sampling
-fraction are integer thresholds on those bits. Caps are ``row_number() <=
-cap`` per group ordered by the bits (a uniform random order); Spark plans a
-partial WindowGroupLimit before the shuffle, so each map task forwards at
-most ``cap`` rows per group and the final per-group task sees at most (map
-tasks x cap) rows, however large the group is.
+fraction are integer thresholds on those bits. Caps (none by default) keep the
+rows with the least bits of a group, a uniform random order: a histogram of
+the leading bits finds where a group reaches its cap, and only that narrow
+range is ranked, however large the group or the cap.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .rank import top_per_group
+from .rank import cap_by_bits, free_name
 
 # --- fixed values (must equal the reference's for equal results) -------------
 GROUP_LABEL = "Grupo {}"
@@ -50,9 +49,9 @@ def fraction_threshold(fraction: float) -> int:
 
 
 def audience_split(df: DataFrame, consumer_col: str = "consumer_id", weights: Sequence[float] = (1, 1, 1),
-                   cap: int | None = 10_000, seed: int = 0, label_col: str = "grupos",
+                   cap: int | None = None, seed: int = 0, label_col: str = "grupos",
                    where: Column | None = None) -> DataFrame:
-    """Disjoint labelled groups of distinct consumers, each capped at ``cap``.
+    """Disjoint labelled groups of distinct consumers, each capped at ``cap`` if given.
 
     ``weights`` are normalised (``randomSplit`` semantics); group ``i`` is
     labelled 'Grupo i'. Output: ``consumer_col, label_col``.
@@ -68,14 +67,14 @@ def audience_split(df: DataFrame, consumer_col: str = "consumer_id", weights: Se
     last = F.lit(GROUP_LABEL.format(len(weights)))
     out = h.select(consumer_col, (label.otherwise(last) if label is not None else last).alias(label_col), "_h")
     if cap is not None:
-        out = top_per_group(out, [label_col], ["_h", consumer_col], n=cap)
+        out = cap_by_bits(out, label_col, "_h", consumer_col, cap, HASH_BITS)
     return out.drop("_h")
 
 
 def stratified_sample(df: DataFrame, strata_col: str, consumer_col: str = "consumer_id",
                       strata: Sequence[str] | None = None, fraction: float = 0.5, seed: int = 123,
-                      cap: int | None = 10_000) -> DataFrame:
-    """Per stratum: Bernoulli(``fraction``) sample of distinct rows, capped at ``cap``.
+                      cap: int | None = None) -> DataFrame:
+    """Per stratum: Bernoulli(``fraction``) sample of distinct rows, capped at ``cap`` if given.
 
     The draw is ``hash_bits(consumer, stratum, seed) < fraction * 2^52``.
     Output: ``consumer_col, strata_col``.
@@ -89,13 +88,20 @@ def stratified_sample(df: DataFrame, strata_col: str, consumer_col: str = "consu
     sampled = (base.select("*", h.alias("_h")).where(F.col("_h") < F.lit(fraction_threshold(fraction)))
                    .distinct())
     if cap is not None:
-        sampled = top_per_group(sampled, [strata_col], ["_h", consumer_col], n=cap)
+        sampled = cap_by_bits(sampled, strata_col, "_h", consumer_col, cap, HASH_BITS)
     return sampled.drop("_h")
 
 
+def _capped(df: DataFrame, group: str, seed: int | None, cap: int) -> DataFrame:
+    """At most ``cap`` rows of each group, in the order of a hash of the whole row (not ``limit``'s arbitrary rows)."""
+    bits = free_name(df, "__bits")
+    values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in df.columns]
+    return cap_by_bits(df.withColumn(bits, hash_bits(*values, seed=seed or 0)), group, bits, bits, cap, HASH_BITS).drop(bits)
+
+
 def random_split_groups(df: DataFrame, weights: Sequence[float] = (0.1, 0.1, 0.1), seed: int | None = None,
-                        cap: int | None = 10_000, label_col: str = "grupos") -> DataFrame:
-    """The reference's form: ``randomSplit`` then label, ``limit`` and union.
+                        cap: int | None = None, label_col: str = "grupos") -> DataFrame:
+    """The reference's form: ``randomSplit`` then label, cap and union.
 
     Not reproducible across runs unless ``seed`` is set and the input
     partitioning is identical; kept for users who need that behaviour.
@@ -104,19 +110,20 @@ def random_split_groups(df: DataFrame, weights: Sequence[float] = (0.1, 0.1, 0.1
     out = None
     for i, part in enumerate(parts, start=1):
         p = part.select("*", F.lit(GROUP_LABEL.format(i)).alias(label_col))
-        if cap is not None:
-            p = p.limit(cap)
         out = p if out is None else out.unionByName(p)
-    return out
+    return out if cap is None else _capped(out, label_col, seed, cap)
 
 
-def bernoulli_sample(df: DataFrame, fraction: float = 0.5, seed: int = 123, cap: int | None = 10_000,
+def bernoulli_sample(df: DataFrame, fraction: float = 0.5, seed: int = 123, cap: int | None = None,
                      where: Column | None = None) -> DataFrame:
-    """The source form of one stratum: ``sample(False, fraction, seed)`` then ``limit(cap)``.
+    """The source form of one stratum: ``sample(False, fraction, seed)`` then a cap.
 
     Spark's sampler is seeded per partition, so the rows depend on the input
     partitioning; ``stratified_sample`` is the reproducible form.
     """
     base = df.where(where) if where is not None else df
     out = base.sample(withReplacement=False, fraction=fraction, seed=seed)
-    return out.limit(cap) if cap is not None else out
+    if cap is None:
+        return out
+    one = free_name(out, "__one")
+    return _capped(out.withColumn(one, F.lit(1)), one, seed, cap).drop(one)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (BooleanType, DateType, DoubleType, LongType, StringType, StructField,
                                StructType)
 
-from ..functions.columns import allocate_cashback, surrogate_key, value_bucket
+from ..functions.columns import allocate_cashback, numbered_key, value_bucket
 from ..functions.dates import DateLike, date_lit, mtd_flag
 from .rank import top_per_group
 
@@ -80,7 +80,10 @@ class CashbackParams:
     the instant-cash value after the cut (``cashback_raspado`` reproduces the
     reference literally: always 0, since only CREATED events are kept);
     ``instant_until``: legacy instant cash is kept before this date
-    (``None`` = no bound, as the reference).
+    (``None`` = no bound). ``join_start``: first day read of the promo, core
+    and event sides (default ``start``); an incremental run that rewrites late
+    days sets it to the full load's start, so pairs across the edge of the
+    window are not lost.
     """
 
     start: DateLike
@@ -92,6 +95,10 @@ class CashbackParams:
     core_min_year: int | None = None
     instant_value: str = "cashback_pago"
     instant_until: DateLike | str | None = "cut"
+    join_start: DateLike | None = None
+
+    def in_join_window(self, d: Column) -> Column:
+        return (d >= date_lit(self.start if self.join_start is None else self.join_start)) & (d <= date_lit(self.end))
 
     def in_window(self, d: Column) -> Column:
         return (d >= date_lit(self.start)) & (d <= date_lit(self.end))
@@ -157,7 +164,7 @@ def promo_cashback(promo: DataFrame, campaigns: DataFrame, p: CashbackParams) ->
     """Legacy cashback rows with the era key and the campaign flag."""
     d = F.to_date("created_at")
     era_key = F.when(d >= date_lit(p.key_switch), F.col("transaction_id")).otherwise(F.col("all_transaction_id"))
-    pr = promo.where(p.in_window(d)).select(
+    pr = promo.where(p.in_join_window(d)).select(
         era_key.alias("pix_id_cashback"), "promo_transaction_id", "campaign_id", "all_transaction_id",
         "transaction_id", "consumer_id", F.col("received_cashback_value").alias("received_cashback_value_promo"),
         F.col("paid_credit_card_value").alias("paid_credit_card_value_promo"))
@@ -177,8 +184,8 @@ def status_events(events: DataFrame, campaigns: DataFrame, core: DataFrame, p: C
     e = events.where(F.col("properties_status") == STATUS_CREATED)
     e = top_per_group(e, ["properties_movement_id", "properties_status"], dedupe_order or ["id"])
     d = F.to_date("properties_created_at")
-    e = e.where(p.in_window(d) & (d >= date_lit(p.cut)))
-    core_cond = p.in_window(F.to_date("created_at"))
+    e = e.where(p.in_join_window(d) & (d >= date_lit(p.cut)))
+    core_cond = p.in_join_window(F.to_date("created_at"))
     if p.core_min_year is not None:
         # Same rows as year(created_at) >= y, written as a range so it reaches the scan.
         core_cond = core_cond & (F.col("created_at") >= F.make_date(F.lit(p.core_min_year), F.lit(1), F.lit(1)))
@@ -341,7 +348,7 @@ def instant_cash_before(instant: DataFrame, campaigns: DataFrame, p: CashbackPar
 
 def instant_cash_after(events_cb: DataFrame, p: CashbackParams) -> DataFrame:
     """Event-era instant cash of flagged campaigns."""
-    e = events_cb.where(F.col("is_instant_cash") & F.col("is_flagged_campaign"))
+    e = events_cb.where(F.col("is_instant_cash") & F.col("is_flagged_campaign") & p.in_window(F.col("created_date_cashback")))
     return _branch(
         e, F.col(p.instant_value), p.as_of, "created_date_cashback",
         cleaned_event_cashback_status_changed_id=F.col("cleaned_event_cashback_status_changed_id"),
@@ -367,7 +374,7 @@ def event_era(payments: DataFrame, events_cb: DataFrame, p: CashbackParams) -> D
         "card_value", "fee_value")
     j = events_cb.join(pay, (F.col("correlation_id") == F.col("_corr")) & ~F.col("is_instant_cash"), "left")
     instant = F.col("is_instant_cash")
-    j = j.where((instant & F.col("is_flagged_campaign")) | (~instant & F.col("_corr").isNotNull()))
+    j = j.where((instant & F.col("is_flagged_campaign") & p.in_window(F.col("created_date_cashback"))) | (~instant & F.col("_corr").isNotNull()))
     product_value = allocate_cashback("wallet_value", "card_value", "type_tested", "cashback_pago", "fee_value",
                                       "paid_credit_card_value_promo")
 
@@ -411,10 +418,15 @@ def cashback_branches(payment_tables: dict[str, DataFrame], promo: DataFrame, ta
     return out
 
 
+NATURAL_KEY = ("product_type_name", "type", "all_transaction_id", "promo_transaction_id",
+               "cleaned_event_cashback_status_changed_id", "campaign_id", "consumer_id", "created_date")
+
+
 def cashback_payments(branches: DataFrame, id_mode: str | None = "hash") -> DataFrame:
     """Unified fact (A25): id, 26 columns, year_month and y/M/d partition strings.
 
-    ``id_mode``: ``"hash"`` = xxhash64 of the natural key (stable), ``"monotonic"``
+    ``id_mode``: ``"hash"`` = 128 bits of the natural key and the row's number
+    within it (stable and unique), ``"monotonic"``
     = ``monotonically_increasing_id() + 1``, ``None`` = no id column.
     """
     d = F.col("created_date")
@@ -431,12 +443,8 @@ def cashback_payments(branches: DataFrame, id_mode: str | None = "hash") -> Data
     if id_mode is None:
         return branches.select(*cols)
     if id_mode == "hash":
-        ident = surrogate_key("product_type_name", "type", "all_transaction_id", "promo_transaction_id",
-                              "cleaned_event_cashback_status_changed_id", "campaign_id", "consumer_id",
-                              "created_date")
-    else:
-        ident = F.monotonically_increasing_id() + 1
-    return branches.select(ident.alias("cashback_payment_id"), *cols)
+        return numbered_key(branches.select(*cols), NATURAL_KEY, "cashback_payment_id")
+    return branches.select((F.monotonically_increasing_id() + 1).alias("cashback_payment_id"), *cols)
 
 
 def key_fanout(df: DataFrame, key: str) -> DataFrame:

@@ -29,7 +29,7 @@ MONTH_LABEL_FORMAT = "y-MM-01"
 # -----------------------------------------------------------------------------
 
 
-def cohort_base(story: DataFrame, contracts: DataFrame, excluded_title: str = "Original",
+def cohort_base(story: DataFrame, contracts: DataFrame, excluded_title: str,
                 created_from: DateLike = "2023-01-01") -> DataFrame:
     """Storyline rows with the contract's effective and cancel months."""
     s = story.where((F.col("package_title") != excluded_title) & F.col("effective_at").isNotNull())
@@ -146,8 +146,8 @@ def cohort_churn(attribution: DataFrame, as_of: DateLike = None, horizon_months:
                     F.coalesce(pct_acum, pct).alias("clientes_acum_pct"))
 
 
-def retention_matrix(story: DataFrame, as_of: DateLike = None, pool_before: str = "2023-07-01",
-                     excluded_title: str = "Original") -> DataFrame:
+def retention_matrix(story: DataFrame, excluded_title: str, as_of: DateLike = None,
+                     pool_before: str = "2023-07-01") -> DataFrame:
     """Active rows on month ends (or ``as_of``) by production month x cohort month.
 
     Months before ``pool_before`` are pooled under '< pool_before'. Month

@@ -4,14 +4,16 @@
 global aggregate (partial aggregation per task, a single small merge), then
 reshapes that one row to one row per column. Quartiles use
 ``percentile_approx`` (bounded-memory sketch, as ``DataFrame.summary`` does);
-an exact percentile would hold every distinct value of a column in one task.
+``exact_quantiles`` finds them exactly by distributed rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..session import ensure_checkpoint_dir
 
 STATS = ("count", "mean", "stddev", "min", "p25", "p50", "p75", "max")
 
@@ -48,13 +50,38 @@ def column_stats(df: DataFrame, cols: Sequence[str], accuracy: int = 10000, quan
     return one.select(F.explode(F.array(*per_col)).alias("s")).select("s.*")
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(column_name, p25, p50, p75, ...): the least value whose share of the column's non-null values reaches each point.
+
+    Equal to ``quantile_disc``. Values are counted first (a partial sum per
+    task), range-partitioned and counted per partition; the running totals
+    over the partitions (one row per partition and column) give each partition
+    its offset, so no task sorts a whole column.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s"))
+    counted = long.select("s.*").where("x is not null").groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("n"))
+    placed = counted.repartitionByRange("column_name", "x").withColumn("part", F.spark_partition_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = placed.checkpoint(eager=True)  # partition ids must not move between the two passes
+    sums = placed.groupBy("column_name", "part").agg(F.sum("n").alias("k"))
+    by_part = Window.partitionBy("column_name").orderBy("part")
+    offsets = sums.select("column_name", "part", (F.sum("k").over(by_part) - F.col("k")).alias("before"),
+                          F.sum("k").over(Window.partitionBy("column_name")).alias("total"))
+    inside = Window.partitionBy("column_name", "part").orderBy("x")
+    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(offsets, ["column_name", "part"])
+    upto = F.col("before") + F.col("upto")
+    points = [F.min(F.when(upto >= F.greatest(F.ceil(F.lit(q) * F.col("total")), F.lit(1)), F.col("x"))).alias(f"p{round(100 * q)}") for q in at]
+    return ranked.groupBy("column_name").agg(*points)
+
+
 def table_profile(df: DataFrame, name: str) -> DataFrame:
-    """One row: table name, row count, column count, columns in alphabetical order."""
+    """One row: table name, row count, column count, columns in alphabetical order, and the same with their types."""
     cols = sorted(df.columns)
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit(name).alias("table_name"), "n_rows",
         F.lit(len(df.columns)).cast("long").alias("n_cols"),
-        F.lit(",".join(cols)).alias("columns_sorted"))
+        F.lit(",".join(cols)).alias("columns_sorted"),
+        F.lit(",".join(f"{c} {t}" for c, t in sorted(df.dtypes))).alias("schema_sorted"))
 
 
 def alphabetical(df: DataFrame) -> DataFrame:
@@ -68,4 +95,4 @@ def uniqueness_check(df: DataFrame, key: str, where=None) -> DataFrame:
     return df.agg(F.count_distinct(key).alias("distinct_keys"), F.count(F.lit(1)).alias("n_rows"))
 
 
-__all__ = ["summary", "column_stats", "table_profile", "alphabetical", "uniqueness_check"]
+__all__ = ["summary", "column_stats", "exact_quantiles", "table_profile", "alphabetical", "uniqueness_check"]

@@ -1,9 +1,9 @@
 """Top-1 per group, deterministic dedupe, and distinct-key paging.
 
 ``top_per_group`` is ``row_number() <= n`` over a partitioned window; Spark
-plans a WindowGroupLimit before the shuffle (n <= 1000), so each map task
+plans a WindowGroupLimit before the shuffle so each map task
 forwards at most ``n`` rows per key and a hot key costs no more than a cold
-one; larger n go through a salted two-level top-n.
+one. ``cap_by_bits`` caps groups in hash order by a histogram of the hash.
 
 ``distinct_key_page`` returns all rows whose key has dense rank in
 ``[n1, n2]`` (ascending key, nulls first), like
@@ -19,11 +19,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# A page of at most this many keys is broadcast to the join back; larger pages
-# go through a shuffle join (with AQE skew splitting on the data side).
-BROADCAST_PAGE_KEYS = 2_000_000
-
-
 def _order_cols(order) -> list[Column]:
     out = []
     for o in order:
@@ -37,10 +32,12 @@ def _order_cols(order) -> list[Column]:
     return out
 
 
-# Spark adds a partial WindowGroupLimit (at most n rows per key and map task,
-# before the shuffle) only for n up to spark.sql.optimizer.windowGroupLimitThreshold
-# (default 1000). Larger n use an explicit two-level top-n instead.
-_PARTIAL_LIMIT_MAX = 1000
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores until no column of the frame has that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def top_per_group(df: DataFrame, keys, order, n: int = 1, rank_col: str | None = None) -> DataFrame:
@@ -51,28 +48,40 @@ def top_per_group(df: DataFrame, keys, order, n: int = 1, rank_col: str | None =
     must be a total order within a group for a deterministic result; ties are
     otherwise broken arbitrarily, as ``row_number`` does.
 
-    For ``n`` up to 1000 Spark inserts a partial WindowGroupLimit before the
-    shuffle, so a hot key costs no more than a cold one. For larger ``n``
-    (caps such as 10,000) the top-n is taken first per (key, salt), the salt
-    being a deterministic hash of the row over as many buckets as the session
-    has shuffle partitions, and then per key over those candidates: the final
-    task of a key sees at most (salts x n) rows, however large the group.
-    (A ``max(struct(order key, row))`` aggregate gives the same survivor for
-    n = 1, but Spark can only run it as a sort aggregate when the row has
-    strings; measured slower than the window.)
+    Spark inserts a partial WindowGroupLimit before the shuffle (up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), so a map task forwards
+    at most ``n`` rows of a hot key. Large caps over a hash order belong in
+    ``cap_by_bits``, which ranks one narrow hash range only.
     """
-    cols = _order_cols(order)
-    name = rank_col or "_rn"
-    if n > _PARTIAL_LIMIT_MAX:
-        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)))
-        w1 = Window.partitionBy(*keys, "_salt").orderBy(*cols)
-        df = salted.withColumn("_rn1", F.row_number().over(w1)).where(F.col("_rn1") <= n).drop("_rn1", "_salt")
-    w = Window.partitionBy(*keys).orderBy(*cols)
+    name = rank_col or free_name(df, "__rank")
+    w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
     out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
     return out if rank_col else out.drop(name)
 
 
+def cap_by_bits(df: DataFrame, group: str, bits: str, tie: str, n: int, width: int, high: int = 12) -> DataFrame:
+    """The ``n`` rows of each group with the least ``bits`` (then ``tie``), one plan for every ``n``.
+
+    ``bits`` are ``width`` uniform hash bits. A histogram of their ``high``
+    leading bits (at most 2^high rows per group, summed before the shuffle)
+    says in which range a group reaches ``n``; rows below it are kept as they
+    are, rows above it go, and only that range, about 2^-high of the group, is
+    ranked.
+    """
+    cell, below, count = free_name(df, "__cell"), free_name(df, "__below"), free_name(df, "__count")
+    rows = df.withColumn(cell, F.shiftright(F.col(bits), width - high))
+    sizes = rows.groupBy(group, cell).agg(F.count(F.lit(1)).alias(count))
+    before = Window.partitionBy(group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(below, F.coalesce(F.sum(count).over(before), F.lit(0))).where(F.col(below) < n)
+    cut = sizes.withColumnsRenamed({group: "__g", cell: "__c"})
+    rows = rows.join(cut, rows[group].eqNullSafe(cut["__g"]) & (rows[cell] == cut["__c"])).drop("__g", "__c")
+    whole = F.col(below) + F.col(count) <= n
+    rank = free_name(df, "__rank")
+    edge = rows.where(~whole).withColumn(rank, F.row_number().over(Window.partitionBy(group, cell).orderBy(bits, tie)))
+    edge = edge.where(F.col(below) + F.col(rank) <= n).drop(rank)
+    return rows.where(whole).unionByName(edge).select(*df.columns)
+
+
 def dedupe_by_key(df: DataFrame, keys, order=None) -> DataFrame:
     """``dropDuplicates(keys)`` with a defined survivor: the first row by ``order``.
 
@@ -115,18 +124,17 @@ def dense_rank_keys(df: DataFrame, key: str, partitions: int | None = None,
 
 
 def distinct_key_page(df: DataFrame, n1: int, n2: int, key: str = "consumer_id",
-                      rank_col: str = "dense_rank", partitions: int | None = None) -> DataFrame:
+                      rank_col: str = "dense_rank", partitions: int | None = None,
+                      ranked: DataFrame | None = None) -> DataFrame:
     """All rows whose ``key`` has dense rank in ``[n1, n2]``, with the rank column.
 
     Same rows and ranks as filtering ``dense_rank().over(Window.orderBy(key))``.
-    The page holds at most ``n2 - n1 + 1`` keys; it is broadcast only when
-    that bound is below ``BROADCAST_PAGE_KEYS``.
+    ``ranked``: the keys as ``dense_rank_keys`` gave them, so that several
+    pages rank them once. How the page joins back is left to AQE.
     """
     if n2 < n1:
         return df.withColumn(rank_col, F.lit(None).cast("long")).where(F.lit(False))
-    page = dense_rank_keys(df, key, partitions, rank_col).where(F.col(rank_col).between(n1, n2))
-    page = page.withColumnRenamed(key, "_page_key")
-    if n2 - n1 + 1 <= BROADCAST_PAGE_KEYS:
-        page = F.broadcast(page)
-    joined = df.join(page, df[key].eqNullSafe(page["_page_key"]), "inner")
-    return joined.drop("_page_key")
+    page = ranked if ranked is not None else dense_rank_keys(df, key, partitions, rank_col)
+    name = free_name(df, "__page_key")
+    page = page.where(F.col(rank_col).between(n1, n2)).withColumnRenamed(key, name)
+    return df.join(page, df[key].eqNullSafe(page[name]), "inner").drop(name)

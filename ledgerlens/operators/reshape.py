@@ -24,13 +24,20 @@ def unpivot(df: DataFrame, ids: Sequence[str], values: Mapping[str, str] | Seque
 
 
 def pivot(df: DataFrame, group_cols: Sequence[str], pivot_col: str, agg: Column,
-          values: Sequence | None = None) -> DataFrame:
+          values: Sequence | None = None, other: str | None = None) -> DataFrame:
     """Long to wide: ``groupBy(group_cols).pivot(pivot_col, values).agg(agg)``.
 
     Passing ``values`` saves the extra job that collects the distinct pivot
     values and fixes the output columns; without it Spark collects them
-    (bounded by ``spark.sql.pivotMaxValues``).
+    (bounded by ``spark.sql.pivotMaxValues``). ``other`` names a column that
+    takes the rows whose value is not listed, so none vanishes; nulls count as
+    not listed.
     """
+    if other is not None and values is not None:
+        names = [str(v) for v in values]
+        text = F.col(pivot_col).cast("string")
+        df = df.withColumn(pivot_col, F.when(text.isin(names), text).otherwise(F.lit(other)))
+        values = [*names, other]
     grouped = df.groupBy(*group_cols)
     grouped = grouped.pivot(pivot_col, list(values)) if values is not None else grouped.pivot(pivot_col)
     return grouped.agg(agg)

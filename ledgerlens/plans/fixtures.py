@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.dates import shift_hours
+from ..operators.subscription import HISTORY_SHIFT_HOURS, PackageRules
 from ..sources.tables import ParquetTables
 
 # Reference dates of the fixtures (never current_date, so results are stable).
@@ -63,11 +65,15 @@ FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n_items FROM lineitem GR
 # One contract per order: consumer = o_custkey, contract = o_orderkey,
 # package = priority digit with a title per priority, CANCELED when status F,
 # effective_at = first ship date of the order. History = one event per
-# lineitem at its ship date. Contracts start from 2001-01-01 in the queries.
-SUBSCRIPTION_FROM = "2001-01-01"
+# lineitem at its ship date. All orders are contracts.
+SUBSCRIPTION_FROM = "1995-01-01"
 POOL_BEFORE = "2001-04-01"
 CHECK_DAY = "2001-06-15"
-PACKAGE_TITLES = (("1", "Club Plus"), ("2", "Club +"), ("3", "Club Premium"), ("4", "Original"), ("5", "Basic"))
+PACKAGE_TITLES = (("1", "Harbour Yearly"), ("2", "Harbour Monthly"), ("3", "Starter"), ("4", "Harbour Family"), ("5", "Trial"))
+BASIC_TITLE = "Starter"
+RULES = PackageRules(premium_titles=("harbour yearly", "harbour monthly", "harbour family"), original_title="starter",
+                     type_order=("premium", "original"))
+PORTABILITY = "Conta transferida"
 HISTORY_TIE_BREAKERS = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
@@ -103,6 +109,7 @@ def status_history(t: ParquetTables) -> DataFrame:
              .when(F.col("l_discount") == 0.01, "Reaiblitado")
              .when((F.col("l_linestatus") == "O") & (F.col("l_discount") >= 0.05), "Plano REABILITADO")
              .when(F.col("l_discount") == 0.02, "reativação manual")
+             .when(F.col("l_discount") == 0.03, PORTABILITY)
              .otherwise("Assinatura"))
     return (l.join(o, l.l_orderkey == o.o_orderkey, "inner")
              .select(F.col("o_custkey").alias("consumer_id"), F.col("l_orderkey").alias("contract_number"),
@@ -133,6 +140,7 @@ SELECT o.o_custkey AS consumer_id, l.l_orderkey AS contract_number,
             WHEN l.l_discount = 0.01 THEN 'Reaiblitado'
             WHEN l.l_linestatus = 'O' AND l.l_discount >= 0.05 THEN 'Plano REABILITADO'
             WHEN l.l_discount = 0.02 THEN 'reativação manual'
+            WHEN l.l_discount = 0.03 THEN '{PORTABILITY}'
             ELSE 'Assinatura' END AS history_description,
        CASE WHEN l.l_returnflag = 'R' THEN 'CANCELED' WHEN l.l_returnflag = 'A' THEN 'SUBSCRIBED'
             WHEN l.l_linestatus = 'F' THEN 'DISCONTINUED' WHEN l.l_quantity < 10 THEN 'PRE_SUBSCRIPTION'
@@ -149,12 +157,9 @@ def contract_consumer(t: ParquetTables) -> DataFrame:
     time is the contract's maximum event time (shifted by -3 hours, in-scope
     titles only): a grouped max, no second window over the history.
     """
-    from ..functions.dates import shift_hours
-    from ..operators.subscription import HISTORY_SHIFT_HOURS, PackageRules
-
     last = t("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last"))
     s = subscriptions(t)
-    canceled = ((F.col("subscription_status") == "CANCELED") & PackageRules().in_scope(F.col("package_title")))
+    canceled = ((F.col("subscription_status") == "CANCELED") & RULES.in_scope(F.col("package_title")))
     return (s.join(last, F.col("contract_number") == F.col("l_orderkey"), "left")
              .select("contract_number", "created_at", "effective_at",
                      F.when(canceled, shift_hours("_last", HISTORY_SHIFT_HOURS)).alias("canceled_at")))
@@ -166,8 +171,8 @@ def contract_consumer(t: ParquetTables) -> DataFrame:
 # id 'T<orderkey>', correlation id 'C<orderkey>'. Card = o_totalprice; wallet =
 # o_totalprice when status P and the key is even; fee = 2 % of the card value;
 # type MULTIPLE_CARDS (lower case when the key is a multiple of 3) for status
-# O, else SINGLE_CARD. Promo (legacy cashback) and legacy instant cash: the
-# first lineitem of each order; cashback = l_extendedprice * l_discount / 10,
+# O, else SINGLE_CARD. Promo (legacy cashback) and legacy instant cash: every
+# lineitem, so the keys of an order repeat; cashback = l_extendedprice * l_discount / 10,
 # total card = l_extendedprice, campaign = l_partkey, promo date = ship date.
 # Events: one per lineitem, status CREATED for line status F, else EXPIRED.
 # Campaigns: part, flagged when p_brand like '%#1%'.
@@ -240,16 +245,13 @@ def cashback_payment_tables(t: ParquetTables) -> dict[str, DataFrame]:
     return {"PIX": pix, "P2P": p2p, "BILLS": bills, "Multas e IPVA": vehicular}
 
 
-def _first_lines(t: ParquetTables) -> DataFrame:
-    from ..operators.rank import top_per_group
-
+def _lines(t: ParquetTables) -> DataFrame:
     o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    first = top_per_group(t("lineitem"), ["l_orderkey"], list(PROMO_ORDER))
-    return first.join(o, first.l_orderkey == o.o_orderkey, "inner")
+    return t("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
 
 
 def promo_transactions(t: ParquetTables) -> DataFrame:
-    f = _first_lines(t).where(~F.col("o_orderpriority").startswith("5"))
+    f = _lines(t).where(~F.col("o_orderpriority").startswith("5"))
     ids = _ids("l_orderkey")
     return f.select(
         F.col("l_shipdate").alias("created_at"),
@@ -262,7 +264,7 @@ def promo_transactions(t: ParquetTables) -> DataFrame:
 
 
 def instant_cash(t: ParquetTables) -> DataFrame:
-    f = _first_lines(t).where(F.col("o_orderpriority").startswith("5"))
+    f = _lines(t).where(F.col("o_orderpriority").startswith("5"))
     return f.select(F.col("l_partkey").alias("campaign_id"), F.col("o_custkey").alias("consumer_id"),
                     F.col("o_orderdate").alias("created_at"),
                     (F.col("l_extendedprice") * F.col("l_discount") / 10).alias("instant_cash_given_value"))
@@ -284,7 +286,7 @@ def cashback_events(t: ParquetTables) -> DataFrame:
     return j.select(
         F.concat_ws("-", F.lit("E"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                     F.col("l_partkey").cast("string")).alias("id"),
-        F.col("o_custkey").alias("user_id"), F.col("l_orderkey").alias("properties_movement_id"),
+        F.col("o_custkey").alias("user_id"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("properties_movement_id"),
         F.when(F.col("l_linestatus") == "F", "CREATED").otherwise("EXPIRED").alias("properties_status"),
         F.col("o_orderdate").alias("properties_created_at"), code.cast("int").alias("properties_wallet_code_id"),
         F.col("l_partkey").alias("properties_promo_campaign_id"),

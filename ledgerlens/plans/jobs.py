@@ -11,9 +11,9 @@ import dataclasses
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.dates import DateLike
+from ..functions.dates import DateLike, to_py_date
 from ..operators import activity, cashback, subscription
-from ..sources.sinks import PARTITION_COLUMNS, write_partitioned, write_table
+from ..sources.sinks import write_table
 from ..streaming import incremental
 
 
@@ -25,21 +25,22 @@ def cashback_job(spark: SparkSession, sources: dict[str, object], target: str, p
     The window starts ``delta_days`` before the newest partition of
     ``target`` (never before ``floor`` once the table exists) or at
     ``full_load_start``; the fact is rebuilt from there to ``params.end`` and
-    only the days it contains are replaced. ``sources``: ``payment_tables``
+    the days of that range are replaced. The joined sides are read from
+    ``full_load_start`` on, so a rewrite finds the same pairs as a full load.
+    ``sources``: ``payment_tables``
     (dict by product name), ``promo``, ``taxonomy``, ``instant``,
     ``events``, ``core``.
     """
-    w = incremental.plan_window(spark, target, incremental.partition_date(), delta_days, 0,
-                                full_load_start=full_load_start, floor=floor, fmt=fmt)
-    p = dataclasses.replace(params, start=w.start)
+    w = incremental.plan_window(spark, target, None, delta_days, 0, full_load_start=full_load_start, floor=floor, fmt=fmt)
+    p = dataclasses.replace(params, start=w.start, join_start=full_load_start)
     branches = cashback.cashback_branches(sources["payment_tables"], sources["promo"], sources["taxonomy"],
                                           sources["instant"], sources["events"], sources["core"], p, dedupe_order)
-    write_partitioned(cashback.cashback_payments(branches), target, PARTITION_COLUMNS, fmt)
+    incremental.replace_days(cashback.cashback_payments(branches), target, "created_date", w.cut, to_py_date(params.end), fmt)
     return w
 
 
 def storyline_job(subscriptions: DataFrame, history: DataFrame, table: str,
-                  rules: subscription.PackageRules = subscription.PackageRules(), created_from: DateLike = "2023-01-01",
+                  rules: subscription.PackageRules, created_from: DateLike = "2023-01-01",
                   calendar_start: DateLike = "2023-01-01", as_of: DateLike = None, history_tie_breakers=(),
                   fmt: str = "parquet", path: str | None = None) -> None:
     """Full overwrite of the storyline fact with its surrogate id."""
@@ -56,12 +57,13 @@ def rolling_metric_job(spark: SparkSession, activity_df: DataFrame, target: str,
 
     Rewrites the last ``delta_days`` days; activity from ``window_days``
     earlier is read so those days have complete windows, and the warm-up
-    days before the cut are not written.
+    days before the cut are not written. The first activity day is that of the
+    whole source, not of the part read.
     """
-    w = incremental.plan_window(spark, target, incremental.partition_date(), delta_days, window_days,
-                                full_load_start=full_load_start, fmt=fmt)
+    w = incremental.plan_window(spark, target, None, delta_days, window_days, full_load_start=full_load_start, fmt=fmt)
     src = activity_df.where(F.col(date_col) >= F.lit(w.start)) if w.exists else activity_df
-    metric = activity.rolling_active_users(src, date_col=date_col, group_cols=list(group_cols),
-                                           window_days=window_days, kpi=kpi, start=full_load_start, as_of=as_of)
+    first = activity_df.agg(F.min(F.to_date(date_col))).scalar()
+    metric = activity.rolling_active_users(src, date_col=date_col, group_cols=list(group_cols), window_days=window_days, kpi=kpi,
+                                           start=full_load_start, as_of=as_of, min_date=first)
     incremental.incremental_write(metric, target, "calendar_date", w, fmt=fmt, num_partitions=writers)
     return w

@@ -7,7 +7,7 @@ the Spark operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import value_bucket_sql
 from ..operators import cashback
@@ -58,27 +58,25 @@ veh AS (SELECT o_orderdate AS created_at, card AS paid_card_value, wallet AS pai
                o_custkey AS consumer_id, all_transaction_id, transaction_id, correlation_id,
                card_id AS credit_card_id, inst AS installments
         FROM pay_base WHERE pdig = '4'),
-first_line AS (
+line AS (
   SELECT l.*, o.o_custkey, o.o_orderdate, o.o_orderpriority
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  QUALIFY row_number() OVER (PARTITION BY l.l_orderkey
-                             ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) = 1),
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
 promo AS (SELECT l_shipdate AS created_at,
                  'P' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS promo_transaction_id,
                  l_partkey AS campaign_id, 'A' || CAST(l_orderkey AS VARCHAR) AS all_transaction_id,
                  'T' || CAST(l_orderkey AS VARCHAR) AS transaction_id, o_custkey AS consumer_id,
                  l_extendedprice * l_discount / 10 AS received_cashback_value,
                  l_extendedprice AS paid_credit_card_value
-          FROM first_line WHERE o_orderpriority NOT LIKE '5%'),
+          FROM line WHERE o_orderpriority NOT LIKE '5%'),
 instant AS (SELECT l_partkey AS campaign_id, o_custkey AS consumer_id, o_orderdate AS created_at,
                    l_extendedprice * l_discount / 10 AS instant_cash_given_value
-            FROM first_line WHERE o_orderpriority LIKE '5%'),
+            FROM line WHERE o_orderpriority LIKE '5%'),
 tax AS (SELECT p_partkey AS promo_campaign_id, p_brand AS bu_solicitante, 'B' || CAST(p_size AS VARCHAR) AS briefing_id,
                CAST(p_size AS DOUBLE) / 100 AS cashback_percentage FROM part),
 events AS (
   SELECT concat_ws('-', 'E', CAST(l.l_orderkey AS VARCHAR), CAST(l.l_linenumber AS VARCHAR),
                    CAST(l.l_partkey AS VARCHAR)) AS id,
-         o.o_custkey AS user_id, l.l_orderkey AS properties_movement_id,
+         o.o_custkey AS user_id, l.l_orderkey * 16 + l.l_linenumber AS properties_movement_id,
          CASE WHEN l.l_linestatus = 'F' THEN 'CREATED' ELSE 'EXPIRED' END AS properties_status,
          o.o_orderdate AS properties_created_at,
          CASE WHEN o.o_orderpriority LIKE '5%' THEN 419 WHEN l.l_linenumber = 7 THEN NULL
@@ -274,6 +272,20 @@ def cashback_fact(spark: SparkSession, sf_dir: str, id_mode: str | None = "hash"
     return cashback.cashback_payments(branches, id_mode=id_mode)
 
 
+@register("cashback_payment_ids", SOURCES_SQL + f"""
+SELECT count(*) AS n_rows, count(*) AS distinct_ids,
+       count(*) > count(DISTINCT (product_type_name, type, all_transaction_id, promo_transaction_id,
+             cleaned_event_cashback_status_changed_id, campaign_id, consumer_id, created_date)) AS keys_repeat
+FROM ({FACT_SQL}) f
+""")
+def cashback_payment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact with its id: as many ids as rows, although natural keys repeat."""
+    fact = cashback_fact(spark, sf_dir)
+    key = F.struct(*cashback.NATURAL_KEY)
+    return fact.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cashback_payment_id").alias("distinct_ids"),
+                    (F.count(F.lit(1)) > F.count_distinct(key)).alias("keys_repeat"))
+
+
 @register("cashback_payments", SOURCES_SQL + FACT_SQL)
 def cashback_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cashback_fact(spark, sf_dir, id_mode=None)

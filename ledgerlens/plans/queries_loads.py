@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import activity, audience
@@ -18,7 +15,8 @@ from .queries_activity import _ORDERS_BASE, _rolling_sql
 STRATA = ("click", "view", "purchase")
 
 
-_SPLIT_SEED, _SAMPLE_SEED, _CAP = 7, 123, 10_000
+# The first caps bind at any scale of the tables; the large one is a cap of the usual size.
+_SPLIT_SEED, _SAMPLE_SEED, _CAP, _LARGE_CAP = 7, 123, 25, 10_000
 _IN_STRATA = ", ".join(f"'{s}'" for s in STRATA)
 
 
@@ -45,6 +43,17 @@ def audience_split(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    where=F.col("event_type").isin(*STRATA))
 
 
+@register("audience_split_large", f"""
+WITH h AS (SELECT k, {_bits_sql('CAST(k AS VARCHAR)', seed=_SPLIT_SEED)} AS v
+           FROM (SELECT DISTINCT l_orderkey * 16 + l_linenumber AS k FROM lineitem)),
+g AS (SELECT k, CASE WHEN v < {_T[0]} THEN 'Grupo 1' WHEN v < {_T[1]} THEN 'Grupo 2' ELSE 'Grupo 3' END AS grupos, v FROM h)
+SELECT k, grupos FROM g QUALIFY row_number() OVER (PARTITION BY grupos ORDER BY v, k) <= {_LARGE_CAP}
+""")
+def audience_split_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = ParquetTables(spark, sf_dir)("lineitem").select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("k"))
+    return audience.audience_split(lines, "k", weights=(0.1, 0.1, 0.1), cap=_LARGE_CAP, seed=_SPLIT_SEED)
+
+
 @register("stratified_sample", f"""
 WITH h AS (SELECT DISTINCT user_id, event_type,
                   {_bits_sql('CAST(user_id AS VARCHAR)', 'event_type', seed=_SAMPLE_SEED)} AS v
@@ -87,15 +96,17 @@ def incremental_window_partitions(spark: SparkSession, sf_dir: str) -> DataFrame
     return incremental.window_frame(o, incremental.partition_date(), 100, 0, floor=_FLOOR)
 
 
-def _orders_activity(t: ParquetTables, since=None) -> DataFrame:
-    o = t("orders").select(F.col("o_custkey").alias("consumer_id"), F.to_date("o_orderdate").alias("created_date"),
-                           "o_orderpriority")
-    return o if since is None else o.where(F.col("created_date") >= F.lit(since))
+def _orders_activity(t: ParquetTables) -> DataFrame:
+    return t("orders").select(F.col("o_custkey").alias("consumer_id"), F.to_date("o_orderdate").alias("created_date"),
+                              "o_orderpriority")
 
 
-def _mau(df: DataFrame) -> DataFrame:
+def _mau(df: DataFrame, as_of: str, first=None) -> DataFrame:
     return activity.rolling_active_users(df, group_cols=["o_orderpriority"], window_days=35, kpi="mau",
-                                         start=fx.ORDERS_START, as_of=fx.ORDERS_AS_OF)
+                                         start=fx.ORDERS_START, as_of=as_of, min_date=first)
+
+
+_FIRST_LOAD = "2001-07-15"
 
 
 @register("partition_overwrite", "SELECT *, CAST(year(calendar_date) AS INTEGER) AS year_partition, "
@@ -103,20 +114,19 @@ def _mau(df: DataFrame) -> DataFrame:
           "CAST(day(calendar_date) AS INTEGER) AS day_partition FROM ("
           + _rolling_sql(_ORDERS_BASE, "o_orderpriority", 35, "mau", fx.ORDERS_START, fx.ORDERS_AS_OF) + ")")
 def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full load, then an incremental rewrite of the last days; the table is read back.
+    """Two loads: the days before ``_FIRST_LOAD``, then an incremental one up to the end; the table is read back.
 
-    The table lives in the shared checkpoint folder of the session, one per
-    input directory; the full load replaces whatever an earlier run left.
+    The result must be that of one full load. Each call has a table of its own
+    in the shared checkpoint folder.
     """
-    t = ParquetTables(spark, sf_dir)
-    key = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    path = scratch_path(spark, f"ledgerlens-loads/mau_35-{key}")
+    orders = _orders_activity(ParquetTables(spark, sf_dir))
+    path = scratch_path(spark, "mau-35")
     # At most one row per priority and day: a fixed hash split by day is safe.
     writers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    incremental.full_load(_mau(_orders_activity(t)), path, "calendar_date", fx.ORDERS_START, _BUFFER,
-                          num_partitions=writers)
-    # The max over the y/M/d partition columns reads no data columns.
-    w = incremental.plan_window(spark, path, incremental.partition_date(), _DELTA, _BUFFER)
-    incremental.incremental_write(_mau(_orders_activity(t, w.start)), path, "calendar_date", w,
-                                  num_partitions=writers)
+    early = orders.where(F.col("created_date") < F.lit(_FIRST_LOAD).cast("date"))
+    incremental.full_load(_mau(early, _FIRST_LOAD), path, "calendar_date", fx.ORDERS_START, _BUFFER, num_partitions=writers)
+    w = incremental.plan_window(spark, path, None, _DELTA, _BUFFER)
+    first = orders.agg(F.min("created_date")).scalar()
+    incremental.incremental_write(_mau(orders.where(F.col("created_date") >= F.lit(w.start)), fx.ORDERS_AS_OF, first), path,
+                                  "calendar_date", w, num_partitions=writers)
     return spark.read.parquet(path)

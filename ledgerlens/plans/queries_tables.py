@@ -35,12 +35,13 @@ def _priority_year_totals(t: ParquetTables) -> DataFrame:
     return reshape.pivot(
         o.select("o_orderpriority", F.year("o_orderdate").alias("year"),
                  F.col("o_totalprice").cast("decimal(18,2)").alias("total")),
-        ["o_orderpriority"], "year", F.sum("total").cast("double"), values=YEARS)
+        ["o_orderpriority"], "year", F.sum("total").cast("double"), values=YEARS, other="other")
 
 
 @register("pivot_years", "SELECT o_orderpriority, " + ", ".join(
     f"CAST(sum(CASE WHEN year(o_orderdate) = {y} THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS \"{y}\""
-    for y in YEARS) + " FROM orders GROUP BY 1")
+    for y in YEARS) + f", CAST(sum(CASE WHEN year(o_orderdate) NOT BETWEEN {YEARS[0]} AND {YEARS[-1]} OR o_orderdate IS NULL "
+    "THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS other FROM orders GROUP BY 1")
 def pivot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _priority_year_totals(ParquetTables(spark, sf_dir))
 
@@ -66,20 +67,27 @@ _STAT_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @register("profile_summary", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, "
-    f"round(stddev_samp({c}), 6) AS stddev, min({c}) AS min, max({c}) AS max FROM lineitem"
+    f"round(stddev_samp({c}), 6) AS stddev, min({c}) AS min, quantile_disc({c}, 0.25) AS p25, quantile_disc({c}, 0.5) AS p50, "
+    f"quantile_disc({c}, 0.75) AS p75, max({c}) AS max FROM lineitem"
     for c in _STAT_COLS))
 def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Quantiles are approximate (no exact SQL twin) and not part of this output.
-    stats = profile.column_stats(ParquetTables(spark, sf_dir)("lineitem"), _STAT_COLS, quantiles=False)
-    return stats.select("column_name", "count", F.round("mean", 6).alias("mean"),
-                        F.round("stddev", 6).alias("stddev"), "min", "max")
+    lines = ParquetTables(spark, sf_dir)("lineitem")
+    stats = profile.column_stats(lines, _STAT_COLS, quantiles=False).drop("p25", "p50", "p75")
+    return stats.join(profile.exact_quantiles(lines, _STAT_COLS), "column_name", "left").select(
+        "column_name", "count", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"),
+        "min", "p25", "p50", "p75", "max")
 
 
 @register("table_profile", """
 SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS n_rows,
        (SELECT count(*) FROM information_schema.columns WHERE table_name = 'lineitem') AS n_cols,
        (SELECT string_agg(column_name, ',' ORDER BY column_name)
-        FROM information_schema.columns WHERE table_name = 'lineitem') AS columns_sorted
+        FROM information_schema.columns WHERE table_name = 'lineitem') AS columns_sorted,
+       (SELECT string_agg(column_name || ' ' || CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+                 WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date'
+                 WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(data_type) END,
+                 ',' ORDER BY column_name)
+        FROM information_schema.columns WHERE table_name = 'lineitem') AS schema_sorted
 """)
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.table_profile(ParquetTables(spark, sf_dir)("lineitem"), "lineitem")

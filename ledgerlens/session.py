@@ -6,8 +6,8 @@ is for entry points (bench, tests, notebooks) only.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,26 +53,31 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.master.startswith("local")
+                                                        and not spark.sparkContext.master.startswith("local-cluster")):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (a local test run) is a folder chosen here; on a cluster that setting must
-    point at shared storage, never at a machine-local path.
+    ``spark.checkpoint.dir`` is read from the session. Only for a local master
+    without that setting (a test run) is a folder chosen here; a cluster must
+    name shared storage, so anything else is an error.
     """
+    context = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = fallback or tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(current)
     return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for materialised tables."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, name)
+    """A new sub-folder of the shared checkpoint folder, different on every call."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

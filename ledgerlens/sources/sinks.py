@@ -33,6 +33,41 @@ def write_path(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
     df.write.format(fmt).mode(mode).save(path)
 
 
+def _folder(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def newest_partition(spark, path: str, partition_by=PARTITION_COLUMNS) -> tuple[str, ...] | None:
+    """The values of the newest partition, from one folder listing per level; None without one.
+
+    Values are compared as numbers, so unpadded ones sort right. No data file is opened.
+    """
+    fs, where = _folder(spark, path)
+    values: list[str] = []
+    for column in partition_by:
+        if not fs.exists(where):
+            return None
+        names = [str(s.getPath().getName()) for s in fs.listStatus(where) if s.isDirectory()]
+        found = [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=") and n.split("=", 1)[1].isdigit()]
+        if not found:
+            return None
+        values.append(max(found, key=int))
+        where = spark._jvm.org.apache.hadoop.fs.Path(where, f"{column}={values[-1]}")
+    return tuple(values)
+
+
+def drop_days(spark, path: str, days, partition_by=PARTITION_COLUMNS) -> None:
+    """Remove the y/M/d partitions of the given days; missing ones are skipped."""
+    fs, _ = _folder(spark, path)
+    for d in days:
+        names = (f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}")
+        folder = "/".join(f"{c}={v}" for c, v in zip(partition_by, names))
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{folder}")
+        if fs.exists(where):
+            fs.delete(where, True)
+
+
 def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS,
                       fmt: str = "parquet", max_records_per_file: int = 5_000_000,
                       num_partitions: int | None = None, dynamic: bool = True) -> None:

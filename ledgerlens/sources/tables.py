@@ -7,8 +7,7 @@ returned DataFrame rather than pre-reading everything.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -19,11 +18,6 @@ DRIVER_TABLES = (
 )
 
 
-# Schemas already read, by path: later reads pass the schema instead of
-# inferring it again from the file footers (a driver-side cost per read).
-_SCHEMAS: dict[str, StructType] = {}
-
-
 class ParquetTables:
     """Named parquet tables under one directory (``<dir>/<name>.parquet``)."""
 
@@ -32,21 +26,18 @@ class ParquetTables:
         self.root = root
 
     def path(self, name: str) -> str:
-        return os.path.join(self.root, f"{name}.parquet")
+        return f"{self.root.rstrip('/')}/{name}.parquet"
 
     def __call__(self, name: str) -> DataFrame:
-        path = self.path(name)
-        schema = _SCHEMAS.get(path)
-        if schema is not None:
-            return self.spark.read.schema(schema).parquet(path)
-        df = self.spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
+        return self.spark.read.parquet(self.path(name))
 
     def register_views(self, names=DRIVER_TABLES) -> None:
         for name in names:
-            if os.path.exists(self.path(name)):
+            try:
                 self(name).createOrReplaceTempView(name)
+            except AnalysisException as exc:
+                if "PATH_NOT_FOUND" not in str(exc):
+                    raise
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

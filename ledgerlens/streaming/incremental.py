@@ -7,10 +7,11 @@ rewrite of the last days of a date-partitioned table. This module provides:
   computed lazily from the target table;
 * ``plan_window``: the same values as Python dates for the driver (one row);
 * ``incremental_write``: keeps rows on or after the cut, adds y/M/d partition
-  strings and overwrites only the partitions it writes.
+  strings and replaces the days from the cut on as a range.
 
 Rerunning a load for the same days is idempotent: dynamic partition overwrite
-replaces exactly the partitions present in the new frame.
+replaces the days of the new frame, and days of the range that the frame no
+longer has are dropped, so an incremental run leaves what a full one would.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import DateLike, date_lit, to_py_date
-from ..sources.sinks import PARTITION_COLUMNS, with_date_partitions, write_partitioned
+from ..session import ensure_checkpoint_dir
+from ..sources.sinks import PARTITION_COLUMNS, drop_days, newest_partition, with_date_partitions, write_partitioned
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,7 @@ def window_frame(target: DataFrame, date_expr: Column, delta_days: int, buffer_d
         "max_date", "start", F.date_add(F.col("start"), buffer_days).alias("cut"))
 
 
-def plan_window(spark: SparkSession, path: str | None, date_expr: Column, delta_days: int, buffer_days: int = 0,
+def plan_window(spark: SparkSession, path: str | None, date_expr: Column | None, delta_days: int, buffer_days: int = 0,
                 full_load_start: DateLike = "2022-01-01", floor: DateLike | None = None,
                 fmt: str = "parquet", target: DataFrame | None = None) -> IncrementalWindow:
     """Where the next load starts.
@@ -63,35 +65,71 @@ def plan_window(spark: SparkSession, path: str | None, date_expr: Column, delta_
     Existing target: start = max date - (delta + buffer), clamped to ``floor``;
     missing target (path not found) or an empty one: ``full_load_start``,
     without clamp. cut = start + buffer: rows before it only warm up rolling
-    metrics and are not written.
+    metrics and are not written. Without ``date_expr`` the newest day comes
+    from the y/M/d folders of ``path``: a listing, no scan.
     """
+    if date_expr is None:
+        newest = newest_partition(spark, path)
+        if newest is None:
+            return _first_window(full_load_start, buffer_days)
+        day = _dt.date(*map(int, newest))
+        start = day - _dt.timedelta(days=delta_days + buffer_days)
+        if floor is not None:
+            start = max(start, to_py_date(floor))
+        return IncrementalWindow(True, day, start, start + _dt.timedelta(days=buffer_days))
     if target is None:
         try:
             target = spark.read.format(fmt).load(path)
         except AnalysisException as exc:
-            if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+            # a target that a load of no rows left has folders but no schema
+            if not any(m in str(exc) for m in ("PATH_NOT_FOUND", "does not exist", "UNABLE_TO_INFER_SCHEMA")):
                 raise
             target = None
     row = window_frame(target, date_expr, delta_days, buffer_days, floor).first() if target is not None else None
     if row is None or row["max_date"] is None:
-        start = to_py_date(full_load_start)
-        return IncrementalWindow(False, None, start, start + _dt.timedelta(days=buffer_days))
+        return _first_window(full_load_start, buffer_days)
     return IncrementalWindow(True, row["max_date"], row["start"], row["cut"])
 
 
+def _first_window(full_load_start: DateLike, buffer_days: int) -> IncrementalWindow:
+    start = to_py_date(full_load_start)
+    return IncrementalWindow(False, None, start, start + _dt.timedelta(days=buffer_days))
+
+
+def replace_days(df: DataFrame, path: str, date_col: str, first: _dt.date, last: _dt.date | None = None, fmt: str = "parquet",
+                 num_partitions: int | None = None) -> None:
+    """Replace the days from ``first`` to ``last`` (default: the newest of table and frame) by the frame's rows.
+
+    ``df`` has the y/M/d partition columns and is written as it is; it is
+    materialised once. The days it has are one value per day of the range.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    df = df.checkpoint(eager=True)
+    present = {r[0] for r in df.select(F.to_date(date_col)).distinct().collect()}
+    newest = newest_partition(spark, path)
+    ends = [d for d in (last, _dt.date(*map(int, newest)) if newest else None) if d is not None]
+    if present:
+        write_partitioned(df, path, PARTITION_COLUMNS, fmt, num_partitions=num_partitions)
+    if newest:
+        end = min(ends) if last is not None else max(ends)
+        days = (first + _dt.timedelta(days=i) for i in range((end - first).days + 1))
+        drop_days(spark, path, (d for d in days if d not in present))
+
+
 def incremental_write(df: DataFrame, path: str, date_col: str, window: IncrementalWindow,
                       until: DateLike | None = None, fmt: str = "parquet",
                       num_partitions: int | None = None) -> None:
     """Write rows with ``cut <= date`` (and ``date <= until``) to y/M/d partitions.
 
-    Only partitions present in the frame are replaced (dynamic overwrite).
+    The whole range of days is replaced: days without rows lose their old ones.
     ``num_partitions``: see ``write_partitioned``.
     """
     cond = F.col(date_col) >= F.lit(window.cut)
     if until is not None:
         cond = cond & (F.col(date_col) <= date_lit(until))
-    write_partitioned(with_date_partitions(df.where(cond), date_col), path, PARTITION_COLUMNS, fmt,
-                      num_partitions=num_partitions)
+    replace_days(with_date_partitions(df.where(cond), date_col), path, date_col, window.cut,
+                 to_py_date(until) if until is not None else None, fmt, num_partitions)
 
 
 def full_load(df: DataFrame, path: str, date_col: str, start: DateLike, buffer_days: int = 0,
