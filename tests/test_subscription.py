@@ -2,7 +2,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import columns
 from ledgerlens.operators import cohort, subscription as S
+from ledgerlens.plans.fixtures import RULES
 
 T = dt.datetime
 HIST = "consumer_id long, contract_number long, package_title string, history_description string, " \
@@ -14,7 +16,7 @@ def test_status_priority_ties(spark):
     pairs = [("PRE_SUBSCRIPTION", "x", 0), ("SUBSCRIBING", "x", 1), ("SUBSCRIBED", "Plano REABILITADO", 5),
              ("SUBSCRIBED", "Reaiblitado", 5), ("SUBSCRIBED", "reativação", 5), ("SUBSCRIBED", "normal", 2),
              ("SUBSCRIBED", None, None), ("DISCONTINUED", None, 3), ("CANCELED", None, 4)]
-    df = spark.createDataFrame([(1, i, "Original", d, s, at, 0) for i, (s, d, _) in enumerate(pairs)], HIST)
+    df = spark.createDataFrame([(1, i, "Starter", d, s, at, 0) for i, (s, d, _) in enumerate(pairs)], HIST)
     got = [r[0] for r in df.orderBy("contract_number").select(
         S.status_priority("history_status", "history_description")).collect()]
     assert got == [p for _, _, p in pairs]
@@ -23,17 +25,17 @@ def test_status_priority_ties(spark):
 def test_latest_status_order(spark):
     at = T(2024, 5, 1, 1)
     rows = [
-        (1, 10, "Club Plus", "normal", "SUBSCRIBED", at, 1),
-        (1, 10, "Club Plus", None, "CANCELED", at, 2),           # same time: CANCELED (4) beats SUBSCRIBED (2)
-        (1, 11, "club +", None, "SUBSCRIBED", at, 1),             # null priority loses (nulls last)
-        (1, 11, "club +", None, "SUBSCRIBING", at, 2),
-        (1, 12, "Club Plus", "x", "CANCELED", at - dt.timedelta(days=1), 1),
-        (1, 12, "Club Plus", "reabilitado", "SUBSCRIBED", at, 2),  # later time wins
+        (1, 10, "Harbour Yearly", "normal", "SUBSCRIBED", at, 1),
+        (1, 10, "Harbour Yearly", None, "CANCELED", at, 2),           # same time: CANCELED (4) beats SUBSCRIBED (2)
+        (1, 11, "harbour monthly", None, "SUBSCRIBED", at, 1),             # null priority loses (nulls last)
+        (1, 11, "harbour monthly", None, "SUBSCRIBING", at, 2),
+        (1, 12, "Harbour Yearly", "x", "CANCELED", at - dt.timedelta(days=1), 1),
+        (1, 12, "Harbour Yearly", "reabilitado", "SUBSCRIBED", at, 2),  # later time wins
         (1, 13, "Other", None, "CANCELED", at, 1),                # out of scope title
     ]
     df = spark.createDataFrame(rows, HIST)
     got = {r.contract_number: (r.history_status, r.status_history_at)
-           for r in S.latest_status(df, tie_breakers=["seq"]).collect()}
+           for r in S.latest_status(df, RULES, tie_breakers=["seq"]).collect()}
     shifted = at - dt.timedelta(hours=3)
     assert got == {10: ("CANCELED", shifted), 11: ("SUBSCRIBING", shifted), 12: ("SUBSCRIBED", shifted)}
 
@@ -45,25 +47,25 @@ SUBS = "consumer_id long, contract_number long, package_id int, package_title st
 def _chain(spark, subs, hist, as_of):
     s = spark.createDataFrame(subs, SUBS)
     h = spark.createDataFrame(hist, HIST)
-    latest = S.latest_status(h, tie_breakers=["seq"])
-    base = S.contract_base(s, latest, S.package_classes(s), created_from="2024-01-01")
+    latest = S.latest_status(h, RULES, tie_breakers=["seq"])
+    base = S.contract_base(s, latest, S.package_classes(s, RULES), RULES, created_from="2024-01-01")
     return base, S.daily_status(base, "2024-01-01", as_of)
 
 
 def test_contract_base_and_daily_status(spark):
     as_of = dt.date(2024, 3, 10)
     subs = [
-        (1, 1, 1, "Club Plus", "CANCELED", T(2024, 3, 5), T(2024, 3, 1), None),     # created > effective
-        (2, 2, 1, "Club Plus", "SUBSCRIBED", T(2024, 3, 1), None, None),            # effective null: no days
-        (3, 3, 1, "Club Plus", "CANCELED", T(2024, 3, 1), T(2024, 3, 2), None),     # canceled in the future
-        (4, 4, 1, "Club Plus", "CANCELED", T(2024, 3, 1), T(2024, 3, 2), None),     # canceled today
-        (5, 5, 1, "Club Plus", "SUBSCRIBED", None, T(2024, 3, 2), None),            # created null: filtered
+        (1, 1, 1, "Harbour Yearly", "CANCELED", T(2024, 3, 5), T(2024, 3, 1), None),     # created > effective
+        (2, 2, 1, "Harbour Yearly", "SUBSCRIBED", T(2024, 3, 1), None, None),            # effective null: no days
+        (3, 3, 1, "Harbour Yearly", "CANCELED", T(2024, 3, 1), T(2024, 3, 2), None),     # canceled in the future
+        (4, 4, 1, "Harbour Yearly", "CANCELED", T(2024, 3, 1), T(2024, 3, 2), None),     # canceled today
+        (5, 5, 1, "Harbour Yearly", "SUBSCRIBED", None, T(2024, 3, 2), None),            # created null: filtered
     ]
-    hist = [(1, 1, "Club Plus", None, "CANCELED", T(2024, 3, 8, 2), 1),   # -3h -> 2024-03-07 23:00
-            (2, 2, "Club Plus", None, "SUBSCRIBED", T(2024, 3, 1), 1),
-            (3, 3, "Club Plus", None, "CANCELED", T(2024, 3, 12, 5), 1),
-            (4, 4, "Club Plus", None, "CANCELED", T(2024, 3, 10, 5), 1),
-            (5, 5, "Club Plus", None, "SUBSCRIBED", T(2024, 3, 1), 1)]
+    hist = [(1, 1, "Harbour Yearly", None, "CANCELED", T(2024, 3, 8, 2), 1),   # -3h -> 2024-03-07 23:00
+            (2, 2, "Harbour Yearly", None, "SUBSCRIBED", T(2024, 3, 1), 1),
+            (3, 3, "Harbour Yearly", None, "CANCELED", T(2024, 3, 12, 5), 1),
+            (4, 4, "Harbour Yearly", None, "CANCELED", T(2024, 3, 10, 5), 1),
+            (5, 5, "Harbour Yearly", None, "SUBSCRIBED", T(2024, 3, 1), 1)]
     base, daily = _chain(spark, subs, hist, as_of)
     b = {r.contract_number: r for r in base.collect()}
     assert set(b) == {1, 2, 3, 4}
@@ -84,16 +86,16 @@ def test_contract_base_and_daily_status(spark):
 
 def test_prioritised_one_row_per_consumer_day(spark):
     as_of = dt.date(2024, 3, 4)
-    subs = [(1, 1, 1, "Club Plus", "CANCELED", T(2024, 3, 1), T(2024, 3, 1), None),
-            (1, 2, 4, "Original", "SUBSCRIBED", T(2024, 3, 1), T(2024, 3, 1), None),
-            (1, 3, 1, "Club Plus", "SUBSCRIBED", T(2024, 3, 1), T(2024, 3, 1), None),
-            (1, 4, 1, "Club Plus", "SUBSCRIBED", T(2024, 3, 1), T(2024, 3, 1), None)]   # full tie with 3
-    hist = [(1, 1, "Club Plus", None, "CANCELED", T(2024, 3, 2, 5), 1),
-            (1, 2, "Original", None, "SUBSCRIBED", T(2024, 3, 1), 1),
-            (1, 3, "Club Plus", None, "SUBSCRIBED", T(2024, 3, 1), 1),
-            (1, 4, "Club Plus", None, "SUBSCRIBED", T(2024, 3, 1), 1)]
+    subs = [(1, 1, 1, "Harbour Yearly", "CANCELED", T(2024, 3, 1), T(2024, 3, 1), None),
+            (1, 2, 4, "Starter", "SUBSCRIBED", T(2024, 3, 1), T(2024, 3, 1), None),
+            (1, 3, 1, "Harbour Yearly", "SUBSCRIBED", T(2024, 3, 1), T(2024, 3, 1), None),
+            (1, 4, 1, "Harbour Yearly", "SUBSCRIBED", T(2024, 3, 1), T(2024, 3, 1), None)]   # full tie with 3
+    hist = [(1, 1, "Harbour Yearly", None, "CANCELED", T(2024, 3, 2, 5), 1),
+            (1, 2, "Starter", None, "SUBSCRIBED", T(2024, 3, 1), 1),
+            (1, 3, "Harbour Yearly", None, "SUBSCRIBED", T(2024, 3, 1), 1),
+            (1, 4, "Harbour Yearly", None, "SUBSCRIBED", T(2024, 3, 1), 1)]
     s = spark.createDataFrame(subs, SUBS)
-    story = S.storyline(s, spark.createDataFrame(hist, HIST), created_from="2024-01-01",
+    story = S.storyline(s, spark.createDataFrame(hist, HIST), RULES, created_from="2024-01-01",
                         calendar_start="2024-01-01", as_of=as_of, history_tie_breakers=["seq"])
     got = story.collect()
     assert len(got) == len({(r.consumer_id, r.metric_date) for r in got}) == 4
@@ -103,20 +105,20 @@ def test_prioritised_one_row_per_consumer_day(spark):
         dt.date(2024, 3, 1): 1, dt.date(2024, 3, 2): 3, dt.date(2024, 3, 3): 3, dt.date(2024, 3, 4): 3}
     fact = S.storyline_fact(story)
     assert fact.columns[0] == "storyline_id" and fact.select("storyline_id").distinct().count() == 4
-    chk = S.active_base_check(story, as_of, excluded_title="Original").collect()[0]
+    chk = S.active_base_check(story, as_of, excluded_title="Starter").collect()[0]
     assert (chk.distinct_consumers, chk.qtt) == (1, 1)
 
 
 def test_month_end_only_equals_full_on_month_ends(spark):
     as_of = dt.date(2024, 4, 15)
-    subs = [(1, 1, 1, "Club Plus", "CANCELED", T(2024, 1, 20), T(2024, 1, 21), None),
-            (2, 2, 4, "Original", "SUBSCRIBED", T(2024, 2, 29), T(2024, 2, 29), None)]
-    hist = [(1, 1, "Club Plus", None, "CANCELED", T(2024, 3, 10), 1),
-            (2, 2, "Original", None, "SUBSCRIBED", T(2024, 2, 29), 1)]
+    subs = [(1, 1, 1, "Harbour Yearly", "CANCELED", T(2024, 1, 20), T(2024, 1, 21), None),
+            (2, 2, 4, "Starter", "SUBSCRIBED", T(2024, 2, 29), T(2024, 2, 29), None)]
+    hist = [(1, 1, "Harbour Yearly", None, "CANCELED", T(2024, 3, 10), 1),
+            (2, 2, "Starter", None, "SUBSCRIBED", T(2024, 2, 29), 1)]
     s, h = spark.createDataFrame(subs, SUBS), spark.createDataFrame(hist, HIST)
     kw = dict(created_from="2024-01-01", calendar_start="2024-01-01", as_of=as_of, history_tie_breakers=["seq"])
-    full = S.storyline(s, h, **kw)
-    ends = S.storyline(s, h, month_end_only=True, **kw)
+    full = S.storyline(s, h, RULES, **kw)
+    ends = S.storyline(s, h, RULES, month_end_only=True, **kw)
     d = F.col("metric_date")
     want = full.where((d == F.last_day(d)) | (d == F.lit(as_of)))
     assert sorted(map(tuple, ends.collect())) == sorted(map(tuple, want.collect()))
@@ -124,12 +126,12 @@ def test_month_end_only_equals_full_on_month_ends(spark):
 
 def test_cohort_laws(spark):
     story = spark.createDataFrame([
-        (1, dt.date(2024, 1, 31), T(2024, 1, 10), "Ativo", 1, 1, "Club Plus"),
-        (1, dt.date(2024, 2, 29), T(2024, 1, 10), "Inativo", 1, 1, "Club Plus"),
-        (2, dt.date(2024, 1, 15), T(2024, 1, 15), "Ativo", 2, 1, "Club Plus"),
-        (2, dt.date(2024, 1, 31), T(2024, 1, 15), "Ativo", 2, 1, "Club Plus"),
-        (3, dt.date(2024, 2, 10), T(2024, 2, 10), "Ativo", 3, 1, "Club Plus"),
-        (3, dt.date(2024, 2, 29), T(2024, 2, 10), "Inativo", 3, 1, "Club Plus"),
+        (1, dt.date(2024, 1, 31), T(2024, 1, 10), "Ativo", 1, 1, "Harbour Yearly"),
+        (1, dt.date(2024, 2, 29), T(2024, 1, 10), "Inativo", 1, 1, "Harbour Yearly"),
+        (2, dt.date(2024, 1, 15), T(2024, 1, 15), "Ativo", 2, 1, "Harbour Yearly"),
+        (2, dt.date(2024, 1, 31), T(2024, 1, 15), "Ativo", 2, 1, "Harbour Yearly"),
+        (3, dt.date(2024, 2, 10), T(2024, 2, 10), "Ativo", 3, 1, "Harbour Yearly"),
+        (3, dt.date(2024, 2, 29), T(2024, 2, 10), "Inativo", 3, 1, "Harbour Yearly"),
     ], "consumer_id long, metric_date date, effective_at timestamp_ntz, status_contract string, "
        "contract_number long, package_id int, package_title string")
     contracts = spark.createDataFrame([
@@ -137,7 +139,7 @@ def test_cohort_laws(spark):
         (2, T(2024, 1, 15), T(2024, 1, 15), None),
         (3, T(2024, 2, 10), T(2024, 2, 10), T(2024, 2, 20)),
     ], "contract_number long, created_at timestamp_ntz, effective_at timestamp_ntz, canceled_at timestamp_ntz")
-    base = cohort.cohort_base(story, contracts, created_from="2024-01-01")
+    base = cohort.cohort_base(story, contracts, "Starter", created_from="2024-01-01")
     act = cohort.activation_cohort(base)
     churn = cohort.month_end_churn(base, as_of="2024-03-05")
     attr = {(r.consumer_id, str(r.effective_month)): r.delta_meses_churn
@@ -157,7 +159,7 @@ def test_cohort_laws(spark):
         stayed = sum(r.clientes for r in rows if r.mes_churn == "Permaneceu Ativo")
         assert churned + stayed == act.where(F.col("effective_month") == F.lit(safra).cast("date")).count()
     rm = {(r.data_producao, r.data_safra): r.consumers
-          for r in cohort.retention_matrix(story, as_of="2024-03-05", pool_before="2024-02-01").collect()}
+          for r in cohort.retention_matrix(story, "Starter", as_of="2024-03-05", pool_before="2024-02-01").collect()}
     assert rm == {("< 2024-02-01", "< 2024-02-01"): 2}
 
 
@@ -169,15 +171,15 @@ def test_churn_label_beyond_eleven(spark):
 
 def test_clustered_storyline_equals_unclustered(spark):
     as_of = dt.date(2024, 4, 3)
-    subs = [(c % 3, c, 1 + c % 4, ["Club Plus", "club +", "Club Premium", "Original"][c % 4],
+    subs = [(c % 3, c, 1 + c % 4, ["Harbour Yearly", "harbour monthly", "Harbour Family", "Starter"][c % 4],
              "CANCELED" if c % 2 else "SUBSCRIBED", T(2024, 1, 1 + c), T(2024, 1, 3 + c), None) for c in range(12)]
-    hist = [(c % 3, c, ["Club Plus", "club +", "Club Premium", "Original"][c % 4], None, "CANCELED",
+    hist = [(c % 3, c, ["Harbour Yearly", "harbour monthly", "Harbour Family", "Starter"][c % 4], None, "CANCELED",
              T(2024, 2, 1 + c, 2), 1) for c in range(12)]
     s, h = spark.createDataFrame(subs, SUBS), spark.createDataFrame(hist, HIST)
     kw = dict(created_from="2024-01-01", calendar_start="2024-01-01", as_of=as_of, history_tie_breakers=["seq"])
-    a = S.storyline(s, h, cluster_partitions=0, **kw)
-    b = S.storyline(s, h, cluster_partitions=None, **kw)
-    c = S.storyline(s, h, cluster_partitions=3, **kw)
+    a = S.storyline(s, h, RULES, cluster_partitions=0, **kw)
+    b = S.storyline(s, h, RULES, cluster_partitions=None, **kw)
+    c = S.storyline(s, h, RULES, cluster_partitions=3, **kw)
     ra = sorted(map(tuple, a.collect()))
     assert ra == sorted(map(tuple, b.collect())) == sorted(map(tuple, c.collect()))
     assert len(ra) == len({(r[0], r[1]) for r in ra}) > 0
@@ -185,32 +187,51 @@ def test_clustered_storyline_equals_unclustered(spark):
 
 def test_canceled_before_effective_and_month_end_as_of(spark):
     as_of = dt.date(2024, 3, 31)                       # a month end: counted once
-    subs = [(1, 1, 1, "Club Plus", "CANCELED", T(2024, 3, 1), T(2024, 3, 10), None),
-            (2, 2, 1, "Club Plus", "SUBSCRIBED", T(2024, 2, 20), T(2024, 2, 20), None)]
-    hist = [(1, 1, "Club Plus", None, "CANCELED", T(2024, 3, 5, 12), 1),   # before effective
-            (2, 2, "Club Plus", None, "SUBSCRIBED", T(2024, 2, 20), 1)]
-    story = S.storyline(spark.createDataFrame(subs, SUBS), spark.createDataFrame(hist, HIST),
+    subs = [(1, 1, 1, "Harbour Yearly", "CANCELED", T(2024, 3, 1), T(2024, 3, 10), None),
+            (2, 2, 1, "Harbour Yearly", "SUBSCRIBED", T(2024, 2, 20), T(2024, 2, 20), None)]
+    hist = [(1, 1, "Harbour Yearly", None, "CANCELED", T(2024, 3, 5, 12), 1),   # before effective
+            (2, 2, "Harbour Yearly", None, "SUBSCRIBED", T(2024, 2, 20), 1)]
+    story = S.storyline(spark.createDataFrame(subs, SUBS), spark.createDataFrame(hist, HIST), RULES,
                         created_from="2024-01-01", calendar_start="2024-01-01", as_of=as_of,
                         history_tie_breakers=["seq"])
     c1 = {r.status_contract for r in story.where("contract_number = 1").collect()}
     assert c1 == {"Inativo"}
     rm = {(r.data_producao, r.data_safra): r.consumers
-          for r in cohort.retention_matrix(story, as_of=as_of, pool_before="2024-01-01").collect()}
+          for r in cohort.retention_matrix(story, "Starter", as_of=as_of, pool_before="2024-01-01").collect()}
     assert rm == {("2024-02-01", "2024-02-01"): 1, ("2024-03-01", "2024-02-01"): 1}
 
 
 def test_reactivated_within_month_is_not_churn(spark):
     story = spark.createDataFrame([
-        (1, dt.date(2024, 1, 20), T(2024, 1, 10), "Inativo", 1, 1, "Club Plus"),   # canceled mid-month
-        (1, dt.date(2024, 1, 31), T(2024, 1, 25), "Ativo", 2, 1, "Club Plus"),     # back before month end
-        (1, dt.date(2024, 1, 12), T(2024, 1, 10), "Ativo", 1, 1, "Club Plus"),
+        (1, dt.date(2024, 1, 20), T(2024, 1, 10), "Inativo", 1, 1, "Harbour Yearly"),   # canceled mid-month
+        (1, dt.date(2024, 1, 31), T(2024, 1, 25), "Ativo", 2, 1, "Harbour Yearly"),     # back before month end
+        (1, dt.date(2024, 1, 12), T(2024, 1, 10), "Ativo", 1, 1, "Harbour Yearly"),
     ], "consumer_id long, metric_date date, effective_at timestamp_ntz, status_contract string, "
        "contract_number long, package_id int, package_title string")
     contracts = spark.createDataFrame([(1, T(2024, 1, 10), T(2024, 1, 10), T(2024, 1, 18)),
                                        (2, T(2024, 1, 25), T(2024, 1, 25), None)],
                                       "contract_number long, created_at timestamp_ntz, effective_at timestamp_ntz, "
                                       "canceled_at timestamp_ntz")
-    base = cohort.cohort_base(story, contracts, created_from="2024-01-01")
+    base = cohort.cohort_base(story, contracts, "Starter", created_from="2024-01-01")
     assert cohort.month_end_churn(base, as_of="2024-02-15").count() == 0
     attr = cohort.cohort_attribution(base, as_of="2024-02-15").collect()
     assert [(r.consumer_id, r.delta_meses_churn) for r in attr] == [(1, None)]
+
+
+def test_only_day_equals_the_day_of_the_whole_storyline(spark):
+    subs = [(c % 5, c, 1 + c % 3, ["Harbour Yearly", "Starter", "Harbour Family"][c % 3], "CANCELED" if c % 4 == 0 else "SUBSCRIBED",
+             T(2024, 1, 1 + c % 28), T(2024, 1, 2 + c % 28), None) for c in range(40)]
+    hist = [(c % 5, c, ["Harbour Yearly", "Starter", "Harbour Family"][c % 3], None, "CANCELED", T(2024, 2, 1 + c % 20), 1) for c in range(40)]
+    s, h = spark.createDataFrame(subs, SUBS), spark.createDataFrame(hist, HIST)
+    kw = dict(created_from="2024-01-01", calendar_start="2024-01-01", as_of="2024-03-01", history_tie_breakers=["seq"])
+    whole = S.storyline(s, h, RULES, **kw).where("metric_date = date'2024-02-10'")
+    assert sorted(map(tuple, S.storyline(s, h, RULES, only_day="2024-02-10", **kw).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_ids_tell_nulls_and_repeats_apart(spark):
+    df = spark.createDataFrame([("a", None, "b", 1), ("a", "b", None, 1), ("ab", None, None, 1), ("a", None, "b", 2), ("a", None, "b", 2)],
+                               "x string, y string, z string, v int")
+    keys = [r[0] for r in df.select(columns.surrogate_key("x", "y", "z")).collect()]
+    assert len(set(keys)) == 3 and keys[0] == keys[3] == keys[4] and all(len(k) == 32 for k in keys)
+    once, again = (sorted(r[0] for r in columns.numbered_key(d, ("x", "y", "z"), "id").collect()) for d in (df, df.repartition(3)))
+    assert len(set(once)) == 5 and once == again
