@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -302,8 +303,6 @@ def encode(docs: DataFrame, model: Compiled, id_col: str = "doc_id", text_col: s
 
 def decode(encoded: DataFrame, model: Compiled, ids_col: str = "ids") -> DataFrame:
     """The rows with a column ``text`` decoded from their ids; null ids decode to an empty text, ids out of range fail."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         return pd.Series([decode_ids(model, [] if x is None else list(x)) for x in ids], dtype=object)

@@ -51,13 +51,18 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
 class Transducer:
-    """A deterministic weighted transducer: arcs[state, symbol] = (state, symbol out, weight); symbols not listed pass."""
+    """A deterministic weighted transducer: arcs[state, symbol] = (state, symbol out, weight).
+
+    The symbol ``*`` stands for any symbol not listed, and as an output for the
+    symbol read; a symbol without an arc passes.
+    """
 
     def __init__(self, arcs: dict, start=0):
         self.arcs, self.start = arcs, start
 
     def step(self, state, symbol):
-        return self.arcs.get((state, symbol), self.arcs.get((state, "*"), (state, symbol, 0.0)))
+        to, out, weight = self.arcs.get((state, symbol)) or self.arcs.get((state, "*")) or (state, symbol, 0.0)
+        return to, symbol if out == "*" else out, weight
 
     def compose(self, other: Transducer, alphabet: str) -> Transducer:
         """The machine that feeds this one's output to ``other``; weights add (tropical semiring)."""
@@ -70,8 +75,6 @@ class Transducer:
             for symbol in alphabet:
                 a, mid, w = self.step(state[0], symbol)
                 b, out, v = other.step(state[1], mid)
-                if out == "*":
-                    out = mid
                 arcs[state, symbol] = ((a, b), out, w + v)
                 todo.append((a, b))
         return Transducer(arcs, (self.start, other.start))
