@@ -35,6 +35,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,8 +99,7 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces)), pa.repeat(salt, pieces),
                                               pa.array([p.tobytes() for p in total.reshape(pieces, -1)])], names=["piece", "salt", "counts"])
 
-    def summed(key: tuple, part) -> object:
-        import pandas as pd
+    def summed(key, part):
         total = np.zeros(size // pieces, np.uint32)
         for c in part["counts"]:
             total += np.frombuffer(c, np.uint32)
@@ -148,11 +148,16 @@ def signatures(docs: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """(pivot, id): the documents of every cell that more than one shares, under the cell's most central document."""
-    placed = classes.select(F.explode("cells").alias("cell"), "id", "weight")
-    centre = (placed.groupBy("cell").agg(F.count("*").alias("k"), F.max(F.struct("weight", -F.col("id"))).alias("best"))
-              .where("k > 1").select("cell", (-F.col("best.col2")).alias("pivot")))
-    return placed.join(centre, "cell").select("pivot", "id").distinct()
+    """(pivot, id): the documents of every cell that more than one shares, under the cell's most central document.
+
+    Cells are counted first, by key alone, so the many that one document holds are gone before ids are joined.
+    """
+    placed = classes.select(F.explode("cells").alias("cell"), "id")
+    several = placed.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1").select("cell")
+    shared = cut(placed.join(several, "cell"))
+    weighed = shared.join(classes.select("id", "weight"), "id")
+    centre = weighed.groupBy("cell").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("best"))
+    return shared.join(centre.select("cell", (-F.col("best.id")).alias("pivot")), "cell").select("pivot", "id").distinct()
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -266,31 +271,36 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
         F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _shells(members: DataFrame, rule: Rule) -> DataFrame:
-    """Members with their shell and block; a region of at most LEAF documents is one block."""
+def _shells(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(pivot, id, n, weight, shell, far, window, part, block): a region of at most LEAF documents is one block.
+
+    Only the larger regions need distances to the pivot, so only their members carry coordinates here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mine = np.frombuffer(b"".join(batch.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
-            pivot = np.frombuffer(b"".join(batch.column("pivot_parts").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
+            mine, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
+                           for c in ("parts", "pivot_parts"))
             far = np.abs(mine - pivot).sum(1, dtype=np.int64)
-            keep = [c for c in batch.schema.names if c != "pivot_parts"]
+            keep = [c for c in batch.schema.names if c not in ("parts", "pivot_parts")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(far)], names=[*keep, "far"])
 
-    pivots = members.where("id = pivot").select("pivot", F.col("parts").alias("pivot_parts"), F.col("n").alias("pivot_n"))
     sizes = members.groupBy("pivot").agg(F.count("*").alias("k"))
-    wide = members.join(pivots.join(sizes, "pivot"), "pivot")
+    wide = members.join(classes.select("id", "n", "weight"), "id").join(sizes, "pivot")
     reach = F.lit((rule.whole - rule.part) / (rule.whole + rule.part) * (1 + rule.whole / rule.part))
-    big = wide.where(F.col("k") > LEAF).select("pivot", "id", "n", "weight", "parts", "pivot_parts", "pivot_n")
-    big = big.mapInArrow(run, "pivot long, id long, n long, weight double, parts binary, pivot_n long, far long")
-    big = big.select("pivot", "id", "n", "weight", "parts", "far", F.ceil(reach * F.col("n")).cast("long").alias("window"),
+    big = wide.where(F.col("k") > LEAF).select("pivot", "id", "n", "weight").join(classes.select("id", "parts"), "id")
+    pivots = sizes.where(F.col("k") > LEAF).select("pivot").join(
+        classes.select(F.col("id").alias("pivot"), F.col("parts").alias("pivot_parts"), F.col("n").alias("pivot_n")), "pivot")
+    big = big.join(pivots, "pivot").select("pivot", "id", "n", "weight", "pivot_n", "parts", "pivot_parts")
+    big = big.mapInArrow(run, "pivot long, id long, n long, weight double, pivot_n long, far long")
+    big = big.select("pivot", "id", "n", "weight", "far", F.ceil(reach * F.col("n")).cast("long").alias("window"),
                      F.floor(F.col("far") / F.greatest(F.ceil(reach * F.col("pivot_n")), F.lit(1))).cast("long").alias("shell"))
     counts = big.groupBy("pivot", "shell").agg(F.count("*").alias("k"))
     big = big.join(counts, ["pivot", "shell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / LEAF))).drop("k")
     zero = F.lit(0).cast("long")
-    small = wide.where(F.col("k") <= LEAF).select("pivot", zero.alias("shell"), "id", "n", "weight", "parts", zero.alias("far"), zero.alias("window"), zero.alias("part"))
+    small = wide.where(F.col("k") <= LEAF).select("pivot", zero.alias("shell"), "id", "n", "weight", zero.alias("far"), zero.alias("window"), zero.alias("part"))
     return big.unionByName(small).withColumn("block", F.xxhash64("pivot", "shell", "part"))
 
 
@@ -317,18 +327,22 @@ def jaccard_classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(signatures(docs, frequency_sketch(docs, rule.words), rule))
     same = ["fp1", "fp2", "n"]
-    classes = signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(
-        F.min("doc_id").alias("id"), F.first("weight").alias("weight"), F.first("parts").alias("parts"), F.first("cells").alias("cells"))
-    classes = cut(classes)
-    members = regions(classes).join(classes.select("id", "n", "weight", "parts"), "id")
-    placed = cut(_shells(cut(members), rule))
-    first = cut(linked(block_stars(placed, rule), docs, rule))
-    named = _labelled(placed, connected_components(first))
-    named = cut(named)
-    met = named.join(_meetings(named), "block")
-    second = cut(linked(block_pairs(met, rule), docs, rule))
+    usable = signed.where("n > 0 and doc_id is not null")
+    least = cut(usable.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("k")))
+    # The other members of a class take its result; a class is represented by its smallest id.
+    others = usable.select("doc_id", *same).join(least.where("k > 1").drop("k"), same).where("doc_id <> id").select("doc_id", "fp1").distinct()
+    others = cut(others)
+    if others.count() <= BROADCAST_ROWS:
+        others = F.broadcast(others)
+    classes = usable.join(others, ["doc_id", "fp1"], "left_anti").select(F.col("doc_id").alias("id"), "n", "weight", "parts", "cells")
+    placed = cut(_shells(cut(regions(classes)), classes, rule))
+    parts = classes.select("id", "parts")
+    first = cut(linked(block_stars(placed.select("block", "id", "n", "weight").join(parts, "id"), rule), docs, rule))
+    named = cut(_labelled(placed.drop("weight"), connected_components(first)))
+    met = named.select("block", "id", "n", "component").join(_meetings(named), "block")
+    second = cut(linked(block_pairs(met.join(parts, "id"), rule), docs, rule))
     final = connected_components(first.unionByName(second)) if second.head(1) else connected_components(first)
-    named = _labelled(classes.select(*same, "id"), final).select(*same, F.col("component").alias("component_id"))
+    named = _labelled(least.drop("k"), final).select(*same, F.col("component").alias("component_id"))
     return signed.select("doc_id", *same).join(named, same, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
