@@ -25,7 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import (BooleanType, DateType, DoubleType, LongType, StringType, StructField,
+from pyspark.sql.types import (BooleanType, DateType, DecimalType, DoubleType, LongType, StringType, StructField,
                                StructType)
 
 from ..functions.columns import allocate_cashback, numbered_key, value_bucket
@@ -41,6 +41,9 @@ PRODUCT_NAMES = ("PIX", "P2P", "BILLS", "Multas e IPVA")
 CONSUMER_USER_TYPE = "CONSUMER"
 # -----------------------------------------------------------------------------
 
+# Money keeps its cents: sums of doubles drift, sums of decimals do not.
+MONEY = DecimalType(18, 2)
+
 # Output schema of the unified fact before id and partition columns.
 BRANCH_SCHEMA = StructType([
     StructField("all_transaction_id", StringType()),
@@ -61,9 +64,9 @@ BRANCH_SCHEMA = StructType([
     StructField("consumer_id", LongType()),
     StructField("installments", LongType()),
     StructField("transaction_type", StringType()),
-    StructField("cashback_value", DoubleType()),
-    StructField("paid_card_value", DoubleType()),
-    StructField("total_revenue", DoubleType()),
+    StructField("cashback_value", MONEY),
+    StructField("paid_card_value", MONEY),
+    StructField("total_revenue", MONEY),
     StructField("cashback_range", StringType()),
 ])
 
@@ -166,8 +169,8 @@ def promo_cashback(promo: DataFrame, campaigns: DataFrame, p: CashbackParams) ->
     era_key = F.when(d >= date_lit(p.key_switch), F.col("transaction_id")).otherwise(F.col("all_transaction_id"))
     pr = promo.where(p.in_join_window(d)).select(
         era_key.alias("pix_id_cashback"), "promo_transaction_id", "campaign_id", "all_transaction_id",
-        "transaction_id", "consumer_id", F.col("received_cashback_value").alias("received_cashback_value_promo"),
-        F.col("paid_credit_card_value").alias("paid_credit_card_value_promo"))
+        "transaction_id", "consumer_id", F.col("received_cashback_value").cast(MONEY).alias("received_cashback_value_promo"),
+        F.col("paid_credit_card_value").cast(MONEY).alias("paid_credit_card_value_promo"))
     j = pr.join(campaigns, "campaign_id", "left")
     return j.withColumn("is_flagged_campaign", F.coalesce(F.col("is_flagged_campaign"), F.lit(False)))
 
@@ -190,7 +193,7 @@ def status_events(events: DataFrame, campaigns: DataFrame, core: DataFrame, p: C
         # Same rows as year(created_at) >= y, written as a range so it reaches the scan.
         core_cond = core_cond & (F.col("created_at") >= F.make_date(F.lit(p.core_min_year), F.lit(1), F.lit(1)))
     c = core.where(core_cond).select(F.col("correlation_id").alias("_core_id"),
-                                     F.col("base_value").alias("_base_value"))
+                                     F.col("base_value").cast(MONEY).alias("_base_value"))
     j = (e.join(campaigns, F.col("properties_promo_campaign_id") == F.col("campaign_id"), "left")
           .drop("campaign_id")
           .join(c, F.col("properties_origin_transaction_id") == F.col("_core_id"), "inner"))
@@ -206,8 +209,8 @@ def status_events(events: DataFrame, campaigns: DataFrame, core: DataFrame, p: C
         F.col("properties_origin_transaction_id").alias("correlation_id"),
         F.col("properties_promo_campaign_id").alias("campaign_id"),
         F.col("user_id").alias("consumer_id"),
-        F.when(created, F.col("properties_original_amount")).otherwise(F.lit(0)).alias("cashback_pago"),
-        F.when(expired, F.col("properties_returned_amount")).otherwise(F.lit(0)).alias("cashback_raspado"),
+        F.when(created, F.col("properties_original_amount")).otherwise(F.lit(0)).cast(MONEY).alias("cashback_pago"),
+        F.when(expired, F.col("properties_returned_amount")).otherwise(F.lit(0)).cast(MONEY).alias("cashback_raspado"),
         F.when(created, F.col("_base_value")).otherwise(F.lit(0)).alias("paid_credit_card_value_promo"))
 
 
@@ -242,9 +245,9 @@ def normalised_payments(table: DataFrame, spec: ProductSpec, p: CashbackParams)
         F.col("installments").cast("long").alias("installments"),
         F.col(spec.type_col).cast("string").alias("type_tested"),
         F.col(spec.type_out_col).cast("string").alias("transaction_type"),
-        F.col(spec.wallet_col).cast("double").alias("wallet_value"),
-        F.col(spec.card_col).cast("double").alias("card_value"),
-        F.col(spec.fee_col).cast("double").alias("fee_value"),
+        F.col(spec.wallet_col).cast(MONEY).alias("wallet_value"),
+        F.col(spec.card_col).cast(MONEY).alias("card_value"),
+        F.col(spec.fee_col).cast(MONEY).alias("fee_value"),
         key_kind.alias("key_kind"), key.alias("join_key"))
 
 

@@ -185,6 +185,11 @@ CAMPAIGN_PATTERN = "%#1%"
 PROMO_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
 
 
+def _tenth(rate: str) -> F.Column:
+    """A tenth of the line's price at the given rate, in cents."""
+    return F.expr(f"cast(cast(l_extendedprice as decimal(18,2)) * cast({rate} as decimal(4,2)) * 0.1BD as decimal(18,2))")
+
+
 def _ids(key: str = "o_orderkey") -> dict[str, F.Column]:
     k = F.col(key).cast("string")
     return {"all_transaction_id": F.concat(F.lit("A"), k), "transaction_id": F.concat(F.lit("T"), k),
@@ -192,11 +197,11 @@ def _ids(key: str = "o_orderkey") -> dict[str, F.Column]:
 
 
 def _payment_values() -> dict[str, F.Column]:
-    price, status, key = F.col("o_totalprice"), F.col("o_orderstatus"), F.col("o_orderkey")
+    price, status, key = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderstatus"), F.col("o_orderkey")
     return {
         "card": price,
-        "wallet": F.when((status == "P") & (key % 2 == 0), price).otherwise(F.lit(0.0)),
-        "fee": price * 0.02,
+        "wallet": F.when((status == "P") & (key % 2 == 0), price).otherwise(F.lit(0).cast("decimal(18,2)")),
+        "fee": (price * F.expr("0.02BD")).cast("decimal(18,2)"),
         "type": F.when((status == "O") & (key % 3 == 0), F.lit("multiple_cards"))
                  .when(status == "O", F.lit("MULTIPLE_CARDS")).otherwise(F.lit("SINGLE_CARD")),
         "card_id": F.col("o_custkey") % 97,
@@ -259,7 +264,7 @@ def promo_transactions(t: ParquetTables) -> DataFrame:
                  F.col("l_linenumber").cast("string")).alias("promo_transaction_id"),
         F.col("l_partkey").alias("campaign_id"), ids["all_transaction_id"].alias("all_transaction_id"),
         ids["transaction_id"].alias("transaction_id"), F.col("o_custkey").alias("consumer_id"),
-        (F.col("l_extendedprice") * F.col("l_discount") / 10).alias("received_cashback_value"),
+        _tenth("l_discount").alias("received_cashback_value"),
         F.col("l_extendedprice").alias("paid_credit_card_value"))
 
 
@@ -267,7 +272,7 @@ def instant_cash(t: ParquetTables) -> DataFrame:
     f = _lines(t).where(F.col("o_orderpriority").startswith("5"))
     return f.select(F.col("l_partkey").alias("campaign_id"), F.col("o_custkey").alias("consumer_id"),
                     F.col("o_orderdate").alias("created_at"),
-                    (F.col("l_extendedprice") * F.col("l_discount") / 10).alias("instant_cash_given_value"))
+                    _tenth("l_discount").alias("instant_cash_given_value"))
 
 
 def campaign_taxonomy(t: ParquetTables) -> DataFrame:
@@ -291,8 +296,8 @@ def cashback_events(t: ParquetTables) -> DataFrame:
         F.col("o_orderdate").alias("properties_created_at"), code.cast("int").alias("properties_wallet_code_id"),
         F.col("l_partkey").alias("properties_promo_campaign_id"),
         F.concat(F.lit("C"), F.col("l_orderkey").cast("string")).alias("properties_origin_transaction_id"),
-        (F.col("l_extendedprice") * F.col("l_discount") / 10).alias("properties_original_amount"),
-        (F.col("l_extendedprice") * F.col("l_tax") / 10).alias("properties_returned_amount"),
+        _tenth("l_discount").alias("properties_original_amount"),
+        _tenth("l_tax").alias("properties_returned_amount"),
         *PROMO_ORDER)
 
 

@@ -30,9 +30,9 @@ def _ids(k: str) -> str:
 
 SOURCES_SQL = f"""
 WITH pay_base AS (
-  SELECT o.*, substr(o_orderpriority, 1, 1) AS pdig, o_totalprice AS card,
-         CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN o_totalprice ELSE 0.0 END AS wallet,
-         o_totalprice * 0.02 AS fee,
+  SELECT o.*, substr(o_orderpriority, 1, 1) AS pdig, o_totalprice::DECIMAL(18,2) AS card,
+         CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN o_totalprice::DECIMAL(18,2) ELSE 0 END AS wallet,
+         (o_totalprice::DECIMAL(18,2) * 0.02)::DECIMAL(18,2) AS fee,
          CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 = 0 THEN 'multiple_cards'
               WHEN o_orderstatus = 'O' THEN 'MULTIPLE_CARDS' ELSE 'SINGLE_CARD' END AS ttype,
          o_custkey % 97 AS card_id, o_orderkey % 12 + 1 AS inst, {_ids('o_orderkey')},
@@ -65,11 +65,11 @@ promo AS (SELECT l_shipdate AS created_at,
                  'P' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS promo_transaction_id,
                  l_partkey AS campaign_id, 'A' || CAST(l_orderkey AS VARCHAR) AS all_transaction_id,
                  'T' || CAST(l_orderkey AS VARCHAR) AS transaction_id, o_custkey AS consumer_id,
-                 l_extendedprice * l_discount / 10 AS received_cashback_value,
-                 l_extendedprice AS paid_credit_card_value
+                 (l_extendedprice::DECIMAL(18,2) * l_discount::DECIMAL(4,2) * 0.1)::DECIMAL(18,2) AS received_cashback_value,
+                 l_extendedprice::DECIMAL(18,2) AS paid_credit_card_value
           FROM line WHERE o_orderpriority NOT LIKE '5%'),
 instant AS (SELECT l_partkey AS campaign_id, o_custkey AS consumer_id, o_orderdate AS created_at,
-                   l_extendedprice * l_discount / 10 AS instant_cash_given_value
+                   (l_extendedprice::DECIMAL(18,2) * l_discount::DECIMAL(4,2) * 0.1)::DECIMAL(18,2) AS instant_cash_given_value
             FROM line WHERE o_orderpriority LIKE '5%'),
 tax AS (SELECT p_partkey AS promo_campaign_id, p_brand AS bu_solicitante, 'B' || CAST(p_size AS VARCHAR) AS briefing_id,
                CAST(p_size AS DOUBLE) / 100 AS cashback_percentage FROM part),
@@ -83,12 +83,12 @@ events AS (
               ELSE l.l_linenumber END AS properties_wallet_code_id,
          l.l_partkey AS properties_promo_campaign_id,
          'C' || CAST(l.l_orderkey AS VARCHAR) AS properties_origin_transaction_id,
-         l.l_extendedprice * l.l_discount / 10 AS properties_original_amount,
-         l.l_extendedprice * l.l_tax / 10 AS properties_returned_amount,
+         (l.l_extendedprice::DECIMAL(18,2) * l.l_discount::DECIMAL(4,2) * 0.1)::DECIMAL(18,2) AS properties_original_amount,
+         (l.l_extendedprice::DECIMAL(18,2) * l.l_tax::DECIMAL(4,2) * 0.1)::DECIMAL(18,2) AS properties_returned_amount,
          l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.l_extendedprice
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
 core AS (SELECT 'C' || CAST(o_orderkey AS VARCHAR) AS correlation_id, o_orderdate AS created_at,
-                o_totalprice AS base_value FROM orders),
+                o_totalprice::DECIMAL(18,2) AS base_value FROM orders),
 camp AS (
   SELECT promo_campaign_id AS campaign_id, briefing_id, cashback_percentage, TRUE AS is_flagged_campaign
   FROM tax WHERE bu_solicitante LIKE '{fx.CAMPAIGN_PATTERN}'
@@ -128,15 +128,18 @@ ev_cb AS (
 
 
 def _alloc(w, card, typ, cb, fee, total):
+    """The share in whole cents, by integers: rounded half up at six places, then at two, as decimals are."""
+    cents = lambda x: f"(COALESCE({x}, 0) * 100)::HUGEINT"
+    over, under = f"{cents(cb)} * ({cents(card)} - {cents(fee)}) * 10000", cents(total)
+    six = f"((2 * {over} + {under}) // (2 * {under}))"
+    shared = f"CASE WHEN {under} <> 0 AND {cb} IS NOT NULL THEN ((({six} + 5000) // 10000)::DECIMAL(18,2) * 0.01)::DECIMAL(18,2) END"
     return (f"CASE WHEN {w} > 0 THEN 0 "
             f"WHEN {card} > 0 AND upper({typ}) <> 'MULTIPLE_CARDS' THEN COALESCE({cb}, 0) "
-            f"WHEN {card} > 0 AND upper({typ}) = 'MULTIPLE_CARDS' "
-            f"THEN {cb} * ((COALESCE({card}, 0) - COALESCE({fee}, 0)) / NULLIF(COALESCE({total}, 0), 0)) "
-            f"ELSE 0 END")
+            f"WHEN {card} > 0 AND upper({typ}) = 'MULTIPLE_CARDS' THEN {shared} ELSE 0 END")
 
 
 COLUMNS = [(f.name, {"StringType()": "VARCHAR", "DoubleType()": "DOUBLE", "LongType()": "BIGINT",
-                     "DateType()": "DATE", "BooleanType()": "BOOLEAN"}[repr(f.dataType)])
+                     "DateType()": "DATE", "BooleanType()": "BOOLEAN", "DecimalType(18,2)": "DECIMAL(18,2)"}[repr(f.dataType)])
            for f in cashback.BRANCH_SCHEMA.fields]
 
 
@@ -229,6 +232,14 @@ def _sources(spark: SparkSession, sf_dir: str):
                 core=fx.core_transactions(t))
 
 
+def _report(df: DataFrame) -> DataFrame:
+    """Money as double, for the report only; everything before is decimal."""
+    return df.withColumns({f.name: F.col(f.name).cast("double") for f in df.schema.fields if f.dataType.typeName() == "decimal"})
+
+
+_MONEY = "REPLACE (cashback_value::DOUBLE AS cashback_value, paid_card_value::DOUBLE AS paid_card_value, total_revenue::DOUBLE AS total_revenue)"
+
+
 def _campaigns(src):
     return cashback.flagged_campaigns(src["taxonomy"], PARAMS.flag_pattern)
 
@@ -237,32 +248,34 @@ def _events_cb(src):
     return cashback.status_events(src["events"], _campaigns(src), src["core"], PARAMS, list(fx.PROMO_ORDER))
 
 
-@register("campaign_flag", SOURCES_SQL + "SELECT * FROM promo_cb")
+@register("campaign_flag", SOURCES_SQL + "SELECT * REPLACE (received_cashback_value_promo::DOUBLE AS received_cashback_value_promo, "
+          "paid_credit_card_value_promo::DOUBLE AS paid_credit_card_value_promo) FROM promo_cb")
 def campaign_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _sources(spark, sf_dir)
-    return cashback.promo_cashback(src["promo"], _campaigns(src), PARAMS)
+    return _report(cashback.promo_cashback(src["promo"], _campaigns(src), PARAMS))
 
 
-@register("cashback_status_base", SOURCES_SQL + "SELECT * FROM ev_cb")
+@register("cashback_status_base", SOURCES_SQL + "SELECT * REPLACE (cashback_pago::DOUBLE AS cashback_pago, cashback_raspado::DOUBLE AS cashback_raspado, "
+          "paid_credit_card_value_promo::DOUBLE AS paid_credit_card_value_promo) FROM ev_cb")
 def cashback_status_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_cb(_sources(spark, sf_dir))
+    return _report(_events_cb(_sources(spark, sf_dir)))
 
 
-@register("cashback_before", SOURCES_SQL + BEFORE_SQL)
+@register("cashback_before", SOURCES_SQL + f"SELECT * {_MONEY} FROM ({BEFORE_SQL})")
 def cashback_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _sources(spark, sf_dir)
     campaigns = _campaigns(src)
     pays = cashback.all_payments(src["payment_tables"], PARAMS)
-    return cashback.cashback_before(pays, cashback.promo_cashback(src["promo"], campaigns, PARAMS), PARAMS).unionByName(
-        cashback.instant_cash_before(src["instant"], campaigns, PARAMS))
+    return _report(cashback.cashback_before(pays, cashback.promo_cashback(src["promo"], campaigns, PARAMS), PARAMS).unionByName(
+        cashback.instant_cash_before(src["instant"], campaigns, PARAMS)))
 
 
-@register("cashback_after", SOURCES_SQL + AFTER_SQL)
+@register("cashback_after", SOURCES_SQL + f"SELECT * {_MONEY} FROM ({AFTER_SQL})")
 def cashback_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _sources(spark, sf_dir)
     ev = _events_cb(src)
     pays = cashback.all_payments(src["payment_tables"], PARAMS)
-    return cashback.cashback_after(pays, ev, PARAMS).unionByName(cashback.instant_cash_after(ev, PARAMS))
+    return _report(cashback.cashback_after(pays, ev, PARAMS).unionByName(cashback.instant_cash_after(ev, PARAMS)))
 
 
 def cashback_fact(spark: SparkSession, sf_dir: str, id_mode: str | None = "hash") -> DataFrame:
@@ -286,6 +299,7 @@ def cashback_payment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.count(F.lit(1)) > F.count_distinct(key)).alias("keys_repeat"))
 
 
-@register("cashback_payments", SOURCES_SQL + FACT_SQL)
+@register("cashback_payments", SOURCES_SQL + f"""SELECT * REPLACE (received_cashback_value::DOUBLE AS received_cashback_value,
+  paid_credit_card_value::DOUBLE AS paid_credit_card_value, total_revenue::DOUBLE AS total_revenue) FROM ({FACT_SQL})""")
 def cashback_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cashback_fact(spark, sf_dir, id_mode=None)
+    return _report(cashback_fact(spark, sf_dir, id_mode=None))

@@ -68,7 +68,7 @@ def test_branches(spark):
     assert (a1.cashback_value, a1.cashback_range, a1.is_flagged_campaign, a1.briefing_id) == (5.0, "01. até 10", True, "b0")
     assert a1.transaction_id == "T1" and a1.consumer_id == 501 and a1.is_mtd is True
     a2 = got[("PIX", "A2", "P2", None)]
-    assert a2.cashback_value == 20.0 * ((100.0 - 2.0) / 50.0) and a2.is_flagged_campaign is False
+    assert float(a2.cashback_value) == 20.0 * ((100.0 - 2.0) / 50.0) and a2.is_flagged_campaign is False
     assert got[("BILLS", "B1", "PB", None)].consumer_id == 777          # bills: consumer from promo
     e1 = got[("PIX", "A4", None, "E1")]
     assert e1.cashback_value == 8.0 and e1.transaction_id is None and e1.consumer_id == 504
