@@ -3,8 +3,9 @@
 The page is read into a tree of containers. Every paragraph (a block of text)
 passes points for its length and its commas to its ancestors, halved per level
 and discounted by the ancestor's link density; the container with most points
-and those of its siblings that score well are kept, without menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments.
+(the whole article that holds it) and those of its siblings that score well are
+kept, without menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and comments.
 
 Defined results: a null or empty html gives an empty text; markup that never
 closes is closed at the end; text outside any element counts as a paragraph;
@@ -23,7 +24,7 @@ from ledgerlens.llm.textops import map_texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title")
-DROPPED = frozenset("nav footer aside form button select option label dialog menu head object canvas audio video figure".split()) | set(RAW)
+DROPPED = frozenset("nav footer aside form button select option label dialog menu head object canvas audio video".split()) | set(RAW)
 BLOCKS = frozenset("p div section article main body html li ul ol dl dt dd table tbody thead tfoot tr td th blockquote pre "
                    "h1 h2 h3 h4 h5 h6 header footer nav aside form figure figcaption address hr details summary fieldset center".split())
 CONTAINERS = frozenset("div section article main body html td blockquote root center".split())
@@ -181,6 +182,14 @@ def extract(html: str | None) -> str:
     for node in scored.values():
         node.score = (node.score + node.weight) * (1.0 - node.linked / node.chars)
     best = min(scored.values(), key=lambda x: (-x.score, x.order))
+    node = best  # an article that holds the best container is the whole article
+    while node is not None and node.tag != "article":
+        node = node.parent
+    if node is None:
+        node = best
+        while node is not None and node.tag != "main":
+            node = node.parent
+    best = best if node is None else node
     kept = {id(best)}
     if best.parent is not None:
         for child in best.parent.children:

@@ -1,3 +1,5 @@
+"""A fixture that several tests of this folder import."""
+
 import pytest
 
 

@@ -18,6 +18,13 @@ def test_container_without_article_and_siblings():
     assert extract(page) == f"{PROSE}\n{PROSE} 2\n{PROSE} 3\n{PROSE} 4"
 
 
+def test_the_whole_article_around_the_best_container():
+    body = "".join(f"<p>{PROSE} {i}</p>" for i in range(60))
+    page = f"<body><main><article><h1>Head</h1><div>{body}</div><figure><img src=x><figcaption>A caption</figcaption></figure><table><tr><td>cell</table></article></main></body>"
+    want = ["Head", *(f"{PROSE} {i}" for i in range(60)), "A caption", "cell"]
+    assert extract(page).split("\n") == want
+
+
 def test_odd_markup():
     assert extract(None) == extract("") == extract("<div></div>") == ""
     assert extract("plain, text < 5 &lt; 6") == "plain, text < 5 < 6"

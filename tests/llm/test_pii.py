@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerlens.llm import pii
+from llm_docs import docs_of  # noqa: F401
 
 
 def brute(text):
@@ -51,7 +52,8 @@ def test_terms_that_disclose(spark, docs_of):
     assert {text[s.start:s.end] for s in found[0] if s.kind == "term"} == {"Quentzal", "Vornik"}
     assert [s.kind for s in found[60]] == ["email"] and found[61] == [] and found[10] == []
     spans = [tuple(s) for s in found[0]]
-    assert pii.sanitise(text, spans, remove_at=0.9) == "Report by   at [EMAIL] about things number 0" or "Vornik" not in pii.sanitise(text, spans)
+    clean = pii.sanitise(text, spans)
+    assert "[EMAIL]" in clean and "q.v@" not in clean and "about things number 0" in clean
     assert "Xx" in pii.sanitise(text, spans, remove_at=2.0) and pii.sanitise(None, []) is None
     assert pii.find_personal_data(docs.where("false")).count() == 0
 

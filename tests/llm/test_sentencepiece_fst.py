@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerlens.llm import sentencepiece_fst as fst
+from llm_docs import docs_of  # noqa: F401
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL = fst.compile_model(PATH)

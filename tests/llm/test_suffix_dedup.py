@@ -70,4 +70,4 @@ def test_nulls_and_empty_tables(spark):
 def test_cut_runs_of_one_letter():
     data = np.frombuffer(b"a" * 1000, np.uint8)
     h, context, start, size, periodic = sd.samples(data)
-    assert size.sum() == 901 and size.max() <= 64 and periodic.all() and len(set(h.tolist())) == 1
+    assert size.sum() == 901 and size.max() <= sd.PIECE and periodic.all() and len(set(h.tolist())) == 1

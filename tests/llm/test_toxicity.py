@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import toxicity as tx
+from llm_docs import docs_of  # noqa: F401
 
 LABELS = "doc_id long, quality int, toxic int"
 
