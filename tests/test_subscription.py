@@ -235,3 +235,19 @@ def test_ids_tell_nulls_and_repeats_apart(spark):
     assert len(set(keys)) == 3 and keys[0] == keys[3] == keys[4] and all(len(k) == 32 for k in keys)
     once, again = (sorted(r[0] for r in columns.numbered_key(d, ("x", "y", "z"), "id").collect()) for d in (df, df.repartition(3)))
     assert len(set(once)) == 5 and once == again
+
+
+def test_cohort_days_give_the_same_cohorts_and_churn(spark):
+    subs = [(c % 4, c, 1 + c % 3, ["Harbour Yearly", "Starter", "Harbour Family"][c % 3], "CANCELED" if c % 2 else "SUBSCRIBED",
+             T(2024, 1 + c % 4, 1 + c % 28), T(2024, 1 + c % 4, 3 + c % 26), None) for c in range(30)]
+    hist = [(c % 4, c, ["Harbour Yearly", "Starter", "Harbour Family"][c % 3], None, "CANCELED", T(2024, 3 + c % 3, 1 + c % 20), 1) for c in range(30)]
+    s, h = spark.createDataFrame(subs, SUBS), spark.createDataFrame(hist, HIST)
+    contracts = s.join(h.select("contract_number", "status_history_at"), "contract_number").select(
+        "contract_number", "created_at", "effective_at", F.when(F.col("subscription_status") == "CANCELED", F.col("status_history_at")).alias("canceled_at"))
+    kw = dict(created_from="2024-01-01", calendar_start="2024-01-01", as_of="2024-06-10", history_tie_breakers=["seq"])
+    results = []
+    for cohort_days in (False, True):
+        base = cohort.cohort_base(S.storyline(s, h, RULES, cohort_days=cohort_days, **kw), contracts, "Starter", created_from="2024-01-01")
+        results.append([sorted(map(str, x.collect())) for x in (cohort.activation_cohort(base), cohort.month_end_churn(base, "2024-06-10"),
+                                                               cohort.cohort_attribution(base, "2024-06-10"))])
+    assert results[0] == results[1] and all(results[0])
