@@ -80,7 +80,8 @@ def main():
 
     def attribution(kind):
         def build():
-            base, act, churn = qs._cohort_parts(t)
+            base = qs._cohort_base(t)
+            act, churn = cohort.activation_cohort(base), cohort.month_end_churn(base, as_of=qs.AS_OF)
             if kind == "one_pass":
                 return cohort.cohort_attribution(base, as_of=qs.AS_OF)
             if kind == "min":
@@ -100,7 +101,7 @@ def main():
           flush=True)
 
     def retention(month_end_only):
-        return lambda: cohort.retention_matrix(qs._story(t, month_end_only=month_end_only), as_of=qs.AS_OF,
+        return lambda: cohort.retention_matrix(qs._story(t, month_end_only=month_end_only), fx.BASIC_TITLE, as_of=qs.AS_OF,
                                                pool_before=fx.POOL_BEFORE)
 
     res = {"month_end_spine": timed(retention(True)), "daily_spine": timed(retention(False))}
