@@ -36,11 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.graph import cut
-from ledgerlens.llm.textops import byte_views, prefix_hash, span_hash
+from ledgerlens.llm.textops import byte_views, mix, prefix_hash, span_hash
 
 WINDOW = 100
 GRAM = 32
+PIECE = WINDOW - GRAM + 1
 HELD_SAMPLES = 1 << 21
+LEAF = 1024
+#: Ids that may be broadcast: about 8 MB. Beyond it the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 U64 = np.uint64
 
 
@@ -57,8 +61,9 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 def samples(data: np.ndarray) -> tuple[np.ndarray, ...]:
     """(sample hash, context hash, first window, number of windows, periodic) of one text's runs of windows with one least gram.
 
-    A run has 64 windows at most. It is periodic when its least gram stands in it
-    more than once; only then can two of its own windows be equal.
+    One gram lies in PIECE windows, so only runs that hold their least gram more
+    than once are longer; they are cut, and called periodic: only in them can two
+    windows be equal.
     """
     n = len(data) - WINDOW + 1
     if n <= 0:
@@ -70,11 +75,11 @@ def samples(data: np.ndarray) -> tuple[np.ndarray, ...]:
     least = window_minima(hashes, WINDOW - GRAM + 1)
     starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     sizes = np.diff(np.concatenate((starts, [n])))
-    if sizes.max() > 64:  # one gram repeated, as in a run of one letter: cut into pieces of 64
-        pieces = -(-sizes // 64)
+    if sizes.max() > PIECE:  # one gram repeated, as in a run of one letter
+        pieces = -(-sizes // PIECE)
         owner = np.repeat(np.arange(len(starts)), pieces)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts, sizes = starts[owner] + 64 * step, np.minimum(64, sizes[owner] - 64 * step)
+        starts, sizes = starts[owner] + PIECE * step, np.minimum(PIECE, sizes[owner] - PIECE * step)
     reach = sizes + WINDOW - GRAM
     begin = np.cumsum(reach) - reach
     inside = hashes[np.arange(reach.sum()) + np.repeat(starts - begin, reach)] == np.repeat(least[starts], reach)
@@ -142,7 +147,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sorted_buckets(rows: DataFrame) -> DataFrame:
-    """(at, n) of the buckets in order: n > 0 is a repeat of n bytes, n < 0 the earliest of a context that needs its -n windows sorted."""
+    """(h, at, n) of the buckets in order: n > 0 is a repeat of n bytes, n < 0 the earliest of a context that needs its -n windows sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of the rows read, only the last context and its earliest place are kept.
@@ -153,7 +158,7 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
             if not len(h):
                 continue
             ready = x < 0
-            out_at, out_n = [at[ready]], [-x[ready]]
+            out = [(h[ready], at[ready], -x[ready])]
             h, x, at = h[~ready], x[~ready], at[~ready]
             if len(h):
                 new = np.ones(len(h), bool)
@@ -164,8 +169,7 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
                 owner = np.cumsum(new) - 1
                 least = np.concatenate((at[where], [last_at if last_at is not None else 0]))[owner]
                 again = at > least
-                out_at.append(at[again])
-                out_n.append((x[again] & 127) + WINDOW - 1)
+                out.append((h[again], at[again], (x[again] & 127) + WINDOW - 1))
                 if len(where):
                     bucket = h[where]
                     before = np.zeros(len(where), bool)
@@ -174,56 +178,122 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
                     several = before | ((x[where] & 128) > 0)
                     several[:-1] |= before[1:]
                     if waiting and before[0]:
-                        out_at.append(np.array([last_at]))
-                        out_n.append(np.array([-(last_x & 127)]))
-                    out_at.append(at[where[several]])
-                    out_n.append(-(x[where[several]] & 127))
+                        out.append((np.array([last_h]), np.array([last_at]), np.array([-(last_x & 127)])))
+                    out.append((bucket[several], at[where[several]], -(x[where[several]] & 127)))
                     waiting = not several[-1]
                     last_h, last_x, last_at = int(bucket[-1]), int(x[where[-1]]), int(at[where[-1]])
-            yield _rows(at=np.concatenate(out_at), n=np.concatenate(out_n))
+            h, at, n = (np.concatenate(c) for c in zip(*out))
+            yield _rows(h=h, at=at, n=n)
 
-    return rows.repartition("h").sortWithinPartitions("h", "x", "at").mapInArrow(run, "at long, n long")
+    return rows.repartition("h").sortWithinPartitions("h", "x", "at").mapInArrow(run, "h long, at long, n long")
 
 
-def window_suffixes(docs: DataFrame, several: DataFrame, bits: int) -> DataFrame:
-    """(w, at): hash and place of every window of the given runs."""
+SUFFIXES = "key long, at long, context binary"
+
+
+def suffixes(docs: DataFrame, several: DataFrame, bits: int) -> DataFrame:
+    """(key, at, context): the contexts to sort, by sample; of a bucket above LEAF contexts, every window by its own hash.
+
+    The bytes of a context are sent once, where its windows would be some fifty rows.
+    """
     low = (1 << bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, runs = batch.column("doc").to_numpy(), batch.column("runs").to_pylist()
+            keys, places, contexts = [], [], []
             for k, data in _documents(batch.column("text"), WINDOW):
-                prefix = prefix_hash(data)
-                pairs = np.array([(r["at"] & low, -r["n"]) for r in runs[k]], np.int64)
-                pairs = np.unique(pairs, axis=0)
-                start = np.repeat(pairs[:, 0] - np.concatenate(([0], np.cumsum(pairs[:, 1])[:-1])), pairs[:, 1]) + np.arange(pairs[:, 1].sum())
-                yield _rows(w=span_hash(prefix, start, start + WINDOW).view(np.int64), at=(int(ids[k]) << bits) + start)
-
-    runs = several.groupBy(F.shiftright("at", bits).alias("doc")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    return docs.select("doc", "text").join(runs, "doc").mapInArrow(run, "w long, at long")
-
-
-def repeated_windows(windows: DataFrame) -> DataFrame:
-    """(at, n): windows that are not the earliest with their hash, as repeats of WINDOW bytes."""
+                large = []
+                raw = data.tobytes()
+                for r in runs[k]:
+                    start = r["at"] & low
+                    if r["large"]:
+                        large.append((start, -r["n"]))
+                        continue
+                    keys.append(r["h"])
+                    places.append(r["at"])
+                    contexts.append(raw[start:start - r["n"] + WINDOW - 1])
+                if large:
+                    prefix = prefix_hash(data)
+                    first, size = np.unique(np.array(large, np.int64), axis=0).T
+                    start = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    found = span_hash(prefix, start, start + WINDOW).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array((int(ids[k]) << bits) + start), pa.nulls(len(found), pa.binary())],
+                                                     names=["key", "at", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(contexts, pa.binary())],
+                                             names=["key", "at", "context"])
+
+    large = several.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > LEAF).select("h", F.lit(True).alias("large"))
+    marked = several.join(large, "h", "left").select("h", "at", "n", F.coalesce("large", F.lit(False)).alias("large"))
+    runs = marked.groupBy(F.shiftright("at", bits).alias("doc")).agg(F.collect_list(F.struct("h", "at", "n", "large")).alias("runs"))
+    return docs.select("doc", "text").join(runs, "doc").mapInArrow(run, SUFFIXES)
+
+
+def _bucket_repeats(keys: np.ndarray, places: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of the windows that stand earlier in the same bucket; whole buckets, several at a time."""
+    sizes = np.array([len(c) for c in contexts])
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    count = sizes - WINDOW + 1
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    start = np.repeat(begin, count) + inside
+    # within a bucket the rows come by place, so a stable sort leaves equal windows by place
+    w = span_hash(prefix_hash(data), start, start + WINDOW) ^ mix(np.repeat(keys, count).astype(U64))
+    at = np.repeat(places, count) + inside
+    order = np.argsort(w, kind="stable")
+    w, at = w[order], at[order]
+    new = np.ones(len(w), bool)
+    new[1:] = w[1:] != w[:-1]
+    least = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    again = at > least
+    return merged(at[again], at[again] + WINDOW)
+
+
+def repeated_suffixes(rows: DataFrame) -> DataFrame:
+    """(at, n): windows that are not the earliest with their bytes, as spans. Buckets are sorted one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_w = last_at = None
+        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        count = 0
+
+        def settle(all_of_it: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, count
+            if not count:
+                return
+            keys, places = (np.concatenate(c) for c in (list(zip(*held))[:2]))
+            contexts = [c for h in held for c in h[2]]
+            # the last bucket may go on in the next batch; it has LEAF contexts at most
+            upto = len(keys) if all_of_it else int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+            if upto:
+                start, end = _bucket_repeats(keys[:upto], places[:upto], contexts[:upto])
+                yield _rows(at=start, n=end - start)
+            held = [(keys[upto:], places[upto:], contexts[upto:])]
+            count = len(keys) - upto
+
         for batch in batches:
-            w, at = batch.column("w").to_numpy(), batch.column("at").to_numpy()
-            if not len(w):
-                continue
-            new = np.ones(len(w), bool)
-            new[1:] = w[1:] != w[:-1]
-            new[0] = last_w is None or w[0] != last_w
-            where = np.flatnonzero(new)
-            least = np.concatenate((at[where], [last_at if last_at is not None else 0]))[np.cumsum(new) - 1]
-            again = at > least
-            if len(where):
-                last_w, last_at = int(w[-1]), int(at[where[-1]])
-            start, end = merged(at[again], at[again] + WINDOW)
-            yield _rows(at=start, n=end - start)
+            whole = np.asarray(batch.column("context").is_null())
+            w, at = (batch.column(c).to_numpy()[whole] for c in ("key", "at"))
+            if len(w):
+                new = np.ones(len(w), bool)
+                new[1:] = w[1:] != w[:-1]
+                new[0] = last_w is None or w[0] != last_w
+                where = np.flatnonzero(new)
+                least = np.concatenate((at[where], [last_at if last_at is not None else 0]))[np.cumsum(new) - 1]
+                again = at > least
+                if len(where):
+                    last_w, last_at = int(w[-1]), int(at[where[-1]])
+                start, end = merged(at[again], at[again] + WINDOW)
+                yield _rows(at=start, n=end - start)
+            rest = batch.filter(pa.array(~whole))
+            if rest.num_rows:
+                held.append((rest.column("key").to_numpy(), rest.column("at").to_numpy(), rest.column("context").to_pylist()))
+                count += rest.num_rows
+                if count >= 8 * LEAF:
+                    yield from settle(False)
+        yield from settle(True)
 
-    return windows.repartition("w").sortWithinPartitions("w", "at").mapInArrow(run, "at long, n long")
+    return rows.repartition("key").sortWithinPartitions("key", "at").mapInArrow(run, "at long, n long")
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -244,12 +314,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, bits = _numbered(rows)
     usable = rows.where("doc is not null")
     found = cut(sorted_buckets(sampled(usable, bits)))
-    windows = window_suffixes(usable, found.where("n < 0"), bits)
-    spans = found.where("n > 0").unionByName(repeated_windows(windows))
+    several = found.where("n < 0")
+    touched = cut(several.select(F.shiftright("at", bits).alias("doc")).distinct())
+    spans = found.where("n > 0").select("at", "n").unionByName(repeated_suffixes(suffixes(_only(usable, touched), several, bits)))
     low = F.lit((1 << bits) - 1)
     per_doc = spans.groupBy(F.shiftright("at", bits).alias("doc")).agg(
         F.collect_list(F.struct(F.col("at").bitwiseAND(low).alias("start"), F.col("n").alias("n"))).alias("spans"))
-    return rows.join(per_doc, "doc", "left").select("doc_id", "text", "spans")
+    per_doc = cut(per_doc)
+    ids = per_doc.select("doc")
+    if ids.count() > BROADCAST_ROWS:
+        return rows.join(per_doc, "doc", "left").select("doc_id", "text", "spans")
+    # texts without a repeat need no shuffle
+    without = rows.join(F.broadcast(ids), "doc", "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<start:long,n:long>>").alias("spans"))
+    return _only(rows, ids).join(per_doc, "doc").select("doc_id", "text", "spans").unionByName(without)
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc is among the ids, filtered before any shuffle while the ids are few enough."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc", "left_semi")
 
 
 def remove_repeats(spans: DataFrame, with_text: bool = True) -> DataFrame:
