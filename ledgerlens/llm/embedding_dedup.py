@@ -183,12 +183,16 @@ def exact(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("va", "vb"))
-            keep = []
-            for p, q in zip(x, y):
-                p, q = np.array(p), np.array(q)
-                keep.append(len(p) == len(q) and _cosine(p, q) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            sides = [batch.column(c) for c in ("va", "vb")]
+            sizes = [np.diff(np.asarray(side.offsets)) for side in sides]
+            keep = np.zeros(batch.num_rows, bool)
+            same = sizes[0] == sizes[1]
+            for dim in np.unique(sizes[0][same]).tolist():  # one length as a rule
+                rows = np.flatnonzero(same & (sizes[0] == dim))
+                chosen = pa.array(rows)
+                p, q = (side.take(chosen).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim) for side in sides)
+                keep[rows] = cosines(p, q) >= threshold
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(keep))
 
     vectors = classes.select("id", "v")
     both = (pairs.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a")
@@ -196,12 +200,17 @@ def exact(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "va", "vb").mapInArrow(run, "u long, v long")
 
 
-def _cosine(p: np.ndarray, q: np.ndarray) -> float:
-    size = math.sqrt(p @ p) * math.sqrt(q @ q)
-    if not math.isfinite(size) or size < 1e-300:  # scale first where squares leave the range of doubles
-        p, q = p / np.abs(p).max(), q / np.abs(q).max()
-        size = math.sqrt(p @ p) * math.sqrt(q @ q)
-    return float(p @ q) / size
+def cosines(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Row by row; rows whose squares leave the range of doubles are scaled first."""
+    def sizes() -> np.ndarray:
+        return np.sqrt(np.einsum("ij,ij->i", p, p)) * np.sqrt(np.einsum("ij,ij->i", q, q))
+
+    with np.errstate(over="ignore", under="ignore"):
+        size = sizes()
+        if not (np.isfinite(size).all() and (size > 1e-300).all()):
+            p, q = (v / np.abs(v).max(axis=1, keepdims=True) for v in (p, q))
+            size = sizes()
+    return np.einsum("ij,ij->i", p, q) / size
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding",
