@@ -8,6 +8,7 @@ columns of documents. A stage is judged on the documents it gets.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import decontaminate, jaccard_join, secrets, sentencepiece_fst, toxicity
 from ledgerlens.llm.catalog import table
 from ledgerlens.llm.graph import ensure_checkpoint_dir
+from ledgerlens.llm.textops import small_batches
 
 #: A public BPE model with byte fallback.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -52,12 +54,22 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.length("decoded").cast("long").alias("n_chars"))
 
 
+def in_small_batches(stage):
+    """The stage, with a bounded number of documents sent to Python at once."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard_join", drop_near_duplicates),
-    ("benchmark_decontamination", drop_benchmark_leaks),
-    ("secret_scans", redact_secrets),
-    ("sentencepiece", encode),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("ngram_jaccard_join", in_small_batches(drop_near_duplicates)),
+    ("benchmark_decontamination", in_small_batches(drop_benchmark_leaks)),
+    ("secret_scans", in_small_batches(redact_secrets)),
+    ("sentencepiece", in_small_batches(encode)),
 ]
 
 #: The stages learn, join by similarity and encode; SQL does not express them.

@@ -18,11 +18,10 @@ from __future__ import annotations
 import math
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.textops import map_texts
+from ledgerlens.llm.textops import map_texts, rewrite_texts
 
 KINDS = ("assign", "access", "hex", "cred")
 MIN_LOG10_GUESSES = 8.0
@@ -199,8 +198,4 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", min_log10_guesses: float = MIN_LOG10_GUESSES) -> DataFrame:
     """The same rows and columns; each secret in the text becomes [SECRET:kind]. Overlapping secrets become one."""
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, min_log10_guesses) for t in texts], dtype=object)
-
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return rewrite_texts(docs, text_col, lambda t: redact(t, min_log10_guesses))

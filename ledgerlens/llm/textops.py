@@ -15,7 +15,16 @@ import pyarrow as pa
 # The base of the polynomial hash is odd, so it has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+#: Bytes of text at work at once; the hashes take some fifty times that.
+CHUNK_BYTES = 1 << 18
+SLICE_ROWS = 256
+
+
+def small_batches(spark, rows: int = 1000) -> None:
+    """Let the session send Python at most ``rows`` rows at once: documents are long, and Spark's 10,000 of them fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,7 +144,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def map_texts(rows, keep: list[str], text_col: str, fn, result: str, slice_rows: int = 256):
+def map_texts(rows, keep: list[str], text_col: str, fn, result: str, slice_rows: int = SLICE_ROWS):
     """``fn(text) -> tuple`` over a text column; the result's columns follow the kept ones.
 
     The kept columns pass through as they are (64-bit ids stay exact, nulls stay
@@ -159,3 +168,29 @@ def map_texts(rows, keep: list[str], text_col: str, fn, result: str, slice_rows:
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return rows.select(*keep, text_col).mapInArrow(run, schema)
+
+
+def filter_texts(docs, text_col: str, fn):
+    """The rows for whose text ``fn`` is true; columns stay. Texts become Python strings a slice at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                yield part.filter(pa.array([bool(fn(t)) for t in part.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def rewrite_texts(docs, text_col: str, fn):
+    """The same rows and columns with ``fn`` of each text in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(text_col)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                texts = pa.array([fn(t) for t in part.column(place).to_pylist()], part.column(place).type)
+                yield part.set_column(place, part.schema.field(place), texts)
+
+    return docs.mapInArrow(run, docs.schema)

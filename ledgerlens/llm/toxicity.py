@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.textops import map_texts, mix, words_of_run
+from ledgerlens.llm.textops import filter_texts, map_texts, mix, words_of_run
 
 TRAINING_ROWS = 8_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
@@ -245,5 +245,4 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose text scores below ``threshold``; columns stay."""
-    score = F.pandas_udf(lambda t: pd.Series([model.score(x) for x in t], dtype="float64"), "double")
-    return docs.where(score(F.col(text_col)) < threshold)
+    return filter_texts(docs, text_col, lambda t: model.score(t) < threshold)
