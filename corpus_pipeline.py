@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, jaccard_join, secrets, sentencepiece_fst, toxicity
 from ledgerlens.llm.catalog import table
-from ledgerlens.llm.graph import ensure_checkpoint_dir
 from ledgerlens.llm.textops import small_batches
+from ledgerlens.session import ensure_checkpoint_dir
 
 #: A public BPE model with byte fallback.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"

@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The shared folder of spark.checkpoint.dir; a folder of its own only for a local master."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + os.path.join(tempfile.mkdtemp(prefix="ledgerlens-"), "checkpoints")
-    context.setCheckpointDir(shared)
+from ledgerlens.session import ensure_checkpoint_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,7 +15,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum("v")).first())
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.col("v") % 1000003)).first())
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

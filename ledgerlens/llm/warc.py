@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.graph import ensure_checkpoint_dir
+from ledgerlens.session import ensure_checkpoint_dir
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
