@@ -48,6 +48,8 @@ PARTS = 256
 LEAF = 512
 #: Rows of (long, long) that may be broadcast: about 8 MB. Beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
+#: Regions above LEAF documents, with coordinates, that may be broadcast: about 3 MB.
+BROADCAST_REGIONS = 10_000
 
 
 @dataclass(frozen=True)
@@ -100,9 +102,10 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
                                               pa.array([p.tobytes() for p in total.reshape(pieces, -1)])], names=["piece", "salt", "counts"])
 
     def summed(key, part):
-        total = np.zeros(size // pieces, np.uint32)
+        total = np.zeros(size // pieces, np.uint64)
         for c in part["counts"]:
             total += np.frombuffer(c, np.uint32)
+        total = np.minimum(total, np.uint64(2 ** 32 - 1)).astype(np.uint32)  # a full counter stays full
         return pd.DataFrame({"piece": [key[0]], "salt": [0], "counts": [total.tobytes()]})
 
     schema = "piece long, salt long, counts binary"
@@ -287,21 +290,24 @@ def _shells(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             keep = [c for c in batch.schema.names if c not in ("parts", "pivot_parts")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(far)], names=[*keep, "far"])
 
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("k"))
-    wide = members.join(classes.select("id", "n", "weight"), "id").join(sizes, "pivot")
+    # Large regions are few, LEAF documents make one; while they are, no join deals a region's rows by its pivot.
+    large = cut(members.groupBy("pivot").agg(F.count("*").alias("k")).where(F.col("k") > LEAF).select("pivot"))
+    few = large.count() <= BROADCAST_REGIONS
+    beside = F.broadcast if few else (lambda x: x)
+    wide = members.join(classes.select("id", "n", "weight"), "id").join(beside(large.withColumn("large", F.lit(True))), "pivot", "left")
+    zero = F.lit(0).cast("long")
+    small = wide.where("large is null").select("pivot", zero.alias("shell"), "id", "n", "weight", zero.alias("far"), zero.alias("window"), zero.alias("part"))
+    block = F.xxhash64("pivot", "shell", "part").alias("block")
     reach = F.lit((rule.whole - rule.part) / (rule.whole + rule.part) * (1 + rule.whole / rule.part))
-    big = wide.where(F.col("k") > LEAF).select("pivot", "id", "n", "weight").join(classes.select("id", "parts"), "id")
-    pivots = sizes.where(F.col("k") > LEAF).select("pivot").join(
-        classes.select(F.col("id").alias("pivot"), F.col("parts").alias("pivot_parts"), F.col("n").alias("pivot_n")), "pivot")
-    big = big.join(pivots, "pivot").select("pivot", "id", "n", "weight", "pivot_n", "parts", "pivot_parts")
+    big = wide.where("large").select("pivot", "id", "n", "weight").join(classes.select("id", "parts"), "id")
+    pivots = classes.select(F.col("id").alias("pivot"), F.col("parts").alias("pivot_parts"), F.col("n").alias("pivot_n")).join(beside(large), "pivot")
+    big = big.join(beside(pivots), "pivot").select("pivot", "id", "n", "weight", "pivot_n", "parts", "pivot_parts")
     big = big.mapInArrow(run, "pivot long, id long, n long, weight double, pivot_n long, far long")
-    big = big.select("pivot", "id", "n", "weight", "far", F.ceil(reach * F.col("n")).cast("long").alias("window"),
-                     F.floor(F.col("far") / F.greatest(F.ceil(reach * F.col("pivot_n")), F.lit(1))).cast("long").alias("shell"))
+    big = cut(big.select("pivot", "id", "n", "weight", "far", F.ceil(reach * F.col("n")).cast("long").alias("window"),
+                         F.floor(F.col("far") / F.greatest(F.ceil(reach * F.col("pivot_n")), F.lit(1))).cast("long").alias("shell")))
     counts = big.groupBy("pivot", "shell").agg(F.count("*").alias("k"))
-    big = big.join(counts, ["pivot", "shell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / LEAF))).drop("k")
-    zero = F.lit(0).cast("long")
-    small = wide.where(F.col("k") <= LEAF).select("pivot", zero.alias("shell"), "id", "n", "weight", zero.alias("far"), zero.alias("window"), zero.alias("part"))
-    return big.unionByName(small).withColumn("block", F.xxhash64("pivot", "shell", "part"))
+    big = big.join(beside(counts), ["pivot", "shell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / LEAF))).drop("k")
+    return big.unionByName(small).select("*", block)
 
 
 def _meetings(placed: DataFrame) -> DataFrame:

@@ -62,6 +62,8 @@ def test_against_all_pairs(spark, monkeypatch, rule, leaf):
 
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(jj, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jj, "BROADCAST_REGIONS", -1)
+    monkeypatch.setattr(jj, "LEAF", 3)
     rule, rows = jj.Rule(3, 90, 100), corpus(11)
     got = {r.doc_id: r.component_id for r in jj.jaccard_classes(as_rows(spark, rows), rule).collect()}
     assert got == {d: c for d, _, c in brute(rows, rule)}
@@ -90,3 +92,5 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(frame).collect()}
     want = {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20, 30: 30, 31: 30} | {100 + i: 100 for i in range(61)} | {500 + i: 500 for i in range(300)}
     assert got == want and connected_components(frame.where("u = 3")).count() == 0
+    far = spark.createDataFrame([((1 << 62) + i, (1 << 62) + i + 1) for i in range(8)], frame.schema)
+    assert {r.component for r in connected_components(far).collect()} == {1 << 62}
