@@ -223,7 +223,10 @@ def suffixes(docs: DataFrame, several: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(contexts, pa.binary())],
                                              names=["key", "at", "context"])
 
-    large = several.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > LEAF).select("h", F.lit(True).alias("large"))
+    # Large buckets are few, LEAF contexts make one; while they are, their rows are not dealt by bucket to be marked.
+    large = cut(several.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > LEAF).select("h", F.lit(True).alias("large")))
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
     marked = several.join(large, "h", "left").select("h", "at", "n", F.coalesce("large", F.lit(False)).alias("large"))
     runs = marked.groupBy(F.shiftright("at", bits).alias("doc")).agg(F.collect_list(F.struct("h", "at", "n", "large")).alias("runs"))
     return docs.select("doc", "text").join(runs, "doc").mapInArrow(run, SUFFIXES)
