@@ -4,12 +4,14 @@ Words go through a lexical transducer (insult stems learned from labels, threat
 and target words, negation, reporting verbs) to classes; transducers for
 negation, reported speech and target are composed with it into one machine that
 reads a clause and emits weighted events: plain, targeted, negated or reported
-insults, and threats. A document's score is a logistic model of its clauses'
-event weights, not of isolated words.
+insults, threats, and graded hits. A document's score is a logistic model of its
+clauses' event weights, not of isolated words.
 
 Learning uses at most ``training_rows`` labelled rows, near copies once: insult
 stems by a binomial test against the share of toxic rows, event weights by
-logistic regression with a prior. Scoring reads every text whole.
+logistic regression with a prior. A significant stem that clean rows hold too is
+kept with a graded weight, its log odds; its hits are an event of their own, so
+that one hit says little and repeated ones much. Scoring reads every text whole.
 
 Defined results: null, empty and wordless texts get the score of a text without
 events; a document without a label is scored alike; labels with null ids or null
@@ -28,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.graph import cut
 from ledgerlens.llm.textops import filter_texts, map_texts, mix, words_of_run
 
 TRAINING_ROWS = 8_000
@@ -42,9 +45,9 @@ CLOSED = {
     "Y": "you your yours yourself u ya du dich dir dein euch ihr tu toi vous votre usted tú ti vosotros him her them they".split(),
     "T": "kill murder stab shoot strangle lynch hang töten umbringen erschießen tuer égorger buter matar degollar asesinar".split(),
 }
-EVENTS = ("insult", "targeted", "negated", "reported", "threat")
+EVENTS = ("insult", "targeted", "negated", "reported", "threat", "graded")
 #: Prior of the logistic weights: intercept, then one weight per event.
-PRIOR = np.array([-3.0, 3.0, 3.5, 1.0, 1.0, 2.0])
+PRIOR = np.array([-3.0, 3.0, 3.5, 1.0, 1.0, 2.0, 2.0])
 
 _CLAUSE = re.compile(r"[^.!?;\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -95,10 +98,11 @@ def grammar() -> Transducer:
 
 
 OUT = {"I": 0, "t": 1, "n": 2, "r": 3, "T": 4}
+GRADED = {"I": 5, "t": 5, "n": 2, "r": 3}
 
 
 class Grammar:
-    """The compiled machine with its learned lexicon: ``stems`` maps a word start to its weight."""
+    """The compiled machine with its learned lexicon: ``stems`` maps a word start to its weight, graded below MIN_PRECISION."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
@@ -109,10 +113,8 @@ class Grammar:
         self.any = re.compile("|".join(map(re.escape, literals)))
 
     def word(self, token: str) -> tuple[str, float]:
-        for n in self.lengths:
-            if (weight := self.stems.get(token[:n])) is not None and len(token) >= n:
-                return "I", weight
-        return self.closed.get(token, "o"), 1.0
+        found = [self.stems[token[:n]] for n in self.lengths if len(token) >= n and token[:n] in self.stems]
+        return ("I", max(found)) if found else (self.closed.get(token, "o"), 1.0)
 
     def events(self, text: str | None) -> tuple[float, ...]:
         """Summed clause weights per event of one text."""
@@ -128,7 +130,7 @@ class Grammar:
                 symbol, weight = self.word(token)
                 state, out, _ = self.machine.arcs[state, symbol]
                 if out in OUT:
-                    first[OUT[out]] += weight
+                    first[(OUT if weight >= MIN_PRECISION else GRADED)[out]] += weight
             for k, v in enumerate(first):
                 total[k] += min(v, 3.0)  # one clause counts as three hits at most
             at = max(end, m.end())
@@ -161,12 +163,14 @@ def _family(text: str) -> int:
     return int(words.min().view(np.int64)) if len(words) else 0
 
 
-def learn_stems(sample: DataFrame, min_precision: float = MIN_PRECISION, significance: float = 0.05) -> dict[str, float]:
-    """Word starts that mark toxic rows: precise, and more frequent there than chance allows for so many candidates.
+def _odds(clean: float, toxic: float, rate: float) -> float:
+    """Log odds of a toxic row among those counted, above the odds of all rows."""
+    return math.log((toxic + 0.5) / (clean + 0.5)) - math.log(rate / (1 - rate))
 
-    Only the survivors of the test reach the driver; their number is bounded by
-    the sample. A start whose shorter start survives is left out.
-    """
+
+def _stem_counts(rows: DataFrame, without: frozenset[str] = frozenset()) -> DataFrame:
+    """(stem, clean, toxic): the rows that hold a word with that start; words with a start in ``without`` do not count."""
+    lengths = sorted({len(s) for s in without})
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -174,28 +178,57 @@ def learn_stems(sample: DataFrame, min_precision: float = MIN_PRECISION, signifi
             for text, toxic in zip(part["text"], part["toxic"]):
                 seen = set()
                 for w in set(_TOKEN.findall((text or "").lower())):
-                    seen.update(w[:n] for n in STEM_LENGTHS if len(w) >= n)
+                    if not any(w[:n] in without for n in lengths):
+                        seen.update(w[:n] for n in STEM_LENGTHS if len(w) >= n)
                 for f in seen:
                     counts.setdefault(f, [0, 0])[toxic] += 1
             yield pd.DataFrame([(f, a, b) for f, (a, b) in counts.items()], columns=["stem", "clean", "toxic"])
 
-    single = sample.groupBy("family").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("d")).select("d.*")
+    table = rows.select("text", "toxic").mapInPandas(features, "stem string, clean long, toxic long")
+    return table.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def learn_stems(sample: DataFrame, min_precision: float = MIN_PRECISION, significance: float = 0.05) -> dict[str, float]:
+    """Word starts that are more frequent in toxic rows than chance allows for so many candidates, with their weights.
+
+    Precise ones weigh their share of toxic rows. A graded one is significant
+    among the words that no precise start covers; it weighs its log odds against
+    those of a start just precise, and takes in the precise starts that only
+    cover a lesser part of its family. A start whose shorter start is kept alike
+    is left out. Only the survivors of the test reach the driver; their number is
+    bounded by the sample.
+    """
+    single = cut(sample.groupBy("family").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("d")).select("d.*"))
     n = single.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n[0] or not n[1] or n[0] == n[1]:
         return {}
     rate = n[1] / n[0]
-    table = single.select("text", "toxic").mapInPandas(features, "stem string, clean long, toxic long")
-    table = table.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # A candidate must be precise, so the binomial tail is at most choose(n, toxic) * rate^toxic.
+    table = cut(_stem_counts(single))
+    # A precise candidate's binomial tail is at most choose(n, toxic) * rate^toxic.
     strong = table.where((F.col("toxic") >= 4) & (F.col("toxic") >= min_precision * (F.col("toxic") + F.col("clean"))))
     rows = [(r.stem, r.clean, r.toxic) for r in strong.collect()]
     candidates = max(table.count(), 1)
     kept: dict[str, float] = {}
+    held: dict[str, int] = {}
     for stem, clean, toxic in sorted(rows, key=lambda r: (len(r[0]), r[0])):
         tail = sum(math.comb(clean + toxic, k) * rate ** k * (1 - rate) ** (clean + toxic - k) for k in range(toxic, clean + toxic + 1))
         if tail * candidates <= significance and not any(stem.startswith(k) for k in kept):
-            kept[stem] = min(1.0, toxic / (toxic + clean))
-    return kept
+            kept[stem], held[stem] = min(1.0, toxic / (toxic + clean)), toxic
+    # The tail of the others by Chernoff's bound, exp(-n * divergence from the rate).
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    bound = F.col("toxic") * F.log(share / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    rest = _stem_counts(single, frozenset(kept)).where((F.col("toxic") >= 4) & (share > rate)).where(bound >= math.log(candidates / significance))
+    rows = rest.select("stem", F.col("toxic").alias("rest")).join(table, "stem").collect()
+    precise = min(min_precision, 0.999)
+    scale = max(math.log(precise / (1 - precise)) - math.log(rate / (1 - rate)), 1.0)
+    graded: dict[str, float] = {}
+    for r in sorted(rows, key=lambda r: (len(r.stem), r.stem)):
+        if not any(r.stem.startswith(k) for k in graded):
+            weight = _odds(r.clean, r.toxic, rate) / scale
+            if weight > 0:
+                graded[r.stem] = min(weight, 0.99 * MIN_PRECISION)
+                kept = {k: v for k, v in kept.items() if not k.startswith(r.stem) or held[k] >= r.rest}
+    return kept | graded
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 0.3) -> np.ndarray:

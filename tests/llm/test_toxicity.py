@@ -41,6 +41,25 @@ def test_learns_and_generalises(spark, docs_of):
     assert kept.columns == frame.columns and kept.where("doc_id % 9 <> 0").count() == frame.where("doc_id % 9 <> 0").count()
 
 
+def test_insult_family_that_clean_texts_hold_once(spark, docs_of):
+    docs, labels = corpus()
+    rng = np.random.default_rng(9)
+    ends = ["".join(rng.choice(list("abdegiklmnoprsu"), 5)) for _ in range(200)]
+    frame = []
+    for i, text in docs:
+        parts = [w for w in text.split() if not w.startswith(("zornbik", "vextor"))]
+        for e in rng.choice(ends, 5 if i % 9 == 0 else int(i % 9 == 1)):
+            parts.insert(int(rng.integers(len(parts))), "quarmel" + e)
+        frame.append((i, " ".join(parts)))
+    held = "doc_id % 5 = 0"
+    marks = spark.createDataFrame(labels, LABELS)
+    model = tx.train(docs_of(frame), marks, holdout=F.expr(held))
+    assert any("quarmel".startswith(s) and w < tx.MIN_PRECISION for s, w in model.grammar.stems.items())
+    scored = tx.score_documents(docs_of(frame), model).join(marks, "doc_id").where(held)
+    assert scored.where("toxic = 1 and score >= 0.5").count() >= 0.9 * scored.where("toxic = 1").count()
+    assert scored.where("toxic = 0 and score >= 0.5").count() <= 0.02 * scored.count()
+
+
 @pytest.fixture(scope="module")
 def model():
     return tx.Model({"idiot": 1.0}, tx.PRIOR)
