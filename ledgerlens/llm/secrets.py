@@ -2,9 +2,11 @@
 
 Base patterns (assignments, access key ids, long hex runs) are found over the
 whole text. The method adds values in further credential contexts (``pwd``,
-``passphrase``, ``bearer`` ...): a value counts when the cheapest way to guess
-it, as a segmentation into words, dates, repeats, keyboard walks and brute-force
-spans, costs at least ``min_log10_guesses``. The cost is found by dynamic
+``passphrase``, ``bearer`` ...), and those behind the base names that the base
+alphabet does not read to their end (its own span stays): a value counts when the
+cheapest way to guess it, as a segmentation into words, dates, repeats, keyboard
+walks and brute-force spans, costs at least ``min_log10_guesses``. ``bearer`` may
+be followed by spaces alone; a plain word after it is prose, not a value. The cost is found by dynamic
 programming over the value, left to right, with spans of bounded length, so it
 is linear in the value's length.
 
@@ -34,6 +36,8 @@ MORE_NAMES = ("pwd", "pass", "passphrase", "passcode", "credential", "credential
 
 _VALUE = re.compile(r"""\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _LOOSE_VALUE = re.compile(r"""\x20*["']?([^\s"',;<>]{6,})""")
+_BEARER = re.compile(r"""(?<![^\W_])(?i:bearer)\x20+["']?(?![:=])([^\s"',;<>]{6,})""")
+_PROSE = re.compile(r"[^\W\d_]+(?:['\u2019-][^\W\d_]+)*[^\w\s]*")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _NAME_END = 16
@@ -150,18 +154,30 @@ def scan(text: str | None, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list
     done = done_more = 0
     for sep in _separators(text):
         start = _name_before(text, sep, done, BASE_NAMES)
-        if start >= 0 and (m := _VALUE.match(text, sep + 1)):
-            done = m.end()
-            if len(m.group(1)) >= 6:
-                out.append(("assign", start, m.end(), log10_guesses(m.group(1))))
-                done_more = max(done_more, done)
-        elif sep >= done_more:
-            start = _name_before(text, sep, done_more, MORE_NAMES)
-            if start >= 0 and (start == 0 or not text[start - 1].isalnum()) and (m := _LOOSE_VALUE.match(text, sep + 1)):
+        base = _VALUE.match(text, sep + 1) if start >= 0 else None
+        assigned = 0
+        if base:
+            done = base.end()
+            if len(base.group(1)) >= 6:
+                out.append(("assign", start, done, log10_guesses(base.group(1))))
+                assigned = done
+        if sep >= done_more:
+            start = _name_before(text, sep, done_more, BASE_NAMES)
+            if start < 0:
+                start = _name_before(text, sep, done_more, MORE_NAMES)
+                if start > 0 and text[start - 1].isalnum():
+                    start = -1
+            if start >= 0 and (m := _LOOSE_VALUE.match(text, sep + 1)) and m.end() > assigned:
                 cost = log10_guesses(m.group(1))
                 if cost >= min_log10_guesses:
                     out.append(("cred", start, m.end(), cost))
                     done_more = m.end()
+        done_more = max(done_more, assigned)
+    for m in _BEARER.finditer(text):
+        value = m.group(1)
+        word = _PROSE.fullmatch(value) and (value.islower() or value.isupper() or value[1:].islower())
+        if not word and (cost := log10_guesses(value)) >= min_log10_guesses:
+            out.append(("cred", m.start(), m.end(), cost))
     out += [("access", m.start(), m.end(), log10_guesses(m.group())) for m in _ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), log10_guesses(m.group())) for m in _HEX.finditer(text)]
     out.sort(key=lambda x: (x[1], KINDS.index(x[0])))

@@ -41,6 +41,18 @@ def test_guess_cost_orders_weak_and_strong():
     assert cost("P4ssw0rd") < cost("Pqzsw0rx")
 
 
+@pytest.mark.parametrize("text, redacted", [
+    ("password: Xk#9$qLz2V!w", "[SECRET:cred]"), ("secret = p@ssW0rd!#9zQ", "[SECRET:cred]"),
+    ('password="$xK9#qLz2Vw%t"', '[SECRET:cred]"'), ("password=abcdef#Xy9!zz.", "[SECRET:assign]"),
+    ("password: token: xK9#qLz2Vw%t", "password: [SECRET:cred]"), ("pwd: xK9#qLz2Vw%t", "[SECRET:cred]"),
+    ("Authorization: Bearer  xK9#qLz2Vw%t\n", "Authorization: [SECRET:cred]\n"), ("bearer : xK9#qLz2Vw%t", "[SECRET:cred]"),
+    ("secret = $password", "secret = $password"), ("the bearer certificates, Bearer Instruments.", "the bearer certificates, Bearer Instruments."),
+])
+def test_values_beyond_the_base_alphabet(text, redacted):
+    assert secrets.redact(text) == redacted
+    assert base(text) == brute(text)
+
+
 def test_cases(spark, docs_of):
     long = "x " * 200_000 + "token=abcdef99"
     docs = docs_of([(1, None), (2, ""), (3, long), (4, "pwd: xK9#qLz2Vw%t"), (4, "pwd: xK9#qLz2Vw%t"), (None, "secret=abcdef")])
