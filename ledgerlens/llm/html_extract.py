@@ -5,7 +5,8 @@ passes points for its length and its commas to its ancestors, halved per level
 and discounted by the ancestor's link density; the container with most points
 (the whole article that holds it) and those of its siblings that score well are
 kept, without menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments.
+scripts, styles and comments. What holds the page's articles, or without any the
+larger part of its unlinked text, is none of these, whatever its name.
 
 Defined results: a null or empty html gives an empty text; markup that never
 closes is closed at the end; text outside any element counts as a paragraph;
@@ -28,11 +29,17 @@ DROPPED = frozenset("nav footer aside form button select option label dialog men
 BLOCKS = frozenset("p div section article main body html li ul ol dl dt dd table tbody thead tfoot tr td th blockquote pre "
                    "h1 h2 h3 h4 h5 h6 header footer nav aside form figure figcaption address hr details summary fieldset center".split())
 CONTAINERS = frozenset("div section article main body html td blockquote root center".split())
-#: Words of class, id and role that mark what is not the article.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|header|masthead|footer|foot|side-?bar\w*|"
-                   r"aside|notice\w*|cookie\w*|consent|gdpr|popup|modal|overlay|alert|comments?|comment-?list|respond|reply|replies|disqus|"
-                   r"share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|breadcrumbs?|pagination|pager|widget\w*|"
-                   r"toolbar|hidden|tags|contentinfo|complementary|navigation|search|dialog|disclaimer|teaser\w*)(?:$|[\s_-])", re.I)
+#: Words of class, id and role that mark what is not the article, as a whole token or with words of place beside them.
+_NOISE = (r"(?:ads?|adv|advert[^\W_]*|banner[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|nav[^\W_]*|menu[^\W_]*|header|masthead|footer|foot|side-?bar[^\W_]*|"
+          r"aside|notice[^\W_]*|cookie[^\W_]*|consent|gdpr|popup|modal|overlay|alert|comments?|comment-?list|respond|reply|replies|disqus|"
+          r"share|sharing|social|related|recommend[^\W_]*|subscribe|newsletter|signup|login|breadcrumbs?|pagination|pager|widget[^\W_]*|"
+          r"toolbar|hidden|tags|contentinfo|complementary|navigation|search|dialog|disclaimer|teaser[^\W_]*)")
+_PLACE = (r"(?:site|page|main|global|primary|secondary|top|bottom|left|right|inner|outer|container|wrap|wrapper|box|area|list|section|block|"
+          r"bar|row|column|body|title|links?|buttons?|icons?|items?|posts?|form|[0-9]+)")
+NOISE = re.compile(rf"(?<!\S)(?:{_PLACE}[_-]+)*{_NOISE}(?:[_-]+(?:{_PLACE}|{_NOISE}))*(?!\S)", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+#: Controls, whose text is no paragraph.
+CONTROLS = frozenset("button select option label menu".split())
 GOOD = re.compile(r"article|main|content|post|entry|story|body|text", re.I)
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[(.*?)(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$))", re.S)
@@ -43,18 +50,19 @@ CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "order", "noise", "score", "chars", "linked", "weight")
+    __slots__ = ("tag", "parent", "children", "order", "noise", "score", "chars", "linked", "weight", "plain", "articles")
 
     def __init__(self, tag: str, parent: Node | None, order: int, noise: bool, weight: float):
         self.tag, self.parent, self.order, self.noise, self.weight = tag, parent, order, noise, weight
         self.children: list = []
         self.score = self.chars = self.linked = 0.0
+        self.plain = self.articles = 0
 
 
 def parse(html: str) -> Node:
     """The tree of elements; a child is a node, or a (text, inside link) pair with references decoded."""
     root = here = Node("root", None, 0, False, 0.0)
-    at = order = links = 0
+    at = order = links = suspects = 0
     n = len(html)
 
     def text(upto: int) -> None:
@@ -110,19 +118,50 @@ def parse(html: str) -> Node:
         order += 1
         attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[4])} if m[4] else {}
         label = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
-        noise = (tag in DROPPED or "hidden" in attrs.get("style", "").replace(" ", "") or "display:none" in attrs.get("style", "").replace(" ", "")
-                 or attrs.get("aria-hidden") == "true" or bool(label.strip() and NOISE.search(label) and tag not in ("body", "html", "article", "main")))
+        marked = bool(label.strip() and NOISE.search(label))
+        noise = (tag in DROPPED or bool(_UNSEEN.search(attrs.get("style", ""))) or attrs.get("aria-hidden") == "true"
+                 or (marked and tag not in ("body", "html", "article", "main")))
         weight = 25.0 * (tag in ("article", "main")) + 10.0 * bool(label.strip() and GOOD.search(label))
         if tag == "header" and here.tag not in ("article", "main"):
             noise = True
         node = Node(tag, here, order, noise, weight)
+        node.articles = int(tag in ("article", "main") and not marked)
+        suspects += noise
         here.children.append(node)
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             here = node
             links += tag == "a"
+    if suspects:
+        release(root)
     return root
 
 
+def release(root: Node) -> None:
+    """Take the mark of noise from what holds the page's article.
+
+    That is every article and main element of the page, or, with none outside it, the larger
+    part of the page's unlinked paragraph text. Comments and teasers marked as
+    such do not count as articles.
+    """
+    order, stack = [], [(root, False)]
+    while stack:
+        node, control = stack.pop()
+        order.append(node)
+        control = control or node.tag in CONTROLS
+        for child in node.children:
+            if isinstance(child, Node):
+                stack.append((child, control))
+            elif not child[1] and not control:
+                node.plain += len(child[0].strip())
+    for node in reversed(order):  # children before their parents
+        if node.parent is not None:
+            node.parent.plain += node.plain
+            node.parent.articles += node.articles
+    for node in order:
+        if node.noise and node.articles == root.articles and (node.articles or 2 * node.plain > root.plain):
+            node.noise = False
+
+
 def blocks(node: Node) -> list[tuple[Node, str, int]]:
     """(block element, text, linked characters) of the kept blocks below ``node``, in page order."""
     out: list[tuple[Node, str, int]] = []

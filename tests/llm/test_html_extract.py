@@ -1,3 +1,5 @@
+import pytest
+
 from ledgerlens.llm.html_extract import extract, extract_main_text
 
 PROSE = "This is a long sentence, with commas, about something that matters to the reader of the page."
@@ -33,6 +35,25 @@ def test_odd_markup():
     assert extract("<p>" + "word, " * 200_000 + "</p>").count("word,") == 200_000
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<article style="overflow:hidden">', "</article>"), ('<body style="overflow-x: hidden"><main style="overflow:hidden">', "</main></body>"),
+    *((f'<div class="{c}">', "</div>") for c in ("no-sidebar", "has-sidebar", "content-sidebar-wrap", "with-ads", "overflow-hidden")),
+    *((f'<div class="{c}"><article>', "</article></div>") for c in ("no-sidebar", "sidebar", "page with-ads")),
+    ("<form action=x>", "</form>"), ("<form><div><article>", "</article></div></form>"), ('<div style="display:none">', "</div>"),
+])
+def test_what_holds_the_article_is_not_noise(before, after):
+    page = f'<nav><a href="/">Home</a></nav>{before}<p>{PROSE}</p><p>{PROSE} 2</p>{after}<div class="site-footer"><p>foot</p></div>'
+    assert extract(page) == f"{PROSE}\n{PROSE} 2"
+
+
+def test_noise_beside_the_article_goes():
+    noise = "".join(f"<{x}><p>{PROSE} no</p></div>" for x in (
+        'div class="cookie-notice"', 'div class="sidebar left"', 'div id="site-footer"', 'div class="ad_box"', 'div style="color:red; display: none"',
+        'div style="visibility:hidden!important"'))
+    comments = f'<div id="comments"><article class="comment-body"><p>{PROSE} no</p></article></div>'
+    assert extract(f"<body><article><p>{PROSE}</p>{noise}{comments}</article>{noise}{comments}</body>") == PROSE
+
+
 def test_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None)],
                                   "page_id long, url string, html string, text string")
