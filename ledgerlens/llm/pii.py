@@ -11,6 +11,9 @@ removed from ``remove_at`` on.
 Counts cover all documents. A document passes its distinct words, summed in the
 task before the shuffle, so a hot word moves one row per task.
 
+A term is a word of any length without the punctuation at its edges. Only the
+lower-case function words of FUNCTION_WORDS, all under four letters, are no terms.
+
 Defined results: a null text is empty; repeated rows count as documents of their
 own; a null doc_id is kept; an empty table gives no rows; equal shares count as
 reached; other columns of the input are ignored.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.graph import cut
-from ledgerlens.llm.textops import document_runs, map_texts, prefix_hash, span_hash, words_of_run
+from ledgerlens.llm.textops import document_runs, lower_ascii, map_texts, prefix_hash, span_hash, word_bounds
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "term")
@@ -40,7 +43,18 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 REACH = 8
-MIN_TERM = 4
+#: Lower-case function words of English, German, French and Spanish under four letters; they name nobody.
+FUNCTION_WORDS = frozenset(
+    "a an the at by to of in on or and as is be am are was has had it its he she his her him we us our my me you i if so no not but for do did can may up out off "
+    "der die das den dem des ein und im am an zu von vom mit auf aus bei bis ist er sie es ich wir ihr um für zur zum als wie so ob wo "
+    "le la les un une de du des et en au aux ou où à il on ce ces se sa son ses ne pas par est que qui sur "
+    "el los las uno una del al y o e u con por sin su sus lo si se no es que más mi tu".split())
+#: Punctuation that is cut from the edges of a word: ASCII, and what Latin and Chinese texts add.
+PUNCTUATION = "".join(chr(c) for a, b in ((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E), (0xA1, 0xA1), (0xAB, 0xAB), (0xB7, 0xB7), (0xBB, 0xBB),
+                                          (0xBF, 0xBF), (0x2010, 0x2027), (0x2030, 0x205E), (0x3001, 0x3003), (0x3008, 0x3011), (0xFF01, 0xFF0F),
+                                          (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)) for c in range(a, b + 1))
+_CODES = {n: np.array(sorted(int.from_bytes(c.encode()) for c in PUNCTUATION if len(c.encode()) == n)) for n in (1, 2, 3)}
+_LEADS = {n: np.isin(np.arange(256), [c.encode()[0] for c in PUNCTUATION if len(c.encode()) == n]) for n in (1, 2, 3)}
 
 
 def luhn(digits: str) -> bool:
@@ -120,8 +134,11 @@ def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
                 after += 1
                 if after - e > REACH:
                     break
-            if m.end() - m.start() >= MIN_TERM and not any(a < m.end() and m.start() < b for a, b in covered if b > m.start()):
-                out.append((key, m.group(), m.start(), m.end()))
+            if not any(a < m.end() and m.start() < b for a, b in covered if b > m.start()):
+                term = m.group().strip(PUNCTUATION)
+                if term and term not in FUNCTION_WORDS:
+                    start = m.start() + len(m.group()) - len(m.group().lstrip(PUNCTUATION))
+                    out.append((key, term, start, start + len(term)))
     return out
 
 
@@ -143,8 +160,29 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_texts(rows, ["doc_id"], "text", one, f"base {BASE}, contexts {CONTEXTS}")
 
 
+def _terms_of_run(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words without the punctuation at their edges, document of each)."""
+    low = lower_ascii(data)
+    starts, ends = word_bounds(low)
+    mark = _LEADS[1][low]
+    for n in (2, 3):
+        at = np.flatnonzero(_LEADS[n][low])
+        at = at[at + n <= len(low)]
+        code = np.zeros(len(at), np.int64)
+        for i in range(n):
+            code = code << 8 | low[at + i]
+        at = at[np.isin(code, _CODES[n])]
+        for i in range(n):
+            mark[at + i] = True
+    plain = np.flatnonzero(~mark)
+    first, last = np.searchsorted(plain, starts), np.searchsorted(plain, ends)
+    held = last > first  # words of punctuation alone go
+    starts, ends = plain[first[held]], plain[last[held] - 1] + 1
+    return span_hash(prefix_hash(low), starts, ends), np.searchsorted(offsets, starts, "right") - 1
+
+
 def word_document_counts(docs: DataFrame, text_col: str = "text", hold: int = 1 << 20) -> DataFrame:
-    """(term, n): in how many documents each word stands. Words are summed in the task, ``hold`` at a time at least."""
+    """(term, n): in how many documents each word stands, without the punctuation at its edges. Words are summed in the task, ``hold`` at a time at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -162,8 +200,7 @@ def word_document_counts(docs: DataFrame, text_col: str = "text", hold: int = 1
 
         for batch in batches:
             for _, _, data, offsets in document_runs(batch.column(0)):
-                words, first = words_of_run(data, offsets)
-                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                words, owner = _terms_of_run(data, offsets)
                 order = np.lexsort((words, owner))
                 w, o = words[order], owner[order]
                 new = np.ones(len(w), bool)

@@ -58,6 +58,29 @@ def test_terms_that_disclose(spark, docs_of):
     assert pii.find_personal_data(docs.where("false")).count() == 0
 
 
+def test_short_terms_and_punctuation(spark, docs_of):
+    names = "Bob", "Li", "Vornik", "王芳", "407"
+    marked = [("Bob,", "(Li)", "Vornik.", "“王芳”", "407;"), ("Bob", "Li,", "'Vornik'", "王芳。", "#407")]
+    rows = [(i, " ".join(m) + " writes as q.v@corp.org about things") for i, m in enumerate(marked)]
+    docs = docs_of(rows + [(10 + i, "ordinary things about writes as number and - more") for i in range(40)])
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    for i, text in rows:
+        assert [text[s.start:s.end] for s in found[i] if s.kind == "term"] == list(names)
+        assert all(abs(s.share - 1) < 1e-9 for s in found[i] if s.kind == "term")
+    assert found[10] == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aÄ.,(“”。，»é-王_1'€…\t "), max_size=12), max_size=4))
+def test_counted_words_are_the_near_words(texts):
+    import numpy as np
+    data = "".join(t + "\n" for t in texts).encode()
+    offsets = np.cumsum([0] + [len(t.encode()) + 1 for t in texts])
+    hashes, owner = pii._terms_of_run(np.frombuffer(data, np.uint8), offsets)
+    want = [(i, w.strip(pii.PUNCTUATION)) for i, t in enumerate(texts) for w in re.split("[\x20\x09-\x0D]+", t) if w.strip(pii.PUNCTUATION)]
+    assert list(zip(owner.tolist(), hashes.view(np.int64).tolist())) == list(zip((i for i, _ in want), pii.hash_words([w for _, w in want])))
+
+
 def test_disclosure_counts_match_brute_force(spark, docs_of):
     import math
     rows = docs_with_terms()
