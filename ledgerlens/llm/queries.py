@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, pii, secrets, sentencepiece_fst, suffix_dedup, toxicity, warc
+from ledgerlens.llm import decontaminate, embedding_dedup, fill_in_middle, html_extract, jaccard_join, pii, secrets, sentencepiece_fst, suffix_dedup, toxicity, warc
 from ledgerlens.llm.catalog import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -131,6 +131,36 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("secrets", lambda s: s["log10_guesses"] >= secrets.MIN_LOG10_GUESSES)).cast("long").alias("n_hard"))
 
 
+OP11_SQL = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units,
+    sha256('42:' || coalesce(doc_id::varchar, '')) as hex from documents
+), h as (
+  select doc_id, text, units, len(units) as n, ('0x' || substr(hex, 1, 8))::bigint as h1, ('0x' || substr(hex, 9, 8))::bigint as h2,
+    ('0x' || substr(hex, 17, 8))::bigint as h3, ('0x' || substr(hex, 25, 8))::bigint as h4 from t
+), c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain'
+         when h4 % 100 < 80 then 'spm' else 'psm' end as form from h
+), p as (
+  select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:n], '') as suffix from c
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars,
+  case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def fill_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.restore(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", F.col("prefix_end").alias("prefix_chars"), (F.col("middle_end") - F.col("prefix_end")).alias("middle_chars"),
+                      F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
