@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import decontaminate, embedding_dedup, fill_in_middle, html_extract, jaccard_join, pii, secrets, sentencepiece_fst, suffix_dedup, toxicity, warc
+from ledgerlens.llm import decontaminate, embedding_dedup, fill_in_middle, html_extract, jaccard_join, pii, secrets, sentencepiece_fst, suffix_dedup, toxicity, warc, zone_clustering
 from ledgerlens.llm.catalog import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -161,6 +161,36 @@ def fill_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+_OP12_NEAREST = """select id, arg_min(num, row(d, num)) as num, min(d) as d from (
+  select q.id, c.num, list_sum(list_transform(list_zip(q.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from q cross join c{round} c
+) group by id"""
+
+OP12_SQL = """
+with q as (
+  select row_number() over () as id, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (
+  select row_number() over (order by sha256('2:' || vec_id::varchar), v) - 1 as num, v as c from q where vec_id is not null
+  qualify num < 40
+)""" + "".join(f""", a{i} as ({_OP12_NEAREST.format(round=i)}
+), m{i} as (
+  select num, list((s - ((s % n) + n) % n) // n order by i) as c from (
+    select a.num, p.i, sum(q.v[p.i])::bigint as s, count(*)::bigint as n from a{i} a join q using (id) cross join (select unnest(range(1, 65)) as i) p group by all
+  ) group by num
+), c{i + 1} as (
+  select c.num, coalesce(m.c, c.c) as c from c{i} c left join m{i} m using (num)
+)""" for i in range(5)) + f""", last as ({_OP12_NEAREST.format(round=5)})
+select q.vec_id, last.num::int as cluster, last.d as distance, (sum(last.d) over (partition by last.num))::bigint as cluster_inertia,
+  (sum(last.d) over ())::bigint as inertia, sha256(array_to_string(c5.c, ',')) as centroid_sha256
+from last join q using (id) join c5 using (num)
+"""
+
+
+@query("op12_centroid_clustering", OP12_SQL)
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), zone_clustering.Rule(k=40, rounds=5, dims=64, scale=256, salt="2:"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
