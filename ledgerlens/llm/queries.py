@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import decontaminate, embedding_dedup, fill_in_middle, html_extract, jaccard_join, pii, secrets, sentencepiece_fst, suffix_dedup, toxicity, warc, zone_clustering
+from ledgerlens.llm import decontaminate, embedding_dedup, fill_in_middle, html_extract, jaccard_join, lm_scoring, pii, secrets, sentencepiece_fst, suffix_dedup, toxicity, warc, zone_clustering
 from ledgerlens.llm.catalog import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -191,6 +191,12 @@ def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), zone_clustering.Rule(k=40, rounds=5, dims=64, scale=256, salt="2:"))
 
 
+@query("op13_lm_scoring")
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
