@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import activity, audience
 from ..session import scratch_path
 from ..sources.tables import ParquetTables
-from ..streaming import incremental
+from ..streaming import incremental, loads
 from . import fixtures as fx
 from .catalog import register
 from .queries_activity import _ORDERS_BASE, _rolling_sql
@@ -130,3 +132,56 @@ def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     incremental.incremental_write(_mau(orders.where(F.col("created_date") >= F.lit(w.start)), fx.ORDERS_AS_OF, first), path,
                                   "calendar_date", w, num_partitions=writers)
     return spark.read.parquet(path)
+
+
+# A table loaded four times: without July's second half, without July, without
+# anything after March, and whole. The second run finds an emptied month, the third
+# has no row in its window, the last begins right after what these two removed.
+_LOADS = (("2001-07-15", "2001-07-14"), ("2001-07-01", "2001-07-20"), ("2001-04-01", "2001-07-20"), (None, fx.ORDERS_AS_OF))
+_LOAD_DELTA = 30
+
+
+def _daily_totals(t: ParquetTables, before: str | None) -> DataFrame:
+    o = t("orders").select("o_orderpriority", F.to_date("o_orderdate").alias("order_date"), F.round(F.col("o_totalprice") * 100).cast("long").alias("_cents"))
+    if before:
+        o = o.where(F.col("order_date") < F.lit(before).cast("date"))
+    return o.groupBy("order_date", "o_orderpriority").agg(F.count(F.lit(1)).alias("orders"), F.sum("_cents").alias("cents"))
+
+
+def _run_loads(spark: SparkSession, sf_dir: str) -> loads.Target:
+    """The four loads into a table of its own below the shared checkpoint folder."""
+    t = ParquetTables(spark, sf_dir)
+    target = loads.Target(f"order_totals_{uuid.uuid4().hex}", scratch_path(spark, "order-totals"), grain="month")
+    writers = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a row a priority and day
+    for before, until in _LOADS:
+        w = loads.plan_window(spark, target, _LOAD_DELTA, full_load_start=fx.ORDERS_START)
+        loads.load_window(_daily_totals(t, before), target, "order_date", w, until, writers)
+    return target
+
+
+_TOTALS_SQL = """SELECT CAST(o_orderdate AS DATE) AS order_date, o_orderpriority, count(*) AS orders,
+       CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2"""
+
+
+@register("load_swap", f"SELECT *, strftime(order_date, '%Y') AS year_partition, strftime(order_date, '%m') AS month_partition FROM ({_TOTALS_SQL})")
+def load_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after the four loads, read from the catalog: the rows of one full load."""
+    return spark.table(_run_loads(spark, sf_dir).table)
+
+
+@register("load_journal", f"""
+WITH t AS ({_TOTALS_SQL}),
+a AS (SELECT max(order_date) AS d FROM t WHERE order_date < DATE '2001-07-15'),
+b AS (SELECT date_trunc('month', d - {_LOAD_DELTA})::DATE AS f, (SELECT max(order_date) FROM t WHERE order_date < DATE '2001-07-01') AS d FROM a),
+c AS (SELECT date_trunc('month', d - {_LOAD_DELTA})::DATE AS f FROM b),
+c2 AS (SELECT f, (SELECT max(order_date) FROM t WHERE order_date < f) AS d FROM c),
+e AS (SELECT date_trunc('month', d - {_LOAD_DELTA})::DATE AS f, (SELECT max(order_date) FROM t) AS d FROM c2)
+SELECT CAST(1 AS INTEGER) AS load, CAST(NULL AS DATE) AS first_day, CAST(NULL AS DATE) AS last_day, d AS newest_day,
+       (SELECT count(*) FROM t WHERE order_date < DATE '2001-07-15') AS n_rows FROM a
+UNION ALL SELECT 2, f, DATE '2001-07-31', d, (SELECT count(*) FROM t WHERE order_date BETWEEN b.f AND DATE '2001-06-30') FROM b
+UNION ALL SELECT 3, f, DATE '2001-07-31', d, 0 FROM c2
+UNION ALL SELECT 4, f, DATE '2001-08-31', d, (SELECT count(*) FROM t WHERE order_date >= e.f) FROM e
+""")
+def load_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the four loads wrote down: the windows right after an emptied month and an empty load."""
+    return loads.journal(spark, _run_loads(spark, sf_dir)).drop("folder")

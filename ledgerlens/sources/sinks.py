@@ -38,34 +38,58 @@ def _folder(spark, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+#: Formats whose partitions are folders of plain files; a table log (delta and others) names files on its own.
+PLAIN_FORMATS = ("parquet", "orc", "avro", "csv", "json", "text")
+
+
+def need_plain_files(fmt: str) -> None:
+    """Refuse formats whose log would not follow a folder that is listed, added or removed behind it."""
+    if fmt.lower() not in PLAIN_FORMATS:
+        raise ValueError(f"{fmt} tables keep a log of their files; use their own commands to replace days")
+
+
+def _visible(fs, where) -> list:
+    return [s for s in fs.listStatus(where) if not str(s.getPath().getName()).startswith(("_", "."))]
+
+
 def newest_partition(spark, path: str, partition_by=PARTITION_COLUMNS) -> tuple[str, ...] | None:
-    """The values of the newest partition, from one folder listing per level; None without one.
+    """The values of the newest partition that holds a file; None without one.
 
+    One folder listing per level, walking back over folders that a load emptied.
     Values are compared as numbers, so unpadded ones sort right. No data file is opened.
     """
     fs, where = _folder(spark, path)
-    values: list[str] = []
-    for column in partition_by:
-        if not fs.exists(where):
-            return None
-        names = [str(s.getPath().getName()) for s in fs.listStatus(where) if s.isDirectory()]
-        found = [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=") and n.split("=", 1)[1].isdigit()]
-        if not found:
-            return None
-        values.append(max(found, key=int))
-        where = spark._jvm.org.apache.hadoop.fs.Path(where, f"{column}={values[-1]}")
-    return tuple(values)
+
+    def newest(folder, columns) -> tuple[str, ...] | None:
+        if not columns:
+            return () if any(s.isFile() for s in _visible(fs, folder)) else None
+        names = [str(s.getPath().getName()) for s in _visible(fs, folder) if s.isDirectory()]
+        values = [n.split("=", 1)[1] for n in names if n.startswith(f"{columns[0]}=")]
+        for value in sorted((v for v in values if v.isdigit()), key=int, reverse=True):
+            rest = newest(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{columns[0]}={value}"), columns[1:])
+            if rest is not None:
+                return (value, *rest)
+        return None
+
+    return newest(where, tuple(partition_by)) if fs.exists(where) else None
 
 
 def drop_days(spark, path: str, days, partition_by=PARTITION_COLUMNS) -> None:
-    """Remove the y/M/d partitions of the given days; missing ones are skipped."""
-    fs, _ = _folder(spark, path)
+    """Remove the y/M/d partitions of the given days and the month and year folders that this empties; missing ones are skipped."""
+    fs, root = _folder(spark, path)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
     for d in days:
         names = (f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}")
-        folder = "/".join(f"{c}={v}" for c, v in zip(partition_by, names))
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{folder}")
-        if fs.exists(where):
-            fs.delete(where, True)
+        folders = [root]
+        for c, v in zip(partition_by, names):
+            folders.append(path_of(folders[-1], f"{c}={v}"))
+        if not fs.exists(folders[-1]):
+            continue
+        fs.delete(folders[-1], True)
+        for parent in folders[-2:0:-1]:
+            if list(fs.listStatus(parent)):
+                break
+            fs.delete(parent, False)
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by=PARTITION_COLUMNS,

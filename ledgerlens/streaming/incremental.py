@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import DateLike, date_lit, to_py_date
 from ..session import ensure_checkpoint_dir
-from ..sources.sinks import PARTITION_COLUMNS, drop_days, newest_partition, with_date_partitions, write_partitioned
+from ..sources.sinks import PARTITION_COLUMNS, drop_days, need_plain_files, newest_partition, with_date_partitions, write_partitioned
 
 
 @dataclass(frozen=True)
@@ -69,9 +69,10 @@ def plan_window(spark: SparkSession, path: str | None, date_expr: Column | None,
     from the y/M/d folders of ``path``: a listing, no scan.
     """
     if date_expr is None:
+        need_plain_files(fmt)
         newest = newest_partition(spark, path)
         if newest is None:
-            return _first_window(full_load_start, buffer_days)
+            return first_window(full_load_start, buffer_days)
         day = _dt.date(*map(int, newest))
         start = day - _dt.timedelta(days=delta_days + buffer_days)
         if floor is not None:
@@ -87,11 +88,11 @@ def plan_window(spark: SparkSession, path: str | None, date_expr: Column | None,
             target = None
     row = window_frame(target, date_expr, delta_days, buffer_days, floor).first() if target is not None else None
     if row is None or row["max_date"] is None:
-        return _first_window(full_load_start, buffer_days)
+        return first_window(full_load_start, buffer_days)
     return IncrementalWindow(True, row["max_date"], row["start"], row["cut"])
 
 
-def _first_window(full_load_start: DateLike, buffer_days: int) -> IncrementalWindow:
+def first_window(full_load_start: DateLike, buffer_days: int) -> IncrementalWindow:
     start = to_py_date(full_load_start)
     return IncrementalWindow(False, None, start, start + _dt.timedelta(days=buffer_days))
 
@@ -102,7 +103,10 @@ def replace_days(df: DataFrame, path: str, date_col: str, first: _dt.date, last:
 
     ``df`` has the y/M/d partition columns and is written as it is; it is
     materialised once. The days it has are one value per day of the range.
+    Readers of the folder may see the range half replaced; ``loads`` swaps it
+    in a catalog table instead. Formats with a log of their own are refused.
     """
+    need_plain_files(fmt)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     df = df.checkpoint(eager=True)
