@@ -50,9 +50,13 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.graph import cut
 from ledgerlens.session import scratch_path
 
-PART_WORDS = 1 << 17
+PART_WORDS = 1 << 19
 #: Words of a vocabulary in one row, tokens scored by one product, models added by one task.
-ROW_WORDS, SCORED, FAN_IN = 20000, 2048, 32
+ROW_WORDS, SCORED, FAN_IN = 20000, 1024, 32
+#: A model is averaged over one task for each so many training tokens of a round, if there are as many partitions.
+TRAINER_TOKENS = 500_000
+#: Stands behind every word's number, so that a part's documents follow its vocabulary.
+DOCUMENT = (1 << 31) - 1
 SEED = 1913
 
 
@@ -113,13 +117,22 @@ def parts_of(state: np.ndarray, rule: Rule) -> tuple[dict[str, np.ndarray], dict
     return out[0], out[1]
 
 
+def _guesses(weights: dict[str, np.ndarray], contexts: np.ndarray) -> np.ndarray:
+    """The prediction of each context, and a 1 that meets the bias."""
+    out = np.ones((len(contexts), weights["turn"].shape[1] + 1), np.float32)
+    np.matmul(weights["embed"][contexts].reshape(len(contexts), -1), weights["turn"], out=out[:, :-1])
+    return out
+
+
+def _class_table(weights: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([weights["vector"].T, weights["bias"][None, :]])
+
+
 def log_probabilities(weights: dict[str, np.ndarray], contexts: np.ndarray) -> np.ndarray:
     """ln p(class | context) for every class: one row a context, each summing to 1 as probabilities."""
-    seen = weights["embed"][contexts].reshape(len(contexts), -1) @ weights["turn"]
-    z = seen @ weights["vector"].T
-    z += weights["bias"]
+    z = _guesses(weights, contexts) @ _class_table(weights)
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))[:, None]
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
 def windows(sequences: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +148,13 @@ def contexts_of(padded: np.ndarray, places: np.ndarray, rule: Rule) -> np.ndarra
 
 
 def _scattered(rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
-    width = values.shape[1]
-    cells = (rows.astype(np.int64)[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(cells, values.ravel(), count * width).reshape(count, width).astype(np.float32)
+    """Sums of the values' rows that go to the same of ``count`` rows."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    out = np.zeros((count, values.shape[1]), np.float32)
+    out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
 
 
 def nce_step(weights: dict, squares: dict, contexts: np.ndarray, truth: np.ndarray, drawn: np.ndarray, log_noise: np.ndarray, rule: Rule) -> None:
@@ -150,7 +167,7 @@ def nce_step(weights: dict, squares: dict, contexts: np.ndarray, truth: np.ndarr
     up = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", guess, of_truth) + margin[truth]))) - 1
     down = 1 / (1 + np.exp(-(guess @ of_drawn.T + margin[drawn])))
     error = up[:, None] * of_truth + down @ of_drawn
-    both = np.concatenate([truth, drawn])
+    both = np.concatenate([truth, drawn]).astype(np.uint16)
     gradient = {"embed": _scattered(contexts.ravel(), (error @ weights["turn"].T).reshape(-1, rule.dims), rule.classes + 1),
                 "turn": seen.T @ error,
                 "vector": _scattered(both, np.concatenate([up[:, None] * guess, down.T @ guess]), rule.classes),
@@ -186,10 +203,15 @@ def sequence_scores(weights: dict[str, np.ndarray], sequences: list[np.ndarray],
     if not sequences:
         return np.zeros(0)
     padded, places = windows(sequences, rule)
-    found = np.empty(len(places))
+    found, table = np.empty(len(places)), _class_table(weights)
+    buffer, ones = np.empty((SCORED, rule.classes), np.float32), np.ones(rule.classes, np.float32)
     for at in range(0, len(places), SCORED):
         some = places[at:at + SCORED]
-        found[at:at + SCORED] = log_probabilities(weights, contexts_of(padded, some, rule))[np.arange(len(some)), padded[some]]
+        z = np.matmul(_guesses(weights, contexts_of(padded, some, rule)), table, out=buffer[:len(some)])
+        top = z.max(axis=1)
+        true = z[np.arange(len(some)), padded[some]] - top
+        np.subtract(z, top[:, None], out=z)
+        found[at:at + SCORED] = true - np.log(np.exp(z, out=z) @ ones)
     return np.add.reduceat(found, np.cumsum([0] + [len(s) for s in sequences[:-1]]))
 
 
@@ -312,12 +334,11 @@ def classified(rows: DataFrame, counts: Counts, rule: Rule) -> DataFrame:
     ident = rows.schema["id"].dataType.simpleString()
     terms = rows.where("words is not null").select("part", "first", F.posexplode(F.arrays_zip("words")).alias("at", "p"))
     terms = terms.select("part", (F.col("first") + F.col("at")).alias("number"), F.col("p.words").alias("word"))
+    group = _class_of(F.col("word"), F.col("known_class"), rule)
     found = terms.join(counts.words.withColumnRenamed("class", "known_class"), "word", "left").select(
-        "part", "number", F.coalesce("c", F.lit(0)).alias("c"), _class_of(F.col("word"), F.col("known_class"), rule).alias("class"))
-    none = lambda kind: F.lit(None).cast(kind)
-    both = found.select("part", F.lit(0).alias("kind"), "number", "c", "class", none(ident).alias("id"), none("boolean").alias("held"), none("binary").alias("numbers"))
-    both = both.unionByName(rows.where("numbers is not null").select(
-        "part", F.lit(1).alias("kind"), none("int").alias("number"), none("bigint").alias("c"), none("int").alias("class"), "id", "held", "numbers"))
+        "part", "number", (F.coalesce("c", F.lit(0)) * rule.classes + group).alias("fact"), F.lit(None).cast(f"struct<id:{ident},held:boolean,numbers:binary>").alias("doc"))
+    both = found.unionByName(rows.where("numbers is not null").select(
+        "part", F.lit(DOCUMENT).alias("number"), F.lit(None).cast("long").alias("fact"), F.struct("id", "held", "numbers").alias("doc")))
     total, known, documents = counts.train_tokens, counts.known, counts.documents
     shares = counts.totals + 0.5 * (counts.sizes + 1)
 
@@ -327,37 +348,36 @@ def classified(rows: DataFrame, counts: Counts, rule: Rule) -> DataFrame:
         end_base = np.log10((documents + 0.5) / (total + 0.5 * (known + 1)))
 
         def looked_up():
-            place, c, group = (np.concatenate(x) for x in zip(*gathered)) if gathered else (np.zeros(0, np.int64),) * 3
-            order = np.argsort(place)
-            c, group = c[order], group[order].astype(np.uint16)
+            c, group = np.divmod(np.concatenate(gathered) if gathered else np.zeros(0, np.int64), rule.classes)
             return (group, np.log10((c + 0.5) / (total + 0.5 * (known + 1))),
                     np.where(group < rule.words, 0.0, np.log10((c + 0.5) / shares[group])), c > 0)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, kind = np.asarray(batch.column("part")), np.asarray(batch.column("kind"))
+            part, kind = np.asarray(batch.column("part")), np.asarray(batch.column("number")) == DOCUMENT
             edges = np.flatnonzero(np.diff(part) | np.diff(kind)) + 1
             for first, last in zip([0, *edges], [*edges, batch.num_rows]):
                 piece = batch.slice(first, last - first)
                 if part[first] != now:
                     now, gathered, classes = part[first], [], None
-                if kind[first] == 0:
-                    gathered.append(tuple(np.asarray(piece.column(name)) for name in ("number", "c", "class")))
+                if not kind[first]:
+                    gathered.append(np.asarray(piece.column("fact")))
                     continue
                 if classes is None:
                     classes, base, within, seen = looked_up()
                     gathered = []
                 out = []
-                for raw in piece.column("numbers").to_pylist():
+                ids, held, numbers = piece.column("doc").flatten()
+                for raw in numbers.to_pylist():
                     x = _unpacked(raw, np.uint32)
                     out.append((len(x) + 1, int(seen[x].sum()) + (documents > 0), float(base[x].sum() + end_base), float(within[x].sum()),
                                 _packed(np.append(classes[x], rule.end).astype(np.uint16))))
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("held"), *(pa.array(c, t) for c, t in zip(zip(*out), types))],
+                yield pa.RecordBatch.from_arrays([ids, held, *(pa.array(c, t) for c, t in zip(zip(*out), types))],
                                                  names=["id", "held", "n_tokens", "n_known", "base_score", "within", "classes"])
 
-    return both.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(
+    return both.repartition("part").sortWithinPartitions("part", "number").mapInArrow(
         run, f"id {ident}, held boolean, n_tokens long, n_known long, base_score double, within double, classes binary")
 
 
@@ -404,7 +424,9 @@ def fit(classes: DataFrame, counts: Counts, rule: Rule) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(after * tokens).tobytes()], pa.binary())], names=["tokens", "state"])
 
         mine = classes.where(~F.col("held") & (F.pmod(F.xxhash64("classes"), F.lit(rule.rounds)) == number))
-        states = cut(mine.select("classes", F.spark_partition_id().alias("task")).mapInArrow(run, "tokens long, state binary"))
+        trainers = 1 + counts.train_tokens // rule.rounds // TRAINER_TOKENS
+        mine = mine.coalesce(trainers).select("classes", F.spark_partition_id().alias("task"))
+        states = cut(mine.mapInArrow(run, "tokens long, state binary"))
         found = _added(states)
         if found:
             state = found[1] / found[0]
@@ -418,7 +440,9 @@ def score_documents(docs: DataFrame, held_out: Column, rule: Rule = Rule(), id_c
     numbered(docs, held_out, id_col, text_col).write.parquet(f"{path}/numbered")
     rows = spark.read.parquet(f"{path}/numbered")
     counts = count_words(rows, rule)
-    classified(rows, counts, rule).write.parquet(f"{path}/classes")
+    # dealt anew, so that training and scoring have even tasks whatever the number of parts
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    classified(rows, counts, rule).repartition(tasks).write.parquet(f"{path}/classes")
     classes = spark.read.parquet(f"{path}/classes")
     state = fit(classes, counts, rule)
     ident = rows.schema["id"].dataType.simpleString()
