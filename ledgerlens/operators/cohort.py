@@ -1,7 +1,7 @@
 """Activation cohorts, churn attribution, cumulative churn, retention matrix.
 
-Input is the storyline (one row per consumer and day, see ``subscription``)
-and a contract table ``(contract_number, created_at, effective_at,
+Input is the storyline (one row per consumer and day, see ``subscription``, or
+one per consumer and interval, see ``intervals``) and a contract table ``(contract_number, created_at, effective_at,
 canceled_at)``.
 
 Scale notes. Cohort and churn sets are distinct (consumer, month) pairs, so a
@@ -29,16 +29,32 @@ MONTH_LABEL_FORMAT = "y-MM-01"
 # -----------------------------------------------------------------------------
 
 
+def _seen_in(month) -> F.Column:
+    """Some day of the row lies in the month that starts on ``month``."""
+    return (F.col("metric_date") <= F.last_day(month)) & (F.col("last_date") >= month)
+
+
+def _on_month_end(as_of: DateLike) -> F.Column:
+    """Some day of the row is the last of its month, or ``as_of``."""
+    return (F.last_day("metric_date") <= F.col("last_date")) | date_lit(as_of).between(F.col("metric_date"), F.col("last_date"))
+
+
 def cohort_base(story: DataFrame, contracts: DataFrame, excluded_title: str,
                 created_from: DateLike = "2023-01-01") -> DataFrame:
-    """Storyline rows with the contract's effective and cancel months."""
+    """Storyline rows with the contract's effective and cancel months.
+
+    A row covers the days ``metric_date`` to ``last_date``: one day, unless the
+    storyline comes in intervals.
+    """
+    if "last_date" not in story.columns:
+        story = story.withColumn("last_date", F.col("metric_date"))
     s = story.where((F.col("package_title") != excluded_title) & F.col("effective_at").isNotNull())
     c = contracts.where(F.to_date("created_at") >= date_lit(created_from)).select(
         F.col("contract_number").alias("_contract"),
         later_of(F.col("created_at"), F.col("effective_at")).alias("_eff"),
         F.col("canceled_at").alias("_canceled"))
     j = s.join(c, F.col("contract_number") == F.col("_contract"), "inner")
-    return j.select("metric_date", "contract_number", "consumer_id",
+    return j.select("metric_date", "last_date", "contract_number", "consumer_id",
                     F.to_date("_eff").alias("effective_date"),
                     month_start(F.col("_eff")).alias("effective_month"),
                     F.to_date("_canceled").alias("canceled_date"),
@@ -48,15 +64,13 @@ def cohort_base(story: DataFrame, contracts: DataFrame, excluded_title: str,
 
 def activation_cohort(base: DataFrame) -> DataFrame:
     """Distinct (consumer, effective month) seen in the storyline in that month."""
-    return (base.where(month_start(F.col("metric_date")) == F.col("effective_month"))
+    return (base.where(_seen_in(F.col("effective_month")))
                 .select("consumer_id", "effective_month").distinct())
 
 
 def month_end_churn(base: DataFrame, as_of: DateLike = None) -> DataFrame:
     """Distinct (consumer, cancel month) inactive on a month end or on ``as_of``."""
-    d = F.col("metric_date")
-    return (base.where((F.col("status_contract") == INACTIVE) &
-                       ((d == F.last_day(d)) | (d == date_lit(as_of))))
+    return (base.where((F.col("status_contract") == INACTIVE) & _on_month_end(as_of))
                 .select("consumer_id", "canceled_month").distinct())
 
 
@@ -86,9 +100,8 @@ def cohort_attribution(base: DataFrame, as_of: DateLike = None) -> DataFrame:
     at most two rows per month there, so the window is bounded by the number
     of months, however active the consumer.
     """
-    d = F.col("metric_date")
-    in_cohort = month_start(d) == F.col("effective_month")
-    churned = (F.col("status_contract") == INACTIVE) & ((d == F.last_day(d)) | (d == date_lit(as_of)))
+    in_cohort = _seen_in(F.col("effective_month"))
+    churned = (F.col("status_contract") == INACTIVE) & _on_month_end(as_of)
     tagged = (base.where(in_cohort | churned)
                   .select("consumer_id", F.explode(F.array(
                       F.when(in_cohort, F.struct(F.lit(True).alias("c"), F.col("effective_month").alias("m"))),

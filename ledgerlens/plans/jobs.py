@@ -12,7 +12,7 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import DateLike, to_py_date
-from ..operators import activity, cashback, subscription
+from ..operators import activity, cashback, intervals, subscription
 from ..sources.sinks import write_table
 from ..streaming import incremental, loads
 
@@ -55,9 +55,8 @@ def storyline_job(subscriptions: DataFrame, history: DataFrame, table: str,
                   calendar_start: DateLike = "2023-01-01", as_of: DateLike = None, history_tie_breakers=(),
                   fmt: str = "parquet", path: str | None = None) -> None:
     """Full overwrite of the storyline fact with its surrogate id."""
-    story = subscription.storyline(subscriptions, history, rules, created_from, calendar_start, as_of,
-                                   history_tie_breakers)
-    write_table(subscription.storyline_fact(story), table, fmt=fmt, mode="overwrite", path=path)
+    story = intervals.storyline_intervals(subscriptions, history, rules, created_from, calendar_start, as_of, history_tie_breakers)
+    write_table(subscription.storyline_fact(intervals.on_days(story)), table, fmt=fmt, mode="overwrite", path=path)
 
 
 def rolling_metric_job(spark: SparkSession, activity_df: DataFrame, target: str | loads.Target, date_col: str = "created_date",
