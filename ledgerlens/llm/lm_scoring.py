@@ -22,7 +22,7 @@ in one round. Biases start at the log class frequencies and class vectors at 0,
 untrained model is the class unigram one.
 
 How it runs. A scan numbers the words of each run of documents (a part ends with the
-document that brings its vocabulary to ``PART_WORDS``) and writes number sequences and
+document that brings it to ``PART_BYTES`` of text) and writes number sequences and
 the part's vocabulary with counts; words leave a part once, so the commonest word is
 one row a part. The counts are added up by word and joined back to the vocabularies;
 sorted by part, vocabulary before documents, a task turns numbers into classes holding
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.graph import cut
 from ledgerlens.session import scratch_path
 
-PART_WORDS = 1 << 19
+PART_BYTES = 24 << 20
 #: Words of a vocabulary in one row, tokens scored by one product, models added by one task.
 ROW_WORDS, SCORED, FAN_IN = 20000, 1024, 32
 #: A model is averaged over one task for each so many training tokens of a round, if there are as many partitions.
@@ -228,12 +228,15 @@ def _unpacked(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
-class _Numbers(dict):
-    """Words in the order in which they are met."""
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(lower-cased words of all texts in a row, words of each text), by Arrow's kernels."""
+    import pyarrow.compute as pc
 
-    def __missing__(self, word):
-        number = self[word] = len(self)
-        return number
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = lists.flatten()
+    whole = np.asarray(pc.binary_length(flat)) > 0
+    ends = np.concatenate(([0], np.cumsum(whole)))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+    return flat.filter(pa.array(whole)), np.diff(ends)
 
 
 def numbered(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
@@ -242,54 +245,56 @@ def numbered(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> D
     A document's row has id, held and numbers; a vocabulary's row first (its first word's number), words and counts.
     """
     ident = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").cast("binary").alias("text"),
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"),
                          F.spark_partition_id().alias("task"))
     schema = f"part long, id {ident}, held boolean, numbers binary, first int, words array<string>, counts array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts, part = _Numbers(), np.zeros(1 << 12, np.int64), 0
+        import pyarrow.compute as pc
+
         names = ["part", "id", "held", "numbers", "first", "words", "counts"]
-        types = None
-
-        def documents(batch: pa.RecordBatch, first: int, last: int, packed: list[bytes], number: int) -> pa.RecordBatch:
-            n = last - first
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number] * n, pa.int64()), batch.column("id").slice(first, n), batch.column("held").slice(first, n), pa.array(packed, pa.binary()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
-
-        def vocabularies(number: int) -> Iterator[pa.RecordBatch]:
-            words = list(vocabulary)
-            for at in range(0, len(words), ROW_WORDS):
-                some = pa.array(words[at:at + ROW_WORDS], pa.binary()).cast(pa.string())
-                ends = pa.array([0, len(some)], pa.int32())
+        waiting, held_bytes, part = [], 0, 0
+
+        def finished(number: int) -> Iterator[pa.RecordBatch]:
+            """The documents and the vocabulary of one part."""
+            words, sizes = zip(*(_words(piece.column("text")) for piece in waiting))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            numbers, vocabulary = np.asarray(coded.indices).astype(np.uint32), coded.dictionary
+            ends = np.cumsum(np.concatenate(sizes))
+            learned = np.repeat(~np.concatenate([np.asarray(piece.column("held")) for piece in waiting]), np.concatenate(sizes))
+            counts = np.bincount(numbers[learned], minlength=len(vocabulary))
+            row = 0
+            for piece in waiting:
+                n = piece.num_rows
+                packed = [_packed(numbers[ends[k - 1] if k else 0:ends[k]]) for k in range(row, row + n)]
+                row += n
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * n, pa.int64()), piece.column("id"), piece.column("held"), pa.array(packed, pa.binary()),
+                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+            kind = waiting[0].column("id").type
+            for at in range(0, len(vocabulary), ROW_WORDS):
+                some = vocabulary.slice(at, ROW_WORDS)
+                edges = pa.array([0, len(some)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.nulls(1, types), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()),
-                     pa.ListArray.from_arrays(ends, some), pa.ListArray.from_arrays(ends, pa.array(counts[at:at + len(some)], pa.int64()))], names=names)
+                    [pa.array([number], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()),
+                     pa.ListArray.from_arrays(edges, some), pa.ListArray.from_arrays(edges, pa.array(counts[at:at + len(some)], pa.int64()))], names=names)
 
-        number = None
+        task = 0
         for batch in batches:
-            types = batch.column("id").type
-            packed, first = [], 0
-            texts, held, tasks = batch.column("text"), batch.column("held").to_pylist(), batch.column("task")
-            for at in range(batch.num_rows):
-                if number is None:
-                    number = (tasks[at].as_py() << 32) + part
-                numbers = np.fromiter(map(vocabulary.__getitem__, (texts[at].as_py() or b"").lower().split()), np.uint32)
-                if len(vocabulary) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(max(len(counts), len(vocabulary) - len(counts)), np.int64)])
-                if not held[at] and len(numbers):
-                    found = np.bincount(numbers)
-                    counts[:len(found)] += found
-                packed.append(_packed(numbers))
-                if len(vocabulary) >= PART_WORDS:
-                    yield documents(batch, first, at + 1, packed, number)
-                    yield from vocabularies(number)
-                    packed, first, number = [], at + 1, None
-                    vocabulary, counts, part = _Numbers(), np.zeros(1 << 12, np.int64), part + 1
-            if packed:
-                yield documents(batch, first, batch.num_rows, packed, number)
-        if number is not None:
-            yield from vocabularies(number)
+            if not batch.num_rows:
+                continue
+            task = batch.column("task")[0].as_py()
+            lengths, first = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)), 0
+            while first < batch.num_rows:
+                total = held_bytes + np.cumsum(lengths[first:])
+                count = min(int(np.searchsorted(total, PART_BYTES)) + 1, batch.num_rows - first)
+                waiting.append(batch.slice(first, count))
+                held_bytes, first = int(total[count - 1]), first + count
+                if held_bytes >= PART_BYTES:
+                    yield from finished((task << 32) + part)
+                    waiting, held_bytes, part = [], 0, part + 1
+        if waiting:
+            yield from finished((task << 32) + part)
 
     return source.mapInArrow(run, schema)
 

@@ -50,9 +50,9 @@ def frame(spark, pairs):
     return spark.createDataFrame([(i, t, True, "a", 1, "b", 2) for i, t in pairs], SCHEMA)
 
 
-@pytest.mark.parametrize("part_words,row_words", [(1 << 17, 20000), (9, 4)])
-def test_counts_and_base_score(spark, monkeypatch, part_words, row_words):
-    monkeypatch.setattr(lm, "PART_WORDS", part_words)
+@pytest.mark.parametrize("part_bytes,row_words", [(24 << 20, 20000), (90, 4), (1, 1000)])
+def test_counts_and_base_score(spark, monkeypatch, part_bytes, row_words):
+    monkeypatch.setattr(lm, "PART_BYTES", part_bytes)
     monkeypatch.setattr(lm, "ROW_WORDS", row_words)
     pairs = rows()
     got = lm.score_documents(frame(spark, pairs).repartition(3), marked(), SMALL)
