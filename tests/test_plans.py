@@ -24,14 +24,16 @@ def test_rolling_metric_pushes_date_range_to_scan(spark):
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
-def test_storyline_days_generated_after_the_only_exchange(spark):
+def test_storyline_exchanges_contracts_and_makes_days_last(spark):
     plan = executed(entry.queries()["storyline"](spark, SF_SMALL))
     lines = plan.splitlines()
-    window = next(i for i, line in enumerate(lines) if "Window [" in line or line.lstrip(" +-:").startswith("Window"))
-    below = lines[window:]
-    first_exchange = next(i for i, line in enumerate(below) if "Exchange" in line)
-    first_generate = next(i for i, line in enumerate(below) if "Generate" in line)
-    assert first_generate < first_exchange      # the day spine sits between the window and the exchange
+    days = next(i for i, line in enumerate(lines) if "sequence(metric_date" in line or "sequence(" in line and "last_date" in line)
+    sweeps = [i for i, line in enumerate(lines) if "MapInArrow" in line]
+    between = lines[sweeps[0]:sweeps[1]]
+    assert days < sweeps[0] and len(sweeps) == 2                                 # days are made above both sweeps
+    assert sum("Exchange hashpartitioning(consumer_id" in line for line in between) == 1
+    assert not any("Exchange" in line for line in lines[:sweeps[0]])             # and never exchanged
+    assert "Window" not in "".join(lines[:sweeps[1]])
 
 
 def test_cohort_report_reads_the_base_once(spark):
