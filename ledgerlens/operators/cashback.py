@@ -148,6 +148,10 @@ VEHICULAR = ProductSpec(PRODUCT_NAMES[3], "created_at", True, "total_revenue", "
 PRODUCTS = (PIX, P2P, BILLS, VEHICULAR)
 
 
+#: A status event is one row per movement and status.
+EVENT_KEY = ("properties_movement_id", "properties_status")
+
+
 # --- shared frames -------------------------------------------------------------
 
 def flagged_campaigns(taxonomy: DataFrame, pattern: str) -> DataFrame:
@@ -176,16 +180,19 @@ def promo_cashback(promo: DataFrame, campaigns: DataFrame, p: CashbackParams) ->
 
 
 def status_events(events: DataFrame, campaigns: DataFrame, core: DataFrame, p: CashbackParams,
-                  dedupe_order=None) -> DataFrame:
+                  dedupe_order=None, deduped: bool = False) -> DataFrame:
     """Event-era cashback (A18): CREATED events since the cut, flagged, with card value.
 
     Deduplicated on (movement, status) before the date filters, as the
     reference does; the status filter is pushed before the dedupe (it is part
     of the key, so the survivors are the same). ``dedupe_order`` fixes the
-    survivor (default: event id).
+    survivor (default: event id). ``deduped``: the events are survivors already,
+    as ``streaming.dedupe_state`` keeps them over many loads, and the whole
+    history is not deduplicated again.
     """
     e = events.where(F.col("properties_status") == STATUS_CREATED)
-    e = top_per_group(e, ["properties_movement_id", "properties_status"], dedupe_order or ["id"])
+    if not deduped:
+        e = top_per_group(e, list(EVENT_KEY), dedupe_order or ["id"])
     d = F.to_date("properties_created_at")
     e = e.where(p.in_join_window(d) & (d >= date_lit(p.cut)))
     core_cond = p.in_join_window(F.to_date("created_at"))

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import value_bucket_sql
 from ..operators import cashback
+from ..session import scratch_path
 from ..sources.tables import ParquetTables
+from ..streaming.dedupe_state import DedupeState
 from . import fixtures as fx
 from .catalog import register
 
@@ -261,6 +263,27 @@ def cashback_status_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(_events_cb(_sources(spark, sf_dir)))
 
 
+# Loads of the events by the day on which they arrive; a movement's duplicates come in any of them.
+_ARRIVALS = (None, "1997-01-01", "1999-06-01", None)
+
+
+@register("cashback_status_loads", SOURCES_SQL + "SELECT * REPLACE (cashback_pago::DOUBLE AS cashback_pago, cashback_raspado::DOUBLE AS cashback_raspado, "
+          "paid_credit_card_value_promo::DOUBLE AS paid_credit_card_value_promo) FROM ev_cb")
+def cashback_status_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status base from three loads, each deduplicated against the state of the ones before: the rows of one dedupe of everything."""
+    src = _sources(spark, sf_dir)
+    state = DedupeState(scratch_path(spark, "seen-events"), cashback.EVENT_KEY, fx.PROMO_ORDER, "l_shipdate", buckets=16)
+    day, rows = F.to_date("l_shipdate"), None
+    for first, end in zip(_ARRIVALS, _ARRIVALS[1:]):
+        window = src["events"].where(F.col("properties_status") == cashback.STATUS_CREATED)
+        if first:
+            window = window.where(day >= F.lit(first).cast("date"))
+        window = window.where(day < F.lit(end).cast("date")) if end else window
+        survivors, displaced = state.run(window)
+        rows = survivors if rows is None else state.without(rows, displaced).unionByName(survivors)
+    return _report(cashback.status_events(rows, _campaigns(src), src["core"], PARAMS, deduped=True))
+
+
 @register("cashback_before", SOURCES_SQL + f"SELECT * {_MONEY} FROM ({BEFORE_SQL})")
 def cashback_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _sources(spark, sf_dir)
