@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (BooleanType, DateType, DecimalType, DoubleType, LongType, StringType, StructField,
                                StructType)
 
-from ..functions.columns import allocate_cashback, numbered_key, value_bucket
+from ..functions.columns import allocate_cashback, value_bucket
 from ..functions.dates import DateLike, date_lit, mtd_flag
+from .ids import numbered_key
 from .rank import top_per_group
 
 # --- fixed values (must equal the reference's for equal results) -------------
@@ -435,8 +436,8 @@ NATURAL_KEY = ("product_type_name", "type", "all_transaction_id", "promo_transac
 def cashback_payments(branches: DataFrame, id_mode: str | None = "hash") -> DataFrame:
     """Unified fact (A25): id, 26 columns, year_month and y/M/d partition strings.
 
-    ``id_mode``: ``"hash"`` = 128 bits of the natural key and the row's number
-    within it (stable and unique), ``"monotonic"``
+    ``id_mode``: ``"hash"`` = 128 bits of the natural key, the row and its number
+    among equal rows (stable and unique, see ``numbered_key``), ``"monotonic"``
     = ``monotonically_increasing_id() + 1``, ``None`` = no id column.
     """
     d = F.col("created_date")

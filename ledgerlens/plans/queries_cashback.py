@@ -322,6 +322,31 @@ def cashback_payment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.count(F.lit(1)) > F.count_distinct(key)).alias("keys_repeat"))
 
 
+def _field(c: str) -> str:
+    return f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+def _mark(fields) -> str:
+    return "substr(sha256(concat_ws('|', " + ", ".join(map(_field, fields)) + ")), 1, 32)"
+
+
+_MONEY_COLUMNS = ("received_cashback_value", "paid_credit_card_value", "total_revenue")
+_FACT_COLUMNS = ("cleaned_event_cashback_status_changed_id", "promo_transaction_id", "campaign_id", "briefing_id", "transactional_core_id",
+                 "transaction_id", "correlation_id", "credit_card_id", "all_transaction_id", "consumer_id", "created_date", "year_month", "type",
+                 "product_type_name", "transaction_type", "is_mtd", "is_flagged_campaign", "installments", "cashback_percentage", "cashback_range",
+                 *_MONEY_COLUMNS, "year_partition", "month_partition", "day_partition")
+
+
+@register("cashback_fact_ids", SOURCES_SQL + f"""
+SELECT {_mark((*cashback.NATURAL_KEY, "mark", "number"))} AS cashback_payment_id, product_type_name, type, all_transaction_id, consumer_id, created_date
+FROM (SELECT *, row_number() OVER (PARTITION BY mark) AS number FROM (SELECT *, {_mark(_FACT_COLUMNS)} AS mark FROM (
+  SELECT * REPLACE ({", ".join(f"{c}::DECIMAL(18,2) AS {c}" for c in _MONEY_COLUMNS)}) FROM ({FACT_SQL}))))
+""")
+def cashback_fact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of every row of the fact, beside some columns of its key."""
+    return cashback_fact(spark, sf_dir).select("cashback_payment_id", "product_type_name", "type", "all_transaction_id", "consumer_id", "created_date")
+
+
 @register("cashback_payments", SOURCES_SQL + f"""SELECT * REPLACE (received_cashback_value::DOUBLE AS received_cashback_value,
   paid_credit_card_value::DOUBLE AS paid_credit_card_value, total_revenue::DOUBLE AS total_revenue) FROM ({FACT_SQL})""")
 def cashback_payments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns
-from ledgerlens.operators import cohort, subscription as S
+from ledgerlens.operators import cohort, ids, subscription as S
 from ledgerlens.plans.fixtures import RULES
 
 T = dt.datetime
@@ -233,8 +233,29 @@ def test_ids_tell_nulls_and_repeats_apart(spark):
                                "x string, y string, z string, v int")
     keys = [r[0] for r in df.select(columns.surrogate_key("x", "y", "z")).collect()]
     assert len(set(keys)) == 3 and keys[0] == keys[3] == keys[4] and all(len(k) == 32 for k in keys)
-    once, again = (sorted(r[0] for r in columns.numbered_key(d, ("x", "y", "z"), "id").collect()) for d in (df, df.repartition(3)))
+    once, again = (sorted(r[0] for r in ids.numbered_key(d, ("x", "y", "z"), "id").collect()) for d in (df, df.repartition(3)))
     assert len(set(once)) == 5 and once == again
+    # late rows, of the same keys and equal to others, change no id
+    more = df.unionAll(spark.createDataFrame([("a", None, "b", 0), ("ab", None, None, 0), ("a", None, "b", 2)], df.schema))
+    assert set(once) < set(r[0] for r in ids.numbered_key(more, ("x", "y", "z"), "id").collect())
+    assert ids.numbered_key(df.limit(0), ("x",), "id").count() == 0
+    assert ids.numbered_key(df.where("v = 1"), ("x",), "id").select("id").distinct().count() == 3
+
+
+def test_ids_of_very_many_equal_rows_and_of_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(ids, "COPIES", 7)
+    df = spark.range(60).select(F.when(F.col("id") < 40, 1).otherwise(F.col("id")).alias("_mark"), F.lit("x").alias("_count"), F.lit(1.5).alias("_number"), F.lit("r").alias("_row"))
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(ids, "MARKED_ROWS", limit)
+        out = ids.numbered_key(df, ("_count",), "id")
+        assert out.columns == ["id", "_mark", "_count", "_number", "_row"] and out.count() == 60
+        assert out.select("id").distinct().count() == 60 and out.where("_mark = 1").count() == 40
+
+
+def test_counting_ids_exchanges_marks_only(spark):
+    df = spark.range(50).select((F.col("id") % 49).alias("k"), F.repeat(F.lit("wide"), 50).alias("w"))
+    plan = ids.numbered_key(df, ("k",), "id").where("k <> 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "LeftAnti" in plan
 
 
 def test_cohort_days_give_the_same_cohorts_and_churn(spark):
