@@ -32,6 +32,7 @@ from ..functions.columns import allocate_cashback, value_bucket
 from ..functions.dates import DateLike, date_lit, mtd_flag
 from .ids import numbered_key
 from .rank import top_per_group
+from .skew import salted_join
 
 # --- fixed values (must equal the reference's for equal results) -------------
 INSTANT_WALLET_CODE = 419
@@ -87,7 +88,9 @@ class CashbackParams:
     (``None`` = no bound). ``join_start``: first day read of the promo, core
     and event sides (default ``start``); an incremental run that rewrites late
     days sets it to the full load's start, so pairs across the edge of the
-    window are not lost.
+    window are not lost. ``hot_share``: campaigns above this share of the rows
+    are found first and salted in the joins with the campaigns (default: their
+    skew is left to adaptive execution).
     """
 
     start: DateLike
@@ -100,6 +103,7 @@ class CashbackParams:
     instant_value: str = "cashback_pago"
     instant_until: DateLike | str | None = "cut"
     join_start: DateLike | None = None
+    hot_share: float | None = None
 
     def in_join_window(self, d: Column) -> Column:
         return (d >= date_lit(self.start if self.join_start is None else self.join_start)) & (d <= date_lit(self.end))
@@ -168,6 +172,13 @@ def flagged_campaigns(taxonomy: DataFrame, pattern: str) -> DataFrame:
                     F.lit(True).alias("is_flagged_campaign"))
 
 
+def _with_campaigns(rows: DataFrame, campaigns: DataFrame, p: CashbackParams) -> DataFrame:
+    """Left join on ``campaign_id``; a campaign may hold a third of all rows."""
+    if p.hot_share is None:
+        return rows.join(campaigns, "campaign_id", "left")
+    return salted_join(rows, campaigns, "campaign_id", "left", share=p.hot_share)
+
+
 def promo_cashback(promo: DataFrame, campaigns: DataFrame, p: CashbackParams) -> DataFrame:
     """Legacy cashback rows with the era key and the campaign flag."""
     d = F.to_date("created_at")
@@ -176,7 +187,7 @@ def promo_cashback(promo: DataFrame, campaigns: DataFrame, p: CashbackParams) ->
         era_key.alias("pix_id_cashback"), "promo_transaction_id", "campaign_id", "all_transaction_id",
         "transaction_id", "consumer_id", F.col("received_cashback_value").cast(MONEY).alias("received_cashback_value_promo"),
         F.col("paid_credit_card_value").cast(MONEY).alias("paid_credit_card_value_promo"))
-    j = pr.join(campaigns, "campaign_id", "left")
+    j = _with_campaigns(pr, campaigns, p)
     return j.withColumn("is_flagged_campaign", F.coalesce(F.col("is_flagged_campaign"), F.lit(False)))
 
 
@@ -202,7 +213,7 @@ def status_events(events: DataFrame, campaigns: DataFrame, core: DataFrame, p: C
         core_cond = core_cond & (F.col("created_at") >= F.make_date(F.lit(p.core_min_year), F.lit(1), F.lit(1)))
     c = core.where(core_cond).select(F.col("correlation_id").alias("_core_id"),
                                      F.col("base_value").cast(MONEY).alias("_base_value"))
-    j = (e.join(campaigns, F.col("properties_promo_campaign_id") == F.col("campaign_id"), "left")
+    j = (_with_campaigns(e.withColumn("campaign_id", F.col("properties_promo_campaign_id")), campaigns, p)
           .drop("campaign_id")
           .join(c, F.col("properties_origin_transaction_id") == F.col("_core_id"), "inner"))
     created = F.col("properties_status") == STATUS_CREATED

@@ -7,6 +7,8 @@ the Spark operators.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import value_bucket_sql
@@ -263,6 +265,24 @@ def cashback_status_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(_events_cb(_sources(spark, sf_dir)))
 
 
+@register("campaign_flag_hot", SOURCES_SQL + f"""
+, hot AS (SELECT * REPLACE (CASE WHEN consumer_id % 3 = 0 THEN (SELECT min(campaign_id) FROM camp) ELSE campaign_id END AS campaign_id) FROM promo
+          WHERE CAST(created_at AS DATE) BETWEEN {S} AND {E})
+SELECT h.campaign_id, coalesce(c.is_flagged_campaign, FALSE) AS is_flagged_campaign, c.briefing_id, count(*) AS n_rows,
+       CAST(sum(CAST(h.received_cashback_value * 100 AS BIGINT)) AS BIGINT) AS cents
+FROM hot h LEFT JOIN camp c ON h.campaign_id = c.campaign_id GROUP BY ALL
+""")
+def campaign_flag_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags where one flagged campaign has a third of all promo rows: its rows are salted."""
+    src = _sources(spark, sf_dir)
+    campaigns = _campaigns(src)
+    least = campaigns.agg(F.min("campaign_id")).scalar()
+    promo = src["promo"].withColumn("campaign_id", F.when(F.col("consumer_id") % 3 == 0, least).otherwise(F.col("campaign_id")))
+    flagged = cashback.promo_cashback(promo, campaigns, dataclasses.replace(PARAMS, hot_share=0.01))
+    return flagged.groupBy("campaign_id", "is_flagged_campaign", "briefing_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum((F.col("received_cashback_value_promo") * 100).cast("long")).alias("cents"))
+
+
 # Loads of the events by the day on which they arrive; a movement's duplicates come in any of them.
 _ARRIVALS = (None, "1997-01-01", "1999-06-01", None)
 
