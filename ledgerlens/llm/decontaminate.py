@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.graph import cut
 from ledgerlens.llm.textops import BASE, document_runs, mix, words_of_run
+from ledgerlens.operators.rank import free_name
 
 #: Fixed masks, weight 7: any 20 positions with 4 mismatches hold one of them (tests/llm/test_decontaminate.py).
 MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 2, 5, 8, 10, 11, 12), (0, 1, 3, 4, 7, 8, 9), (0, 2, 4, 6, 9, 10, 11), (0, 1, 2, 3, 5, 10, 14))
@@ -175,7 +177,7 @@ def _seeds(rows: DataFrame, id_name: str, only_items: bool) -> DataFrame:
 
 
 def _leaks_by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # written, so that no lost task numbers its rows anew
     mine = _seeds(rows.select("row", "text"), "row", False)
     theirs = _seeds(items.select("item_id", "text"), "item_id", True).withColumnRenamed("id", "item_id").withColumnRenamed("pos", "item_pos")
     cases = mine.join(theirs, "hash").select(F.col("id").alias("row"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
@@ -202,7 +204,7 @@ def _leaks_by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(doc_id, leaks) per document: the items it holds, with the agreeing stretch in document tokens."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and length(text) > 0")
     # an upper bound of the tokens, by characters: a token takes two at least, with its space
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if size <= 2 * broadcast_tokens:
@@ -212,12 +214,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BR
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; columns stay. Without a row id of its own, a document is judged by its text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and length(text) > 0")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if size > 2 * BROADCAST_TOKENS:
-        numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-        bad = _leaks_by_shuffle(numbered.select(F.col("__row").alias("doc_id"), "text"), items).where("size(leaks) > 0")
-        return numbered.join(bad.select(F.col("doc_id").alias("__row")), "__row", "left_anti").drop("__row")
+        row = free_name(docs, "_row")
+        numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        bad = _leaks_by_shuffle(numbered.select(F.col(row).alias("doc_id"), "text"), items).where("size(leaks) > 0")
+        return numbered.join(bad.select(F.col("doc_id").alias(row)), row, "left_anti").drop(row)
     pairs = items.collect()
     ids, texts = [r[0] for r in pairs], [r[1] for r in pairs]
 

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.graph import connected_components, cut
 from ledgerlens.llm.textops import document_runs, shingles, words_of_run
+from ledgerlens.operators.rank import free_name
 
 SKETCH_BITS = 20
 PARTS = 256
@@ -353,10 +354,26 @@ def jaccard_classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _anti(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
+
+
 def keep_one(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id; columns stay. Documents with a null id or an empty set stay."""
-    found = cut(jaccard_classes(docs, rule, id_col, text_col))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, id_col, "left_anti")
+    """One row of each class, the one with the smallest id; columns stay. Rows with a null id or an empty set stay.
+
+    Where ids repeat, each row is judged by its own text, under a row number that
+    the frame is written with first: of rows that share id and class one stays, and
+    a text of its own stays whatever became of another row with its id.
+    """
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
+    if not ids.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").head(1):
+        found = cut(jaccard_classes(docs, rule, id_col, text_col))
+        return _anti(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), id_col)
+    row = free_name(docs, "_row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    named = numbered.where(F.col(id_col).isNotNull())
+    found = jaccard_classes(named.select(row, text_col), rule, row, text_col).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    placed = cut(found.join(named.select(F.col(row).alias("row"), F.col(id_col).alias("id")), "row"))
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    gone = cut(placed.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row)))
+    return _anti(numbered, gone, row).drop(row)

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate as dc
 
@@ -27,7 +28,8 @@ def test_masks_hit_every_stretch():
 
 
 @pytest.mark.parametrize("limit", [dc.BROADCAST_TOKENS, 0])
-def test_against_brute_force(spark, limit):
+def test_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(dc, "BROADCAST_TOKENS", limit)
     rng = np.random.default_rng(3)
     vocabulary = np.array([f"w{i}" for i in range(60)])
     items = [(i, " ".join(rng.choice(vocabulary, n))) for i, n in enumerate([30, 25, 20, 15, 9, 8, 5, 0, 40])] + [(100, None), (101, "")]
@@ -48,7 +50,8 @@ def test_against_brute_force(spark, limit):
     want = [(d, [i for i, t in items if t and brute(text, t)] if text else []) for d, text in docs if d != 62] + [(62, [1])] * 2
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(got, key=key) == sorted(want, key=key)
-    if limit:
+    for frame in (frame, frame.withColumn("_row", F.lit(1)).withColumn("__row", F.lit("x"))):
+        assert dc.drop_leaking(frame, bench).columns == frame.columns
         assert sorted(r.doc_id for r in dc.drop_leaking(frame, bench).collect() if r.doc_id is not None) == sorted(d for d, x in want if not x)
 
 

@@ -69,6 +69,25 @@ def test_without_broadcast(spark, monkeypatch):
     assert got == {d: c for d, _, c in brute(rows, rule)}
 
 
+def test_keep_one_where_ids_repeat(spark):
+    """Whole rows: a text of its own stays, of equal texts the row with the least id does, once."""
+    schema = "doc_id long, text string, _row int, id string"
+    a, b, c = "the cat sat on the mat today", "quite another text of several words", "Third one with words enough to count"
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a, 1, "x"), (1, a, 2, "y"), (2, a.upper(), 3, "z"), (2, b, 4, ""), (3, c, 5, ""), (3, b, 6, ""), (5, None, 7, ""), (5, "", 8, ""), (None, a, 9, ""),
+            (None, a, 9, ""), (7, near, 10, ""), (7, near + " end", 11, ""), (6, near + " end end", 12, "")]
+    rule = jj.Rule(words=3, part=90, whole=100)
+    kept = jj.keep_one(spark.createDataFrame(rows, schema), rule)
+    assert kept.columns == ["doc_id", "text", "_row", "id"]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in kept.collect())
+    assert [x for x in got if x[1] == a or x[1] == a.upper()] == [(-1, a), (-1, a), (1, a)]
+    assert [x for x in got if x[1] == b] == [(2, b)] and [x for x in got if x[1] == c] == [(3, c)]
+    assert sorted(x[0] for x in got if not x[1]) == [5, 5] and [x for x in got if (x[1] or "").startswith("w0")] == [(6, near + " end end")]
+    assert len(got) == 8
+    four = [(1, "a"), (1, "a"), (2, "a"), (2, "b")]
+    assert sorted(map(tuple, jj.keep_one(spark.createDataFrame(four, "doc_id long, text string"), rule).collect())) == [(1, "a"), (2, "b")]
+
+
 def test_keep_one(spark):
     rule, rows = jj.Rule(5, 80, 100), corpus(4)
     docs = as_rows(spark, rows)
