@@ -2,15 +2,16 @@
 
 The page is read into a tree of containers. Every paragraph (a block of text)
 passes points for its length and its commas to its ancestors, halved per level
-and discounted by the ancestor's link density; the container with most points
-(the whole article that holds it) and those of its siblings that score well are
-kept, without menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments. What holds the page's articles, or without any the
-larger part of its unlinked text, is none of these, whatever its name.
+and discounted by the ancestor's link density. The container with most points, or the
+whole article that holds it, is kept; without an article also what stands beside it
+and its ancestors, unless most of it is links. Menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and comments go first; what holds the
+page's articles is none of these, whatever its name.
 
 Defined results: a null or empty html gives an empty text; markup that never
 closes is closed at the end; text outside any element counts as a paragraph;
-equal scores go to the container that begins first; other columns are ignored.
+equal scores go to the container that begins first; a very long page is read whole,
+in time and memory that grow with its length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,21 +43,24 @@ _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\
 CONTROLS = frozenset("button select option label menu".split())
 GOOD = re.compile(r"article|main|content|post|entry|story|body|text", re.I)
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[(.*?)(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$))", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Attributes as the HTML standard reads them: a quote opens a value only after "="; elsewhere it is part of a name or value.
+_ATTRS = r"""(?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|$)|'[^']*+(?:'|$)|[^\s>"'][^\s>]*+)?+)?+|=)*+"""
+_TAG = re.compile(rf"<(?:!--(?:-?>|.*?(?:--!?>|$))|!\[CDATA\[(.*?)(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)({_ATTRS})(?:>|$))", re.S)
+_ATTR = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*))?)?""")
 _SPACE = re.compile(r"\s+")
 #: What an open element is closed by, as in the HTML standard.
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "order", "noise", "score", "chars", "linked", "weight", "plain", "articles")
+    __slots__ = ("tag", "parent", "children", "order", "noise", "named", "score", "passed", "chars", "linked", "weight", "plain", "articles")
 
     def __init__(self, tag: str, parent: Node | None, order: int, noise: bool, weight: float):
         self.tag, self.parent, self.order, self.noise, self.weight = tag, parent, order, noise, weight
         self.children: list = []
-        self.score = self.chars = self.linked = 0.0
+        self.score = self.passed = self.chars = self.linked = 0.0
         self.plain = self.articles = 0
+        self.named = False
 
 
 def parse(html: str) -> Node:
@@ -64,6 +68,18 @@ def parse(html: str) -> Node:
     root = here = Node("root", None, 0, False, 0.0)
     at = order = links = suspects = 0
     n = len(html)
+    opened: dict[str, int] = {}  # elements of a tag that are open
+
+    def close(upto: Node) -> Node:
+        """End the open elements down to ``upto``, itself included; what is open then."""
+        nonlocal links
+        node = here
+        while True:
+            links -= node.tag == "a"
+            opened[node.tag] -= 1
+            if node is upto:
+                return node.parent
+            node = node.parent
 
     def text(upto: int) -> None:
         if upto > at:
@@ -86,37 +102,29 @@ def parse(html: str) -> Node:
         if not m[3]:
             continue
         tag = m[3].lower()
-        if m[2]:  # a closing tag
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                while here is not node:
-                    links -= here.tag == "a"
-                    here = here.parent
-                links -= here.tag == "a"
-                here = here.parent
+        if m[2]:  # a closing tag; one that closes nothing is left out
+            if opened.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = close(node)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        if tag in CLOSES_P or tag == "a":
+        if (tag in CLOSES_P and (opened.get("p") or opened.get("a"))) or (tag == "a" and opened.get("a")):
             node, stop = here, BLOCKS if tag != "a" else BLOCKS - {"p"}
             while node is not root and node.tag not in stop and node.tag != "a":
                 node = node.parent
             if (tag != "a" and node.tag == "p") or node.tag == "a" == tag:
-                while here is not node:
-                    links -= here.tag == "a"
-                    here = here.parent
-                links -= here.tag == "a"
-                here = here.parent
+                here = close(node)
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag]
             while here.tag in same:
-                here = here.parent
+                here = close(here)
         order += 1
-        attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[4])} if m[4] else {}
+        attrs = {k.lower(): a or b or c for k, a, b, c in reversed(_ATTR.findall(m[4]))} if m[4] else {}  # the first of a name counts
         label = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
         marked = bool(label.strip() and NOISE.search(label))
         noise = (tag in DROPPED or bool(_UNSEEN.search(attrs.get("style", ""))) or attrs.get("aria-hidden") == "true"
@@ -126,11 +134,13 @@ def parse(html: str) -> Node:
             noise = True
         node = Node(tag, here, order, noise, weight)
         node.articles = int(tag in ("article", "main") and not marked)
+        node.named = marked or tag in DROPPED and tag != "form"
         suspects += noise
         here.children.append(node)
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             here = node
             links += tag == "a"
+            opened[tag] = opened.get(tag, 0) + 1
     if suspects:
         release(root)
     return root
@@ -139,9 +149,10 @@ def parse(html: str) -> Node:
 def release(root: Node) -> None:
     """Take the mark of noise from what holds the page's article.
 
-    That is every article and main element of the page, or, with none outside it, the larger
-    part of the page's unlinked paragraph text. Comments and teasers marked as
-    such do not count as articles.
+    That is every article and main element of the page. Without any, a form or a box that is
+    only unseen is freed if it holds the larger part of the page's unlinked paragraph text; what is
+    named as comments, adverts, a menu or a footer is not, however long it is. Comments and
+    teasers marked as such do not count as articles.
     """
     order, stack = [], [(root, False)]
     while stack:
@@ -158,7 +169,7 @@ def release(root: Node) -> None:
             node.parent.plain += node.plain
             node.parent.articles += node.articles
     for node in order:
-        if node.noise and node.articles == root.articles and (node.articles or 2 * node.plain > root.plain):
+        if node.noise and node.articles == root.articles and (node.articles or not node.named and 2 * node.plain > root.plain):
             node.noise = False
 
 
@@ -198,6 +209,33 @@ def blocks(node: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
+def score(root: Node, found: list[tuple[Node, str, int]]) -> list[Node]:
+    """Pass the blocks' points up, each node after its children; the elements in page order."""
+    for owner, text, linked in found:
+        owner.passed += 1.0 + text.count(",") + text.count("，") + min(len(text) / 100.0, 3.0) + len(text) / 1000.0
+        owner.chars += len(text)
+        owner.linked += linked
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.noise)
+    for node in reversed(order):
+        share = 1.0
+        if node.tag in CONTAINERS and node.chars:
+            node.score = (node.passed + node.weight) * (1.0 - node.linked / node.chars)
+            share = 0.5
+        if node.parent is not None:
+            node.parent.passed += share * node.passed
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+    return order
+
+
+def _unlinked(node: Node) -> bool:
+    return node.chars > 0 and 2 * node.linked < node.chars
+
+
 def extract(html: str | None) -> str:
     """The main text: blocks joined by one line feed, white space inside a block as one space."""
     if not html:
@@ -206,21 +244,8 @@ def extract(html: str | None) -> str:
     found = blocks(root)
     if not found:
         return ""
-    scored: dict[int, Node] = {}
-    for owner, text, linked in found:
-        points = 1.0 + text.count(",") + text.count("，") + min(len(text) / 100.0, 3.0) + len(text) / 1000.0
-        node, share = owner, 1.0
-        while node is not None:
-            node.chars += len(text)
-            node.linked += linked
-            if node.tag in CONTAINERS:
-                node.score += points * share
-                scored[id(node)] = node
-                share /= 2.0
-            node = node.parent
-    for node in scored.values():
-        node.score = (node.score + node.weight) * (1.0 - node.linked / node.chars)
-    best = min(scored.values(), key=lambda x: (-x.score, x.order))
+    order = score(root, found)
+    best = min((x for x in order if x.tag in CONTAINERS and x.chars), key=lambda x: (-x.score, x.order))
     node = best  # an article that holds the best container is the whole article
     while node is not None and node.tag != "article":
         node = node.parent
@@ -228,24 +253,17 @@ def extract(html: str | None) -> str:
         node = best
         while node is not None and node.tag != "main":
             node = node.parent
-    best = best if node is None else node
-    kept = {id(best)}
-    if best.parent is not None:
-        for child in best.parent.children:
-            if isinstance(child, Node) and not child.noise and child is not best:
-                dense = child.linked / child.chars if child.chars else 0.0
-                alike = child.tag == best.tag and child.score >= 0.5 * best.score
-                prose = child.tag == "p" and child.chars > 80 and dense < 0.25
-                if alike or prose:
-                    kept.add(id(child))
-    out = []
-    for owner, text, _ in found:
-        node = owner
-        while node is not None and id(node) not in kept:
-            node = node.parent
-        if node is not None:
-            out.append(text)
-    return "\n".join(out)
+    kept = {id(best if node is None else node)}
+    if node is None:  # no article: what stands beside the best container, on every level, unless it is mostly links
+        path = best
+        while path.parent is not None:
+            kept.update(id(c) for c in path.parent.children if isinstance(c, Node) and c is not path and not c.noise and _unlinked(c))
+            path = path.parent
+            kept.add(-id(path))  # its own text
+    inside = {id(root): id(root) in kept}
+    for x in order[1:]:
+        inside[id(x)] = id(x) in kept or inside[id(x.parent)]
+    return "\n".join(text for owner, text, _ in found if inside[id(owner)] or -id(owner) in kept)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -54,6 +54,77 @@ def test_noise_beside_the_article_goes():
     assert extract(f"<body><article><p>{PROSE}</p>{noise}{comments}</article>{noise}{comments}</body>") == PROSE
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<article><p class="a"">Hello</p><p class="b">More</p></article>', "Hello\nMore"),
+    ("<article><p title=it's>Hello</p><p>More</p></article>", "Hello\nMore"),
+    ('<article><p "stray" x=\'1\' y = "a>b" checked / z>Hello</p><p id=a"b>More</p></article>', "Hello\nMore"),
+    ('<article><p =x class= ad>Hello</p><p class=>More</p></article>', "More"),
+    ('<article><p class=a class=ad>Hello<!--> there<!---> you</article>', "Hello there you"),
+    (f'<div><p>{PROSE}</p></div><div class="comments"><p>{PROSE} {PROSE} {PROSE}</p></div>', PROSE),
+    (f'<div><p>{PROSE}</p></div><div id="footer"><p>{PROSE * 5}</p></div><div class="ads"><p>{PROSE * 5}</p></div>', PROSE),
+    (f"<div><section><p>{PROSE * 3}</p></section><section><p>short</p></section></div>", f"{PROSE * 3}\nshort"),
+    (f"<div><h2>Head</h2><ul><li>one<li>two</ul><div><p>{PROSE}</p></div><p>End.</p></div>", f"Head\none\ntwo\n{PROSE}\nEnd."),
+    (f'<div><div><p>{PROSE}</p></div><ul><li><a href=x>one</a><li><a href=y>two</a></ul></div>', PROSE),
+])
+def test_markup_and_siblings(page, want):
+    assert extract(page) == want
+
+
+class Model:
+    """Pages built from a tree whose kept text is known: an article of sections, noise around and inside it, odd attributes."""
+
+    QUOTES = ['class="a""', "title=it's", 'data-x=\'"\'', 'x="a > b"', "y = 'c'", '"', "k=v/", ""]
+
+    def __init__(self, seed):
+        import random
+        self.rng, self.kept, self.count = random.Random(seed), [], 0
+
+    def prose(self):
+        self.count += 1
+        return f"Text {self.count}, with some words " * self.rng.randrange(1, 6)
+
+    def block(self, keep):
+        tag, text = self.rng.choice(["p", "h2", "blockquote", "li"]), self.prose()
+        if keep:
+            self.kept.append(" ".join(text.split()))
+        return f"<{tag} {self.rng.choice(self.QUOTES)}>{text}</{tag}>"
+
+    def noise(self):
+        name = self.rng.choice(['div class="comments"', "nav", "aside", 'div id="footer"', 'section class="ad"', "form", "footer"])
+        return f"<{name}>" + "".join(self.block(False) for _ in range(self.rng.randrange(1, 12))) + f"</{name.split()[0]}>"
+
+    def section(self, depth):
+        parts = []
+        for _ in range(self.rng.randrange(1, 5)):
+            roll = self.rng.random()
+            parts.append(self.noise() if roll < 0.2 else self.section(depth - 1) if roll < 0.5 and depth else self.block(True))
+        tag = self.rng.choice(["div", "section"])
+        return f"<{tag} {self.rng.choice(self.QUOTES)}>" + "".join(parts) + f"</{tag}>"
+
+    def page(self):
+        return f"<html><body>{self.noise()}<article {self.rng.choice(self.QUOTES)}>{self.block(True)}{self.section(3)}{self.section(3)}</article>{self.noise()}</body></html>"
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_generated_pages(seed):
+    model = Model(seed)
+    page = model.page()
+    assert extract(page) == "\n".join(model.kept)
+
+
+@pytest.mark.parametrize("part", ["<div>text here ", "</b><p>text", "<b><p>x</p>", "<a href=x>t", "<div class=ads>t", "<p a='", "<li>t<ul>"])
+def test_time_grows_with_the_page(part):
+    import time
+
+    def seconds(n):
+        page, start = part * n, time.perf_counter()
+        extract(page)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert min(seconds(40000) for _ in range(3)) < 3.5 * min(seconds(20000) for _ in range(3)) + 0.02
+
+
 def test_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None)],
                                   "page_id long, url string, html string, text string")
