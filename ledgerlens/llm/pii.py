@@ -16,11 +16,14 @@ lower-case function words of FUNCTION_WORDS, all under four letters, are no term
 
 Defined results: a null text is empty; repeated rows count as documents of their
 own; a null doc_id is kept; an empty table gives no rows; equal shares count as
-reached; other columns of the input are ignored.
+reached; a long text is read whole, in time that grows with its length and its number
+of entities; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -120,25 +123,24 @@ def hash_words(words: list[str]) -> list[int]:
 def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
     """(entity, term, start, end) of the words within REACH words of each span; words that touch a span are left out."""
     covered = sorted((s, e) for _, s, e in spans)
+    starts = [s for s, _ in covered]
+    reach = list(itertools.accumulate((e for _, e in covered), max))
+    words = [m.span() for m in _WORD.finditer(text)]
+    begins = [a for a, _ in words]
     out: list[tuple[str, str, int, int]] = []
     for kind, s, e in spans:
         key = entity_key(kind, text[s:e])
-        begin, after = s, e
-        for _ in range(REACH + 1):  # back to the start of the word REACH words before
-            while begin > 0 and text[begin - 1] in " \t\n\r\x0b\x0c":
-                begin -= 1
-            while begin > 0 and text[begin - 1] not in " \t\n\r\x0b\x0c":
-                begin -= 1
-        for k, m in enumerate(_WORD.finditer(text, begin)):
-            if m.start() >= e:
-                after += 1
-                if after - e > REACH:
-                    break
-            if not any(a < m.end() and m.start() < b for a, b in covered if b > m.start()):
-                term = m.group().strip(PUNCTUATION)
-                if term and term not in FUNCTION_WORDS:
-                    start = m.start() + len(m.group()) - len(m.group().lstrip(PUNCTUATION))
-                    out.append((key, term, start, start + len(term)))
+        first = max(bisect.bisect_left(begins, s) - 1 - REACH, 0)  # the word before the span, and REACH more
+        last = bisect.bisect_left(begins, e) + REACH
+        for begin, end in words[first:last]:
+            upto = bisect.bisect_left(starts, end)
+            if upto and reach[upto - 1] > begin:  # touches a span
+                continue
+            word = text[begin:end]
+            term = word.strip(PUNCTUATION)
+            if term and term not in FUNCTION_WORDS:
+                start = begin + len(word) - len(word.lstrip(PUNCTUATION))
+                out.append((key, term, start, start + len(term)))
     return out
 
 

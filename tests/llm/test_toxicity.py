@@ -106,3 +106,25 @@ def test_held_out_labels_do_not_matter(spark, docs_of):
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
     one, two = (tx.train(frame, spark.createDataFrame(x, LABELS), holdout=held) for x in (labels, flipped))
     assert one.grammar.stems == two.grammar.stems and one.weights == two.weights
+
+
+def test_long_texts_take_time_by_their_length():
+    import time
+    machine = tx.Grammar({"idiot": 1.0, "trash": 0.7})
+
+    def seconds(text):
+        start = time.perf_counter()
+        machine.events(text)
+        return time.perf_counter() - start
+
+    for part in ("you idiot. fine words here; ", "trash ", "no mark and no hit "):
+        seconds(part * 1000)
+        assert min(seconds(part * 80_000) for _ in range(3)) < 2.6 * min(seconds(part * 40_000) for _ in range(3)) + 0.02
+
+
+def test_a_clause_without_an_end_counts_by_its_length():
+    machine = tx.Grammar({"idiot": 1.0})
+    plain = lambda n: machine.events("you idiot " * n)
+    assert plain(4) == plain(20) and max(plain(200)) > max(plain(20))
+    mixed = "fine; you idiot. he said idiot; and more idiot\nthen idiot, idiot"
+    assert machine.events(mixed + " " + mixed) == tuple(machine.events(f"{mixed}. {mixed}"))
