@@ -70,6 +70,25 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       seed=_SAMPLE_SEED, cap=_CAP)
 
 
+@register("stratified_sample_large", f"""
+WITH h AS (SELECT DISTINCT l_orderkey * 16 + l_linenumber AS k, l_returnflag,
+                  {_bits_sql('CAST(l_orderkey * 16 + l_linenumber AS VARCHAR)', 'l_returnflag', seed=_SAMPLE_SEED)} AS v FROM lineitem)
+SELECT k, l_returnflag FROM h WHERE v < {audience.fraction_threshold(0.5)}
+QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY v, k) <= {_LARGE_CAP}
+""")
+def stratified_sample_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the lines of each return flag, 10,000 at most."""
+    lines = ParquetTables(spark, sf_dir)("lineitem").select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("k"), "l_returnflag")
+    return audience.stratified_sample(lines, "l_returnflag", "k", fraction=0.5, seed=_SAMPLE_SEED, cap=_LARGE_CAP)
+
+
+@register("random_split", "SELECT o_orderkey, count(*) AS n_rows, TRUE AS labelled FROM orders GROUP BY o_orderkey")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three random groups: every row is in one of them, once, under its label."""
+    groups = audience.random_split_groups(ParquetTables(spark, sf_dir)("orders").select("o_orderkey"), (0.1, 0.1, 0.1), seed=_SPLIT_SEED)
+    return groups.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_rows"), F.every(F.col("grupos").isin("Grupo 1", "Grupo 2", "Grupo 3")).alias("labelled"))
+
+
 _DELTA, _BUFFER = 5, 35
 
 

@@ -67,3 +67,63 @@ def sql_text_top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.sql(f"""select o_custkey, label, total, n from spend_{suffix} join customer_{suffix} on c_custkey = o_custkey
                         join segment_{suffix} on segment = c_mktsegment""")
     return out.orderBy(F.desc("total"), F.asc("o_custkey")).limit(TOP).select(F.lit("customer").alias("kind"), "*")
+
+
+# Every seventh line has a word for its key, every eleventh lacks its last field, every thirteenth has one too many.
+_LINE_SQL = """CASE WHEN c_custkey % 7 = 0 THEN 'key ' || c_custkey ELSE c_custkey::VARCHAR END || ';' || c_mktsegment
+  || CASE WHEN c_custkey % 11 = 0 THEN '' ELSE ';' || c_nationkey END || CASE WHEN c_custkey % 13 = 0 THEN ';more' ELSE '' END"""
+
+
+@register("csv_rejects", f"""
+WITH l AS (SELECT c_custkey, c_mktsegment, c_nationkey, {_LINE_SQL} AS line,
+  c_custkey % 7 = 0 OR (c_custkey % 11 = 0) <> (c_custkey % 13 = 0) OR (c_custkey % 11 = 0 AND c_custkey % 13 = 0) AS bad FROM customer)
+SELECT 'good' AS part, c_mktsegment AS what, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, CAST(sum(c_nationkey) AS BIGINT) AS nations FROM l WHERE NOT bad GROUP BY ALL
+UNION ALL SELECT 'rejected', line, count(*), NULL, NULL FROM l WHERE bad GROUP BY ALL
+""")
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV with lines that do not parse: the good rows by segment, and every rejected line as it stood."""
+    path = scratch_path(spark, "customer-csv")
+    c = tables.ParquetTables(spark, sf_dir)("customer")
+    key = F.col("c_custkey")
+    text = F.concat(F.when(key % 7 == 0, F.concat(F.lit("key "), key)).otherwise(key.cast("string")), F.lit(";"), "c_mktsegment",
+                    F.when(key % 11 == 0, "").otherwise(F.concat(F.lit(";"), "c_nationkey")), F.when(key % 13 == 0, ";more").otherwise(""))
+    c.select(text).write.text(path)
+    good, rejected = tables.read_csv_with_rejects(spark, path, "key long, segment string, nation int", header=False, sep=";")
+    none = F.lit(None).cast("long")
+    return good.groupBy(F.lit("good").alias("part"), F.col("segment").alias("what")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"), F.sum("nation").alias("nations")).unionByName(
+        rejected.groupBy(F.lit("rejected").alias("part"), F.col("rejected_line").alias("what")).agg(
+            F.count(F.lit(1)).alias("n"), none.alias("keys"), none.alias("nations")))
+
+
+_SEGMENTS_SQL = "SELECT c_mktsegment AS segment, c_nationkey AS nation, count(*) AS customers FROM customer GROUP BY ALL"
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.ParquetTables(spark, sf_dir)("customer")
+    return c.groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
+
+
+@register("managed_table_overwrite", _SEGMENTS_SQL)
+def managed_table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A managed table, written twice: the second run's rows replace the first's."""
+    rows, name = _segments(spark, sf_dir), "segments_" + scratch_path(spark, "t").rsplit("-", 1)[1]
+    for frame in (rows.where("nation < 5").withColumn("customers", F.lit(0).cast("long")), rows):
+        sinks.write_table(frame, name)
+    return tables.read_table(spark, name)
+
+
+@register("path_overwrite", _SEGMENTS_SQL)
+def path_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of files, written twice."""
+    rows, path = _segments(spark, sf_dir), scratch_path(spark, "segments")
+    for frame in (rows.unionByName(rows), rows):
+        sinks.write_path(frame, path)
+    return tables.read_format(spark, path)
+
+
+@register("literal_distinct", "SELECT DISTINCT 'orders' AS origin, 7 AS batch, DATE '2001-08-01' AS as_of, o_orderstatus FROM orders")
+def literal_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal columns beside a column of the table, each combination once."""
+    o = tables.ParquetTables(spark, sf_dir)("orders")
+    return o.select(F.lit("orders").alias("origin"), F.lit(7).alias("batch"), F.lit(fx.ORDERS_AS_OF).cast("date").alias("as_of"), "o_orderstatus").dropDuplicates()

@@ -78,6 +78,14 @@ def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "min", "p25", "p50", "p75", "max")
 
 
+@register("summary_rows", " UNION ALL ".join(
+    f"SELECT '{name}' AS summary, {', '.join(f'CAST({fn}({c}) AS VARCHAR) AS {c}' for c in _STAT_COLS[:2])}, {fn}(l_returnflag)::VARCHAR AS l_returnflag FROM lineitem"
+    for name, fn in (("count", "count"), ("min", "min"), ("max", "max"))))
+def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``summary`` of chosen columns, as text in long format."""
+    return profile.summary(ParquetTables(spark, sf_dir)("lineitem"), [*_STAT_COLS[:2], "l_returnflag"], ["count", "min", "max"])
+
+
 @register("table_profile", """
 SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS n_rows,
        (SELECT count(*) FROM information_schema.columns WHERE table_name = 'lineitem') AS n_cols,

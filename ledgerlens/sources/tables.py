@@ -8,8 +8,8 @@ returned DataFrame rather than pre-reading everything.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -70,6 +70,34 @@ def read_csv(
     return df
 
 
+def read_csv_with_rejects(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str,
+    header: bool = True,
+    sep: str = ",",
+    line_col: str = "rejected_line",
+) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected lines) of a CSV: nothing is lost and nothing is read as null in silence.
+
+    A line is rejected if a value does not parse as its declared type, or if it
+    has more or fewer fields than the schema; it is kept whole in ``line_col``.
+    Every column is parsed whatever a query selects, so a line is judged alike
+    in every query; an empty field is a null and no fault. Both frames are lazy
+    scans of the same files.
+    """
+    declared = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    if line_col in declared.names:
+        raise ValueError(f"the schema has a column {line_col} of its own")
+    whole = StructType([*declared.fields, StructField(line_col, StringType())])
+    rows = (spark.read.schema(whole).option("header", str(header).lower()).option("sep", sep).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", line_col).option("columnPruning", "false").option("enforceSchema", "true").csv(path))
+    # nothing of the fields' hash is added to the line, but it needs every field, so the scan parses all of them
+    fields = F.xxhash64(*(F.col(f"`{n}`") for n in declared.names)).cast("string")
+    rows = rows.withColumn(line_col, F.concat(F.col(line_col), F.substring(fields, 1, 0)))
+    return rows.where(F.col(line_col).isNull()).drop(line_col), rows.where(F.col(line_col).isNotNull()).select(line_col)
+
+
 def read_format(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Path read in a named format (parquet, delta when its jars are present)."""
     return spark.read.format(fmt).load(path)

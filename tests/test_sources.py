@@ -63,3 +63,16 @@ def test_two_results_of_the_overwrite_query_live_side_by_side(spark):
     first = query(spark, "/root/testdata/sf0.001")
     second = query(spark, "/root/testdata/sf0.001")
     assert first.count() == second.count() > 0
+
+
+def test_csv_rejects_keep_every_line(spark, tmp_dir):
+    lines = ["key;day;v", "1;2024-01-01;2.5", "x;2024-01-02;1.0", "2;2024-02-30;1.0", "3;;", "4;2024-01-03", "5;2024-01-03;1.0;9", ";;", "6;2024-01-04;bad", "7;\"a;b\";1"]
+    spark.createDataFrame([(line,) for line in lines], "l string").coalesce(1).write.text(f"{tmp_dir}/c")
+    good, rejected = tables.read_csv_with_rejects(spark, f"{tmp_dir}/c", "key long, day date, v double", sep=";")
+    assert sorted((r.key or 0) for r in good.collect()) == [0, 1, 3] and good.columns == ["key", "day", "v"]
+    bad = {"x;2024-01-02;1.0", "2;2024-02-30;1.0", "4;2024-01-03", "5;2024-01-03;1.0;9", "6;2024-01-04;bad", "7;\"a;b\";1"}
+    assert {r[0] for r in rejected.collect()} == bad
+    # a query of one column judges lines as a query of all does
+    assert good.select("v").count() == 3 and good.select("key").where("key is not null").count() == 2 and rejected.count() == 6 and good.count() == 3
+    with pytest.raises(ValueError):
+        tables.read_csv_with_rejects(spark, f"{tmp_dir}/c", "rejected_line string")
