@@ -34,6 +34,31 @@ def _activity(df: DataFrame, consumer_col: str, date_col: str, group_cols) -> Da
               .where(F.col("_consumer").isNotNull() & F.col("_day").isNotNull()))
 
 
+def segment_steps(days: str, k: int) -> F.Column:
+    """+1 and -1 of each segment ``[d, min(d + k, next day))`` of a sorted array of days, as (day, delta) structs."""
+    def steps_of(day, i):
+        end = F.date_add(day, k)
+        upto = F.least(end, F.coalesce(F.get(days, i + 1), end))
+        return F.array(F.struct(day.alias("day"), F.lit(1).alias("delta")), F.struct(upto.alias("day"), F.lit(-1).alias("delta")))
+
+    return F.flatten(F.transform(days, steps_of))
+
+
+def active_from_deltas(deltas: DataFrame, group_cols, first_day, last_day, out_col: str) -> DataFrame:
+    """Active consumers per group and calendar day from (group, day, delta): the running sum, laid out over the days."""
+    by_group = Window.partitionBy(*group_cols).orderBy("day")
+    steps = deltas.select(
+        *group_cols, "day",
+        F.sum("delta").over(by_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("active"),
+        F.lead("day").over(by_group).alias("next_day"))
+    lo = F.greatest(F.col("day"), first_day)
+    hi = F.least(F.date_sub("next_day", 1), last_day)
+    return (steps.where((F.col("active") > 0) & F.col("next_day").isNotNull() & (lo <= hi))
+                 .select(*group_cols,
+                         F.explode(F.sequence(lo, hi)).alias("calendar_date"),
+                         F.col("active").cast("long").alias(out_col)))
+
+
 def rolling_active_users(
     df: DataFrame,
     consumer_col: str = "consumer_id",
@@ -86,25 +111,10 @@ def rolling_active_users(
     # One exchange, by (group, consumer): a consumer's distinct days, at most one per calendar day.
     days = base.groupBy(*group_cols, "_consumer").agg(F.sort_array(F.collect_set("_day")).alias("_days"))
 
-    def steps_of(day, i):
-        end = F.date_add(day, k)
-        upto = F.least(end, F.coalesce(F.get("_days", i + 1), end))
-        return F.array(F.struct(day.alias("day"), F.lit(1).alias("delta")), F.struct(upto.alias("day"), F.lit(-1).alias("delta")))
-
-    deltas = (days.select(*group_cols, F.explode(F.flatten(F.transform("_days", steps_of))).alias("_e"))
+    deltas = (days.select(*group_cols, F.explode(segment_steps("_days", k)).alias("_e"))
                   .groupBy(*group_cols, F.col("_e.day").alias("day"))
                   .agg(F.sum("_e.delta").alias("delta")))
-    by_group = Window.partitionBy(*group_cols).orderBy("day")
-    steps = deltas.select(
-        *group_cols, "day",
-        F.sum("delta").over(by_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("active"),
-        F.lead("day").over(by_group).alias("next_day"))
-    lo = F.greatest(F.col("day"), first_day)
-    hi = F.least(F.date_sub("next_day", 1), last_day)
-    return (steps.where((F.col("active") > 0) & F.col("next_day").isNotNull() & (lo <= hi))
-                 .select(*group_cols,
-                         F.explode(F.sequence(lo, hi)).alias("calendar_date"),
-                         F.col("active").cast("long").alias(out_col)))
+    return active_from_deltas(deltas, group_cols, first_day, last_day, out_col)
 
 
 def trailing_distinct(

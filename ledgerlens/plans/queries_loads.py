@@ -10,6 +10,7 @@ from ..operators import activity, audience
 from ..session import scratch_path
 from ..sources.tables import ParquetTables
 from ..streaming import incremental, loads
+from ..streaming.rolling_state import RollingState
 from . import fixtures as fx
 from .catalog import register
 from .queries_activity import _ORDERS_BASE, _rolling_sql
@@ -153,6 +154,19 @@ def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@register("rolling_state_35", _rolling_sql(_ORDERS_BASE, "o_orderpriority", 35, "mau", fx.ORDERS_START, fx.ORDERS_AS_OF))
+def rolling_state_35(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rolling metric after three runs: all but the last months, a month with holes, then the rest with the month's late rows."""
+    orders = _orders_activity(ParquetTables(spark, sf_dir))
+    day = F.col("created_date")
+    early, month = day < F.lit("2001-06-01").cast("date"), day < F.lit("2001-07-01").cast("date")
+    late = F.col("consumer_id") % 3 == 0
+    state = RollingState(scratch_path(spark, "rolling-35"), ("o_orderpriority",), 35, late_days=70)
+    for part in (orders.where(early), orders.where(~early & month & ~late), orders.where(~early & (~month | late))):
+        state.run(part)
+    return state.metric(spark, fx.ORDERS_START, fx.ORDERS_AS_OF)
+
+
 # A table loaded four times: without July's second half, without July, without
 # anything after March, and whole. The second run finds an emptied month, the third
 # has no row in its window, the last begins right after what these two removed.
