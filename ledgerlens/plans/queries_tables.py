@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates
 from ..operators import payments, profile, rank, reshape
+from ..session import scratch_path
+from ..sources import page_index
 from ..sources.tables import ParquetTables
 from . import fixtures as fx
 from .catalog import register
@@ -14,14 +16,25 @@ from .catalog import register
 PAGE_FIRST, PAGE_LAST = 101, 250
 
 
-@register("distinct_key_page", f"""
+_PAGE_SQL = f"""
 SELECT o.*, r.dense_rank
 FROM orders o
 JOIN (SELECT o_custkey, dense_rank() OVER (ORDER BY o_custkey NULLS FIRST) AS dense_rank
       FROM (SELECT DISTINCT o_custkey FROM orders)) r
   ON o.o_custkey IS NOT DISTINCT FROM r.o_custkey
 WHERE r.dense_rank BETWEEN {PAGE_FIRST} AND {PAGE_LAST}
-""")
+"""
+
+
+@register("clustered_key_page", _PAGE_SQL)
+def clustered_key_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page from rows clustered by key."""
+    path = scratch_path(spark, "orders-by-customer")
+    page_index.write_page_index(ParquetTables(spark, sf_dir)("orders"), "o_custkey", path)
+    return page_index.read_page(spark, path, PAGE_FIRST, PAGE_LAST, "o_custkey")
+
+
+@register("distinct_key_page", _PAGE_SQL)
 def distinct_key_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ParquetTables(spark, sf_dir)
     return rank.distinct_key_page(t("orders"), PAGE_FIRST, PAGE_LAST, key="o_custkey")
