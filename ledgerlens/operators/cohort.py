@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.dates import DateLike, date_lit, later_of, month_start
+from ..functions.dates import DateLike, date_lit, later_of, month_start, to_py_date
 from .subscription import ACTIVE, INACTIVE
 
 # --- fixed values (must equal the reference's for equal results) -------------
@@ -118,6 +118,62 @@ def cohort_attribution(base: DataFrame, as_of: DateLike = None) -> DataFrame:
                       F.months_between("canceled_month", "effective_month").alias("delta_meses_churn"))
 
 
+#: Months of one word of a bitmap; the sign bit stays free.
+MONTHS = 62
+
+
+def month_bitmaps(base: DataFrame, first: DateLike, as_of: DateLike) -> DataFrame:
+    """One row per consumer: its cohort and churn months as bits, ``c0, c1, ...`` and ``x0, x1, ...``.
+
+    Bit i of word w is month ``MONTHS * w + i`` after the month of ``first``; the
+    words reach the month of ``as_of``. Every task ors its rows together before
+    the exchange, which carries one row per consumer and task. ``beyond`` is
+    the first churn month after ``as_of`` (a cancel date in the future).
+    """
+    origin, end = to_py_date(first).replace(day=1), to_py_date(as_of).replace(day=1)
+    months = (end.year - origin.year) * 12 + end.month - origin.month + 1
+    at = lambda c: (F.months_between(F.trunc(c, "month"), F.lit(origin)).cast("int"))
+    in_cohort = _seen_in(F.col("effective_month"))
+    churned = (F.col("status_contract") == INACTIVE) & _on_month_end(as_of)
+    rows = base.where(in_cohort | churned).select(
+        "consumer_id", F.when(in_cohort, at("effective_month")).alias("_c"), F.when(churned, at("canceled_month")).alias("_x"),
+        F.when(churned, F.col("canceled_month")).alias("_month"))
+
+    def word(name: str, w: int) -> F.Column:
+        inside = (F.col(name) >= w * MONTHS) & (F.col(name) < (w + 1) * MONTHS)
+        bit = F.expr(f"shiftleft(cast(1 as bigint), {name} - {w * MONTHS})")
+        return F.coalesce(F.bit_or(F.when(inside, bit)), F.lit(0).cast("long")).alias(f"{name[1:]}{w}")
+
+    words = range(-(-months // MONTHS))
+    return rows.groupBy("consumer_id").agg(*(word("_c", w) for w in words), *(word("_x", w) for w in words),
+                                           F.min(F.when(F.col("_x") >= MONTHS * len(words), F.col("_month"))).alias("beyond"))
+
+
+def bitmap_attribution(bitmaps: DataFrame, first: DateLike) -> DataFrame:
+    """Activation cohort and churn attribution (A33, A35) from ``month_bitmaps``: the rows of ``cohort_attribution``.
+
+    A cohort month's first churn month is the lowest set bit of the churn words
+    from that month on. Null consumers are one consumer, as in a grouping.
+    """
+    origin = to_py_date(first).replace(day=1)
+    words = [int(c[1:]) for c in bitmaps.columns if c.startswith("c") and c[1:].isdigit()]
+
+    def set_months(w: int) -> F.Column:
+        bits = F.filter(F.sequence(F.lit(0), F.lit(MONTHS - 1)), lambda i: F.getbit(F.col(f"c{w}"), i) == 1)
+        return F.transform(bits, lambda i: i + w * MONTHS)
+
+    months = F.flatten(F.array(*map(set_months, words)))
+    rows = bitmaps.where(" or ".join(f"c{w} <> 0" for w in words)).withColumn("_m", F.explode(months))
+    found = []
+    for w in words:
+        later = F.expr(f"""case when _m < {w * MONTHS} then x{w} when _m < {(w + 1) * MONTHS}
+                           then shiftleft(shiftright(x{w}, _m - {w * MONTHS}), _m - {w * MONTHS}) else cast(0 as bigint) end""")
+        found.append(F.when(later != 0, F.bit_count(later.bitwiseAND(-later) - 1) + w * MONTHS))
+    churn = F.coalesce(F.add_months(F.lit(origin), F.coalesce(*found)), F.col("beyond"))
+    out = rows.select("consumer_id", F.add_months(F.lit(origin), F.col("_m")).alias("effective_month"), churn.alias("canceled_month"))
+    return out.select("*", F.months_between("canceled_month", "effective_month").alias("delta_meses_churn"))
+
+
 def churn_label(delta: F.Column) -> F.Column:
     """'Permaneceu Ativo' for no churn, 'a. m0' .. 'l. m11', null beyond 11."""
     n = delta.cast("int")
