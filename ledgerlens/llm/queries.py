@@ -121,9 +121,14 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")), with_text=False)
 
 
+#: A public vocabulary of words in the order of their frequency; another path can be given to ``vocabulary_words``.
+WORDS = "/opt/tokenizers/word_bpe_49k.json"
+
+
 @query("op10_secret_scans")
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    words = secrets.lexicon(secrets.vocabulary_words(WORDS))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), words=words)
     base = of_kinds(F.col("secrets"), ("assign", "access", "hex"))
     return found.select(
         "doc_id", *(F.size(of_kinds(F.col("secrets"), (k,))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),

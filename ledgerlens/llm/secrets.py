@@ -8,7 +8,9 @@ cheapest way to guess it, as a segmentation into words, dates, repeats, keyboard
 walks and brute-force spans, costs at least ``min_log10_guesses``. ``bearer`` may
 be followed by spaces alone; a plain word after it is prose, not a value. The cost is found by dynamic
 programming over the value, left to right, with spans of bounded length, so it
-is linear in the value's length.
+is linear in the value's length. Words come from a ranked lexicon: the password
+words, and after them a public vocabulary or the corpus's own frequent words, so
+that a plain word behind a credential name is cheap to guess and no secret.
 
 Defined results: a null text is empty; an empty text or table has no secrets;
 repeated rows are scanned each on its own; a null doc_id is kept; other columns
@@ -17,8 +19,13 @@ of the input are ignored by ``find_secrets`` and kept by ``redact_secrets``.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
 import math
 import re
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +55,6 @@ WORDS = ("password", "admin", "welcome", "login", "letmein", "dragon", "monkey",
          "trustno", "superman", "batman", "user", "test", "guest", "root", "pass", "changeme", "default", "summer",
          "winter", "spring", "autumn", "monday", "friday", "money", "coffee", "flower", "cookie", "server", "system",
          "access", "computer", "internet", "public", "private", "example", "sample", "demo", "temp", "token", "key")
-RANK = {w: i + 2 for i, w in enumerate(WORDS)}
-WORD_LENGTHS = sorted({len(w) for w in WORDS}, reverse=True)
 LEET = str.maketrans("01345$@7", "oieassat")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEIGHBOURS = {(a, b) for row in ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in ROWS for a, b in zip(row, row[1:])}
@@ -59,6 +64,50 @@ SEGMENT_COST = 0.3
 MAX_SPAN = 32
 
 
+@dataclass(frozen=True)
+class Lexicon:
+    """Words that a guesser tries, by rank: a word's rank is its guess count."""
+
+    ranks: dict[str, int]
+
+    @functools.cached_property
+    def lengths(self) -> list[int]:
+        return sorted({len(w) for w in self.ranks}, reverse=True)
+
+
+def lexicon(words: Iterable[str] = (), size: int = 60_000) -> Lexicon:
+    """The password words, then at most ``size`` of ``words`` (most frequent first), lower-cased; the first place of a word counts."""
+    ranks: dict[str, int] = {}
+    for w in itertools.chain(WORDS, itertools.islice(words, size)):
+        ranks.setdefault(w.lower(), len(ranks) + 2)
+    return Lexicon(ranks)
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """Whole words of three letters or more of a public word-end BPE vocabulary file, in the order of its ids.
+
+    Merges are numbered by frequency, so the order is that of a ranked word list; the list is as long as the file allows.
+    """
+    with open(path, encoding="utf-8") as file:
+        ids = json.load(file)["model"]["vocab"]
+    ended = (t[:-4] for t in sorted(ids, key=ids.get) if t.endswith("</w>"))
+    return [w for w in ended if len(w) >= 3 and w.isalpha()]
+
+
+def corpus_words(docs: DataFrame, size: int = 50_000, min_docs: int = 20, text_col: str = "text") -> list[str]:
+    """The ``size`` words of 3 to 24 letters that most documents hold, of those in ``min_docs`` at least; counted over all documents.
+
+    Each task sums its documents before the exchange; ``size`` words reach the driver.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?<!\p{L})(\p{L}{3,24})(?!\p{L})"), 1))
+    counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+
+
+#: The password words alone.
+BASIC = lexicon()
+
+
 def _char_cost(c: str) -> float:
     if c.isdigit():
         return 1.0
@@ -67,14 +116,15 @@ def _char_cost(c: str) -> float:
     return math.log10(33)
 
 
-def log10_guesses(value: str) -> float:
+def log10_guesses(value: str, words: Lexicon = BASIC) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs; 0 for an empty value.
 
     Ties between segmentations do not matter: only the least cost is returned.
     """
     n = len(value)
-    low = value.lower()
+    low = value.lower() if value.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
+    ranks, lengths = words.ranks, words.lengths
     best = [0.0] + [math.inf] * n
     spans: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for m in _DATE.finditer(value):
@@ -114,10 +164,10 @@ def log10_guesses(value: str) -> float:
         cost = here + _char_cost(value[i])
         if cost < best[i + 1]:
             best[i + 1] = cost
-        for size in WORD_LENGTHS:
-            if i + size <= n and (word := plain[i:i + size]) in RANK:
+        for size in lengths:
+            if i + size <= n and (word := plain[i:i + size]) in ranks:
                 upper = sum(a != b for a, b in zip(value[i:i + size], word))
-                best[i + size] = min(best[i + size], here + math.log10(RANK[word]) + 0.3 * upper + SEGMENT_COST)
+                best[i + size] = min(best[i + size], here + math.log10(ranks[word]) + 0.3 * upper + SEGMENT_COST)
         for end, cost in spans[i]:
             best[end] = min(best[end], here + cost + SEGMENT_COST)
     return best[n]
@@ -146,7 +196,7 @@ def _separators(text: str) -> list[int]:
     return sorted(out)
 
 
-def scan(text: str | None, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list[tuple[str, int, int, float]]:
+def scan(text: str | None, min_log10_guesses: float = MIN_LOG10_GUESSES, words: Lexicon = BASIC) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, log10 guesses) of one text, in code points, by start and then kind."""
     if not text:
         return []
@@ -159,7 +209,7 @@ def scan(text: str | None, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list
         if base:
             done = base.end()
             if len(base.group(1)) >= 6:
-                out.append(("assign", start, done, log10_guesses(base.group(1))))
+                out.append(("assign", start, done, log10_guesses(base.group(1), words)))
                 assigned = done
         if sep >= done_more:
             start = _name_before(text, sep, done_more, BASE_NAMES)
@@ -168,7 +218,7 @@ def scan(text: str | None, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list
                 if start > 0 and text[start - 1].isalnum():
                     start = -1
             if start >= 0 and (m := _LOOSE_VALUE.match(text, sep + 1)) and m.end() > assigned:
-                cost = log10_guesses(m.group(1))
+                cost = log10_guesses(m.group(1), words)
                 if cost >= min_log10_guesses:
                     out.append(("cred", start, m.end(), cost))
                     done_more = m.end()
@@ -176,17 +226,17 @@ def scan(text: str | None, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list
     for m in _BEARER.finditer(text):
         value = m.group(1)
         word = _PROSE.fullmatch(value) and (value.islower() or value.isupper() or value[1:].islower())
-        if not word and (cost := log10_guesses(value)) >= min_log10_guesses:
+        if not word and (cost := log10_guesses(value, words)) >= min_log10_guesses:
             out.append(("cred", m.start(), m.end(), cost))
-    out += [("access", m.start(), m.end(), log10_guesses(m.group())) for m in _ACCESS.finditer(text)]
-    out += [("hex", m.start(), m.end(), log10_guesses(m.group())) for m in _HEX.finditer(text)]
+    out += [("access", m.start(), m.end(), log10_guesses(m.group(), words)) for m in _ACCESS.finditer(text)]
+    out += [("hex", m.start(), m.end(), log10_guesses(m.group(), words)) for m in _HEX.finditer(text)]
     out.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return out
 
 
-def redact(text: str | None, min_log10_guesses: float = MIN_LOG10_GUESSES) -> str | None:
+def redact(text: str | None, min_log10_guesses: float = MIN_LOG10_GUESSES, words: Lexicon = BASIC) -> str | None:
     """The text with each secret as [SECRET:kind]; overlapping secrets become one; null stays null."""
-    found = scan(text, min_log10_guesses)
+    found = scan(text, min_log10_guesses, words)
     if not found:
         return text
     parts, at = [], 0
@@ -201,17 +251,18 @@ SECRETS = "array<struct<kind:string,start:int,end:int,log10_guesses:double>>"
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 min_log10_guesses: float = MIN_LOG10_GUESSES) -> DataFrame:
+                 min_log10_guesses: float = MIN_LOG10_GUESSES, words: Lexicon = BASIC) -> DataFrame:
     """One row per document: (doc_id, secrets). No shuffle; each text is scanned whole in its task."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def one(text: str | None) -> tuple:
-        return ([dict(zip(("kind", "start", "end", "log10_guesses"), x)) for x in scan(text, min_log10_guesses)],)
+        return ([dict(zip(("kind", "start", "end", "log10_guesses"), x)) for x in scan(text, min_log10_guesses, shared.value)],)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_texts(rows, ["doc_id"], "text", one, f"secrets {SECRETS}")
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", min_log10_guesses: float = MIN_LOG10_GUESSES) -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", min_log10_guesses: float = MIN_LOG10_GUESSES, words: Lexicon = BASIC) -> DataFrame:
     """The same rows and columns; each secret in the text becomes [SECRET:kind]. Overlapping secrets become one."""
-
-    return rewrite_texts(docs, text_col, lambda t: redact(t, min_log10_guesses))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    return rewrite_texts(docs, text_col, lambda t: redact(t, min_log10_guesses, shared.value))

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -76,3 +78,82 @@ def test_query_digest(spark):
 @pytest.mark.parametrize("value", ["a" * 100_000, "ab" * 50_000, "1234567890" * 5_000])
 def test_long_values(value):
     assert secrets.log10_guesses(value) > 0
+
+
+PUBLIC = secrets.lexicon(secrets.vocabulary_words("/opt/tokenizers/word_bpe_49k.json"))
+
+
+@pytest.mark.parametrize("text", ["credentials: include", "auth: enabled", "pass: through the gate", "passphrase = optional", "auth=required", "credential: None",
+                                  "pass: international", "Passcode: Disabled", "auth = 'optional'"])
+def test_plain_words_are_no_secrets(text):
+    assert secrets.scan(text, words=PUBLIC) == [] and secrets.redact(text, words=PUBLIC) == text
+
+
+@pytest.mark.parametrize("text", ["pwd: xK9#qLz2Vw%t", "passphrase = vqzkwtrnbxd", "auth: include-xk9q-Zt4w", "pass: correcthorsebatterystaple", "credentials: 8f3kq0zj2m"])
+def test_strong_values_stay(text):
+    assert [x[0] for x in secrets.scan(text, words=PUBLIC)] == ["cred"]
+
+
+def test_lexicon_ranks():
+    words = secrets.lexicon(["House", "password", "house", "tree"], 3)
+    assert words.ranks["password"] == 2 and words.ranks["house"] == len(secrets.WORDS) + 2 and "tree" not in words.ranks
+    assert len(PUBLIC.ranks) > 20_000 and min(map(len, PUBLIC.ranks)) == 3
+    assert secrets.log10_guesses("house", words) < secrets.log10_guesses("house")
+
+
+def segments(value, words):
+    """(start, end, cost) of every segment a guesser may try, by plain definitions."""
+    low, n = value.lower(), len(value)
+    out = [(i, i + 1, secrets._char_cost(value[i])) for i in range(n)]
+    plain = low.translate(secrets.LEET)
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            if plain[i:j] in words.ranks:
+                changed = sum(a != b for a, b in zip(value[i:j], plain[i:j]))
+                out.append((i, j, math.log10(words.ranks[plain[i:j]]) + 0.3 * changed + secrets.SEGMENT_COST))
+    for m in secrets._DATE.finditer(value):
+        out.append((m.start(), m.end(), math.log10(365 * 60 if m.end() - m.start() > 4 else 60) + secrets.SEGMENT_COST))
+
+    def kind(a, b):
+        if (a, b) in secrets.NEIGHBOURS:
+            return "walk"
+        return ord(b) - ord(a) if abs(ord(b) - ord(a)) == 1 and b.isalnum() else None
+
+    for i in range(n):
+        for j in range(i + 3, n + 1):
+            steps = {kind(a, b) for a, b in zip(low[i:j], low[i + 1:j])}
+            before = kind(low[i - 1], low[i]) if i else None
+            starts = before is None or before != kind(low[i], low[i + 1])
+            if len(steps) == 1 and None not in steps and starts:
+                out.append((i, j, math.log10(94 * (j - i)) + secrets.SEGMENT_COST))
+    return out
+
+
+def cheapest(value, words):
+    """By trying all ways to lay segments end to end."""
+    parts = segments(value, words)
+
+    def rest(at):
+        return 0.0 if at == len(value) else min(c + rest(j) for i, j, c in parts if i == at)
+
+    return rest(0)
+
+
+def test_cost_against_all_segmentations():
+    """Values without a repeated unit, whose segments have a simple definition."""
+    rng = random.Random(4)
+    words = secrets.lexicon(["cat", "horse", "ate", "at", "hor"])
+    done = 0
+    while done < 300:
+        value = "".join(rng.choice(["cat", "Horse", "h0rse", "ate", "qwe", "asdf", "1999", "20010203", "abc", "9", "x", "#", "Q", "zxc"]) for _ in range(rng.randrange(1, 4)))[:12]
+        if re.search(r"(.)\1\1|(..+)\2", value):
+            continue
+        done += 1
+        assert abs(secrets.log10_guesses(value, words) - cheapest(value, words)) < 1e-9, value
+
+
+def test_corpus_words(spark, docs_of):
+    docs = docs_of([(i, "Der Straße naïve, x1y a ab abc" if i % 2 else "abc abc der") for i in range(10)] + [(10, None), (11, "")])
+    assert secrets.corpus_words(docs, 3, 5) == ["abc", "der", "naïve"]
+    assert secrets.corpus_words(docs, 10, 6) == ["abc", "der"] and secrets.corpus_words(docs.where("false")) == []
+    assert [r.secrets for r in secrets.find_secrets(docs_of([(1, "auth: straße")]), words=secrets.lexicon(secrets.corpus_words(docs, 10, 5))).collect()] == [[]]
