@@ -21,6 +21,8 @@ from ledgerlens.session import ensure_checkpoint_dir
 
 #: A public BPE model with byte fallback.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public vocabulary of words in the order of their frequency.
+WORDS = "/opt/tokenizers/word_bpe_49k.json"
 #: Five-word shingles, similarity 0.8 or more.
 NEAR = jaccard_join.Rule(words=5, part=80, whole=100)
 #: Rows that the evaluation of the toxicity query holds out are not learned from here either.
@@ -44,7 +46,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become marks; n_chars follows the text."""
-    out = secrets.redact_secrets(docs)
+    out = secrets.redact_secrets(docs, words=secrets.lexicon(secrets.vocabulary_words(WORDS)))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
