@@ -46,6 +46,9 @@ CONSUMER_USER_TYPE = "CONSUMER"
 # Money keeps its cents: sums of doubles drift, sums of decimals do not.
 MONEY = DecimalType(18, 2)
 
+#: Flagged campaigns, some 70 bytes each, that are sent to every task; more are joined by an exchange.
+CAMPAIGN_ROWS = 2_000_000
+
 # Output schema of the unified fact before id and partition columns.
 BRANCH_SCHEMA = StructType([
     StructField("all_transaction_id", StringType()),
@@ -172,6 +175,11 @@ def flagged_campaigns(taxonomy: DataFrame, pattern: str) -> DataFrame:
                     F.lit(True).alias("is_flagged_campaign"))
 
 
+def sent_campaigns(campaigns: DataFrame) -> DataFrame:
+    """``campaigns`` marked for broadcast if there are at most ``CAMPAIGN_ROWS``: then no wide row is exchanged for its flag."""
+    return F.broadcast(campaigns) if campaigns.count() <= CAMPAIGN_ROWS else campaigns
+
+
 def _with_campaigns(rows: DataFrame, campaigns: DataFrame, p: CashbackParams) -> DataFrame:
     """Left join on ``campaign_id``; a campaign may hold a third of all rows."""
     if p.hot_share is None:
@@ -429,6 +437,8 @@ def cashback_branches(payment_tables: dict[str, DataFrame], promo: DataFrame, ta
                       dedupe_order=None) -> DataFrame:
     """All ten branches (A21-A24) as one union with ``BRANCH_SCHEMA`` columns."""
     campaigns = flagged_campaigns(taxonomy, p.flag_pattern)
+    if p.hot_share is None:
+        campaigns = sent_campaigns(campaigns)
     pays = all_payments(payment_tables, p)
     ev = status_events(events, campaigns, core, p, dedupe_order)
     parts = [cashback_before(pays, promo_cashback(promo, campaigns, p), p),

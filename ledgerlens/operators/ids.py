@@ -30,7 +30,7 @@ def numbered_key(df: DataFrame, key_cols, name: str) -> DataFrame:
     names = df.columns
     mark, count, number, first = (free_name(df, n) for n in ("_mark", "_count", "_number", "_first"))
     path = scratch_path(spark, "marked-rows")
-    df.withColumn(mark, F.unhex(surrogate_key(*(F.col(f"`{c}`") for c in names)))).write.parquet(path)
+    df.withColumn(mark, F.unhex(surrogate_key(*(F.col(f"`{c}`") for c in names)))).write.option("compression", "zstd").parquet(path)
     rows = spark.read.parquet(path)
     again = rows.groupBy(mark).agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1).checkpoint(eager=True)
 

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import cashback as CB
 
 T = dt.datetime
@@ -106,3 +108,21 @@ def test_event_era_equals_separate_branches(spark):
     one = {tuple(r) for r in CB.event_era(pays, ev, P).collect()}
     two = {tuple(r) for r in CB.cashback_after(pays, ev, P).unionByName(CB.instant_cash_after(ev, P)).collect()}
     assert one == two and len(one) == 3
+
+
+def test_a_bounded_number_of_campaigns_is_sent_and_no_row_exchanged_for_its_flag(spark, monkeypatch):
+    tables, promo, taxonomy, instant, events, core = frames(spark)
+    taxonomy = taxonomy.unionByName(spark.createDataFrame([(None, "UNIT-N", "n", 0.5), (3, "UNIT-B", None, None)], taxonomy.schema))
+    promo = promo.unionByName(promo.limit(2).withColumn("campaign_id", F.lit(None).cast("long")))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def made():
+            out = CB.cashback_branches(tables, promo, taxonomy, instant, events, core, P, dedupe_order=["id"])
+            return out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(campaign_id"), sorted(map(str, out.collect()))
+        sent, rows_sent = made()
+        monkeypatch.setattr(CB, "CAMPAIGN_ROWS", 0)
+        exchanged, rows_exchanged = made()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sent == 0 and exchanged >= 3 and rows_sent == rows_exchanged and len(rows_sent) >= 8

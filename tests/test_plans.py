@@ -75,3 +75,9 @@ def test_rolling_metric_has_one_exchange_below_the_daily_sums(spark):
 def test_active_base_makes_one_day_only(spark):
     plan = executed(entry.queries()["active_base_check"](spark, SF_SMALL))
     assert "sequence(" not in plan.replace("sequence(0", "")
+
+
+def test_payment_ids_are_counted_by_16_byte_marks(spark):
+    plan = executed(entry.queries()["cashback_payment_ids"](spark, SF_SMALL))
+    expand = [line for line in plan.splitlines() if "Expand" in line]
+    assert expand and not any("product_type_name" in line for line in expand)
