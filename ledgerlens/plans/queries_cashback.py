@@ -303,8 +303,9 @@ def cashback_status_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
         survivors, displaced = state.run(window)
         kept.append(survivors)
         beaten.append(displaced)
-    # a displaced row is of an earlier load and beaten for good, so one anti join serves all loads
-    rows = state.without(functools.reduce(DataFrame.unionByName, kept), functools.reduce(DataFrame.unionByName, beaten))
+    union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
+    # a displaced row is of an earlier load and beaten for good: one anti join a load, by what the later ones beat
+    rows = union([state.without(k, union(beaten[i:])) if beaten[i:] else k for i, k in enumerate(kept, 1)])
     return _report(cashback.status_events(rows, _campaigns(src), src["core"], PARAMS, deduped=True))
 
 

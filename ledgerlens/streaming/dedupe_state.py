@@ -34,6 +34,8 @@ from ..operators.rank import free_name, top_per_group
 from ..session import ensure_checkpoint_dir
 
 HASHES = 2
+#: Bits of filters that are sent to every task; more are joined by an exchange.
+SENT_BITS = 1 << 28
 
 
 @dataclass(frozen=True)
@@ -70,14 +72,18 @@ class DedupeState:
             return None
 
     def seen(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame | None:
-        """(bucket, keys..., least, day): the surviving order of each key, of some buckets or all; None before the first run."""
+        """(bucket, _key, keys..., least, day): the surviving order of each key, of some buckets or all; None before the first run.
+
+        ``_key`` is the struct of the keys. Nulls in it are equal, so a join by it is null-safe and needs no second exchange.
+        """
         rows = self._read(spark, "seen")
         if rows is None:
             return None
         if buckets is not None:
             rows = rows.where(F.col("bucket").isin(buckets))
         best = F.min(F.struct("least", "day"))
-        return rows.groupBy("bucket", *self.keys).agg(best.alias("_best")).select("bucket", *self.keys, F.col("_best.least").alias("least"), F.col("_best.day").alias("day"))
+        return rows.withColumns({"bucket": F.col("bucket").cast("long"), "_key": F.struct(*self.keys)}).groupBy("bucket", "_key").agg(best.alias("_best")).select(
+            "bucket", "_key", *(F.col(f"_key.{k}").alias(k) for k in self.keys), F.col("_best.least").alias("least"), F.col("_best.day").alias("day"))
 
     def suspects(self, keyed: DataFrame) -> DataFrame | None:
         """The keys of (bucket, keys...) that the filters cannot rule out."""
@@ -88,7 +94,9 @@ class DedupeState:
         at = keyed.select("bucket", *self.keys, F.posexplode(self.positions()).alias("_hash", "_place"))
         at = at.select("*", F.expr("bitmap_bucket_number(_place)").alias("block"), F.expr("bitmap_bit_position(_place)").alias("_bit"))
         byte = F.conv(F.hex(F.expr("substring(bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        found = at.join(filters.where(F.col("bucket").isin(touched)), ["bucket", "block"])
+        # or-ed over the runs, a bucket has space / 8 bytes at most: the filters are sent, the keys stay where they are
+        merged = filters.where(F.col("bucket").isin(touched)).groupBy("bucket", "block").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
+        found = at.join(F.broadcast(merged) if len(touched) * self.space <= SENT_BITS else merged, ["bucket", "block"])
         found = found.where(F.getbit(byte.cast("long"), (F.col("_bit") % 8).cast("int")) == 1)
         return found.groupBy("bucket", *self.keys).agg(F.count_distinct("_hash").alias("_n")).where(F.col("_n") == HASHES).drop("_n")
 
@@ -104,24 +112,20 @@ class DedupeState:
         bucket, least, day = (free_name(window, n) for n in ("bucket_", "least_", "day_"))
         best = top_per_group(window, list(self.keys), list(self.order))
         best = best.withColumns({bucket: self.bucket(), least: F.struct(*self.order), day: F.to_date(self.day)}).checkpoint(eager=True)
-        keyed = best.select(F.col(bucket).alias("bucket"), *self.keys, F.col(least).alias("_new"), F.col(day).alias("_new_day"))
+        keyed = best.select(F.col(bucket).alias("bucket"), F.struct(*self.keys).alias("_key"), *self.keys, F.col(least).alias("_new"), F.col(day).alias("_new_day"))
         suspects = self.suspects(keyed) if self.seen(spark) is not None else None
         if suspects is None:
-            old = keyed.select("bucket", *self.keys, F.col("_new").alias("_old"), F.col("_new_day").alias("_old_day")).limit(0)
+            judged = keyed.withColumns({"_old": F.lit(None).cast(keyed.schema["_new"].dataType), "_old_day": F.lit(None).cast("date")})
         else:
-            suspects = suspects.checkpoint(eager=True)
             read = [r[0] for r in suspects.select("bucket").distinct().collect()]
-            same = [F.col("s.bucket") == F.col("k.bucket"), *(F.col(f"s.{k}").eqNullSafe(F.col(f"k.{k}")) for k in self.keys)]
-            old = self.seen(spark, read).alias("s").join(suspects.alias("k"), same, "left_semi").select(
-                "bucket", *self.keys, F.col("least").alias("_old"), F.col("day").alias("_old_day"))
-        same = [F.col("n.bucket") == F.col("o.bucket"), *(F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in self.keys)]
-        judged = keyed.alias("n").join(old.alias("o"), same, "left").select(
-            F.col("n.bucket").alias("bucket"), *(F.col(f"n.{k}").alias(k) for k in self.keys), "_new", "_new_day", "_old", "_old_day").checkpoint(eager=True)
+            old = self.seen(spark, read).select("bucket", "_key", F.col("least").alias("_old"), F.col("day").alias("_old_day"))
+            judged = keyed.drop(*self.keys).join(old, ["bucket", "_key"], "left").select(
+                "bucket", *(F.col(f"_key.{k}").alias(k) for k in self.keys), "_new", "_new_day", "_old", "_old_day").checkpoint(eager=True)
         better = judged.where(F.col("_old").isNull() | (F.col("_new") < F.col("_old")))
         added = better.where(F.col("_old").isNull())
-        lost = judged.where(F.col("_old").isNotNull() & (F.col("_old") < F.col("_new"))).select("bucket", *self.keys)
-        same = [F.col(f"b.{bucket}") == F.col("l.bucket"), *(F.col(f"b.{k}").eqNullSafe(F.col(f"l.{k}")) for k in self.keys)]
-        survivors = best.alias("b").join(lost.alias("l"), same, "left_anti").select(*window.columns)
+        lost = judged.where(F.col("_old").isNotNull() & (F.col("_old") < F.col("_new"))).select(*self.keys, *(F.col(f"_new.{o}").alias(o) for o in self.order))
+        # by the columns of without(), which then needs no exchange of the survivors
+        survivors = (best if suspects is None else self.without(best, lost)).select(*window.columns)
         displaced = better.where(F.col("_old").isNotNull()).select(*self.keys, *(F.col(f"_old.{o}").alias(o) for o in self.order), F.col("_old_day").alias("day"))
         # filters first: a key in the state whose bits are not set would be missed
         places = added.select("bucket", F.explode(self.positions()).alias("_place"))

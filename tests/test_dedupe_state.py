@@ -81,3 +81,26 @@ def test_empty_windows_and_a_lost_run(spark, tmp_dir):
         F.expr("bitmap_construct_agg(bitmap_bit_position(_place))").alias("bits")).write.mode("append").partitionBy("bucket").parquet(f"{tmp_dir}/s/filters")
     survivors, displaced = state.run(frame)
     assert rows(survivors) == whole(spark, window) and displaced.count() == 0
+
+
+def test_a_run_exchanges_no_row_of_a_first_window_and_no_bit_position(spark, tmp_dir):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = state_at(f"{tmp_dir}/s")
+        survivors, displaced = state.run(spark.createDataFrame(events(1, [1, 2]), SCHEMA))
+        assert "Exchange" not in survivors._jdf.queryExecution().executedPlan().toString() and displaced.count() == 0
+        keyed = spark.createDataFrame(events(2, [3]), SCHEMA).withColumn("bucket", state.bucket()).dropDuplicates(["movement", "status"]).checkpoint()
+        plan = state.suspects(keyed)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        second, _ = state.run(spark.createDataFrame(events(3, [4]), SCHEMA))
+        third, displaced = state.run(spark.createDataFrame(events(3, [4]), SCHEMA))
+        for left, exchanges in ((second, 2), (state.without(second, displaced), 3)):          # the survivors are exchanged once
+            plan = left._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == exchanges, plan
+        old_rows = state.seen(spark, [0, 1, 2, 3])
+        joined = spark.createDataFrame(events(4, [5]), SCHEMA).select(state.bucket().alias("bucket"), F.struct("movement", "status").alias("_key")).join(old_rows, ["bucket", "_key"], "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2, plan                 # one a side
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
