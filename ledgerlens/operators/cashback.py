@@ -31,6 +31,7 @@ from pyspark.sql.types import (BooleanType, DateType, DecimalType, DoubleType, L
 from ..functions.columns import allocate_cashback, value_bucket
 from ..functions.dates import DateLike, date_lit, mtd_flag
 from .ids import numbered_key
+from .key_filter import with_partner
 from .rank import top_per_group
 from .skew import salted_join
 
@@ -208,13 +209,19 @@ def status_events(events: DataFrame, campaigns: DataFrame, core: DataFrame, p: C
     of the key, so the survivors are the same). ``dedupe_order`` fixes the
     survivor (default: event id). ``deduped``: the events are survivors already,
     as ``streaming.dedupe_state`` keeps them over many loads, and the whole
-    history is not deduplicated again.
+    history is not deduplicated again. Events of other days only compete in the
+    dedupe: they take their key and order through its exchange and no more.
     """
     e = events.where(F.col("properties_status") == STATUS_CREATED)
-    if not deduped:
-        e = top_per_group(e, list(EVENT_KEY), dedupe_order or ["id"])
     d = F.to_date("properties_created_at")
-    e = e.where(p.in_join_window(d) & (d >= date_lit(p.cut)))
+    wanted = p.in_join_window(d) & (d >= date_lit(p.cut))
+    if not deduped:
+        order = dedupe_order or ["id"]
+        named = [o[0] if isinstance(o, tuple) else o for o in order]
+        if all(isinstance(o, str) for o in named):
+            e = e.withColumns({c: F.when(wanted, F.col(c)) for c in e.columns if c not in (*EVENT_KEY, *named)})
+        e = top_per_group(e, list(EVENT_KEY), order)
+    e = e.where(wanted)
     core_cond = p.in_join_window(F.to_date("created_at"))
     if p.core_min_year is not None:
         # Same rows as year(created_at) >= y, written as a range so it reaches the scan.
@@ -303,7 +310,9 @@ def cashback_before(payments: DataFrame, promo_cb: DataFrame, p: CashbackParams)
     """Legacy-era product cashback (A21): one join for all products.
 
     The promo side is emitted once per key kind: the era key for products
-    keyed by date, ``all_transaction_id`` for the others.
+    keyed by date, ``all_transaction_id`` for the others. Most of these rows
+    match no payment (the other kind, the other era), so a bitmap of the
+    payments' keys takes them out before the exchange.
     """
     pay = payments.where(F.col("created_date") < date_lit(p.cut))
     promo = promo_cb.select(
@@ -315,6 +324,7 @@ def cashback_before(payments: DataFrame, promo_cb: DataFrame, p: CashbackParams)
                          F.col("consumer_id").alias("promo_consumer_id"),
                          "promo_transaction_id", "campaign_id", "briefing_id", "cashback_percentage",
                          "is_flagged_campaign", "received_cashback_value_promo", "paid_credit_card_value_promo")
+    promo = with_partner(promo, ["_kind", "_key"], pay, ["key_kind", "join_key"])
     j = pay.join(promo, (F.col("key_kind") == F.col("_kind")) & (F.col("join_key") == F.col("_key")), "inner")
     value = allocate_cashback("wallet_value", "card_value", "type_tested", "received_cashback_value_promo",
                               "fee_value", "paid_credit_card_value_promo")
@@ -402,9 +412,11 @@ def event_era(payments: DataFrame, events_cb: DataFrame, p: CashbackParams) -> D
         "transactional_core_id", "pay_transaction_id", "credit_card_id", "pay_consumer_id",
         "consumer_from_cashback", "installments", "type_tested", "transaction_type", "wallet_value",
         "card_value", "fee_value")
-    j = events_cb.join(pay, (F.col("correlation_id") == F.col("_corr")) & ~F.col("is_instant_cash"), "left")
     instant = F.col("is_instant_cash")
-    j = j.where((instant & F.col("is_flagged_campaign") & p.in_window(F.col("created_date_cashback"))) | (~instant & F.col("_corr").isNotNull()))
+    given = F.col("is_flagged_campaign") & p.in_window(F.col("created_date_cashback"))
+    # instant events that give no row go before the exchange
+    j = events_cb.where(~instant | given).join(pay, (F.col("correlation_id") == F.col("_corr")) & ~instant, "left")
+    j = j.where((instant & given) | (~instant & F.col("_corr").isNotNull()))
     product_value = allocate_cashback("wallet_value", "card_value", "type_tested", "cashback_pago", "fee_value",
                                       "paid_credit_card_value_promo")
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import shift_hours
+from ..operators.key_filter import with_partner
 from ..operators.subscription import HISTORY_SHIFT_HOURS, PackageRules
 from ..sources.tables import ParquetTables
 
@@ -269,7 +270,9 @@ def promo_transactions(t: ParquetTables) -> DataFrame:
 
 
 def instant_cash(t: ParquetTables) -> DataFrame:
-    f = _lines(t).where(F.col("o_orderpriority").startswith("5"))
+    # a fifth of the lines: the others are taken out before the exchange
+    o = t("orders").where(F.col("o_orderpriority").startswith("5")).select("o_orderkey", "o_custkey", "o_orderdate")
+    f = with_partner(t("lineitem"), ["l_orderkey"], o, ["o_orderkey"]).join(o, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
     return f.select(F.col("l_partkey").alias("campaign_id"), F.col("o_custkey").alias("consumer_id"),
                     F.col("o_orderdate").alias("created_at"),
                     _tenth("l_discount").alias("instant_cash_given_value"))
@@ -283,9 +286,9 @@ def campaign_taxonomy(t: ParquetTables) -> DataFrame:
 
 def cashback_events(t: ParquetTables) -> DataFrame:
     l = t("lineitem")
-    o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", F.col("o_orderpriority").startswith("5").alias("_instant"))
     j = l.join(o, l.l_orderkey == o.o_orderkey, "inner")
-    code = (F.when(F.col("o_orderpriority").startswith("5"), F.lit(INSTANT_CODE))
+    code = (F.when(F.col("_instant"), F.lit(INSTANT_CODE))
              .when(F.col("l_linenumber") == 7, F.lit(None).cast("int"))
              .otherwise(F.col("l_linenumber")))
     return j.select(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import surrogate_key, value_bucket_sql
 from ..operators import cashback
+from ..operators.ids import count_marks
 from ..session import scratch_path
 from ..sources.tables import ParquetTables
 from ..streaming.dedupe_state import DedupeState
@@ -230,11 +231,12 @@ FROM ({BEFORE_SQL} UNION ALL {AFTER_SQL}) u
 """
 
 
-def _sources(spark: SparkSession, sf_dir: str):
+def _sources(spark: SparkSession, sf_dir: str, instant: bool = False):
+    """The source frames; ``instant`` cash, whose key filter is a job of its own, for the queries that read it."""
     t = ParquetTables(spark, sf_dir)
-    return dict(payment_tables=fx.cashback_payment_tables(t), promo=fx.promo_transactions(t),
-                taxonomy=fx.campaign_taxonomy(t), instant=fx.instant_cash(t), events=fx.cashback_events(t),
-                core=fx.core_transactions(t))
+    src = dict(payment_tables=fx.cashback_payment_tables(t), promo=fx.promo_transactions(t),
+               taxonomy=fx.campaign_taxonomy(t), events=fx.cashback_events(t), core=fx.core_transactions(t))
+    return {**src, "instant": fx.instant_cash(t)} if instant else src
 
 
 def _report(df: DataFrame) -> DataFrame:
@@ -311,7 +313,7 @@ def cashback_status_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cashback_before", SOURCES_SQL + f"SELECT * {_MONEY} FROM ({BEFORE_SQL})")
 def cashback_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = _sources(spark, sf_dir)
+    src = _sources(spark, sf_dir, instant=True)
     campaigns = _campaigns(src)
     pays = cashback.all_payments(src["payment_tables"], PARAMS)
     return _report(cashback.cashback_before(pays, cashback.promo_cashback(src["promo"], campaigns, PARAMS), PARAMS).unionByName(
@@ -327,7 +329,7 @@ def cashback_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cashback_fact(spark: SparkSession, sf_dir: str, id_mode: str | None = "hash") -> DataFrame:
-    src = _sources(spark, sf_dir)
+    src = _sources(spark, sf_dir, instant=True)
     branches = cashback.cashback_branches(src["payment_tables"], src["promo"], src["taxonomy"], src["instant"],
                                           src["events"], src["core"], PARAMS, list(fx.PROMO_ORDER))
     return cashback.cashback_payments(branches, id_mode=id_mode)
@@ -342,10 +344,10 @@ FROM ({FACT_SQL}) f
 def cashback_payment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact with its id: as many ids as rows, although natural keys repeat."""
     fact = cashback_fact(spark, sf_dir)
-    # ids and keys as 16 bytes: the distinct counts exchange each of them once, beside no other column
+    # ids and keys as 16 bytes: the distinct counts exchange a hash of each, beside no other column
     marks = fact.select(F.unhex("cashback_payment_id").alias("ident"), F.unhex(surrogate_key(*cashback.NATURAL_KEY)).alias("key"))
-    return marks.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ident").alias("distinct_ids"),
-                     (F.count(F.lit(1)) > F.count_distinct("key")).alias("keys_repeat"))
+    counted = count_marks(marks, "n_rows", {"ident": "distinct_ids", "key": "keys"})
+    return counted.select("n_rows", "distinct_ids", (F.col("n_rows") > F.col("keys")).alias("keys_repeat"))
 
 
 def _field(c: str) -> str:

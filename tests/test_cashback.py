@@ -126,3 +126,33 @@ def test_a_bounded_number_of_campaigns_is_sent_and_no_row_exchanged_for_its_flag
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert sent == 0 and exchanged >= 3 and rows_sent == rows_exchanged and len(rows_sent) >= 8
+
+
+def test_events_of_other_days_compete_in_the_dedupe_without_their_columns(spark):
+    _, _, taxonomy, _, events, core = frames(spark)
+    camp = CB.flagged_campaigns(taxonomy, P.flag_pattern)
+    core = core.unionByName(spark.createDataFrame([("C5", T(2024, 11, 7), 10.0)], core.schema))
+    more = spark.createDataFrame([("D1", 1, 8, "CREATED", T(2024, 1, 5), 1, 1, "C5", 1.0, 0.0),      # before the cut, and best: beats the next
+                                  ("D2", 1, 8, "CREATED", T(2024, 11, 7), 1, 1, "C5", 2.0, 0.0),
+                                  ("D3", 1, 9, "CREATED", T(2024, 11, 7), 1, 1, "C5", 3.0, 0.0),      # best, although the next is older
+                                  ("D4", 1, 9, "CREATED", T(2024, 1, 5), 1, 1, "C5", 4.0, 0.0),
+                                  ("D5", 1, None, "CREATED", T(2024, 11, 7), 1, 1, "C5", 5.0, 0.0),
+                                  ("D6", 1, 10, "CREATED", None, 1, 1, "C5", 6.0, 0.0)], events.schema)
+    for order in (["id"], [("id", "asc")], [F.col("id")]):
+        out = CB.status_events(events.unionByName(more), camp, core, P, order)
+        got = {r.cleaned_event_cashback_status_changed_id: float(r.cashback_pago) for r in out.collect()}
+        assert got == {"E1": 8.0, "E2": 6.0, "E3": 11.0, "D3": 3.0, "D5": 5.0}
+    plan = CB.status_events(events, camp, core, P, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Window"):].count("CASE WHEN") >= 5          # emptied below the dedupe
+
+
+def test_promo_rows_without_a_payment_are_not_exchanged(spark):
+    tables, promo, taxonomy, *_ = frames(spark)
+    many = promo.unionByName(spark.range(2000).select(F.lit(T(2024, 6, 1)).cast("timestamp_ntz").alias("created_at"), F.concat(F.lit("X"), "id").alias("promo_transaction_id"),
+                             F.lit(1).cast("long").alias("campaign_id"), F.concat(F.lit("Z"), "id").alias("all_transaction_id"), F.concat(F.lit("Y"), "id").alias("transaction_id"),
+                             F.lit(1).cast("long").alias("consumer_id"), F.lit(1.0).alias("received_cashback_value"), F.lit(2.0).alias("paid_credit_card_value")))
+    camp = CB.flagged_campaigns(taxonomy, P.flag_pattern)
+    out = CB.cashback_before(CB.all_payments(tables, P), CB.promo_cashback(many, camp, P), P)
+    assert sorted(r.promo_transaction_id for r in out.collect()) == ["P1", "P2", "PB", "PB2"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD [_block" in plan and plan.index("_kind") < plan.index("LogicalRDD [_block")

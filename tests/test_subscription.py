@@ -272,3 +272,32 @@ def test_cohort_days_give_the_same_cohorts_and_churn(spark):
         results.append([sorted(map(str, x.collect())) for x in (cohort.activation_cohort(base), cohort.month_end_churn(base, "2024-06-10"),
                                                                cohort.cohort_attribution(base, "2024-06-10"))])
     assert results[0] == results[1] and all(results[0])
+
+
+def test_marks_are_counted_exactly_by_their_hashes(spark, monkeypatch):
+    # a: 700 values less nulls, some twice; b: all different, but hashed to five; every frame against count_distinct
+    digest = lambda c: F.unhex(F.sha2(c.cast("string"), 256))
+    df = spark.range(1000).select(F.when(F.col("id") % 10 != 3, digest(F.col("id") % 700)).alias("a"), digest(F.col("id")).alias("b"))
+    frames = {"all": df, "none": df.limit(0), "nulls": df.select(F.lit(None).cast("binary").alias("a"), "b"), "lone null": df.where("a IS NULL").limit(1)}
+    exact = {k: tuple(f.agg(F.count(F.lit(1)), F.count_distinct("a"), F.count_distinct("b")).first()) for k, f in frames.items()}
+    assert exact["all"] == (1000, 630, 1000) and exact["lone null"] == (1, 0, 1)
+
+    def counted():
+        return {k: tuple(ids.count_marks(f, "n", {"a": "x", "b": "y"}).first()) for k, f in frames.items()}
+
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(ids, "MARKED_ROWS", limit)
+        assert counted() == exact
+    monkeypatch.setattr(ids, "MARKED_ROWS", 1_000_000)
+    true_hash = F.xxhash64
+    monkeypatch.setattr(ids.F, "xxhash64", lambda c: F.pmod(true_hash(c), F.lit(5)))
+    assert counted() == exact                                     # hashes that clash change nothing
+    out = ids.numbered_key(df.unionAll(df.limit(10)), ("a",), "id")
+    assert out.count() == 1010 and out.select("id").distinct().count() == 1010
+
+
+def test_counting_marks_exchanges_their_hashes_only(spark):
+    df = spark.range(50).select(F.unhex(F.sha2((F.col("id") % 49).cast("string"), 256)).alias("m"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("k"))
+    out = ids.count_marks(df, "n", {"m": "x", "k": "y"})
+    joins = out._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.count("strategy=broadcast") == 2 and tuple(out.first()) == (50, 49, 50)
